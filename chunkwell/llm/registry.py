@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import url_filters
+from . import mixing, url_filters
 
-MODULES = (url_filters,)
+MODULES = (url_filters, mixing)
 
 
 def queries() -> dict:
