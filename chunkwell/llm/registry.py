@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filters
+from . import bpe, mixing, url_filters
 
-MODULES = (url_filters, mixing)
+MODULES = (url_filters, mixing, bpe)
 
 
 def queries() -> dict:
