@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Words kept in a worker's cache, and words that go through the merge rounds together.
-CACHE, SLICE = 150_000, 50_000
+CACHE, SLICE = 300_000, 50_000
+FIRST, SECOND = itemgetter(0), itemgetter(1)
 
 
 def default_path() -> str:
@@ -63,10 +66,11 @@ class Bpe:
         self.names = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.blank = regex.compile(r"\s+")
+        self.split = re.compile(as_sets(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]))
+        self.wide = re.compile("[\U00010000-\U0010ffff]")
+        self.split_wide = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.path, self.library = path, None
-        self.unknown = regex.compile(r"\p{Cn}")
+        self.unknown = Unassigned()
         letters = byte_letters()
         self.bytes = {ord(c): b for b, c in enumerate(letters)}
         self.inner = np.array([vocab[c] for c in letters], np.int64)
@@ -77,68 +81,82 @@ class Bpe:
         made = np.array([vocab[a + b] for a, b in model["merges"]], np.int64)
         keys = left * self.base + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order, made[order]
-        self.cache: dict[str, tuple[int, str, str]] = {}
-
-    def rank(self, pairs: np.ndarray) -> np.ndarray:
-        """Index among the sorted keys, or -1."""
+        self.keys, self.ranks, self.made = keys[order], np.r_[order, len(order)], made[order]
+        self.digits = [str(i) for i in range(self.base)]
+        self.texts = [self.names.get(i, "") for i in range(self.base)]
+        self.digits += ["\n" + x for x in self.digits]
+        self.texts += ["\n" + x for x in self.texts]
+        self.cache: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
+
+    def look(self, pairs: np.ndarray) -> np.ndarray:
+        """Place of each pair among the sorted keys, by binary search, or one past them."""
         at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
-        return np.where(self.keys[at] == pairs, at, -1)
+        return np.where(self.keys[at] == pairs, at, len(self.keys))
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, flat, and the number of each word's."""
+        """Ids of all words, flat, and the number of each word's.
+
+        A round looks up only those pairs that the last one changed.
+        """
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
-        sym, word = self.inner[flat], np.repeat(np.arange(len(words)), sizes)
+        word = np.repeat(np.arange(len(words)), sizes)
+        sym = self.inner[flat]
         ends = np.cumsum(sizes) - 1
         sym[ends] = self.last[flat[ends]]
         done_sym, done_word = [], []
         never = len(self.keys)
+        at = np.full(len(sym), never)
+        at[:-1] = np.where(word[:-1] == word[1:], self.look(sym[:-1] * self.base + sym[1:]), never)
         while len(sym):
-            pair = sym[:-1] * self.base + sym[1:]
-            at = self.rank(pair)
-            known = (at >= 0) & (word[:-1] == word[1:])
-            rank = np.where(known, self.ranks[at], never)
-            #: the lowest rank of each word
+            rank = self.ranks[at]  # of the pair that begins at a symbol
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            low = np.minimum.reduceat(np.r_[rank, never], starts)
-            run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(word)]))
+            low = np.minimum.reduceat(rank, starts)
+            lengths = np.diff(np.r_[starts, len(word)])
             live = low < never
             if not live.all():  # finished words leave the arrays
-                gone = ~live[run]
-                done_sym.append(sym[gone])
-                done_word.append(word[gone])
-                keep = ~gone
-                rank, low, at = rank[keep[:-1]] if len(rank) else rank, low, at[keep[:-1]] if len(at) else at
-                sym, word, run = sym[keep], word[keep], run[keep]
+                keep = np.repeat(live, lengths)
+                done_sym.append(sym[~keep])
+                done_word.append(word[~keep])
+                sym, word, rank, at = sym[keep], word[keep], rank[keep], at[keep]
+                low, lengths = low[live], lengths[live]
                 if not len(sym):
                     break
-                rank, at = rank[: len(sym) - 1], at[: len(sym) - 1]
-            hit = np.flatnonzero(rank == low[run[:-1]])
+            hit = np.flatnonzero(rank == np.repeat(low, lengths))
             #: of overlapping hits (the same symbol again and again) every other one counts, from the left
-            if len(hit) > 1 and (np.diff(hit) == 1).any():
-                first = np.r_[True, np.diff(hit) != 1]
+            near = np.diff(hit) == 1
+            if near.any():
+                first = np.r_[True, ~near]
                 begin = hit[np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))]
                 hit = hit[(hit - begin) % 2 == 0]
             sym[hit] = self.made[at[hit]]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
-            sym, word = sym[keep], word[keep]
+            now = hit - np.arange(len(hit))  # where the merged symbols stand once the gaps are closed
+            sym, word, at = sym[keep], word[keep], at[keep]
+            changed = np.zeros(len(sym), bool)
+            changed[now] = True
+            changed[now[now > 0] - 1] = True
+            if changed[-1]:
+                at[-1], changed[-1] = never, False
+            turn = np.flatnonzero(changed)
+            at[turn] = np.where(word[turn] == word[turn + 1], self.look(sym[turn] * self.base + sym[turn + 1]), never)
         ids = np.concatenate(done_sym) if done_sym else np.zeros(0, np.int64)
         of = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
         order = np.argsort(of, kind="stable")
         return ids[order], np.bincount(of, minlength=len(words))
 
     def learn(self, words: list[str]) -> None:
-        """Put words into the cache: number of ids, ids and tokens, both joined by spaces."""
+        """Put words into the cache, with their ids and tokens, each joined by spaces."""
         for i in range(0, len(words), SLICE):
             part = words[i : i + SLICE]
             ids, counts = self.merge([w.encode() for w in part])
-            ids, at = ids.tolist(), 0
-            for w, n in zip(part, counts.tolist()):
-                own = ids[at : at + n]
-                at += n
-                self.cache[w] = (n, " ".join(map(str, own)), " ".join(map(self.names.__getitem__, own)))
+            marked = ids.copy()
+            marked[np.r_[0, np.cumsum(counts)[:-1]]] += self.base  # a new line before each word's first
+            marked = marked.tolist()
+            ids, tokens = (" ".join(map(names.__getitem__, marked))[1:].split(" \n") for names in (self.digits, self.texts))
+            self.cache.update(zip(part, zip(ids, tokens)))
 
     def words(self, text: str) -> list[str]:
         """Words of a text; a special token is a word of its own."""
@@ -152,7 +170,8 @@ class Bpe:
                 elif self.unknown.search(part):
                     out += self.newer(part)
                 else:
-                    out += self.split.findall(lower(unicodedata.normalize("NFC", part)))
+                    part = lower(unicodedata.normalize("NFC", part))
+                    out += (self.split_wide if self.wide.search(part) else self.split).findall(part)
         return out
 
     def newer(self, part: str) -> list[str]:
@@ -166,17 +185,19 @@ class Bpe:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text the number of ids, the ids joined by spaces and the decoded text."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        if len(self.cache) > CACHE // 2:  # what is used again moves on from the old half
+            self.old, self.cache = self.cache, {}
         each = list(map(self.words, texts))
-        for token, i in self.special.items():
-            self.cache[token] = (1, str(i), token)
-        get = self.cache.__getitem__
-        self.learn([w for w in set(chain.from_iterable(each)) if w not in self.cache])
+        self.cache.update({token: (str(i), token) for token, i in self.special.items()})
+        missing = set(chain.from_iterable(each)).difference(self.cache)
+        known = missing.intersection(self.old)
+        self.cache.update(zip(known, map(self.old.__getitem__, known)))
+        self.learn(list(missing - known))
         out = []
         for words in each:
-            found = list(map(get, words))
-            out.append((sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])))
+            found = list(map(self.cache.__getitem__, words))
+            ids = " ".join(map(FIRST, found))
+            out.append((ids.count(" ") + bool(ids), ids, " ".join(map(SECOND, found))))
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -188,6 +209,35 @@ class Bpe:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
+def as_sets(pattern: str) -> str:
+    r"""The pattern with \p{L}, \p{N} and \s written out for characters up to U+FFFF, for ``re``, which makes bitmaps of them."""
+
+    def written(test) -> str:
+        return "".join(re.escape(chr(c)) for c in range(0x10000) if test(chr(c)))
+
+    space = regex.compile(r"\s")
+    sets = {r"\p{L}": written(lambda c: unicodedata.category(c)[0] == "L"), r"\p{N}": written(lambda c: unicodedata.category(c)[0] == "N"), r"\s": written(space.match)}
+    out = pattern
+    for name, members in sets.items():
+        out = out.replace(f"[{name}]", f"[{members}]") if f"[{name}]" in out else out
+        out = out.replace(name, members)
+    return out
+
+
+class Unassigned:
+    """Finds characters that Python's own tables do not know, about which those of ``regex`` and the tokenizers library differ."""
+
+    def __init__(self):
+        free = [c for c in range(0x10000) if unicodedata.category(chr(c)) == "Cn"]
+        self.low = re.compile("[" + "".join(map(re.escape, map(chr, free))) + "]")  # a bitmap
+        self.high = re.compile("[\U00010000-\U0010ffff]")
+
+    def search(self, text: str) -> bool:
+        if self.low.search(text):
+            return True
+        return bool(self.high.search(text)) and any(unicodedata.category(c) == "Cn" for c in self.high.findall(text))
+
+
 def lower(text: str) -> str:
     """Letter by letter: other than in ``str.lower``, a sigma at a word's end is no special case."""
     if text.isascii() or "Σ" not in text:
