@@ -291,5 +291,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def bpe_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each row's text, and the text that they decode to."""
+    return encode_documents(documents, full=True)
+
+
 QUERIES = {"op8_bpe": op8_bpe}
 SQL: dict[str, str] = {}
