@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, simhash_dedup, toxicity, url_filters
+from . import bpe, fingerprint, line_dedup, mixing, simhash_dedup, toxicity, url_filters
 
-MODULES = (url_filters, toxicity, mixing, bpe, simhash_dedup, line_dedup)
+MODULES = (url_filters, toxicity, mixing, fingerprint, bpe, simhash_dedup, line_dedup)
 
 
 def queries() -> dict:
