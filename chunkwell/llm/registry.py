@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, fingerprint, line_dedup, mixing, simhash_dedup, toxicity, url_filters
+from . import bpe, chat, embedding_dedup, fingerprint, licenses, line_dedup, mixing, simhash_dedup, toxicity, url_filters
 
-MODULES = (url_filters, toxicity, mixing, embedding_dedup, fingerprint, bpe, simhash_dedup, line_dedup)
+MODULES = (url_filters, chat, toxicity, mixing, licenses, embedding_dedup, fingerprint, bpe, simhash_dedup, line_dedup)
 
 
 def queries() -> dict:
