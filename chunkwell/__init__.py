@@ -1,0 +1,19 @@
+"""Document retrieval and analytics on Spark DataFrames."""
+
+from __future__ import annotations
+
+import os
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, wherever the driver was started.
+
+    On a cluster the package is installed or sent with ``--py-files``; the path is then just not there.
+    """
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    paths = [p for p in environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
