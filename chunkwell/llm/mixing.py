@@ -30,6 +30,8 @@ SHARE = 1.5
 MOST = 2
 #: Words of a block, slots of an output shard, parts of a source's running count, cells of the draw's lookup table.
 BLOCK, SLOTS, SALTS, CELLS = 128, 4096, 64, 1024
+#: Up to so many sources their lookup table is broadcast.
+MOST_BROADCAST = 100_000
 SEED = 17
 ROUNDS = 6
 LONG = "long"
@@ -96,7 +98,10 @@ def draw(quota: DataFrame, per_shard: int = SLOTS, seed: int = SEED, cells: int
     q = quota.filter("slots > 0").select("rank", "slots", "blocks", "first", "all_slots")
     cell = lambda ticket: div(ticket * cells, F.col("all_slots"))
     held = q.withColumn("cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("first") + F.col("slots") - 1))))
-    n = quota.agg(F.max("all_slots")).first()[0] or 0
+    n, sources = quota.agg(F.max("all_slots"), F.count(F.lit(1))).first()
+    n = n or 0
+    #: at most a row for each cell and source, of 40 bytes
+    held = F.broadcast(held) if sources <= MOST_BROADCAST else held.hint("merge")
     shards = quota.sparkSession.range(-(-n // per_shard)).select(F.lit(n).cast(LONG).alias("n"), F.col("id").alias("shard"))
     slots = shards.select("n", "shard", F.explode(F.sequence(F.col("shard") * per_shard, F.least(F.col("n"), (F.col("shard") + 1) * per_shard) - 1)).alias("slot"))
     tickets = slots.select("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("slot")), F.col("n")).alias("ticket"), "n")
@@ -113,7 +118,9 @@ def draw(quota: DataFrame, per_shard: int = SLOTS, seed: int = SEED, cells: int
 
 def slot_blocks(drawn: DataFrame, seed: int = SEED) -> DataFrame:
     """Rows (rank, block, copies): how often each block of each source is taken."""
-    each = drawn.select("rank", "blocks", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("count") - 1)).alias("i"))
+    #: dealt out by number, as a row makes up to a shard's slots
+    dealt = drawn.repartition(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = dealt.select("rank", "blocks", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("count") - 1)).alias("i"))
     each = each.select("rank", permuted(F.pmod(F.col("i"), F.col("blocks")), F.col("blocks"), F.col("rank"), seed).alias("block"))
     return each.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("copies"))
 
