@@ -52,3 +52,18 @@ def lower_ascii(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def fresh(frame: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of the frame has."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(frame: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in frame.columns]

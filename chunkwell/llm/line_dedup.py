@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, small_batches, table
+from .common import UPPER, fresh, named, small_batches, table
 
 #: Code points of a key that counts, and documents in which its lines are repeats.
 SHORTEST, DOCUMENTS = 20, 3
@@ -135,9 +135,11 @@ def drops(documents: DataFrame, shortest: int = SHORTEST, least: int = DOCUMENTS
 
 
 def without_repeats(documents: DataFrame, shortest: int = SHORTEST, least: int = DOCUMENTS) -> DataFrame:
-    """The documents with ``_gone``, null where nothing is lost."""
-    gone = drops(documents, shortest, least).withColumnRenamed("doc_id", "_id").withColumnRenamed("gone", "_gone")
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    """The documents and, as last column, the digests of lines they lose, null for none."""
+    key, gone = fresh(documents, "_id", "_gone")
+    lost = drops(documents.select("doc_id", "text"), shortest, least).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
+    joined = documents.join(lost, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    return joined.select(*named(documents), gone)
 
 
 def cut_lines(text: str | None, gone: list[bytes] | None, shortest: int = SHORTEST) -> tuple[bytes, int, int]:
@@ -162,7 +164,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             shas = [hashlib.sha256(x[0]).hexdigest() for x in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return without_repeats(documents).select("doc_id", "text", "_gone").mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
+    return without_repeats(documents).mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def line_dedup_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:

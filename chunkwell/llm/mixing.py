@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table, word_count
+from .common import WORD, cut, named, table, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -174,25 +174,28 @@ def mix_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFra
     Texts are cut between words, and keep the white space that follows each word.
     Documents of which nothing is taken go; ``n_chars`` is made anew.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = documents.withColumn("_k1", F.xxhash64("doc_id", "source", text)).withColumn("_k2", F.xxhash64(text, F.lit(SEED), F.col("doc_id"), F.col("source")))
+    #: a row travels as one column, so that no name of its columns meets one of these
+    whole = documents.select(F.struct(*named(documents)).alias("_row"))
+    part = lambda name: F.col("_row").getField(name)
+    text = F.coalesce(part("text"), F.lit(""))
+    keyed = whole.withColumn("_k1", F.xxhash64(part("doc_id"), part("source"), text)).withColumn("_k2", F.xxhash64(text, F.lit(SEED), part("doc_id"), part("source")))
     #: rows that are alike in all of these are told apart by number
-    sizes = cut(keyed.select("source", word_count(F.col("text")).alias("size"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
+    sizes = cut(keyed.select(part("source").alias("source"), word_count(part("text")).alias("size"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
     mixed = mix(sizes).filter("copies > 0")
     spans = mixed.groupBy("k1", "k2", "rank", "salt", "row").agg(F.array_sort(F.collect_list(F.struct("at", "words", "copies"))).alias("spans"))
     spans = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("row", "spans"))).alias("rows"))
-    spans = spans.withColumnsRenamed({"k1": "_j1", "k2": "_j2"})
     number = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))
-    joined = keyed.withColumn("_n", number).join(spans, (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")))
-    joined = joined.withColumn("_spans", F.get(F.col("rows"), F.col("_n") - 1)["spans"]).filter("_spans is not null")
-    joined = joined.withColumn("_words", F.regexp_extract_all("text", F.lit(r"(?:^[\x20\x09-\x0D]+)?" + WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
+    joined = keyed.withColumn("_n", number).join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
+    joined = joined.select("_row", F.get(F.col("rows"), F.col("_n") - 1)["spans"].alias("_spans")).filter("_spans is not null")
+    joined = joined.withColumn("_words", F.regexp_extract_all(part("text"), F.lit(r"(?:^[\x20\x09-\x0D]+)?" + WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
     joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_spans", lambda s: s["copies"])).cast("int"))))
     chosen = F.filter("_spans", lambda s: s["copies"] >= F.col("_copy"))
     cut_text = F.array_join(F.transform(chosen, lambda s: F.array_join(F.slice(F.col("_words"), (s["at"] + 1).cast("int"), s["words"].cast("int")), "")), "")
-    out = joined.withColumn("text", cut_text)
+    out = joined.select("_row", cut_text.alias("_text"))
+    made = {"text": F.col("_text")}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in documents.columns])
+        made["n_chars"] = F.length("_text").cast(documents.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, part(c)).alias(c) for c in documents.columns])
 
 
 QUERIES = {"op4_mixing": op4_mixing}

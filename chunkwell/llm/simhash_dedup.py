@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, fresh, named, small_batches, table
 from .components import components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
@@ -226,13 +226,14 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that with the smallest id, whichever of its rows if it is repeated."""
-    found = simhash_components(documents)
+    found = simhash_components(documents.select("doc_id", "text"))
     #: those that go are the smaller side of the join
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    (name,) = fresh(documents, "_gone")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    kept = documents.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
     if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated ids
         kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*[F.col(f"`{c}`") for c in documents.columns])
+    return kept.select(*named(documents))
 
 
 QUERIES = {"op9_simhash_dedup": op9_simhash_dedup}
