@@ -30,7 +30,7 @@ def tier_of(category: Column) -> Column:
 
 
 def walk(spark: SparkSession, root: str, images: dict[str, str] | None = None) -> DataFrame:
-    """Files directly in each category's folder, without hidden ones, and those of image folders (folder to category), whatever their names."""
+    """Files directly in each category's folder, without hidden ones, and those of image folders (folder to category), whatever their names. Files of no bytes are not listed."""
     frames, root = [], root.rstrip("/")
 
     def read(folder: str) -> DataFrame:
