@@ -24,7 +24,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 HEAVIEST = 15
 #: Ranges of ids in which neighbours are found, at most, and about as many rows in each at least.
@@ -32,6 +32,7 @@ BUCKETS, BUCKET_ROWS = 1 << 16, 200
 #: Blocks of a fingerprint, those that agree if at most ``RADIUS`` bits differ.
 BLOCKS, RADIUS = 6, 3
 LANES = 32
+ASKED = 50
 LONG = "long"
 
 
@@ -86,19 +87,22 @@ def near(entries: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: i
     if blocks <= radius:
         raise ValueError("more blocks than bits of the radius are needed")
     bounds = [i * 64 // blocks for i in range(blocks + 1)]
-    choices = list(combinations(range(blocks), blocks - radius))
+    masks = [sum((1 << bounds[b + 1]) - (1 << bounds[b]) for b in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+
+    def signed(mask: int) -> Column:
+        return F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast(LONG)
 
     def tables(name: str) -> Column:
-        keys = []
-        for number, chosen in enumerate(choices):
-            mask = sum(((1 << bounds[b + 1]) - (1 << bounds[b])) for b in chosen)
-            keys.append(F.struct(F.lit(number).alias("number"), F.col(name).bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast(LONG)).alias("block")))
-        return F.explode(F.array(*keys))
+        """An entry of each table: its number, and the blocks that come first in its permutation."""
+        return F.explode(F.array(*[F.struct(F.lit(i).alias("number"), F.col(name).bitwiseAND(signed(m)).alias("block")) for i, m in enumerate(masks)]))
 
+    #: of the tables in which a pair agrees only the first makes a row
+    different = F.col("query").bitwiseXOR(F.col("fp"))
+    first = F.coalesce(*[F.when(different.bitwiseAND(signed(mask)) == 0, F.lit(i)) for i, mask in enumerate(masks)])
     left = queries.select(F.col("fp").alias("query")).distinct().withColumn("k", tables("query"))
-    right = entries.select("fp").distinct().withColumn("k", tables("fp"))
-    found = left.join(right, "k").filter(F.bit_count(F.col("query").bitwiseXOR(F.col("fp"))) <= radius)
-    return found.select("query", "fp").distinct()
+    right = entries.select("fp").distinct().withColumn("e", tables("fp"))
+    close = (F.col("k") == F.col("e")) & (F.bit_count(different) <= radius) & (F.col("k.number") == first)
+    return left.join(right, close).select("query", "fp")
 
 
 def cuts(ids: DataFrame, most: int = BUCKETS, rows: int = BUCKET_ROWS) -> list[int]:
@@ -168,11 +172,21 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     return prints.select("doc_id", F.col("n_chars").cast(LONG), F.col("sha").alias("edited_sha256"), "fp", "edited_fp", "next_fp")
 
 
+def near_counts(prints: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:
+    """``n_near``: for the asked rows how many other documents have a fingerprint within the radius; null for the rest."""
+    counted = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    found = near(counted, prints.filter(asked), radius).join(counted, "fp").groupBy("query").agg(F.sum("n").alias("n"))
+    out = prints.join(found, asked & (F.col("fp") == F.col("query")), "left")
+    return out.withColumn("n_near", F.when(asked, F.col("n") - 1)).drop("query", "n")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fingerprint_documents(table(spark, sf_dir, "documents"))
+    """The search asks for every document whose id ``ASKED`` divides."""
+    found = cut(fingerprint_documents(table(spark, sf_dir, "documents")))
+    found = near_counts(found, F.coalesce(F.col("doc_id") % ASKED == 0, F.lit(False)))
     return found.select(
         "doc_id", "n_chars", "edited_sha256", hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near",
     )
 
 

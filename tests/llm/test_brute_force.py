@@ -204,6 +204,9 @@ def test_fingerprints(spark, sf):
         assert abs(mine["near_edited"] - bits(mine["fingerprint"], mine["edited_fingerprint"])) < 1e-12
         assert abs(mine["near_next"] - bits(mine["fingerprint"], got[after["doc_id"]]["fingerprint"])) < 1e-12
     assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.9 * len(got)
+    for i, r in got.items():
+        close = sum(bits(r["fingerprint"], o["fingerprint"]) >= 1 - fingerprint.RADIUS / 64 for o in got.values()) - 1
+        assert r["n_near"] == (close if i % fingerprint.ASKED == 0 else None)
 
 
 def test_many_ranges_are_one_order(spark, monkeypatch):
