@@ -63,13 +63,14 @@ def build_chunks(pieces: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def in_corpus_order(chunks: DataFrame) -> DataFrame:
-    """``ord`` from the order of the walk: bounded keys packed into one number would not hold long paths, so it is the rank of a document among all, then the number.
+    """The chunks with ``ord``, which rises with the walk's rank, the document and the number in it.
 
-    Documents are counted by ranges, so that no single task sorts them all.
+    Documents are put in order by ranges, so that no single task sorts them all.
     """
     docs = chunks.select("rank", "doc_id").distinct()
-    ranged = docs.repartitionByRange("rank", "doc_id").sortWithinPartitions("rank", "doc_id").withColumn("_place", F.monotonically_increasing_id())
-    return chunks.join(ranged, ["rank", "doc_id"]).withColumn("ord", (F.col("_place") * 1_000_000 + F.col("n")).cast("decimal(38,0)")).select("ord", *[f.name for f in CHUNK])
+    placed = docs.repartitionByRange("rank", "doc_id").sortWithinPartitions("rank", "doc_id").withColumn("_place", F.monotonically_increasing_id())
+    place = F.col("_place").cast("decimal(20,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col("n")
+    return chunks.join(placed, ["rank", "doc_id"]).withColumn("ord", place.cast("decimal(38,0)")).select("ord", *[f.name for f in CHUNK])
 
 
 def counts_by(documents: DataFrame, chunks: DataFrame, key: str) -> DataFrame:

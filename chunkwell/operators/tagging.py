@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..schema import MAX_ENTITIES
 
+#: Names without any token, which all texts must be searched for.
+MOST_BARE = 1000
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
@@ -24,15 +26,18 @@ def matches(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Rows (id, name) for chunks (id, text)."""
     names = vocabulary.select("name").filter("name <> ''").distinct().withColumn("token", F.regexp_extract(F.lower("name"), TOKEN, 0))
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))
-    each = chunks.select("id", "text", F.explode(found).alias("token"))
-    #: pairs first, the text only for names of more than their one token
-    pairs = each.join(names.filter("token <> ''"), "token")
-    sure = F.lower("name") == F.col("token")
-    blocked = pairs.filter(sure | F.rlike(F.col("text"), pattern(F.col("name"))))
+    each = chunks.select("id", F.explode(found).alias("token"))
+    pairs = each.join(names.filter("token <> ''"), "token").select("id", "name", (F.lower("name") == F.col("token")).alias("sure"))
+    #: a name of its one token is found with the token; only for others texts are read, joined to the pairs by id
+    doubtful = pairs.filter(~F.col("sure")).join(chunks.select("id", "text"), "id").filter(F.rlike(F.col("text"), pattern(F.col("name"))))
+    out = pairs.filter("sure").select("id", "name").unionByName(doubtful.select("id", "name"))
     bare = names.filter("token = ''").select("name")
-    rest = chunks.select("id", "text").join(F.broadcast(bare), F.rlike(F.col("text"), pattern(F.col("name")))) if bare.limit(1).count() else None
-    out = blocked.select("id", "name")
-    return out.unionByName(rest.select("id", "name")) if rest is not None else out
+    if bare.limit(1).count():
+        if bare.limit(MOST_BARE + 1).count() > MOST_BARE:
+            raise ValueError(f"over {MOST_BARE} names without a letter or digit")
+        rest = chunks.select("id", "text").join(F.broadcast(bare), F.rlike(F.col("text"), pattern(F.col("name"))))
+        out = out.unionByName(rest.select("id", "name"))
+    return out
 
 
 def tag(chunks: DataFrame, vocabulary: DataFrame, limit: int = MAX_ENTITIES) -> DataFrame:
