@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Words kept in a worker's cache, and words that go through the merge rounds together.
-CACHE, SLICE = 300_000, 50_000
+CACHE, SLICE = 200_000, 50_000
 FIRST, SECOND = itemgetter(0), itemgetter(1)
 
 
@@ -268,19 +268,21 @@ def encode_documents(documents: DataFrame, path: str | None = None, id_col: str
     path = path or default_path()
     small_batches(documents.sparkSession)
 
+    names = ["doc_id", "n_tokens", "ids", "decoded"] if full else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts, ids, decoded = [], [], []
+            texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
             for group in pieces(texts):
-                for n, i, d in bpe.encode_batch(group):
-                    counts.append(n)
-                    ids.append([int(x) for x in i.split()] if full else hashlib.sha256(i.encode()).hexdigest())
-                    decoded.append(d if full else hashlib.sha256(d.encode()).hexdigest())
-            kinds = (pa.list_(pa.int32()), pa.string()) if full else (pa.string(), pa.string())
-            names = ["doc_id", "n_tokens", "ids", "decoded"] if full else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, kinds[0]), pa.array(decoded, kinds[1])], names)
+                n, ids, decoded = zip(*bpe.encode_batch(group))
+                if full:
+                    flat = np.fromstring(" ".join(filter(None, ids)), np.int32, sep=" ")
+                    columns = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(flat)), pa.array(decoded, pa.string())]
+                else:
+                    columns = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in part], pa.string()) for part in (ids, decoded)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array(n, pa.int64()), *columns], names)
+                at += len(group)
 
     kind = documents.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, " + ("ids array<int>, decoded string" if full else "ids_sha256 string, decoded_sha256 string")
