@@ -493,7 +493,15 @@ def toolset(spark: SparkSession, d: str):
     return Toolset(texts=chunk_texts(spark, d), tables=tb.table_chunks(table_parts(spark, d)), nodes=gr.nodes(made), edges=gr.edges(made))
 
 
-@query()
+def sql_found(table: str, follow: str, columns: str) -> str:
+    """One batch of a keyword search, a table lookup and a followed entity."""
+    parts = [(0, 0, "keyword_search", f"select id as chunk_id, rank, null as note, 0 as part from ({sql_bm25(f"select 0::bigint as qid, '{KEYWORDS}' as query", 5)})"),
+             (1, 1, "table_lookup", f"select id as chunk_id, row_number() over (order by ord, row_no) as rank, subject || ' — ' || label || ': ' || value as note, 0 as part from ({TABLES} select * from r where {table})"),
+             (2, 2, "follow_reference", f"select unnest(string_split(examples, ',')) as chunk_id, rank, '{follow} connects to ' || entity || ' (co-occurs in ' || weight || ' chunks)' as note, 0 as part from ({sql_follow(f"select 0 as qid, '{follow}' as key", 5)})")]
+    return " union all ".join(f"select {columns.format(qid=q, step=k, tool=tool)} from ({sql})" for q, k, tool, sql in parts)
+
+
+@query(sql_found("subject_key = 'red widget' and label_key = 'brand'", "blue bolt", "{qid} as qid, 0 as step, '{tool}' as tool, rank, chunk_id, note"))
 def dispatch_batch(spark, d):
     from .plans import agent
 
@@ -501,11 +509,60 @@ def dispatch_batch(spark, d):
     return agent.dispatch(toolset(spark, d), spark.createDataFrame(calls, agent.REQUESTS))
 
 
-@query()
+@query(sql_found("subject_key = 'hot gear' and label_key = 'type'", "old rod", "0 as qid, {step} as step, '{tool}' as tool, chunk_id"))
 def agent_trace(spark, d):
+    """A question's loop with a policy that follows a script."""
     from .plans import agent
 
     policy = agent.Scripted([agent.Call(agent.KEYWORD, query=KEYWORDS), agent.Call(agent.TABLE, entity="hot gear", attribute="type"), agent.Call(agent.FOLLOW, entity="old rod")], 3)
     answers = agent.ask_all(spark, toolset(spark, d), {0: "What is said of hot gear?"}, policy)
     rows = [(q, i, o.call.tool, c) for q, a in answers.items() for i, o in enumerate(a.trace) for c in o.chunk_ids]
     return spark.createDataFrame(rows, "qid long, step int, tool string, chunk_id string")
+
+
+# Scalar rules and sources.
+
+@query("""select o_orderkey, list_aggregate(list_transform(regexp_extract_all(replace(replace(lower(o_orderpriority), '-', ' '), '_', ' '), '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), 'string_agg', '') as title from orders""")
+def title_from_filename(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", tx.file_title(F.col("o_orderpriority")).alias("title"))
+
+
+@query(r"""with p as (select doc_id, trim(regexp_replace(string_split(text, chr(10) || chr(10))[1], '\s+', ' ', 'g')) as paragraph, trim(string_split(text, chr(10))[1], ' ' || chr(9) || chr(13)) as line from documents)
+select doc_id, case when length(paragraph) <= 120 then paragraph when line <> '' and length(line) <= 120 then line end as title from p""")
+def page_title(spark, d):
+    return t(spark, d, "documents").select("doc_id", tx.page_title(F.col("text")).alias("title"))
+
+
+@query("select s_suppkey, lower(s_name) as key from supplier")
+def normal_key(spark, d):
+    return t(spark, d, "supplier").select("s_suppkey", tx.normal_key(F.concat(F.lit(" \t"), "s_name", F.lit("\u00a0\n"))).alias("key"))
+
+
+@query("select p_partkey, p_brand || '|' || '|' || p_type as cells, true as filled from part")
+def cell_clean(spark, d):
+    rows = tx.clean_rows(F.array(F.array(F.concat(F.lit(" "), "p_brand"), F.lit(None).cast("string")), F.array(F.concat("p_type", F.lit("\n")))))
+    return t(spark, d, "part").select("p_partkey", F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), "|").alias("cells"), tx.any_cell(rows).alias("filled"))
+
+
+@query("select page_id, case page_id % 7 when 0 then 'scan_pdf' when 1 then 'pdf' when 2 then 'docx' when 3 then 'md' when 4 then 'txt' when 5 then 'pdf' end as format from pages")
+def format_dispatch(spark, d):
+    names = F.array(*[F.lit(x) for x in (".scan.pdf", ".PDF", ".docx", ".Md", ".txt", ".SCAN.pdf", ".html")])
+    return t(spark, d, "pages").select("page_id", files.format_of(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.get(names, (F.col("page_id") % 7).cast("int")))).alias("format"))
+
+
+@query("select distinct trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as name from pages where trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) <> ''")
+def vocabulary_source(spark, d):
+    return markup.vocabulary(page_markdown(spark, d))
+
+
+@query("""select p_partkey, '  - [part::' || p_partkey || ', ' || case when p_partkey % 3 = 0 then 'no page' else 'p.' || p_size end || case when p_partkey % 2 = 0 then '' else ' § ' || p_name end || ', official] '
+  || case when length(repeat(p_type || ' ', p_size * 3)) > 500 then substr(repeat(p_type || ' ', p_size * 3), 1, 500) || '…' else repeat(p_type || ' ', p_size * 3) end as line from part""")
+def evidence_lines(spark, d):
+    from .plans.agent import evidence_lines as lines
+
+    k = F.col("p_partkey")
+    chunks = t(spark, d, "part").select(
+        F.format_string("part::%d", k).alias("id"), F.format_string("part::%d", k).alias("doc_id"), F.when(k % 3 != 0, F.col("p_size")).alias("page"), F.when(k % 2 != 0, F.col("p_name")).alias("section"),
+        F.lit("official").alias("reliability_tier"), F.expr("repeat(p_type || ' ', p_size * 3)").alias("text"), F.lit(None).cast("array<array<string>>").alias("table"),
+    )
+    return lines(chunks, chunks).select(F.substring_index("id", "::", -1).cast("long").alias("p_partkey"), "line")
