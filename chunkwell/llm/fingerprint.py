@@ -102,7 +102,8 @@ def near(entries: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: i
     left = queries.select(F.col("fp").alias("query")).distinct().withColumn("k", tables("query"))
     right = entries.select("fp").distinct().withColumn("e", tables("fp"))
     close = (F.col("k") == F.col("e")) & (F.bit_count(different) <= radius) & (F.col("k.number") == first)
-    return left.join(right, close).select("query", "fp")
+    #: neither side is bounded, and what the planner guesses of their sizes leaves out the tables' number
+    return left.join(right.hint("merge"), close).select("query", "fp")
 
 
 def cuts(ids: DataFrame, most: int = BUCKETS, rows: int = BUCKET_ROWS) -> list[int]:
