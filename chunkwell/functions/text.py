@@ -33,8 +33,9 @@ def not_blank(items: Column) -> Column:
     return F.filter(F.transform(items, strip), lambda x: x != "")
 
 
-def pack(units: Column, most: int = MAX_CHUNK_CHARS) -> Column:
+def pack(units: Column, most: int = MAX_CHUNK_CHARS, clean: bool = True) -> Column:
     """Units joined by lines into pieces of about ``most`` characters; each unit counts one more than its length, and none is cut.
+    Units are stripped and blank ones left out, unless they are ``clean`` already (False).
 
     A fold, not a window: where a piece ends depends on where the one before it did.
     """
@@ -51,16 +52,25 @@ def pack(units: Column, most: int = MAX_CHUNK_CHARS) -> Column:
     def end(state: Column) -> Column:
         return F.when(state["piece"].isNull(), state["done"]).otherwise(F.array_append(state["done"], state["piece"]))
 
-    return F.aggregate(not_blank(units), start, add, end)
+    return F.aggregate(not_blank(units) if clean else units, start, add, end)
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, as a lambda's variable, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def split_long(text: Column, most: int = MAX_CHUNK_CHARS) -> Column:
     """Pieces of a long text: cut at blank lines, else at lines, else after sentences."""
-    whole = strip(text)
-    paragraphs, lines = not_blank(F.split(whole, "\n\n")), not_blank(F.split(whole, "\n"))
-    sentences = not_blank(F.split(whole, r"(?U)(?<=[.!?])\s+"))
-    units = F.when(F.size(paragraphs) >= 2, paragraphs).when(F.size(lines) >= 2, lines).otherwise(sentences)
-    return F.when(whole == "", F.array().cast(NO_STRINGS)).when(F.length(whole) <= most, F.array(whole)).otherwise(pack(units, most))
+
+    def sentences(whole: Column) -> Column:
+        return pack(F.split(whole, r"(?U)(?<=[.!?])\s+"), most)
+
+    def parts(whole: Column) -> Column:
+        lines = lambda: bound(not_blank(F.split(whole, "\n")), lambda u: F.when(F.size(u) >= 2, pack(u, most, False)).otherwise(sentences(whole)))
+        return bound(not_blank(F.split(whole, "\n\n")), lambda u: F.when(F.size(u) >= 2, pack(u, most, False)).otherwise(lines()))
+
+    return bound(strip(text), lambda w: F.when(w == "", F.array().cast(NO_STRINGS)).when(F.length(w) <= most, F.array(w)).otherwise(parts(w)))
 
 
 def clean_rows(rows: Column) -> Column:

@@ -14,6 +14,8 @@ from ..functions.text import search_text, tokens
 from ..schema import RESULT_LIMIT
 
 K1, B = 1.2, 0.75
+#: Terms of a batch of queries up to this number are broadcast.
+MOST_TERMS = 100_000
 
 
 def index_text(chunks: DataFrame) -> DataFrame:
@@ -48,14 +50,18 @@ def idf(df: Column, n: Column) -> Column:
 def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = RESULT_LIMIT) -> DataFrame:
     """(qid, rank, id, score) for all queries at once. Scores are rounded before ties go by id.
 
-    Only tokens that some query asks for leave the scan; lengths are single numbers of each text.
+    One pass over the texts counts each text's asked terms, and all others together, within tasks
+    first; lengths, document frequencies and the corpus's figures all come from those counts.
     """
     asked = query_terms(queries)
-    words = texts.select("id", tokens(F.col("text")).alias("w"))
-    lengths = words.select("id", F.size("w").alias("dl"))
+    terms = asked.select("term").distinct().withColumn("asked", F.lit(True))
+    if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        terms = F.broadcast(terms)
+    each = texts.select("id", F.explode_outer(tokens(F.col("text"))).alias("term")).join(terms, "term", "left")
+    counted = each.groupBy("id", F.when(F.col("asked"), F.col("term")).alias("asked_term")).agg(F.count("term").alias("tf"))
+    lengths = counted.groupBy("id").agg(F.sum("tf").alias("dl"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms = asked.select("term").distinct()
-    hits = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    hits = counted.filter("asked_term is not null").withColumnRenamed("asked_term", "term").join(lengths, "id")
     with_df = hits.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
     scored = with_df.crossJoin(F.broadcast(stats))  # one row
     part = idf(F.col("df"), F.col("n")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

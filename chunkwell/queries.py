@@ -38,6 +38,12 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' table. A small one may be a single block of a single file, which one task would read and work on alone: it is dealt out; a large one has its blocks."""
+    read, cores = t(spark, d, "documents"), spark.sparkContext.defaultParallelism
+    return read.repartition(cores) if read.rdd.getNumPartitions() * 2 <= cores else read
+
+
 # Chunks. In SQL, units are structs and packing is a reduction over them.
 
 STRIP = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
@@ -61,7 +67,7 @@ PIECES = sql_pieces("text")
 
 
 def pieces(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents")
+    docs = documents(spark, d)
     return docs.select("doc_id", "source", "lang", F.posexplode(tx.split_long(F.col("text"))).alias("n", "piece"))
 
 
@@ -262,12 +268,12 @@ m as (select doc_id, name from w join v on lower(v.name) = w.token)"""
 
 @query(TAGGED + " select doc_id, name from m")
 def entity_tag(spark, d):
-    return tg.matches(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), nav_names(spark, d)).select(F.col("id").alias("doc_id"), "name")
+    return tg.matches(documents(spark, d).select(F.col("doc_id").alias("id"), "text"), nav_names(spark, d)).select(F.col("id").alias("doc_id"), "name")
 
 
 @query(TAGGED + " select doc_id, name, row_number() over (partition by doc_id order by length(name) desc, name) as rank from m qualify rank <= 25")
 def entity_tag_limit(spark, d):
-    return tg.tag(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), nav_names(spark, d)).select(F.col("id").alias("doc_id"), "name", F.col("rank").cast("long"))
+    return tg.tag(documents(spark, d).select(F.col("doc_id").alias("id"), "text"), nav_names(spark, d)).select(F.col("id").alias("doc_id"), "name", F.col("rank").cast("long"))
 
 
 # Full text.
@@ -276,7 +282,7 @@ TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
 
 def doc_texts(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return documents(spark, d).select(F.col("doc_id").alias("id"), "text")
 
 
 @query(f"select term, doc_id, count(*) as tf from (select doc_id, unnest({TOKENS}) as term from documents) group by 1, 2")

@@ -56,7 +56,7 @@ def test_markdown(spark):
 def test_ingest(spark, archive):
     listed = files.walk(spark, str(archive))
     names = markup.vocabulary(listed.filter("format = 'md'").selectExpr("decode(content, 'UTF-8') as text"))
-    documents, chunks = ing.ingest(listed, names, {"pdf": fake_pdf})
+    documents, chunks = (f.cache() for f in ing.ingest(listed, names, {"pdf": fake_pdf}))
     docs = {r["doc_id"]: r for r in documents.collect()}
     assert set(docs) == {"wiki/tower.md", "wiki/blank.md", "codex/old_law-book.TXT", "codex/titled.txt", "ephemera/note.scan.pdf", "chronicles/tale.pdf"}
     assert docs["codex/old_law-book.TXT"]["doc_title"] == "Old Law Book" and docs["codex/titled.txt"]["doc_title"] == "My Title"
