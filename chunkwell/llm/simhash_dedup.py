@@ -10,6 +10,11 @@ bits, y is no further than that from x's home, so home and replica meet there: n
 fingerprints are compared on their own, and of the links that are found a
 spanning forest is kept, never all pairs of a group.
 
+The pipeline's stage does not use fingerprints: of texts that share four fifths of their five-word
+shingles nearly none are within 2 of 64 bits, and half are beyond 9. Its candidates share one of 24
+bands of four minima (MinHash), and are linked if the Jaccard similarity of their
+sets of shingles, as counted, is 0.8 or more.
+
 Anchors number 2^24, so that a cell holds few fingerprints of different texts; a cell's
 comparison runs in blocks of bounded size.
 
@@ -38,6 +43,14 @@ SHINGLE, SEED, THRESHOLD = 3, 42, 2
 BITS, CHECKS, POLYNOMIAL, RADIUS = 23, 11, 0xC75, 3
 #: Pairs of fingerprints that are compared at a time.
 BLOCK = 1 << 21
+#: The pipeline's stage links texts by what they share of five-word shingles.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+#: Two texts of similarity 0.8 share none of the bands once in 300,000 times, more similar ones less often.
+BANDS, ROWS = 24, 4
+#: Members of a part of a cell, on average.
+PART = 2048
+_RANDOM = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+_MASKS, _FACTORS = _RANDOM[0], _RANDOM[1] * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
@@ -224,9 +237,121 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles in order; a text with fewer words is one shingle."""
+    parts = (text or "").encode().lower().split()
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1).tolist()
+    joined, n = b" ".join(parts), max(len(parts) - words + 1, 1)
+    begin, end = [0, *ends[: n - 1]], ends[words - 1 :] if len(parts) >= words else [len(joined) + 1]
+    hashes = [xxhash.xxh64_intdigest(joined[i : j - 1], SEED) for i, j in zip(begin, end)]
+    return np.unique(np.array(hashes, np.uint64))
+
+
+def bands(s: np.ndarray) -> np.ndarray:
+    """One hash for each of the bands: of so many minima of a text's shingles under as many orders."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), 4096):
+        np.minimum(least, ((s[i : i + 4096, None] ^ _MASKS) * _FACTORS).min(0), out=least)
+    rows = np.ascontiguousarray(least.reshape(BANDS, ROWS))
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with at least that Jaccard similarity, as positions."""
+    forest, sizes = Forest(len(sets)), np.array([len(s) for s in sets])
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    values, number = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(values), bool)
+    for i in range(1, len(sets)):
+        #: those before it of fitting sizes
+        fit = np.flatnonzero((np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i]) - 1e-9))
+        if not len(fit):
+            continue
+        own = number[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[number[: starts[i]]], starts[:i], dtype=np.int64)[fit]
+        mark[own] = False
+        near = fit[common >= similarity * (sizes[fit] + sizes[i] - common) - 1e-9]
+        forest.join(np.full(len(near), i), near)
+    return forest.links
+
+
+def jaccard_links(rows: DataFrame, words: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of keys whose texts' shingles are similar, enough of them to connect all such, for rows of key and text.
+
+    Texts that share a band meet in a cell, where their sets of shingles are compared as they are. Cells of equal members are one; a large cell is
+    dealt as pairs of parts.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bands(shingles(t.as_py(), words)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "signs"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "hashes"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            band = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["band", "key"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, keys, sets = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(keys) > 1 and (found := set_links(sets, similarity)):
+                k = np.array(keys, np.int64)
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(k[a]), pa.array(k[b])], ["a", "b"])
+
+        for batch in batches:
+            for band, i, j, key, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                if (band, i, j) != cell:
+                    yield from done()
+                    cell, keys, sets = (band, i, j), [], []
+                keys.append(key)
+                sets.append(np.frombuffer(hashes, np.uint64))
+        yield from done()
+
+    signed = rows.mapInArrow(sign, "key long, signs binary").groupBy("key").agg(F.first("signs").alias("signs"))
+    spread_out = cut(signed.mapInArrow(spread, "band long, key long"))
+    mixed = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    cells = spread_out.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *mixed).filter("n > 1")
+    cells = cells.groupBy("n", "x0", "x1").agg(F.min("band").alias("band")).select("band", "n")
+    members = cut(spread_out.join(cells, "band"))
+    sets = rows.join(members.select("key").distinct(), "key", "left_semi").mapInArrow(hashed, "key long, hashes binary")
+    sets = sets.groupBy("key").agg(F.first("hashes").alias("hashes"))
+    parts = F.ceil(F.col("n") / PART).cast("long")
+    own = F.pmod(F.xxhash64("key", F.lit(2)), parts)
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key").join(sets, "key")
+    dealt = dealt.select("band", "i", "j", "key", "hashes").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def content(text):
+    """The key of a text as it is; a null one is as an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def near_components(documents: DataFrame) -> DataFrame:
+    """doc_id, key (of the text) and component_id, the smallest id that is reachable by links of the stage."""
+    small_batches(documents.sparkSession)
+    rows = documents.select(content(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = cut(documents.select("doc_id", content(F.col("text")).alias("key")))
+    distinct = cut(prints.groupBy("key").agg(F.min("doc_id").alias("least")))
+    heads = components(jaccard_links(rows)).select(F.col("u").alias("key"), F.col("v").alias("head"))
+    joined = distinct.join(heads, "key", "left").withColumn("head", F.coalesce("head", "key"))
+    least = joined.groupBy("head").agg(F.min("least").alias("component_id"))
+    return prints.join(joined.select("key", "head").join(least, "head").select("key", "component_id"), "key")
+
+
 def simhash_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that with the smallest id, whichever of its rows if it is repeated."""
-    found = simhash_components(documents.select("doc_id", "text"))
+    found = near_components(documents)
     #: those that go are the smaller side of the join
     (name,) = fresh(documents, "_gone")
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()

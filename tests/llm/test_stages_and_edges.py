@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 from chunkwell.llm import bpe, chat, common, embedding_dedup, fingerprint, licenses, line_dedup, mixing, registry, simhash_dedup, toxicity, url_filters
@@ -134,3 +135,36 @@ def test_fingerprint_of_no_words(spark, odd):
     rows = {r["doc_id"]: r for r in fingerprint.op7_fingerprints(spark, odd).collect()}
     assert rows[2]["fingerprint"] == "0" * 16 and rows[2]["n_chars"] == 0
     assert rows[7]["fingerprint"] == rows[8]["fingerprint"]
+
+
+def test_simhash_stage_drops_near_copies(spark, tmp_path):
+    """Pairs from 0.8 on go, those below stay, whatever their fingerprints' bits."""
+    import random
+
+    rng = random.Random(3)
+    rows, near = [], 0
+    for i in range(40):
+        text = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        copy = list(text)
+        for at in rng.sample(range(10, 110), i % 8):
+            copy[at] = "changed"
+        a, b = (set(zip(*(t[k:] for k in range(5)))) for t in (text, copy))
+        gone = len(a & b) >= 0.8 * len(a | b)
+        near += gone and text != copy
+        rows += [(2 * i, " ".join(text), not gone), (2 * i + 1, " ".join(copy), not gone)]
+    documents = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash_dedup.simhash_stage(spark, documents, str(tmp_path)).collect())
+    assert near >= 10 and kept == [i for i, _, alone in rows if i % 2 == 0 or alone]
+
+
+def test_set_links_connect_all_similar_sets():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 100, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(100) < 0.95], rng.integers(0, 1 << 60, 4, dtype=np.uint64)]) for _ in range(60)]
+    sets += [np.unique(rng.integers(0, 1 << 60, 1, dtype=np.uint64)) for _ in range(3)]
+    want, got = list(range(len(sets))), list(range(len(sets)))
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    for up, links in ((want, [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])]), (got, simhash_dedup.set_links(sets, 0.8))):
+        for a, b in links:
+            up[:] = [up[b] if x == up[a] else x for x in up]
+    assert len({*zip(want, got)}) == len({*want}) == len({*got}) < len(sets)
