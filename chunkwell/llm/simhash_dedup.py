@@ -338,26 +338,29 @@ def content(text):
 
 
 def near_components(documents: DataFrame) -> DataFrame:
-    """doc_id, key (of the text) and component_id, the smallest id that is reachable by links of the stage."""
+    """doc_id, key (of the text) and of its component the smallest id that is reachable by links of the stage, and the key that goes with it."""
     small_batches(documents.sparkSession)
     rows = documents.select(content(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     prints = cut(documents.select("doc_id", content(F.col("text")).alias("key")))
     distinct = cut(prints.groupBy("key").agg(F.min("doc_id").alias("least")))
     heads = components(jaccard_links(rows)).select(F.col("u").alias("key"), F.col("v").alias("head"))
     joined = distinct.join(heads, "key", "left").withColumn("head", F.coalesce("head", "key"))
-    least = joined.groupBy("head").agg(F.min("least").alias("component_id"))
-    return prints.join(joined.select("key", "head").join(least, "head").select("key", "component_id"), "key")
+    least = joined.groupBy("head").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("x"))
+    least = least.select("head", F.col("x.least").alias("component_id"), F.col("x.key").alias("component_key"))
+    return prints.join(joined.select("key", "head").join(least, "head").select("key", "component_id", "component_key"), "key")
 
 
 def simhash_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the smallest id, whichever of its rows if it is repeated."""
+    """One row of each component stays: that with the smallest id, and of its texts under this id that with the smallest key. Ids may be null or repeated."""
     found = near_components(documents)
     #: those that go are the smaller side of the join
-    (name,) = fresh(documents, "_gone")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    kept = documents.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated ids
-        kept = kept.dropDuplicates(["doc_id"])
+    name, key, own = fresh(documents, "_gone", "_key", "_own")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("component_key"))
+    gone = found.filter(~stays).select(F.col("doc_id").alias(name), F.col("key").alias(key)).distinct()
+    keyed = documents.withColumn(own, content(F.col("text")))
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(own) == F.col(key)), "left_anti")
+    if found.groupBy("doc_id", "key").count().filter("count > 1").limit(1).count():  # repeated rows
+        kept = kept.dropDuplicates(["doc_id", own])
     return kept.select(*named(documents))
 
 

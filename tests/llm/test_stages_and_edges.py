@@ -168,3 +168,11 @@ def test_set_links_connect_all_similar_sets():
         for a, b in links:
             up[:] = [up[b] if x == up[a] else x for x in up]
     assert len({*zip(want, got)}) == len({*want}) == len({*got}) < len(sets)
+
+
+def test_simhash_stage_keeps_unlike_texts_of_one_id(spark, tmp_path):
+    text = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcdefg"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["c"]), (None, text["c"]), (1, text["c"]), (2, text["d"]), (2, text["e"]), (3, text["e"]), (3, text["f"]), (3, text["f"]), (1, text["d"]), (None, text["g"]), (None, text["g"])]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"][0]) for r in simhash_dedup.simhash_stage(spark, documents, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a"), (None, "b"), (1, "c"), (1, "d"), (2, "e"), (3, "f"), (None, "g")], key=str)
