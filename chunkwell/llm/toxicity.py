@@ -1,16 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models of toxic and ordinary text.
 
-Words are hashed into count tables of fixed sizes, so that a model is of bounded
-size whatever the corpus. Every labelled row of the training folds is counted; tasks
-keep their own tables, whose chunks are summed by number on the way to the driver.
+Every labelled row of the training folds is counted. Counts are a table of pairs of words by class, keyed by
+64-bit hashes, which grows with the corpus and stays distributed; words' counts and
+contexts are sums over it. Only what a score needs goes to the workers: the words (and pairs) whose
+difference counts.
 
 A class's probability of a word is its discounted count in the class, mixed with
 backoff counts that both classes share: the discounted count in both, and below that, in how many
-contexts the word is seen (as sketches of 64 bits a word, merged by OR). How far a class's own
+contexts the word is seen. How far a class's own
 count is trusted depends on how often the shared counts lead one to expect the word in that
 class: rare expressions stay with the shared counts, and so count for neither class. Nor do small differences, which
 whole languages have, and which many words would add up. ``order`` 2 puts pairs of words before
-that in the same way; on the given tables it finds fewer toxic documents (see README), so the queries take 1.
+that in the same way (see README); the queries take 1.
 
 The score is a logistic function of the difference of log-likelihoods over the
 length, fitted on a fold of the training rows that the counts have not seen.
@@ -27,19 +28,16 @@ one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import cut, small_batches, table
 
 FOLDS, HELD_OUT, FITTED = 5, 0, 1
-WORD_BITS, PAIR_BITS = 20, 22
 DISCOUNT = 0.75
 #: 1: words before the shared counts; 2: pairs of words before these.
 ORDER = 1
@@ -51,7 +49,6 @@ ZONE = 1.0
 LENGTH = 30
 #: Cells of the histogram from which the logistic function is fitted, over differences in [-SPAN, SPAN].
 CELLS, SPAN = 4001, 2.0
-CHUNK = 1 << 16
 #: Labels up to this number are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 
@@ -87,28 +84,20 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(ends, first, side="right")
 
 
-@dataclass
-class Words:
-    word: np.ndarray  # cell of each word
-    before: np.ndarray  # cell of the word before it
-    pair: np.ndarray
-    context: np.ndarray  # 0..63, a hash of the word before
-    text: np.ndarray
-    n: np.ndarray  # words of each text
-
-
-def read(texts: list[str]) -> Words:
+def read(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, of the word before each (0 at a text's beginning), and each one's text."""
     h, of = word_hashes(texts)
     prev = np.zeros_like(h)
     prev[1:] = h[:-1]
     new = np.ones(len(h), bool)
     new[1:] = of[1:] != of[:-1]
     prev[new] = 0
-    pair = (prev * np.uint64(_P)) ^ h
-    pair *= np.uint64(_Q)
-    pair ^= pair >> np.uint64(31)
-    mask = lambda x, bits: (x & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return Words(mask(h >> np.uint64(3), WORD_BITS), mask(prev >> np.uint64(3), WORD_BITS), mask(pair, PAIR_BITS), mask(prev >> np.uint64(40), 6), of, np.bincount(of, minlength=len(texts)))
+    return h, prev, of
+
+
+def pair_hashes(prev: np.ndarray, h: np.ndarray) -> np.ndarray:
+    pair = ((prev * np.uint64(_P)) ^ h) * np.uint64(_Q)
+    return pair ^ (pair >> np.uint64(31))
 
 
 def groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -123,131 +112,109 @@ def groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-class Tables:
-    """Counts by class: of words, contexts and pairs; and for both the contexts of a word, as sketches."""
-
-    NAMES = ("word0", "word1", "before0", "before1", "pair0", "pair1", "seen")
-
-    def __init__(self, order: int):
-        self.order = order
-        names = self.NAMES if order > 1 else ("word0", "word1", "seen")
-        self.a = {k: np.zeros(1 << (PAIR_BITS if k.startswith("pair") else WORD_BITS), np.uint64 if k == "seen" else np.int64) for k in names}
-
-    def add(self, texts: list[str], toxic: np.ndarray) -> None:
-        w = read(texts)
-        label = toxic[w.text]
-        for c in (0, 1):
-            own = label == c
-            for k, cells in (("word", w.word), ("before", w.before), ("pair", w.pair))[: 3 if self.order > 1 else 1]:
-                at, n = np.unique(cells[own], return_counts=True)
-                self.a[f"{k}{c}"][at] += n
-        both = np.unique((w.word << 6) | w.context)
-        cell = both >> 6
-        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        if len(cell):
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (both & 63).astype(np.uint64), starts)
-            self.a["seen"][cell[starts]] |= bits
-
-    def chunks(self) -> Iterator[tuple[str, int, bytes]]:
-        for k, a in self.a.items():
-            for i in range(0, len(a), CHUNK):
-                if (part := a[i : i + CHUNK]).any():
-                    yield k, i // CHUNK, zlib.compress(part.tobytes(), 1)
-
-    def merge(self, name: str, number: int, data: bytes) -> None:
-        part = self.a[name][number * CHUNK : (number + 1) * CHUNK]
-        other = np.frombuffer(zlib.decompress(data), part.dtype)
-        if name == "seen":
-            part |= other
-        else:
-            part += other
-
+COUNTS = "pair long, prev long, word long, n0 long, n1 long"
 
-CHUNKS = "name string, number int, data binary"
 
-
-def chunk_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
-    names, numbers, data = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], ["name", "number", "data"])
-
-
-def count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of one task's tables, from columns text and toxic."""
-    tables, any_row = Tables(order), False
+def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of words and their counts in ordinary and toxic text, from columns text and toxic; repeated between groups of texts."""
     for batch in batches:
         texts, toxic = [t or "" for t in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), np.int64)
         for a, b in groups(texts):
-            tables.add(texts[a:b], toxic[a:b])
-            any_row = True
-    if any_row and (rows := list(tables.chunks())):
-        yield chunk_batch(rows)
+            h, prev, of = read(texts[a:b])
+            pair, at, which = np.unique(pair_hashes(prev, h), return_index=True, return_inverse=True)
+            n1 = np.bincount(which, toxic[a:b][of], minlength=len(pair)).astype(np.int64)
+            n = np.bincount(which, minlength=len(pair))
+            columns = [x.view(np.int64) for x in (pair, prev[at], h[at])] + [n - n1, n1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["pair", "prev", "word", "n0", "n1"])
 
 
-def merge_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each chunk of this partition; what is kept is bounded by the tables' size."""
-    kept: dict[tuple[str, int], np.ndarray] = {}
-    for batch in batches:
-        for name, number, data in zip(*(c.to_pylist() for c in batch.columns)):
-            part = np.frombuffer(zlib.decompress(data), np.uint64 if name == "seen" else np.int64)
-            if (key := (name, number)) not in kept:
-                kept[key] = part.copy()
-            elif name == "seen":
-                kept[key] |= part
-            else:
-                kept[key] += part
-    if kept:
-        yield chunk_batch([(*k, zlib.compress(v.tobytes(), 1)) for k, v in kept.items()])
+class Model:
+    """What scoring needs: differences beyond the zone of words, and of pairs where these differ from their words'."""
 
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray] | None, unseen: float):
+        self.words, self.pairs, self.unseen = words, pairs, unseen
 
-class Model:
-    """What scoring needs, from merged tables."""
-
-    def __init__(self, t: Tables):
-        self.order = t.order
-        seen = np.minimum(np.unpackbits(t.a["seen"].view(np.uint8).reshape(-1, 8), axis=1).sum(1), 63.5)
-        contexts = -64 * np.log1p(-seen / 64)
-        base = (contexts + 0.5) / (contexts.sum() + 0.5 * len(contexts))
-        word = [t.a["word0"].astype(float), t.a["word1"].astype(float)]
-        both = word[0] + word[1]
-        n = both.sum()
-        shared = (np.maximum(both - DISCOUNT, 0) + DISCOUNT * (both > 0).sum() * base) / n
-        self.shared = shared.astype(np.float32)
-        self.p, self.pair, self.before, self.share = [], [], [], []
-        for c in (0, 1):
-            own, total = word[c], max(word[c].sum(), 1)
-            trust = total * shared / (total * shared + TRUST_WORD)
-            p = trust * np.maximum(own - DISCOUNT, 0) / total + (1 - trust) * shared
-            p += max(1 - p.sum(), 0) * shared
-            self.p.append((p / p.sum()).astype(np.float32))
-            if self.order > 1:
-                self.pair.append(t.a[f"pair{c}"].astype(np.float32))
-                self.before.append(t.a[f"before{c}"].astype(np.float32))
-            self.share.append(np.float32(total / n))
-
-    def likelihood(self, w: Words, c: int) -> np.ndarray:
-        p = self.p[c][w.word]
-        if self.order == 1:
-            return np.log(p)
-        pair, both = self.pair[c][w.pair], self.pair[0][w.pair] + self.pair[1][w.pair]
-        shared = np.maximum(both - np.float32(DISCOUNT), 0) / np.maximum(self.before[0][w.before] + self.before[1][w.before], 1)
-        shared += np.float32(DISCOUNT) * self.shared[w.word]
-        expected = both * self.share[c]
-        trust = expected / (expected + np.float32(TRUST_PAIR))
-        own = np.maximum(pair - np.float32(DISCOUNT), 0) / np.maximum(self.before[c][w.before], 1)
-        #: what both share, tilted as the class tilts the word
-        return np.log(trust * own + (1 - trust) * shared * (p / self.shared[w.word]))
+    @staticmethod
+    def look(known: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known, and these ones' values."""
+        keys, values = known
+        if not len(keys):
+            return np.zeros(len(h), bool), values
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        found = keys[at] == h
+        return found, values[at[found]]
 
     def difference(self, texts: list[str]) -> np.ndarray:
         """Toxic less ordinary log-likelihood, word by word beyond the zone, over the length."""
         out = np.zeros(len(texts))
         for a, b in groups(texts):
-            w = read(texts[a:b])
-            d = (self.likelihood(w, 1) - self.likelihood(w, 0)).astype(np.float64)
-            d = np.sign(d) * np.maximum(np.abs(d) - ZONE, 0)
-            out[a:b] = np.bincount(w.text, d, minlength=b - a) / (w.n + LENGTH)
+            h, prev, of = read(texts[a:b])
+            d = np.full(len(h), self.unseen)
+            for known, hashes in ((self.words, h), (self.pairs, pair_hashes(prev, h) if self.pairs else h)):
+                if known:
+                    found, values = self.look(known, hashes)
+                    d[found] = values
+            out[a:b] = np.bincount(of, d, minlength=b - a) / (np.bincount(of, minlength=b - a) + LENGTH)
         return out
 
 
+def beyond(d):
+    """A difference less the zone."""
+    return F.signum(d) * F.greatest(F.abs(d) - ZONE, F.lit(0.0))
+
+
+def known(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order and values, as arrays, of two columns."""
+    rows = frame.toArrow()
+    keys = rows.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows.column(1).to_numpy()[order]
+
+
+def learn(counted: DataFrame, order: int) -> Model | None:
+    """The model of counts of pairs; none without words of both classes."""
+    pairs = counted.groupBy("pair").agg(F.first("prev").alias("prev"), F.first("word").alias("word"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    pairs = cut(pairs) if order > 1 else pairs
+    words = cut(pairs.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("contexts")))
+    n0, n1, contexts, v = words.agg(F.sum("n0"), F.sum("n1"), F.sum("contexts"), F.count(F.lit(1))).first()
+    if not n0 or not n1:
+        return None
+    n, total = n0 + n1, (n0, n1)
+    #: one more for words that are not seen
+    base = (F.col("contexts") + 0.5) / (contexts + 0.5 * (v + 1))
+    words = words.withColumn("shared", (F.greatest(F.col("n0") + F.col("n1") - DISCOUNT, F.lit(0.0)) + DISCOUNT * v * base) / n)
+    for c in (0, 1):
+        trust = total[c] * F.col("shared") / (total[c] * F.col("shared") + TRUST_WORD)
+        words = words.withColumn(f"p{c}", trust * F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / total[c] + (1 - trust) * F.col("shared"))
+    unseen = DISCOUNT * v * 0.5 / (contexts + 0.5 * (v + 1)) / n
+    least = [(1 - total[c] * unseen / (total[c] * unseen + TRUST_WORD)) * unseen for c in (0, 1)]
+    sums = words.agg(F.sum("shared"), F.sum("p0"), F.sum("p1")).first()
+    for c in (0, 1):
+        rest = max(1 - sums[c + 1] - least[c], 0)
+        whole = sums[c + 1] + least[c] + rest * (sums[0] + unseen)
+        words = words.withColumn(f"p{c}", (F.col(f"p{c}") + rest * F.col("shared")) / whole)
+        least[c] = (least[c] + rest * unseen) / whole
+    away = float(np.log(least[1] / least[0]))
+    away = float(np.sign(away) * max(abs(away) - ZONE, 0))
+    words = words.withColumn("d", beyond(F.log(F.col("p1") / F.col("p0"))))
+    marked = known(words.filter(F.col("d") != away).select("word", "d"))
+    if order == 1:
+        return Model(marked, None, away)
+    before = pairs.groupBy("prev").agg(F.sum("n0").alias("b0"), F.sum("n1").alias("b1"))
+    each = pairs.join(before, "prev").join(words.select("word", "shared", "p0", "p1", "d"), "word")
+    both = F.col("n0") + F.col("n1")
+    shared = F.greatest(both - DISCOUNT, F.lit(0.0)) / (F.col("b0") + F.col("b1")) + DISCOUNT * F.col("shared")
+    each = each.withColumn("s", shared)
+    for c in (0, 1):
+        expected = both * (total[c] / n)
+        own = F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"b{c}"), F.lit(1))
+        trust = expected / (expected + TRUST_PAIR)
+        #: what both share, tilted as the class tilts the word
+        each = each.withColumn(f"q{c}", trust * own + (1 - trust) * F.col("s") * F.col(f"p{c}") / F.col("shared"))
+    each = each.withColumn("e", beyond(F.log(F.col("q1") / F.col("q0"))))
+    return Model(marked, known(each.filter("e <> d").select("pair", "e")), away)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by Newton's method over cells with weights, with a slight pull to 0."""
     scale = max(float(np.sqrt(np.average(x * x, weights=n))), 1e-9)
@@ -293,14 +260,10 @@ def fit(documents: DataFrame, labels: DataFrame, order: int = ORDER):
     spark = documents.sparkSession
     small_batches(spark)
     train = labelled(documents, labels)
-    counted = train.filter(F.col("fold") != FITTED).select("text", "toxic").mapInArrow(lambda batches: count(batches, order), CHUNKS)
-    rows = counted.repartition("name", "number").mapInArrow(merge_chunks, CHUNKS).collect()  # one for each chunk
-    tables = Tables(order)
-    for r in rows:
-        tables.merge(r["name"], r["number"], bytes(r["data"]))
-    if not tables.a["word0"].any() or not tables.a["word1"].any():
+    counted = train.filter(F.col("fold") != FITTED).select("text", "toxic").mapInArrow(count, COUNTS)
+    model = learn(counted, order)
+    if model is None:
         return spark.sparkContext.broadcast(Scorer(None, 0.0, 0.0))
-    model = Model(tables)
     shared = spark.sparkContext.broadcast(model)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

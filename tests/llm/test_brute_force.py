@@ -273,3 +273,23 @@ def test_pipeline_decisions(spark, sf):
     assert seen[0][1] >= 0.8 * docs(spark, sf).count() and seen[2][1] < seen[1][1]
     assert frame.filter("n_tokens <> size(ids)").count() == 0
     assert corpus_pipeline.run(spark, sf).count() == seen[-1][1]
+
+
+def test_toxic_words_share_no_counts(spark):
+    """Words that would share a cell of 2^20 keep counts of their own, and so do all of a large vocabulary."""
+    cells = {}
+    for i in range(20000):
+        h = int(toxicity.word_hashes([f"w{i}"])[0][0]) >> 3 & ((1 << 20) - 1)
+        if h in cells:
+            break
+        cells[h] = i
+    foul, plain = f"w{i}", f"w{cells[h]}"
+    rows, marks = [], []
+    for i in range(600):
+        toxic = i % 6 == 0
+        rows.append((i, " ".join(["some", "words", "here", foul if toxic else plain] * 5)))
+        marks.append((i, 0, int(toxic)))
+    documents, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    for order in (1, 2):
+        scored = toxicity.score_documents(documents, toxicity.fit(documents, labels, order)).join(labels, "doc_id").filter("held_out").collect()
+        assert scored and all(r["predicted"] == r["toxic"] for r in scored)
