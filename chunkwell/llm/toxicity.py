@@ -22,7 +22,8 @@ logistic function, the rest are counted. Labels, languages, sources and ids are
 Nulls: a null text is scored as an empty one, which has no words: its score is
 the logistic function at 0. Rows with null labels are not learnt from; a document
 labelled twice counts as toxic if one label says so. Null ids are never held out nor learnt from.
-Without labelled rows of both classes every score is 0. Repeated rows are scored
+Without labelled rows of both classes every score is 0; if only
+the fold of the logistic function lacks a class, its intercept is the log-odds of all training labels, below 0. Repeated rows are scored
 one by one; an empty table gives an empty result.
 """
 
@@ -278,7 +279,9 @@ def fit(documents: DataFrame, labels: DataFrame, order: int = ORDER):
     fitted = train.filter(F.col("fold") == FITTED).select("text", "toxic").mapInArrow(cells, "toxic int, cell int, n long")
     got = fitted.groupBy("toxic", "cell").agg(F.sum("n").alias("n")).collect()  # at most 2 * CELLS rows
     if len({r["toxic"] for r in got}) < 2:
-        slope, intercept = float(LENGTH), 0.0
+        #: the log-odds of all training labels; without evidence no text is toxic
+        toxic, n = train.agg(F.sum("toxic"), F.count(F.lit(1))).first()
+        slope, intercept = float(LENGTH), min(float(np.log((toxic + 0.5) / (n - toxic + 0.5))), -0.1)
     else:
         x = np.array([r["cell"] for r in got]) / (CELLS - 1) * 2 * SPAN - SPAN
         slope, intercept = fit_logistic(x, np.array([r["toxic"] for r in got], float), np.array([r["n"] for r in got], float))

@@ -293,3 +293,17 @@ def test_toxic_words_share_no_counts(spark):
     for order in (1, 2):
         scored = toxicity.score_documents(documents, toxicity.fit(documents, labels, order)).join(labels, "doc_id").filter("held_out").collect()
         assert scored and all(r["predicted"] == r["toxic"] for r in scored)
+
+
+def test_texts_without_evidence_are_kept(spark, tmp_path):
+    """Also if the fold of the logistic function has no toxic label."""
+    import zlib
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % toxicity.FOLDS
+    rows = [(i, ["", "common words", None][i % 3]) for i in range(300)]
+    toxic = [i for i in range(300) if fold(i) > toxicity.FITTED][:3]
+    rows = [(i, "foul " * 9 if i in toxic else t) for i, t in rows]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(i, 0, int(i in toxic)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in toxicity.toxicity_stage(spark, documents, str(tmp_path)).collect()}
+    assert kept >= {i for i in range(300)} - {*toxic}
