@@ -1,13 +1,13 @@
 """Licence scans: TF-IDF cosine of lines to templates, then inheritance along directories.
 
-Every line of a whole text is a candidate for a header. Terms are runs of letters and
+Every line of a whole text is a candidate for a header, and so is every run of as many terms as a template has, across line breaks. Terms are runs of letters and
 digits in lower case. A term of the templates weighs by the number of documents of the whole
 corpus that hold it; any other term weighs as one that a single document holds. A
-file's licence is that of the template nearest to one of its lines, from ``LEAST`` cosine on. A
+file's licence is that of the template nearest to one of these, from ``LEAST`` cosine on. A
 licence file (``LICENSE``, ``COPYING``, ``NOTICE``) gives its licence to its directory; a file without one of its own
 has that of the nearest directory above it, by equal joins of directories with all their ancestors.
 
-Lines are compared only if they hold a key term. A template's other terms weigh less together
+Lines and runs are compared only if they hold a key term. A template's other terms weigh less together
 than ``LEAST``, so that no line without a key term can reach it.
 
 Nulls: a null text is an empty one; a null path is a file without directory. Repeated
@@ -78,6 +78,8 @@ class Matcher:
                     keys.add(t)
         self.keys = sorted(keys)
         self.key = re.compile("|".join(map(re.escape, self.keys)))
+        self.lengths = [sum(terms(text).values()) for _, text in templates]
+        self.holders: dict[str, list[int]] = {k: [i for i, (_, v) in enumerate(self.templates) if k in v] for k in self.keys}
 
     def line(self, line: str) -> tuple[float, str | None]:
         """Highest cosine, and its licence if it is high enough."""
@@ -93,13 +95,36 @@ class Matcher:
                 best, name = dot, licence
         return best, name if best >= self.least else None
 
+    def windows(self, words: list[str]) -> list[tuple[float, int, str | None]]:
+        """Of each template the best window of its length, if high enough: cosine, length and licence."""
+        starts: dict[int, set[int]] = {}
+        for p, w in enumerate(words):
+            for i in self.holders.get(w, ()):
+                n = self.lengths[i]
+                starts.setdefault(i, set()).update(range(max(p - n + 1, 0), min(p, max(len(words) - n, 0)) + 1))
+        out = []
+        for i, at in starts.items():
+            (name, v), n, best = self.templates[i], self.lengths[i], 0.0
+            for p in at:
+                part = words[p : p + n]
+                #: a term's repeats are needed only where enough of the template is there
+                if sum(v[t] ** 2 for t in v.keys() & set(part)) < self.least**2 - 1e-9:
+                    continue
+                w = {t: k * self.idf.get(t, self.rare) for t, k in Counter(part).items()}
+                best = max(best, sum(x * w[t] for t, x in v.items() if t in w) / math.sqrt(sum(x * x for x in w.values())))
+            if best >= self.least:
+                out.append((best, n, name))
+        return out
+
     def text(self, text: str) -> tuple[float, str | None]:
+        """The nearest of all lines and of all windows of a template's length, across line breaks; of equal ones the longest."""
         low = text.lower()
-        found = [(0.0, None)]
-        if any(k in low for k in self.keys):
-            found += [self.line(x) for x in low.split("\n") if self.key.search(x)]
-        score, name = max(found, key=lambda p: p[0])
-        return (score, name) if name else (0.0, None)
+        if not any(k in low for k in self.keys):
+            return 0.0, None
+        found = [(score, len(TERM.findall(x)), name) for x in low.split("\n") if self.key.search(x) for score, name in [self.line(x)] if name]
+        found += self.windows(TERM.findall(low))
+        score, _, name = max(found, key=lambda p: (round(p[0], 9), p[1]), default=(0.0, 0, None))
+        return score, name
 
 
 def document_counts(files: DataFrame) -> tuple[dict[str, int], int]:

@@ -176,3 +176,19 @@ def test_simhash_stage_keeps_unlike_texts_of_one_id(spark, tmp_path):
     documents = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [(r["doc_id"], r["text"][0]) for r in simhash_dedup.simhash_stage(spark, documents, str(tmp_path)).collect()]
     assert sorted(kept, key=str) == sorted([(None, "a"), (None, "b"), (1, "c"), (1, "d"), (2, "e"), (3, "f"), (None, "g")], key=str)
+
+
+@pytest.mark.parametrize(
+    ("text", "licence"),
+    [
+        ("Copyright (c) 2024 The Foo Authors. All rights reserved.", "proprietary"),
+        ("Licensed under the MIT License. See LICENSE in the project root for license information.", "MIT"),
+        ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3", "GPL-3.0"),
+        ("/* Licensed under the Apache\n * License, Version 2.0. */ int main() { return 0; }", "Apache-2.0"),
+        ("Copyright Foo. All rights reserved. Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:", "BSD-3-Clause"),
+        ("all the words of an ordinary line with rights and a license, and no more", None),
+    ],
+)
+def test_licence_sentences_within_lines_and_wrapped(text, licence):
+    m = licenses.Matcher(licenses.TEMPLATES, {"the": 900, "under": 500, "all": 400, "license": 30, "licensed": 25, "rights": 20, "reserved": 20, "mit": 15}, 1000)
+    assert m.text(text)[1] == licence
