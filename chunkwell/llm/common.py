@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where all run in one process."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -35,6 +42,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark knows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound Arrow batches by rows and bytes (both settings are runtime ones), and let workers find this package."""
     reachable(spark)
@@ -45,6 +58,31 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         pass
 
 
+def release() -> None:
+    """Give memory that a worker no longer needs back to the system, as workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another system's C library
+        pass
+
+
+def portions(text: str, most: int) -> Iterator[str]:
+    """A text in pieces of about ``most`` characters, cut before white space; a run without any stays whole."""
+    at = 0
+    while len(text) - at > most:
+        end = max(text.rfind(" ", at + 1, at + most), text.rfind("\n", at + 1, at + most))
+        if end < 0:
+            found = [e for e in (text.find(" ", at + most), text.find("\n", at + most)) if e >= 0]
+            if not found:
+                break
+            end = min(found)
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z only: other letters keep their case."""
     return F.translate(text, UPPER, UPPER.lower())

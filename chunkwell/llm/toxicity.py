@@ -2,25 +2,22 @@
 
 Every labelled row of the training folds is counted. Counts are a table of pairs of words by class, keyed by
 64-bit hashes, which grows with the corpus and stays distributed; words' counts and
-contexts are sums over it. Only what a score needs goes to the workers: the words (and pairs) whose
+contexts are sums over it. Only what a score needs goes to the workers: the words whose
 difference counts.
 
-A class's probability of a word is its discounted count in the class, mixed with
-backoff counts that both classes share: the discounted count in both, and below that, in how many
-contexts the word is seen. How far a class's own
-count is trusted depends on how often the shared counts lead one to expect the word in that
-class: rare expressions stay with the shared counts, and so count for neither class. Nor do small differences, which
-whole languages have, and which many words would add up. ``order`` 2 puts pairs of words before
-that in the same way (see README); the queries take 1.
+A class's probability of a word is its count in the class less a discount, and what the discounts leave
+over goes to backoff counts that both classes share: in how many contexts (after how many other words) a word is seen. So a
+rare expression, of which the discounts take most, has about the same probability in both classes. A score compares the two
+log-likelihoods of a text over its length. Small differences of a word, which
+whole languages have and which many words would add up, do not count (``ZONE``; see README for what the plain sum finds).
 
-The score is a logistic function of the difference of log-likelihoods over the
-length, fitted on a fold of the training rows that the counts have not seen.
+The score is a logistic function of that difference, fitted on a fold of the training rows that the counts have not seen.
 
 Folds: crc32 of the id as text, mod 5. Fold 0 is held out, fold 1 fits the
 logistic function, the rest are counted. Labels, languages, sources and ids are no inputs of a score.
 
 Nulls: a null text is scored as an empty one, which has no words: its score is
-the logistic function at 0. Rows with null labels are not learnt from; a document
+the logistic function at 0. A text is read in portions, however long it is; a run without white space is one portion. Rows with null labels are not learnt from; a document
 labelled twice counts as toxic if one label says so. Null ids are never held out nor learnt from.
 Without labelled rows of both classes every score is 0; if only
 the fold of the logistic function lacks a class, its intercept is the log-odds of all training labels, below 0. Repeated rows are scored
@@ -36,16 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, portions, release, small_batches, table
 
 FOLDS, HELD_OUT, FITTED = 5, 0, 1
+#: Of Kneser and Ney's smoothing.
 DISCOUNT = 0.75
-#: 1: words before the shared counts; 2: pairs of words before these.
-ORDER = 1
-#: Expected counts at which a class's own counts weigh half.
-TRUST_WORD, TRUST_PAIR = 2.0, 1000.0
-#: Differences of a word's log-likelihoods up to this do not count: a language's or a subject's whole vocabulary differs by so much.
-ZONE = 1.0
+#: Differences of a word's log-likelihoods up to this (a factor of 20) do not count: a language's or a subject's whole vocabulary differs by so much.
+ZONE = 3.0
 #: Added to a text's words before division, so that a single word in a short text does not decide.
 LENGTH = 30
 #: Cells of the histogram from which the logistic function is fitted, over differences in [-SPAN, SPAN].
@@ -85,78 +79,64 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(ends, first, side="right")
 
 
-def read(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, of the word before each (0 at a text's beginning), and each one's text."""
-    h, of = word_hashes(texts)
-    prev = np.zeros_like(h)
-    prev[1:] = h[:-1]
-    new = np.ones(len(h), bool)
-    new[1:] = of[1:] != of[:-1]
-    prev[new] = 0
-    return h, prev, of
-
-
-def pair_hashes(prev: np.ndarray, h: np.ndarray) -> np.ndarray:
-    pair = ((prev * np.uint64(_P)) ^ h) * np.uint64(_Q)
-    return pair ^ (pair >> np.uint64(31))
-
-
-def groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters; one text is never split."""
-    begin = n = 0
+def groups(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Portions of texts in groups of about ``most`` characters, and the text that each is of."""
+    parts, rows, n = [], [], 0
     for i, t in enumerate(texts):
-        n += len(t)
-        if n >= most:
-            yield begin, i + 1
-            begin, n = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+        for part in portions(t, most):
+            parts.append(part)
+            rows.append(i)
+            n += len(part)
+            if n >= most:
+                yield parts, np.array(rows)
+                parts, rows, n = [], [], 0
+    if parts:
+        yield parts, np.array(rows)
 
 
-COUNTS = "pair long, prev long, word long, n0 long, n1 long"
+COUNTS = "prev long, word long, n0 long, n1 long"
 
 
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of words and their counts in ordinary and toxic text, from columns text and toxic; repeated between groups of texts."""
+    """Pairs of words (0 before a text's first) and their counts in ordinary and toxic text, from columns text and toxic; repeated between groups."""
     for batch in batches:
-        texts, toxic = [t or "" for t in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), np.int64)
-        for a, b in groups(texts):
-            h, prev, of = read(texts[a:b])
-            pair, at, which = np.unique(pair_hashes(prev, h), return_index=True, return_inverse=True)
-            n1 = np.bincount(which, toxic[a:b][of], minlength=len(pair)).astype(np.int64)
-            n = np.bincount(which, minlength=len(pair))
-            columns = [x.view(np.int64) for x in (pair, prev[at], h[at])] + [n - n1, n1]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["pair", "prev", "word", "n0", "n1"])
+        toxic, last = np.array(batch.column(1).to_pylist(), np.int64), (-1, 0)
+        for parts, rows in groups([t or "" for t in batch.column(0).to_pylist()]):
+            h, at = word_hashes(parts)
+            of = rows[at]
+            if not len(h):
+                continue
+            prev = np.zeros_like(h)
+            prev[1:] = np.where(of[1:] == of[:-1], h[:-1], np.uint64(0))
+            prev[0] = last[1] if last[0] == of[0] else 0  # a text goes on from the group before
+            last = (of[-1], h[-1])
+            pair = (prev * np.uint64(_P) ^ h) * np.uint64(_Q)
+            _, first, which = np.unique(pair, return_index=True, return_inverse=True)
+            n1 = np.bincount(which, toxic[of], minlength=len(first)).astype(np.int64)
+            n = np.bincount(which, minlength=len(first))
+            columns = [prev[first].view(np.int64), h[first].view(np.int64), n - n1, n1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["prev", "word", "n0", "n1"])
+    release()
 
 
 class Model:
-    """What scoring needs: differences beyond the zone of words, and of pairs where these differ from their words'."""
-
-    def __init__(self, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray] | None, unseen: float):
-        self.words, self.pairs, self.unseen = words, pairs, unseen
+    """What scoring needs: hashes of words, in order, with their differences beyond the zone, and that of all other words."""
 
-    @staticmethod
-    def look(known: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are known, and these ones' values."""
-        keys, values = known
-        if not len(keys):
-            return np.zeros(len(h), bool), values
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        found = keys[at] == h
-        return found, values[at[found]]
+    def __init__(self, keys: np.ndarray, values: np.ndarray, rest: float):
+        self.keys, self.values, self.rest = keys, values, rest
 
     def difference(self, texts: list[str]) -> np.ndarray:
         """Toxic less ordinary log-likelihood, word by word beyond the zone, over the length."""
-        out = np.zeros(len(texts))
-        for a, b in groups(texts):
-            h, prev, of = read(texts[a:b])
-            d = np.full(len(h), self.unseen)
-            for known, hashes in ((self.words, h), (self.pairs, pair_hashes(prev, h) if self.pairs else h)):
-                if known:
-                    found, values = self.look(known, hashes)
-                    d[found] = values
-            out[a:b] = np.bincount(of, d, minlength=b - a) / (np.bincount(of, minlength=b - a) + LENGTH)
-        return out
+        total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for parts, rows in groups(texts):
+            h, at = word_hashes(parts)
+            d = np.full(len(h), self.rest)
+            if len(self.keys):
+                place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                d = np.where(self.keys[place] == h, self.values[place], d)
+            total += np.bincount(rows[at], d, minlength=len(texts))
+            n += np.bincount(rows[at], minlength=len(texts))
+        return total / (n + LENGTH)
 
 
 def beyond(d):
@@ -164,56 +144,23 @@ def beyond(d):
     return F.signum(d) * F.greatest(F.abs(d) - ZONE, F.lit(0.0))
 
 
-def known(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order and values, as arrays, of two columns."""
-    rows = frame.toArrow()
-    keys = rows.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], rows.column(1).to_numpy()[order]
-
-
-def learn(counted: DataFrame, order: int) -> Model | None:
+def learn(counted: DataFrame) -> Model | None:
     """The model of counts of pairs; none without words of both classes."""
-    pairs = counted.groupBy("pair").agg(F.first("prev").alias("prev"), F.first("word").alias("word"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    pairs = cut(pairs) if order > 1 else pairs
+    pairs = counted.groupBy("prev", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     words = cut(pairs.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("contexts")))
-    n0, n1, contexts, v = words.agg(F.sum("n0"), F.sum("n1"), F.sum("contexts"), F.count(F.lit(1))).first()
+    n0, n1, t0, t1, contexts, v = words.agg(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0), F.sum("contexts"), F.count(F.lit(1))).first()
     if not n0 or not n1:
         return None
-    n, total = n0 + n1, (n0, n1)
-    #: one more for words that are not seen
-    base = (F.col("contexts") + 0.5) / (contexts + 0.5 * (v + 1))
-    words = words.withColumn("shared", (F.greatest(F.col("n0") + F.col("n1") - DISCOUNT, F.lit(0.0)) + DISCOUNT * v * base) / n)
-    for c in (0, 1):
-        trust = total[c] * F.col("shared") / (total[c] * F.col("shared") + TRUST_WORD)
-        words = words.withColumn(f"p{c}", trust * F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / total[c] + (1 - trust) * F.col("shared"))
-    unseen = DISCOUNT * v * 0.5 / (contexts + 0.5 * (v + 1)) / n
-    least = [(1 - total[c] * unseen / (total[c] * unseen + TRUST_WORD)) * unseen for c in (0, 1)]
-    sums = words.agg(F.sum("shared"), F.sum("p0"), F.sum("p1")).first()
-    for c in (0, 1):
-        rest = max(1 - sums[c + 1] - least[c], 0)
-        whole = sums[c + 1] + least[c] + rest * (sums[0] + unseen)
-        words = words.withColumn(f"p{c}", (F.col(f"p{c}") + rest * F.col("shared")) / whole)
-        least[c] = (least[c] + rest * unseen) / whole
-    away = float(np.log(least[1] / least[0]))
-    away = float(np.sign(away) * max(abs(away) - ZONE, 0))
-    words = words.withColumn("d", beyond(F.log(F.col("p1") / F.col("p0"))))
-    marked = known(words.filter(F.col("d") != away).select("word", "d"))
-    if order == 1:
-        return Model(marked, None, away)
-    before = pairs.groupBy("prev").agg(F.sum("n0").alias("b0"), F.sum("n1").alias("b1"))
-    each = pairs.join(before, "prev").join(words.select("word", "shared", "p0", "p1", "d"), "word")
-    both = F.col("n0") + F.col("n1")
-    shared = F.greatest(both - DISCOUNT, F.lit(0.0)) / (F.col("b0") + F.col("b1")) + DISCOUNT * F.col("shared")
-    each = each.withColumn("s", shared)
-    for c in (0, 1):
-        expected = both * (total[c] / n)
-        own = F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"b{c}"), F.lit(1))
-        trust = expected / (expected + TRUST_PAIR)
-        #: what both share, tilted as the class tilts the word
-        each = each.withColumn(f"q{c}", trust * own + (1 - trust) * F.col("s") * F.col(f"p{c}") / F.col("shared"))
-    each = each.withColumn("e", beyond(F.log(F.col("q1") / F.col("q0"))))
-    return Model(marked, known(each.filter("e <> d").select("pair", "e")), away)
+    #: half a context more for each word, and for one that stands for all that are not seen
+    shared = (F.col("contexts") + 0.5) / (contexts + 0.5 * (v + 1))
+    #: what the discounts leave over
+    p0, p1 = ((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * t * shared) / n for c, t, n in (("n0", t0, n0), ("n1", t1, n1)))
+    rest = float(np.log(t1 / n1 / (t0 / n0)))
+    rest = float(np.sign(rest) * max(abs(rest) - ZONE, 0))
+    marked = words.select("word", beyond(F.log(p1 / p0)).alias("d")).filter(F.col("d") != rest).toArrow()
+    keys = marked.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return Model(keys[order], marked.column(1).to_numpy()[order], rest)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -256,13 +203,13 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.model.difference(texts) + self.intercept, -35, 35)))
 
 
-def fit(documents: DataFrame, labels: DataFrame, order: int = ORDER):
+def fit(documents: DataFrame, labels: DataFrame):
     """A broadcast ``Scorer``."""
     spark = documents.sparkSession
     small_batches(spark)
     train = labelled(documents, labels)
     counted = train.filter(F.col("fold") != FITTED).select("text", "toxic").mapInArrow(count, COUNTS)
-    model = learn(counted, order)
+    model = learn(counted)
     if model is None:
         return spark.sparkContext.broadcast(Scorer(None, 0.0, 0.0))
     shared = spark.sparkContext.broadcast(model)
@@ -273,6 +220,7 @@ def fit(documents: DataFrame, labels: DataFrame, order: int = ORDER):
             d = shared.value.difference([t or "" for t in batch.column(0).to_pylist()])
             cell = np.clip(np.rint((d + SPAN) / (2 * SPAN) * (CELLS - 1)), 0, CELLS - 1).astype(np.int64)
             np.add.at(total, (np.array(batch.column(1).to_pylist(), np.int64), cell), 1)
+        release()
         y, cell = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(cell, pa.int32()), pa.array(total[y, cell], pa.int64())], ["toxic", "cell", "n"])
 
@@ -293,6 +241,7 @@ def score_documents(documents: DataFrame, scorer) -> DataFrame:
         for batch in batches:
             s = scorer.value.score([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+        release()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     scored = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -314,6 +263,7 @@ def toxicity_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> Da
         for batch in batches:
             s = scorer.value.score([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(s < 0.5))
+        release()
 
     return documents.mapInArrow(keep, documents.schema)
 
