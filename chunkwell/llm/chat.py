@@ -5,7 +5,8 @@ and the like, or another name, or none), its length, whether it ends as a questi
 line. Transitions, emissions and starts are counted over the labelled conversations that are learnt
 from. Viterbi finds the likeliest roles of all lines of a conversation together.
 
-A conversation may be of any length: its fragments are dealt in segments of ``SEGMENT``. First each
+A line's features are one byte, so that only bytes move until the roles at segments' ends are known; then texts
+are shuffled once, to be rendered. A conversation may be of any length: its fragments are dealt in segments of ``SEGMENT``. First each
 segment's best log-probabilities from each role before it to each role at its end are found, nine numbers; then the best
 path over the segments of a conversation fixes the roles at their ends; last each segment is decoded
 between those. The result is the same as of one pass over the whole.
@@ -13,13 +14,14 @@ between those. The result is the same as of one pass over the whole.
 A turn begins with a marker or a change of role. It is rendered as ``<|role|>``, its lines without
 marker, and ``<|end|>``; the fragments' renderings in order are the conversation's.
 
-Nulls: a null or empty fragment is one empty line. A null conversation id is a conversation of its own; null
-positions come first; equal positions are ordered by text. Repeated rows are repeated fragments. An
+Nulls: a null or empty fragment is one empty line. A fragment with a null conversation id is a conversation of its own, whatever
+its position; null positions come first; equal positions are ordered by a hash of the text, and null ones dealt in segments by it. Repeated rows are repeated fragments. An
 empty table gives an empty result; without labels the model is that of its pseudo-counts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -63,6 +65,18 @@ def features(line: str) -> tuple[int, int, int, int]:
     return marker(line)[0], (n > 0) + (n > 40) + (n > 160) + (n > 640), line.rstrip().endswith("?"), bool(ITEM.match(line))
 
 
+def code(line: str) -> int:
+    """The features as one number below the product of their sizes."""
+    out = 0
+    for size, f in zip(SIZES, features(line)):
+        out = out * size + int(f)
+    return out
+
+
+def codes(lines: list[str]) -> bytes:
+    return bytes(map(code, lines))
+
+
 class Hmm:
     def __init__(self, counts: dict[tuple[str, int, int], float]):
         def table_of(name: str, columns: int, rows: int = len(ROLES)) -> np.ndarray:
@@ -76,28 +90,31 @@ class Hmm:
         self.step = table_of("step", len(ROLES))
         self.emit = [table_of(f"f{k}", size) for k, size in enumerate(SIZES)]
 
-    def emission(self, lines: list[str]) -> np.ndarray:
-        f = np.array([features(x) for x in lines], np.int64).reshape(-1, len(SIZES))
-        return sum(e[:, f[:, k]].T for k, e in enumerate(self.emit))
+        #: of each code of features
+        cells = np.array(np.unravel_index(np.arange(math.prod(SIZES)), SIZES))
+        self.emission = sum(e[:, cells[k]].T for k, e in enumerate(self.emit))
+
+    def emitted(self, found: bytes) -> np.ndarray:
+        return self.emission[np.frombuffer(found, np.uint8)]
 
-    def span(self, lines: list[str]) -> np.ndarray:
+    def span(self, found: bytes) -> np.ndarray:
         """Best log-probability from each role before to each role at the end; row 3 is that from the start of a conversation."""
-        e = self.emission(lines)
+        e = self.emitted(found)
         m = np.vstack([self.step, self.start]) + e[0]
         for row in e[1:]:
             m = (m[:, :, None] + self.step).max(1) + row
         return m
 
-    def decode(self, lines: list[str], before: int, end: int) -> list[int]:
-        """Roles of lines, with the role before (-1 at a start) and that of the last line fixed."""
-        e = self.emission(lines)
+    def decode(self, found: bytes, before: int = -1, end: int | None = None) -> list[int]:
+        """Roles of lines by their codes, with the role before (-1 at a start) and, if given, that of the last line fixed."""
+        e = self.emitted(found)
         d = (self.start if before < 0 else self.step[before]) + e[0]
         back = []
         for row in e[1:]:
             all_ = d[:, None] + self.step
             back.append(all_.argmax(0))
             d = all_.max(0) + row
-        out = [end]
+        out = [int(d.argmax()) if end is None else end]
         for b in reversed(back):
             out.append(int(b[out[-1]]))
         return out[::-1]
@@ -141,15 +158,25 @@ SPANS = pa.schema([("c", pa.string()), ("seg", pa.int64()), ("span", pa.list_(pa
 ENDS = pa.schema([("c", pa.string()), ("seg", pa.int64()), ("before", pa.int32()), ("end", pa.int32()), ("final", pa.bool_())])
 
 
-def segments(transcripts: DataFrame, *more: str) -> DataFrame:
-    """Fragments dealt out and in order: key ``c``, ``seg``, ``seq``, ``fragment``."""
-    c = F.when(F.col("conv_id").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("conv_id").cast("string")))
-    seg = F.floor(F.coalesce(F.col("seq"), F.lit(-1)) / SEGMENT).cast("long")
-    return transcripts.select(c.alias("c"), seg.alias("seg"), "seq", "fragment", "conv_id", *more)
+def placed(transcripts: DataFrame) -> list[Column]:
+    """Key ``c``, ``seg``, ``seq`` and ``tie`` of fragments with a conversation id, by which they are dealt out and put in order."""
+    tie = F.xxhash64(F.coalesce("fragment", F.lit("")))
+    #: those without a position come first, in segments by the top bits of the hash
+    seg = F.when(F.col("seq").isNull(), F.shiftright(tie, 56) - F.lit(1 << 62)).otherwise(F.floor(F.col("seq") / SEGMENT).cast("long"))
+    return [F.col("conv_id").cast("string").alias("c"), seg.alias("seg"), F.col("seq").cast("long").alias("seq"), tie.alias("tie")]
+
 
+def coded(transcripts: DataFrame, role: Column) -> DataFrame:
+    """c, seg, seq, tie, role and ``codes``, a byte for each line, in order."""
 
-def in_order(rows: DataFrame) -> DataFrame:
-    return rows.repartition("c", "seg").sortWithinPartitions("c", "seg", "seq", "fragment")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [codes(lines_of(t.as_py())) for t in batch.column(5)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.binary())], ["c", "seg", "seq", "tie", "role", "codes"])
+
+    rows = transcripts.filter("conv_id is not null").select(*placed(transcripts), role.alias("role"), "fragment")
+    made = rows.mapInArrow(run, "c string, seg long, seq long, tie long, role string, codes binary")
+    return made.repartition("c", "seg").sortWithinPartitions("c", "seg", "seq", "tie")
 
 
 def train(labelled: DataFrame) -> Hmm:
@@ -159,32 +186,47 @@ def train(labelled: DataFrame) -> Hmm:
         total: Counter = Counter()
         for (_, seg), rows in grouped(batches, 2):
             before = None
-            for row in rows:
-                role = ROLES.index(row[5]) if row[5] in ROLES else None
-                for line in lines_of(row[3]) if role is not None else ():
+            for *_, name, found in rows:
+                role = ROLES.index(name) if name in ROLES else None
+                for x in found if role is not None else b"":
                     if before is not None:
                         total["step", before, role] += 1
-                    elif seg <= 0:
+                    elif seg == 0:
                         total["start", 0, role] += 1
-                    for k, v in enumerate(features(line)):
-                        total[f"f{k}", role, int(v)] += 1
+                    total["code", role, x] += 1
                     before = role
-        yield batch_of([(*k, n) for k, n in total.items()], COUNTS)
+        out: Counter = Counter()
+        for (name, i, j), n in total.items():
+            for key in [(f"f{k}", i, int(v)) for k, v in enumerate(np.unravel_index(j, SIZES))] if name == "code" else [(name, i, j)]:
+                out[key] += n
+        yield batch_of([(*k, n) for k, n in out.items()], COUNTS)
 
-    counts = in_order(segments(labelled, "role")).mapInArrow(count, "name string, i int, j int, n long")
+    counts = coded(labelled, F.col("role")).mapInArrow(count, "name string, i int, j int, n long")
     got = counts.groupBy("name", "i", "j").agg(F.sum("n").alias("n")).collect()  # at most a few dozen cells
     return Hmm({(r["name"], r["i"], r["j"]): r["n"] for r in got})
 
 
+def rendered(lines: list[str], roles: list[int], before: int, final: bool) -> tuple[int, str]:
+    """How many turns begin in a fragment, and its text as turns."""
+    parts, turns, last = [], 0, before
+    for line, role in zip(lines, roles):
+        family, rest = marker(line)
+        if role != last or family not in (NONE, OTHER):
+            parts += ["<|end|>\n"] * (last >= 0) + [f"<|{ROLES[role]}|>\n"]
+            turns += 1
+        parts.append(rest + "\n")
+        last = role
+    return turns, "".join(parts) + "<|end|>\n" * final
+
+
 def parse(transcripts: DataFrame, model: Hmm) -> DataFrame:
     """conv_id, seq, role (of the first line), roles (of all lines), n_turns (that begin here) and rendered."""
     spark = transcripts.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    base = segments(transcripts)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((*key, shared.value.span([x for r in rows for x in lines_of(r[3])]).ravel().tolist()) for key, rows in grouped(batches, 2))
+        found = ((*key, shared.value.span(b"".join(r[5] for r in rows)).ravel().tolist()) for key, rows in grouped(batches, 2))
         yield from batched(found, SPANS)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,48 +249,52 @@ def parse(transcripts: DataFrame, model: Hmm) -> DataFrame:
 
         yield from batched(each(), ENDS)
 
-    fixed = in_order(base).mapInArrow(spans, "c string, seg long, span array<double>")
+    fixed = coded(transcripts, F.lit(None).cast("string")).mapInArrow(spans, "c string, seg long, span array<double>")
     fixed = fixed.repartition("c").sortWithinPartitions("c", "seg").mapInArrow(ends, "c string, seg long, before int, end int, final boolean")
     kinds = {f.name: f.dataType.simpleString() for f in transcripts.schema}
     out_schema = f"conv_id {kinds['conv_id']}, seq {kinds['seq']}, role string, roles array<string>, n_turns int, rendered string"
 
-    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
-
-        def each(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            for _, rows in grouped(source, 2):
-                before, end, final = rows[0][5:8]
-                lines = [lines_of(r[3]) for r in rows]
-                roles = shared.value.decode([x for own in lines for x in own], before, end)
-                at, last = 0, before
-                for k, (row, own) in enumerate(zip(rows, lines)):
-                    mine, parts, turns = roles[at : at + len(own)], [], 0
-                    at += len(own)
-                    for line, role in zip(own, mine):
-                        family, rest = marker(line)
-                        if role != last or family not in (NONE, OTHER):
-                            parts += ["<|end|>\n"] * (last >= 0) + [f"<|{ROLES[role]}|>\n"]
-                            turns += 1
-                        parts.append(rest + "\n")
-                        last = role
-                    if final and k == len(rows) - 1:
-                        parts.append("<|end|>\n")
-                    yield row[4], row[2], ROLES[mine[0]], [ROLES[r] for r in mine], turns, "".join(parts)
-
+    def made(batches: Iterator[pa.RecordBatch], each) -> Iterator[pa.RecordBatch]:
+        """``each`` gives rows of conv_id, seq, lines, roles, role before and whether the conversation ends."""
         first = next(batches, None)
         if first is None:
             return
         types = {f.name: f.type for f in first.schema}
-        schema = pa.schema([("conv_id", types["conv_id"]), ("seq", types["seq"]), ("role", pa.string()), ("roles", pa.list_(pa.string())), ("n_turns", pa.int32()), ("rendered", pa.string())])
+        schema = pa.schema([("conv_id", types["conv_id"]), ("seq", types["place"]), ("role", pa.string()), ("roles", pa.list_(pa.string())), ("n_turns", pa.int32()), ("rendered", pa.string())])
 
         def again() -> Iterator[pa.RecordBatch]:
             yield first
             yield from batches
 
-        yield from batched(each(again()), schema, 500)
-
-    joined = base.join(fixed, ["c", "seg"]).select("c", "seg", "seq", "fragment", "conv_id", "before", "end", "final")
-    return in_order(joined).mapInArrow(render, out_schema)
+        def rows() -> Iterator[tuple]:
+            for conv_id, seq, lines, roles, before, final in each(again()):
+                yield conv_id, seq, ROLES[roles[0]], [ROLES[r] for r in roles], *rendered(lines, roles, before, final)
+
+        yield from batched(rows(), schema, 500)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for conv_id, seq, fragment in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = lines_of(fragment)
+                yield conv_id, seq, lines, shared.value.decode(codes(lines)), -1, True
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, (head, *rows) in grouped(batches, 2):
+            last, end, final = head[8:11]
+            lines = [lines_of(r[7]) for r in rows]
+            roles, at = shared.value.decode(b"".join(map(codes, lines)), last, end), 0
+            for k, (row, own) in enumerate(zip(rows, lines)):
+                mine = roles[at : at + len(own)]
+                at += len(own)
+                yield row[5], row[6], own, mine, last, final and k == len(rows) - 1
+                last = mine[-1]
+
+    single = transcripts.filter("conv_id is null").select("conv_id", F.col("seq").alias("place"), "fragment")
+    #: a segment's ends and its texts meet in one shuffle
+    texts = transcripts.filter("conv_id is not null").select(*placed(transcripts), F.lit(1).alias("kind"), "conv_id", F.col("seq").alias("place"), "fragment")
+    both = texts.unionByName(fixed.withColumn("kind", F.lit(0)), allowMissingColumns=True).select("c", "seg", "kind", "seq", "tie", "conv_id", "place", "fragment", "before", "end", "final")
+    both = both.repartition("c", "seg").sortWithinPartitions("c", "seg", "kind", "seq", "tie")
+    return both.mapInArrow(lambda b: made(b, together), out_schema).unionByName(single.mapInArrow(lambda b: made(b, alone), out_schema))
 
 
 def fold(conv_id: Column) -> Column:
