@@ -1,14 +1,14 @@
 """Line deduplication across documents, by two Bloom filters.
 
 A first pass marks each document's line keys in two filters: those seen, and those
-seen again. Tasks keep a filter of their own, with counts that stop at 2 at each position, and emit
-its chunks; chunks of equal number are merged by adding, so that the second filter holds every key of two
+seen again. Tasks emit the positions they have marked, once or again, by chunks of the filter, and no task holds the whole of it; chunks of equal
+number are merged, so that the second filter holds every key of two
 documents or more, wherever they lie. Only lines that it holds are shuffled, as digests of
 128 bits with their documents, for exact counts and the choice of the document that
 keeps the line.
 
-The filters have a fixed number of positions. When a corpus fills them, more lines are
-suspected and shuffled; the result does not change.
+The filters have four to eight positions for each line that is counted beforehand, up to ``MOST_BITS``, as the second one is broadcast. In a larger corpus
+more lines are suspected and shuffled, at worst the digests and ids of all; the result does not change.
 
 Nulls: a null or empty text is one empty line, which is kept. A null id is smaller than all
 others, and all rows with null ids count as one document, as do all rows of any repeated id. An
@@ -27,19 +27,34 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, fresh, named, small_batches, table
+from .common import UPPER, fresh, named, release, small_batches, table
 
 #: Code points of a key that counts, and documents in which its lines are repeats.
 SHORTEST, DOCUMENTS = 20, 3
 SPACE = b" \t\n\x0b\x0c\r"
-#: Positions of the filters (as powers of two), positions for each key, and positions of a chunk.
-FILTER_BITS, HASHES, CHUNK_BITS = 26, 3, 19
+#: Positions of the filters for each line, least and most of them (as powers of two: 64 MB are broadcast), positions of a key and of a chunk.
+POSITIONS, LEAST_BITS, MOST_BITS, HASHES, CHUNK_BITS = 4, 20, 29, 3, 19
+#: Marks that a task gathers before it emits them.
+MARKS = 1 << 20
 CHUNKS = "number int, data binary"
 
 
-def keys(text: str | None, shortest: int = SHORTEST) -> tuple[list[bytes], list[bytes | None]]:
-    """Lines of a text, and each one's key, None if it is too short."""
-    lines = (text or "").encode().split(b"\n")
+def blocks(text: str | None, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text in pieces of whole lines, of about ``most`` bytes; joined by a line end they are the text."""
+    raw, at = (text or "").encode(), 0
+    while len(raw) - at > most:
+        end = raw.rfind(b"\n", at, at + most)
+        end = end if end >= 0 else raw.find(b"\n", at + most)
+        if end < 0:
+            break
+        yield raw[at:end]
+        at = end + 1
+    yield raw[at:] if at else raw
+
+
+def keys(block: bytes, shortest: int = SHORTEST) -> tuple[list[bytes], list[bytes | None]]:
+    """Lines of a block, and each one's key, None if it is too short."""
+    lines = block.split(b"\n")
     out: list[bytes | None] = []
     for line in lines:
         key = line.strip(SPACE).lower()
@@ -49,13 +64,13 @@ def keys(text: str | None, shortest: int = SHORTEST) -> tuple[list[bytes], list[
     return lines, out
 
 
-def positions(hashes: np.ndarray) -> np.ndarray:
+def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     """A row of positions for each hash."""
-    shifts = np.arange(HASHES, dtype=np.uint64) * np.uint64((64 - FILTER_BITS) // max(1, HASHES - 1))
-    return (hashes[:, None] >> shifts & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
+    return ((low[:, None] + np.arange(HASHES, dtype=np.uint64) * high[:, None]) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def hashes(found: list[bytes]) -> np.ndarray:
+def hashes(found) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
 
@@ -63,51 +78,61 @@ def digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def chunk_batch(filters: dict[int, np.ndarray]) -> pa.RecordBatch:
-    data = [zlib.compress(x.tobytes(), 1) for x in filters.values()]
-    return pa.RecordBatch.from_arrays([pa.array(list(filters), pa.int32()), pa.array(data, pa.binary())], ["number", "data"])
+def filter_bits(documents: DataFrame) -> int:
+    """Bits of a position's number, by the number of lines."""
+    n = documents.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    return min(max((POSITIONS * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
 
 
 def seen_again(documents: DataFrame, shortest: int = SHORTEST):
-    """The second filter, a bit for each position, as a broadcast variable of fixed size."""
-    spark = documents.sparkSession
-    size = 1 << CHUNK_BITS
+    """The second filter, a bit for each position, as a broadcast variable of bounded size."""
+    spark, bits, size = documents.sparkSession, filter_bits(documents), 1 << CHUNK_BITS
+
+    def marked(gathered: list[np.ndarray]) -> pa.RecordBatch:
+        """For each chunk the positions in it, with a further bit for those marked again."""
+        at, n = np.unique(positions(np.concatenate(gathered), bits), return_counts=True)
+        chunk, marks = at >> CHUNK_BITS, (at & (size - 1) | (n > 1).astype(np.int64) << CHUNK_BITS).astype(np.uint32)
+        first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+        data = [x.tobytes() for x in np.split(marks, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[first], pa.int32()), pa.array(data, pa.binary())], ["number", "data"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << FILTER_BITS, np.uint8)
+        gathered: list[np.ndarray] = []
         for batch in batches:
-            found: list[bytes] = []
             for text in batch.column(0):
-                found += {k for k in keys(text.as_py(), shortest)[1] if k is not None}
-            at, n = np.unique(positions(hashes(found)), return_counts=True)
-            counts[at] = np.minimum(counts[at] + np.minimum(n, 2), 2)
-        chunks = counts.reshape(-1, size)
-        for i in np.flatnonzero(chunks.any(1)).tolist():
-            once, twice = np.packbits(chunks[i] >= 1), np.packbits(chunks[i] >= 2)
-            yield chunk_batch({i: np.stack([once, twice])})
+                own = [hashes({k for k in keys(b, shortest)[1] if k is not None}) for b in blocks(text.as_py())]
+                own = own[0] if len(own) == 1 else np.unique(np.concatenate(own))
+                if len(own):
+                    gathered.append(own)
+            if sum(map(len, gathered)) >= MARKS:
+                yield marked(gathered)
+                gathered = []
+        if gathered:
+            yield marked(gathered)
+        release()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(zlib.decompress(data.as_py()), np.uint8).reshape(2, -1)
-                if i not in kept:
-                    kept[i] = part.copy()
-                else:
-                    kept[i][1] |= part[1] | (kept[i][0] & part[0])
-                    kept[i][0] |= part[0]
-        if kept:
-            yield chunk_batch({i: x[1] for i, x in kept.items()})
+                marks = np.frombuffer(data.as_py(), np.uint32)
+                at, again = marks & np.uint32(size - 1), marks >> np.uint32(CHUNK_BITS)
+                seen = kept.setdefault(i, np.zeros(size, np.uint8))
+                seen[at] = np.minimum(seen[at] + 1 + again, 2)
+        for i, seen in kept.items():
+            twice = zlib.compress(np.packbits(seen >= 2).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([twice], pa.binary())], ["number", "data"])
+        release()
 
     chunks = documents.select("text").mapInArrow(mark, CHUNKS).repartition("number").mapInArrow(merge, CHUNKS)
-    twice = np.zeros((1 << (FILTER_BITS - CHUNK_BITS), size // 8), np.uint8)
+    twice = np.zeros((1 << (bits - CHUNK_BITS), size // 8), np.uint8)
     for row in chunks.collect():  # one row for each chunk
         twice[row["number"]] = np.frombuffer(zlib.decompress(bytes(row["data"])), np.uint8)
     return spark.sparkContext.broadcast(twice.reshape(-1))
 
 
 def suspected(found: list[bytes], twice: np.ndarray) -> np.ndarray:
-    at = positions(hashes(found))
+    at = positions(hashes(found), (len(twice) * 8 - 1).bit_length())
     return ((twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
 
 
@@ -117,15 +142,18 @@ def drops(documents: DataFrame, shortest: int = SHORTEST, least: int = DOCUMENTS
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        found: list[bytes] = []
         for batch in batches:
-            found, of = [], []
             for row, text in enumerate(batch.column(1)):
-                own = {k for k in keys(text.as_py(), shortest)[1] if k is not None}
-                found += own
-                of += [row] * len(own)
-            hit = np.flatnonzero(suspected(found, twice.value)) if found else np.zeros(0, np.int64)
-            ids = batch.column(0).take(pa.array(np.array(of, np.int64)[hit]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([digest(found[i]) for i in hit.tolist()], pa.binary())], ["doc_id", "key"])
+                for block in blocks(text.as_py()):
+                    own = [*{k for k in keys(block, shortest)[1] if k is not None}]
+                    hit = np.flatnonzero(suspected(own, twice.value)) if own else ()
+                    ids += [row] * len(hit)
+                    found += [digest(own[i]) for i in hit]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(found, pa.binary())], ["doc_id", "key"])
+            ids, found = [], []
+        release()
 
     shuffled = documents.select("doc_id", "text").mapInArrow(suspects, f"doc_id {kind}, key binary")
     pairs = shuffled.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
@@ -147,10 +175,14 @@ def cut_lines(text: str | None, gone: list[bytes] | None, shortest: int = SHORTE
     if not gone:
         raw = (text or "").encode()
         return raw, raw.count(b"\n") + 1, 0
-    lines, found = keys(text, shortest)
-    lost = set(gone)
-    kept = [line for line, key in zip(lines, found) if key is None or digest(key) not in lost]
-    return b"\n".join(kept), len(lines), len(lines) - len(kept)
+    lost, kept, n, left = set(gone), [], 0, 0
+    for block in blocks(text):
+        lines, found = keys(block, shortest)
+        stay = [line for line, key in zip(lines, found) if key is None or digest(key) not in lost]
+        n, left = n + len(lines), left + len(stay)
+        if stay:
+            kept.append(b"\n".join(stay))
+    return b"\n".join(kept), n, n - left
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
