@@ -12,7 +12,7 @@ choice; two fingerprints within the radius agree on at least one choice of block
 Equal fingerprints are one entry.
 
 Nulls: a null text is an empty one, whose fingerprint is zero. Null ids come after all
-others. Repeated ids and rows are separate documents, in an order made by their texts.
+others. Repeated ids and rows are separate documents, in an order made by hashes of their texts, and dealt out by it.
 A single document is its own next one. An empty table gives an empty result.
 """
 
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 HEAVIEST = 15
-#: Ranges of ids in which neighbours are found, at most, and about as many rows in each at least.
-BUCKETS, BUCKET_ROWS = 1 << 16, 200
+#: Ranges of ids in which neighbours are found, at most, about as many rows in each at least, and sampled rows for each.
+BUCKETS, BUCKET_ROWS, SAMPLED = 1 << 16, 200, 8
+#: What a null id counts as when ranges are made.
+LEAST = -(1 << 63)
 #: Blocks of a fingerprint, those that agree if at most ``RADIUS`` bits differ.
 BLOCKS, RADIUS = 6, 3
 LANES = 32
@@ -106,46 +108,56 @@ def near(entries: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: i
     return left.join(right.hint("merge"), close).select("query", "fp")
 
 
-def cuts(ids: DataFrame, most: int = BUCKETS, rows: int = BUCKET_ROWS) -> list[int]:
-    """Bounds of ranges of ids with about equal numbers of rows."""
-    n = ids.filter("doc_id is not null").count()
-    wanted = max(1, min(most, n // rows))
+def place() -> Column:
+    """By which documents are ordered: the id, and for equal ids a hash of the text."""
+    return F.struct(F.coalesce(F.col("doc_id").cast(LONG), F.lit(LEAST)).alias("i"), F.xxhash64("text").alias("h"))
+
+
+def cuts(rows: DataFrame, most: int = BUCKETS, least: int = BUCKET_ROWS) -> list[tuple[int, int]]:
+    """Bounds of ranges of places with about equal numbers of rows, from a sample of bounded size. Where they lie changes no result."""
+    n = rows.count()
+    wanted = max(1, min(most, n // least))
     if wanted == 1:
         return []
-    return sorted(set(ids.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 20 * wanted)).first()[0]))
+    sampled = rows.sample(min(1.0, SAMPLED * wanted / n), 1).select(place().alias("p")).select("p.*").toArrow()
+    places = sorted(zip(*(c.to_pylist() for c in sampled.columns)))
+    return sorted({places[len(places) * k // wanted] for k in range(1, wanted)}) if places else []
 
 
-def rank_among(value: Column, bounds: list[int]) -> Column:
+def rank_among(value: Column, bounds: list[tuple[int, int]]) -> Column:
     """How many of the sorted bounds are not above the value, by a coarse and a fine step."""
     if not bounds:
         return F.lit(0)
     step = math.isqrt(len(bounds)) + 1
-    literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<long>")  # noqa: E731  folded into a constant
+
+    def literal(xs: list[tuple[int, int]]) -> Column:
+        """An array of places, folded into a constant."""
+        i, h = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<long>") for x in zip(*xs))
+        return F.arrays_zip(i, h).cast("array<struct<i:long,h:long>>")
+
     below = lambda xs: F.size(F.filter(xs, lambda b: b <= value))
     coarse = F.greatest(below(literal(bounds[::step])) - 1, F.lit(0)) * step
     return coarse + below(F.slice(literal(bounds), coarse + 1, F.lit(step)))
 
 
 def with_next(documents: DataFrame) -> DataFrame:
-    """``bucket``, ``row``, ``doc_id``, ``text``, ``ghost``: documents in ranges of ids, each in order of descent.
+    """``bucket``, ``doc_id``, ``text``, ``p``, ``ghost``: documents in ranges of places, each in order of descent.
 
     The last row of a range is a copy of the first of the next range (of the first
     range after the last), so that each document's next one is in its own range. Bounds and
-    those first rows' ids are at most ``BUCKETS`` numbers on the driver.
+    those first rows' places are at most ``BUCKETS`` pairs of numbers on the driver.
     """
     spark = documents.sparkSession
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = cuts(rows.select("doc_id"))
-    #: higher ids come first; null ids have the last range to themselves
-    bucket = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(len(bounds) - rank_among(F.col("doc_id"), bounds))
-    placed = rows.withColumn("bucket", bucket.cast("int"))
-    first = placed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()  # a row for each range
+    bounds = cuts(rows)
+    placed = rows.withColumn("p", place()).withColumn("bucket", (len(bounds) - rank_among(F.col("p"), bounds)).cast("int"))
+    first = placed.groupBy("bucket").agg(F.max("p").alias("top")).collect()  # a row for each range
     order = sorted(r["bucket"] for r in first)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    tops = spark.createDataFrame([(r["bucket"], r["top"], before[r["bucket"]]) for r in first] or [(-1, -1, -1)], "bucket int, top long, into int")
-    #: of repeated top ids every row is copied; only the first of them in order is anyone's next
-    copies = placed.join(F.broadcast(tops), "bucket").filter(F.col("doc_id").eqNullSafe(F.col("top")))
-    copies = copies.select("doc_id", "text", F.col("into").alias("bucket"), F.lit(1).alias("ghost"))
+    tops = spark.createDataFrame([(r["bucket"], tuple(r["top"]), before[r["bucket"]]) for r in first] or [(-1, (-1, -1), -1)], "bucket int, top struct<i:long,h:long>, into int")
+    #: rows of one place have one text, and one copy of them is enough
+    copies = placed.join(F.broadcast(tops), "bucket").filter(F.col("p") == F.col("top")).groupBy("into").agg(F.first(F.struct("doc_id", "text", "p")).alias("x"))
+    copies = copies.select("x.*", F.col("into").alias("bucket"), F.lit(1).alias("ghost"))
     return placed.withColumn("ghost", F.lit(0)).unionByName(copies)
 
 
@@ -155,7 +167,7 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     One shuffle of the texts brings neighbours together; everything else stays in
     its partition, as ranges of ids are what all steps are partitioned by.
     """
-    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
+    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.col("p").desc(), "text")
     placed = with_next(documents)
     placed = placed.withColumn("row", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
     n = F.length("text")
