@@ -11,7 +11,7 @@ the excess goes to the others by weight. As a permutation gives every block once
 any block twice, no document is taken more than ``MOST`` times either.
 
 Everything is made by DataFrame functions. A source's running word count is made
-in ``SALTS`` parts, so a source with a third of all rows is no single task's work.
+in parts, whose number grows with the rows, and its slots are summed up by groups of shards, so that a source with a third of all rows is no single task's work.
 
 Nulls: a null text has no words; a null source is a source of its own, after all
 others; null ids are kept. Repeated rows are separate documents. Texts without words get a row with
@@ -28,8 +28,10 @@ from .common import WORD, cut, named, table, word_count
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: Words of a block, slots of an output shard, parts of a source's running count, cells of the draw's lookup table.
-BLOCK, SLOTS, SALTS, CELLS = 128, 4096, 64, 1024
+#: Words of a block, slots of an output shard, cells of the draw's lookup table.
+BLOCK, SLOTS, CELLS = 128, 4096, 1024
+#: Parts of a source's running count at least, rows for each further one, and shards whose slots one task sums up.
+SALTS, SALT_ROWS, SHARDS = 64, 1 << 16, 1024
 #: Up to so many sources their lookup table is broadcast.
 MOST_BROADCAST = 100_000
 SEED = 17
@@ -111,7 +113,12 @@ def draw(quota: DataFrame, per_shard: int = SLOTS, seed: int = SEED, cells: int
     #: the last shard settles: each source's row there takes what is missing; a surplus is cut off
     last = q.select("rank", F.lit((1 << 62)).cast(LONG).alias("shard"), F.col("slots").alias("count"))
     both = drawn.unionByName(last).join(q.select("rank", "slots", "blocks"), "rank")
-    both = both.withColumn("upto", F.sum("count").over(Window.partitionBy("rank").orderBy("shard")))
+    #: running sums by groups of shards, and within each
+    both = both.withColumn("group", div(F.col("shard"), F.lit(SHARDS).cast(LONG)))
+    before = both.groupBy("rank", "group").agg(F.sum("count").alias("n"))
+    before = before.select("rank", "group", (F.sum("n").over(Window.partitionBy("rank").orderBy("group")) - F.col("n")).alias("before"))
+    both = both.join(before, ["rank", "group"])
+    both = both.withColumn("upto", F.col("before") + F.sum("count").over(Window.partitionBy("rank", "group").orderBy("shard")))
     both = both.withColumn("offset", F.least("slots", F.col("upto") - F.col("count")))
     return both.select("rank", "shard", "blocks", "offset", (F.least("slots", "upto") - F.col("offset")).alias("count")).filter("count > 0")
 
@@ -125,8 +132,9 @@ def slot_blocks(drawn: DataFrame, seed: int = SEED) -> DataFrame:
     return each.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def packed(sizes: DataFrame, salts: int = SALTS) -> DataFrame:
+def packed(sizes: DataFrame) -> DataFrame:
     """``sizes`` (source, size, order columns k1, k2) with ``salt``, ``row`` and ``start``, the word at which each document starts in its source."""
+    salts = max(SALTS, -(-sizes.count() // SALT_ROWS))
     salted = sizes.withColumn("salt", F.pmod(F.xxhash64("k1", "k2"), F.lit(salts)).cast("int"))
     order = Window.partitionBy("source", "salt").orderBy("k1", "k2", "size")
     inner = salted.withColumn("row", F.row_number().over(order)).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
