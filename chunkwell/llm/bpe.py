@@ -9,8 +9,9 @@ one flat array with word numbers beside it. A round finds each neighbouring pair
 rank by binary search among the sorted pair keys, merges in each word the leftmost
 pairs of lowest rank, and closes the gaps. Rounds end when no pair has a rank.
 
-Memory: a batch has a bounded number of bytes, the cache a bounded number of words, and
-new words go through the rounds in slices; a text is processed whole, however long.
+Memory: a batch has a bounded number of bytes, the cache a bounded number of words and a task's life, and
+new words go through the rounds in slices. A long text is encoded in portions, cut before white space, which is in no word; a
+word is processed whole, however long.
 
 Nulls: a null text is an empty one, which has no ids: the digest of ids and text is that of the
 empty string. Repeated rows, null ids and further columns make no difference. An empty
@@ -34,10 +35,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import portions, release, small_batches, table
 
 #: Words kept in a worker's cache, and words that go through the merge rounds together.
-CACHE, SLICE = 200_000, 50_000
+CACHE, SLICE = 120_000, 30_000
+#: Characters of a group of texts and of a portion of a long one.
+GROUP = 1 << 19
 FIRST, SECOND = itemgetter(0), itemgetter(1)
 
 
@@ -185,6 +188,11 @@ class Bpe:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text the number of ids, the ids joined by spaces and the decoded text."""
+        if any(len(t) > 2 * GROUP for t in texts):
+            return [self.encode_long(t) if len(t) > 2 * GROUP else self.encode_words([t])[0] for t in texts]
+        return self.encode_words(texts)
+
+    def encode_words(self, texts: list[str]) -> list[tuple[int, str, str]]:
         if len(self.cache) > CACHE // 2:  # what is used again moves on from the old half
             self.old, self.cache = self.cache, {}
         each = list(map(self.words, texts))
@@ -200,6 +208,18 @@ class Bpe:
             out.append((ids.count(" ") + bool(ids), ids, " ".join(map(SECOND, found))))
         return out
 
+    def encode_long(self, text: str) -> tuple[int, str, str]:
+        found = []
+        for part in portions(text, GROUP):
+            found += self.encode_words([part])
+        n, ids, decoded = zip(*(x for x in found if x[0])) if any(x[0] for x in found) else ((), (), ())
+        return sum(n), " ".join(ids), " ".join(decoded)
+
+    def forget(self) -> None:
+        """At a task's end: what the next one in this worker may not need."""
+        self.cache, self.old = {}, {}
+        release()
+
     def encode(self, text: str) -> list[int]:
         ids = self.encode_batch([text])[0][1]
         return [int(i) for i in ids.split()]
@@ -250,7 +270,7 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def pieces(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+def pieces(texts: list[str], most: int = GROUP) -> Iterator[list[str]]:
     """Texts in groups of about ``most`` characters; one text is never split."""
     group, n = [], 0
     for t in texts:
@@ -283,6 +303,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, id_col: str
                     columns = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in part], pa.string()) for part in (ids, decoded)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array(n, pa.int64()), *columns], names)
                 at += len(group)
+        bpe.forget()
 
     kind = documents.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, " + ("ids array<int>, decoded string" if full else "ids_sha256 string, decoded_sha256 string")
