@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, named, small_batches, table
+from .common import cut, fresh, named, portions, release, small_batches, table
 from .components import components
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
@@ -53,22 +53,33 @@ _RANDOM = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BA
 _MASKS, _FACTORS = _RANDOM[0], _RANDOM[1] * np.uint64(2) + np.uint64(1)
 
 
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles in order, by portions of the text; with fewer words the whole sequence is one, without words there is none."""
+    carry: list[bytes] = []
+    some = False
+    for part in portions(text or "", 1 << 20):
+        parts = carry + part.encode().lower().split()  # bytes: A-Z and ASCII white space only
+        if len(parts) < words:
+            carry = parts
+            continue
+        joined = b" ".join(parts)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        begin = [0, *ends[: len(parts) - words].tolist()]
+        found = map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(begin, (ends[words - 1 :] - 1).tolist())], repeat(SEED))
+        yield np.fromiter(found, np.uint64, len(begin))
+        carry, some = parts[len(parts) - words + 1 :], True
+    if carry and not some:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(carry), SEED)], np.uint64)
+
+
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     """Bit by bit what over half of the shingles' hashes have set."""
-    parts = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not parts:
-        return 0
-    joined = b" ".join(parts)
-    if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-    begin = [0, *ends[: len(parts) - words].tolist()]
-    hashes = map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(begin, (ends[words - 1 :] - 1).tolist())], repeat(SEED))
-    h = np.fromiter(hashes, np.uint64, len(begin))
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 14):
-        votes += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0])
+    votes, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, words):
+        n += len(h)
+        for i in range(0, len(h), 1 << 14):
+            votes += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(documents: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -79,6 +90,7 @@ def fingerprints(documents: DataFrame, words: int = SHINGLE) -> DataFrame:
         for batch in batches:
             fp = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+        release()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
@@ -238,13 +250,9 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """Distinct hashes of a text's shingles in order; a text with fewer words is one shingle."""
-    parts = (text or "").encode().lower().split()
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1).tolist()
-    joined, n = b" ".join(parts), max(len(parts) - words + 1, 1)
-    begin, end = [0, *ends[: n - 1]], ends[words - 1 :] if len(parts) >= words else [len(joined) + 1]
-    hashes = [xxhash.xxh64_intdigest(joined[i : j - 1], SEED) for i, j in zip(begin, end)]
-    return np.unique(np.array(hashes, np.uint64))
+    """Distinct hashes of a text's shingles in order; a text without words has the hash of an empty one."""
+    found = [np.unique(h) for h in shingle_hashes(text, words)] or [np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 def bands(s: np.ndarray) -> np.ndarray:
@@ -287,11 +295,13 @@ def jaccard_links(rows: DataFrame, words: int = STAGE_SHINGLE, similarity: float
         for batch in batches:
             found = [bands(shingles(t.as_py(), words)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "signs"])
+        release()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "hashes"])
+        release()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,6 +325,7 @@ def jaccard_links(rows: DataFrame, words: int = STAGE_SHINGLE, similarity: float
                 keys.append(key)
                 sets.append(np.frombuffer(hashes, np.uint64))
         yield from done()
+        release()
 
     signed = rows.mapInArrow(sign, "key long, signs binary").groupBy("key").agg(F.first("signs").alias("signs"))
     spread_out = cut(signed.mapInArrow(spread, "band long, key long"))
