@@ -187,7 +187,7 @@ def test_line_dedup(spark, sf):
 
 def test_full_filters_change_nothing(spark, sf, monkeypatch):
     want = sorted(map(str, line_dedup.op10_line_dedup(spark, sf).collect()))
-    monkeypatch.setattr(line_dedup, "seen_again", lambda d, *a: spark.sparkContext.broadcast(np.full(1 << (line_dedup.FILTER_BITS - 3), 255, np.uint8)))
+    monkeypatch.setattr(line_dedup, "seen_again", lambda d, *a: spark.sparkContext.broadcast(np.full(1 << (line_dedup.LEAST_BITS - 3), 255, np.uint8)))
     assert sorted(map(str, line_dedup.op10_line_dedup(spark, sf).collect())) == want
 
 
@@ -290,9 +290,8 @@ def test_toxic_words_share_no_counts(spark):
         rows.append((i, " ".join(["some", "words", "here", foul if toxic else plain] * 5)))
         marks.append((i, 0, int(toxic)))
     documents, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
-    for order in (1, 2):
-        scored = toxicity.score_documents(documents, toxicity.fit(documents, labels, order)).join(labels, "doc_id").filter("held_out").collect()
-        assert scored and all(r["predicted"] == r["toxic"] for r in scored)
+    scored = toxicity.score_documents(documents, toxicity.fit(documents, labels)).join(labels, "doc_id").filter("held_out").collect()
+    assert scored and all(r["predicted"] == r["toxic"] for r in scored)
 
 
 def test_texts_without_evidence_are_kept(spark, tmp_path):

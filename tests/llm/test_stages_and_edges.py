@@ -116,8 +116,8 @@ def test_no_line_without_key_term_is_near():
     m = licenses.Matcher(licenses.TEMPLATES, {"the": 900, "license": 3, "under": 500}, 1000)
     for _, text in licenses.TEMPLATES:
         words = [w for w in licenses.terms(text) if w not in m.keys]
-        assert m.line(" ".join(words))[1] is None
-        assert m.line(text)[0] > 0.999
+        assert not m.candidates(" ".join(words))
+        assert m.choose(m.candidates(text), {})[0] > 0.999
 
 
 def test_bpe_names_are_decoded(spark, odd):
@@ -191,4 +191,4 @@ def test_simhash_stage_keeps_unlike_texts_of_one_id(spark, tmp_path):
 )
 def test_licence_sentences_within_lines_and_wrapped(text, licence):
     m = licenses.Matcher(licenses.TEMPLATES, {"the": 900, "under": 500, "all": 400, "license": 30, "licensed": 25, "rights": 20, "reserved": 20, "mit": 15}, 1000)
-    assert m.text(text)[1] == licence
+    assert m.choose(m.candidates(text), {})[1] == licence
