@@ -89,28 +89,28 @@ class Matcher:
                 if math.sqrt(light) >= least - 1e-9:
                     keys.add(t)
         self.keys = sorted(keys)
-        any_key = "|".join(map(re.escape, self.keys))
-        self.key_line = re.compile(rf"[^\n]*(?:{any_key})[^\n]*")
+        self.key = re.compile("|".join(map(re.escape, self.keys)))
         self.lengths = [sum(terms(text).values()) for _, text in templates]
         self.holders: dict[str, list[int]] = {k: [i for i, (_, v) in enumerate(self.templates) if k in v] for k in self.keys}
 
-    def cosine(self, counts: dict[str, int], v: dict[str, float], other: dict[str, float] | float) -> float:
-        """Of terms to a template; ``other`` has the weights of terms that no template has, or one for all."""
-        square = 0.0
-        for t, n in counts.items():
-            w = n * (self.idf[t] if t in self.idf else other if isinstance(other, float) else other[t])
-            square += w * w
-        return sum(x * counts[t] * self.idf[t] for t, x in v.items() if t in counts) / math.sqrt(square)
-
     def best(self, run: str, other: dict[str, float] | float) -> tuple[float, str | None]:
-        """The nearest template, the first of equal ones: for a line of all, for a run of those of its length."""
+        """The nearest template, the first of equal ones: for a line of all, for a run of those of its length. ``other`` has the weights of terms that no template has, or one for all."""
         counts, line, best, name = Counter(run.split()), run.startswith(LINE), 0.0, None
-        n = sum(counts.values())
+        w = {t: n * (self.idf[t] if t in self.idf else other if isinstance(other, float) else other[t]) for t, n in counts.items()}
+        n, norm = sum(counts.values()), math.sqrt(sum(x * x for x in w.values()))
         for (licence, v), length in zip(self.templates, self.lengths):
-            if (line or n == length) and (x := self.cosine(counts, v, other)) > best + 1e-12:
+            if (line or n == length) and (x := sum(x * w[t] for t, x in v.items() if t in w) / norm) > best + 1e-12:
                 best, name = x, licence
         return best, name
 
+    def lines(self, text: str) -> Iterator[str]:
+        """Lines that hold a key term."""
+        found = self.key.search(text)
+        while found:
+            end = text.find("\n", found.end())
+            yield text[text.rfind("\n", 0, found.start()) + 1 : end if end >= 0 else len(text)]
+            found = self.key.search(text, end) if end >= 0 else None
+
     def runs(self, text: str) -> dict[int, set[tuple[str, ...]]]:
         """For each template the runs of its length that hold one of its key terms and enough of it."""
         found: dict[int, set[tuple[str, ...]]] = {}
@@ -136,7 +136,7 @@ class Matcher:
         low = text.lower()
         if not any(k in low for k in self.keys):
             return []
-        each = {LINE + " ".join(TERM.findall(line)) for line in self.key_line.findall(low)} - {LINE}
+        each = {LINE + " ".join(TERM.findall(line)) for line in self.lines(low)} - {LINE}
         each |= {" ".join(run) for found in self.runs(low).values() for run in found}
         bounds = []
         for run in each:
