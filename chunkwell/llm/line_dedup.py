@@ -80,7 +80,7 @@ def digest(key: bytes) -> bytes:
 
 def filter_bits(documents: DataFrame) -> int:
     """Bits of a position's number, by the number of lines."""
-    n = documents.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    n = documents.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     return min(max((POSITIONS * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
 
 
