@@ -45,7 +45,7 @@ LENGTH = 30
 #: Cells of the histogram from which the logistic function is fitted, over differences in [-SPAN, SPAN].
 CELLS, SPAN = 4001, 2.0
 #: Labels up to this number are broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_LABELS = 2_000_000
+BROADCAST_LABELS = 500_000
 
 _P = 0x9E3779B97F4A7C15
 _Q = 0xD6E8FEB86659FD93
