@@ -1,4 +1,4 @@
-"""Column expressions for text, tables and vectors; all of them run in the JVM."""
+"""Column expressions for text and tables; all of them run in the JVM."""
 
 from __future__ import annotations
 
@@ -106,18 +106,6 @@ def page_title(text: Column, most: int = MAX_TITLE_CHARS) -> Column:
     return F.when(F.length(paragraph) <= most, paragraph).when((line != "") & (F.length(line) <= most), line)
 
 
-def dot(a: Column, b: Column) -> Column:
-    product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """0 for vectors of different lengths, empty or zero ones."""
-    square = dot(a, a) * dot(b, b)
-    fits = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (square > 0)
-    return F.when(fits, dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))).otherwise(0.0)
-
-
 def contains_either(a: Column, b: Column) -> Column:
     """One is part of the other; an empty one is part of all."""
     return F.contains(a, b) | F.contains(b, a)

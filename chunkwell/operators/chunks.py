@@ -10,6 +10,8 @@ from ..schema import CHUNK, LOW_CONFIDENCE
 from ..sources.files import tier_of
 
 NO_TABLE = "array<array<string>>"
+#: Fixed value: how recognised text is marked.
+RECOGNISED = "tesseract-ocr"
 
 
 def low_confidence(confidence: Column) -> Column:
@@ -31,20 +33,21 @@ def sectioned_pieces(blocks: DataFrame) -> DataFrame:
     texts = texts.select("doc_id", "pos", "section", F.posexplode(pack(F.transform("l", lambda x: x["text"]))).alias("piece", "text"))
     texts = texts.select("doc_id", "pos", "piece", "section", "text", F.lit(None).cast(NO_TABLE).alias("table"))
     tables = kept.filter("type = 'table'").select("doc_id", "pos", F.lit(0).alias("piece"), "section", F.lit(None).cast("string").alias("text"), F.col("rows").alias("table"))
-    none = [F.lit(None).cast("int").alias("page"), F.lit(None).cast("double").alias("confidence")]
+    none = [F.lit(None).cast("int").alias("page"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("recognised")]
     return texts.unionByName(tables).select("*", *none)
 
 
 def paged_pieces(blocks: DataFrame, split: bool = True) -> DataFrame:
-    """Pieces of documents with pages: each text is split on its own; ``split`` false keeps them whole, as for single recognised pages."""
-    texts = blocks.filter("type = 'text'").select("doc_id", "pos", "page", "confidence", F.posexplode(split_long(F.col("text")) if split else F.array("text")).alias("piece", "text"))
+    """Pieces of documents with pages: each text is split on its own; ``split`` false keeps them whole, as are single recognised pages among others (type ``recognised``)."""
+    units = F.when(F.col("type") == "text", split_long(F.col("text"))).otherwise(F.array("text")) if split else F.array("text")
+    texts = blocks.filter("type in ('text', 'recognised')").select("doc_id", "pos", "page", "confidence", (F.col("type") == "recognised").alias("recognised"), F.posexplode(units).alias("piece", "text"))
     texts = texts.withColumn("table", F.lit(None).cast(NO_TABLE))
     tables = blocks.filter("type = 'table'").select("doc_id", "pos", "page", "confidence", F.lit(0).alias("piece"), F.lit(None).cast("string").alias("text"), F.col("rows").alias("table"))
-    return texts.unionByName(tables).withColumn("section", F.lit(None).cast("string"))
+    return texts.unionByName(tables.withColumn("recognised", F.lit(False))).withColumn("section", F.lit(None).cast("string"))
 
 
 def build_chunks(pieces: DataFrame, documents: DataFrame) -> DataFrame:
-    """The chunks table with ``ord``, without entities, from pieces and (doc_id, doc_title, category, format, method, rank).
+    """The chunks table with its place (rank, n), without entities, from pieces and (doc_id, doc_title, category, format, method, rank).
 
     Blank texts and tables without a filled cell go before chunks are numbered.
     """
@@ -56,7 +59,7 @@ def build_chunks(pieces: DataFrame, documents: DataFrame) -> DataFrame:
     out = joined.select(
         F.format_string("%s::%03d", "doc_id", "n").alias("id"), "doc_id", "doc_title", "category", "format", tier_of(F.col("category")).alias("reliability_tier"),
         F.col("page").cast("int"), "section", F.when(F.col("table").isNull(), "text").otherwise("table").alias("chunk_type"), "text", "table",
-        F.array().cast("array<string>").alias("entities"), F.col("method").alias("extraction_method"), F.col("confidence").alias("extraction_confidence"),
+        F.array().cast("array<string>").alias("entities"), F.when(F.col("recognised"), RECOGNISED).otherwise(F.col("method")).alias("extraction_method"), F.col("confidence").alias("extraction_confidence"),
         low_confidence(F.col("confidence")).alias("low_confidence"), F.length(shown).alias("char_count"), "rank", "n",
     )
     return out
@@ -80,7 +83,7 @@ def counts_by(documents: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
 
 
 def meta(documents: DataFrame, chunks: DataFrame, vocabulary: DataFrame, archive_root: str, ocr_available: bool = True, sample_mode: int | None = None) -> DataFrame:
-    """One row that describes the corpus."""
+    """One row that describes the corpus; the archive is named by its last folder."""
     as_map = lambda f, k: f.agg(F.map_from_entries(F.collect_list(F.struct(F.col(k), F.col("chunk_count").cast("int")))).alias(f"by_{k}"))
     methods = chunks.groupBy("extraction_method").agg(F.count(F.lit(1)).alias("chunk_count"))
     one = documents.agg(F.count(F.lit(1)).cast("int").alias("document_count"))
@@ -92,6 +95,6 @@ def meta(documents: DataFrame, chunks: DataFrame, vocabulary: DataFrame, archive
         one = one.crossJoin(f)  # single rows
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     return one.select(
-        now.alias("generated_at"), F.lit(archive_root).alias("archive_root"), "document_count", "chunk_count", "by_category", "by_format", "by_extraction_method",
+        now.alias("generated_at"), F.lit(archive_root.rstrip("/").rpartition("/")[2]).alias("archive_root"), "document_count", "chunk_count", "by_category", "by_format", "by_extraction_method",
         "low_confidence_chunk_count", "entity_count", F.lit(ocr_available).alias("ocr_available"), F.lit(sample_mode).cast("int").alias("sample_mode"),
     )

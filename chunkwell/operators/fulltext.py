@@ -1,28 +1,90 @@
-"""Keyword search: postings, BM25, phrases and terms alike within some edits.
+"""Keyword search: an index of postings, BM25, phrases and terms alike within some edits.
 
-Scores follow Robertson and Zaragoza (2009), with idf ln(1 + (N - df + 0.5) / (df + 0.5)), over one field.
+Scores follow Robertson and Zaragoza (2009), with idf ln(1 + (N - df + 0.5) / (df + 0.5)), within one field.
+The index is built once and asked often: its postings lie in folders by a hash of their terms and are sorted by term, so that a search reads
+the folders of its terms only.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_text, tokens
 from ..schema import RESULT_LIMIT
 
 K1, B = 1.2, 0.75
-#: Terms of a batch of queries up to this number are broadcast.
-MOST_TERMS = 100_000
+#: Terms of a batch of queries up to this number are broadcast; fuzzy queries up to that number are compared with all terms.
+MOST_TERMS, MOST_FUZZY = 100_000, 1000
+#: Folders of an index's postings.
+FOLDERS = 64
+#: Fields of a chunk that an index holds, under all names a query may give them; ``all`` is all of them together.
+FIELDS = {
+    "all": "all", "_all": "all", "title": "title", "doctitle": "title", "section": "section", "text": "text", "category": "category",
+    "tier": "tier", "reliabilitytier": "tier", "entities": "entities",
+}
 
 
-def index_text(chunks: DataFrame) -> DataFrame:
-    """(id, text) of what is searched: title, section, text or table, category, tier and entities; chunks without text or table are left out."""
+def field_texts(chunks: DataFrame) -> DataFrame:
+    """(id, field, text) of what is searched: title, section, text or table, category, tier and entities, each and all together; chunks without text or table are left out."""
     body = search_text(F.col("text"), F.col("table"))
-    fields = F.concat_ws("\n", "doc_title", F.coalesce("section", F.lit("")), body, "category", "reliability_tier", F.array_join("entities", " "))
-    return chunks.filter(body != "").select("id", fields.alias("text"))
+    each = {"title": F.col("doc_title"), "section": F.coalesce("section", F.lit("")), "text": body, "category": F.col("category"), "tier": F.col("reliability_tier"), "entities": F.array_join("entities", " ")}
+    each = {"all": F.concat_ws("\n", *each.values()), **each}
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), F.coalesce(v, F.lit("")).alias("text")) for k, v in each.items()])
+    return chunks.filter(body != "").select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.text")
+
+
+def index_text(chunks: DataFrame) -> DataFrame:
+    """(id, text) of all that is searched together."""
+    return field_texts(chunks).filter("field = 'all'").select("id", "text")
+
+
+@dataclass
+class Index:
+    """``postings`` (folder, field, term, id, dl, positions), ``stats`` (field, n, avgdl) and ``terms`` (field, term, df)."""
+
+    postings: DataFrame
+    stats: DataFrame
+    terms: DataFrame
+
+    def size(self) -> int:
+        """Texts that are indexed."""
+        return int(self.stats.filter("field = 'all'").agg(F.sum("n")).first()[0] or 0)
+
+    def save(self, path: str) -> Index:
+        spark = self.postings.sparkSession
+        rows = self.postings.repartition("folder", F.xxhash64("term") % 4).sortWithinPartitions("folder", "field", "term")
+        rows.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        #: from the postings as written
+        counted(spark.read.parquet(f"{path}/postings")).repartition(4).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
+        return load_index(spark, path)
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "stats", "terms")))
+
+
+def folder_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
+
+
+def counted(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def build_index(texts: DataFrame) -> Index:
+    """The index of (id, text) or (id, field, text). Texts without a token count among the texts of their field."""
+    fielded = texts if "field" in texts.columns else texts.withColumn("field", F.lit("all"))
+    words = fielded.select("id", "field", tokens(F.col("text")).alias("w"))
+    each = words.select("id", "field", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term"))
+    postings = each.groupBy("field", "id", "dl", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    postings = postings.select(folder_of(F.col("term")).alias("folder"), "field", "term", "id", "dl", "positions")
+    stats = words.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    return Index(postings, stats, counted(postings))
 
 
 def doc_lengths(texts: DataFrame) -> DataFrame:
@@ -30,7 +92,7 @@ def doc_lengths(texts: DataFrame) -> DataFrame:
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """(term, id, tf): what a search reads; written sorted by term it answers searches by ranges."""
+    """(term, id, tf) of (id, text)."""
     return texts.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -47,26 +109,45 @@ def idf(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = RESULT_LIMIT) -> DataFrame:
-    """(qid, rank, id, score) for all queries at once. Scores are rounded before ties go by id.
+def scored(hits: DataFrame, stats: DataFrame) -> DataFrame:
+    """(field, term, id, part) of (field, term, id, tf, dl): a text's share of a score for each asked term. ``hits`` holds all texts of these terms."""
+    with_df = hits.join(hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), ["field", "term"])
+    both = with_df.join(F.broadcast(stats), "field")  # a row for each field
+    part = idf(F.col("df"), F.col("n")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return both.select("field", "term", "id", part.alias("part"))
+
+
+def small(terms: DataFrame) -> DataFrame:
+    """Terms, broadcast if they are few enough."""
+    return F.broadcast(terms) if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS else terms
+
+
+def asked_postings(index: Index, asked: DataFrame) -> DataFrame:
+    """The postings of asked (field, term), from the folders of these terms only."""
+    terms = asked.select("field", "term").distinct()
+    folders = [r[0] for r in terms.select(folder_of(F.col("term"))).distinct().collect()]  # FOLDERS at most
+    return index.postings.filter(F.col("folder").isin(folders)).drop("folder").join(small(terms), ["field", "term"])
 
-    One pass over the texts counts each text's asked terms, and all others together, within tasks
+
+def bm25(source: DataFrame | Index, queries: DataFrame, limit: int | None = RESULT_LIMIT) -> DataFrame:
+    """(qid, rank, id, score) for all queries at once, from an index or from texts (id, text). Scores are rounded before ties go by id.
+
+    From texts it is one pass, which counts each text's asked terms, and all others together, within tasks
     first; lengths, document frequencies and the corpus's figures all come from those counts.
     """
-    asked = query_terms(queries)
-    terms = asked.select("term").distinct().withColumn("asked", F.lit(True))
-    if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        terms = F.broadcast(terms)
-    each = texts.select("id", F.explode_outer(tokens(F.col("text"))).alias("term")).join(terms, "term", "left")
-    counted = each.groupBy("id", F.when(F.col("asked"), F.col("term")).alias("asked_term")).agg(F.count("term").alias("tf"))
-    lengths = counted.groupBy("id").agg(F.sum("tf").alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hits = counted.filter("asked_term is not null").withColumnRenamed("asked_term", "term").join(lengths, "id")
-    with_df = hits.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
-    scored = with_df.crossJoin(F.broadcast(stats))  # one row
-    part = idf(F.col("df"), F.col("n")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = scored.select("term", "id", part.alias("part")).join(asked, "term")
-    sums = scored.groupBy("qid", "id").agg(F.round(F.sum(F.col("part") * F.col("weight")), 6).alias("score"))
+    asked = query_terms(queries).withColumn("field", F.lit("all"))
+    if isinstance(source, Index):
+        hits = asked_postings(source, asked).withColumn("tf", F.size("positions"))
+        stats = source.stats
+    else:
+        terms = small(asked.select("term").distinct().withColumn("asked", F.lit(True)))
+        each = source.select("id", F.explode_outer(tokens(F.col("text"))).alias("term")).join(terms, "term", "left")
+        counts = each.groupBy("id", F.when(F.col("asked"), F.col("term")).alias("asked_term")).agg(F.count("term").alias("tf"))
+        lengths = counts.groupBy("id").agg(F.sum("tf").alias("dl"))
+        stats = lengths.agg(F.lit("all").alias("field"), F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        hits = counts.filter("asked_term is not null").withColumnRenamed("asked_term", "term").join(lengths, "id").withColumn("field", F.lit("all"))
+    parts = scored(hits, stats).join(asked, ["field", "term"])
+    sums = parts.groupBy("qid", "id").agg(F.round(F.sum(F.col("part") * F.col("weight")), 6).alias("score"))
     return top(sums, limit)
 
 
@@ -76,52 +157,113 @@ def top(scores: DataFrame, limit: int | None, key: str = "id") -> DataFrame:
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
-def phrase(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id): texts that hold all tokens of a query one after another. Queries are blocked by their first token."""
+def phrase(source: DataFrame | Index, queries: DataFrame, field: str = "all") -> DataFrame:
+    """(qid, id): texts that hold all tokens of a query one after another.
+
+    From an index by the positions of the tokens; from texts by blocking queries by their first token.
+    """
     asked = queries.select("qid", tokens(F.col("query")).alias("q")).filter(F.size("q") > 0)
+    if isinstance(source, Index):
+        each = asked.select("qid", F.size("q").alias("n"), F.posexplode("q").alias("k", "term")).withColumn("field", F.lit(field))
+        found = asked_postings(source, each).join(each, ["field", "term"])
+        #: where the phrase would begin by each of its tokens
+        begins = found.select("qid", "id", "n", "k", F.transform("positions", lambda p: p - F.col("k")).alias("at"))
+        met = begins.groupBy("qid", "id", "n").agg(F.collect_list("at").alias("l")).filter(F.size("l") == F.col("n"))
+        held = F.aggregate(F.slice("l", 2, F.size("l")), F.get("l", F.lit(0)), F.array_intersect)
+        return met.filter(F.size(held) > 0).select("qid", "id")
     asked = asked.select("qid", F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" ")).alias("q"), F.get("q", F.lit(0)).alias("term"))
     #: the queries' first tokens as one array, so that only texts that hold one of them go on
     first = asked.agg(F.collect_set("term").alias("t")).scalar()
-    words = texts.select("id", tokens(F.col("text")).alias("w"))
+    words = source.select("id", tokens(F.col("text")).alias("w"))
     held = words.withColumn("term", F.explode(F.array_intersect("w", first)))
     each = held.select("id", "term", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("all"))
     return each.join(asked, "term").filter(F.contains("all", "q")).select("qid", "id")
 
 
-def fuzzy(texts: DataFrame, queries: DataFrame, edits: int = 1) -> DataFrame:
+def deletions(word: Column, edits: int) -> Column:
+    """A word and all that is left of it after up to so many letters are taken out."""
+    out = F.array(word)
+    for _ in range(edits):
+        without = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array(x))
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, without))))
+    return out
+
+
+def near_terms(terms: DataFrame, asked: DataFrame, edits: int = 1) -> DataFrame:
+    """(qid, term): the distinct ``terms`` (term) within some edits of (qid, q).
+
+    Few queries are broadcast and compared with all terms, in a pass that stops counting at ``edits``. Many meet terms by what both are
+    with letters taken out: two words within ``edits`` of each other have such a remainder in common.
+    """
+    if asked.limit(MOST_FUZZY + 1).count() <= MOST_FUZZY:
+        return terms.join(F.broadcast(asked), F.levenshtein("term", "q", edits) >= 0).select("qid", "term")
+    left = terms.select("term", F.explode(deletions(F.col("term"), edits)).alias("rest"))
+    right = asked.select("qid", "q", F.explode(deletions(F.col("q"), edits)).alias("rest"))
+    return left.join(right, "rest").select("qid", "term", "q").distinct().filter(F.levenshtein("term", "q") <= edits).select("qid", "term")
+
+
+def fuzzy(source: DataFrame | Index, queries: DataFrame, edits: int = 1) -> DataFrame:
     """(qid, term, id) for queries of single terms: terms of the corpus within some edits. Distinct terms are compared, not texts."""
-    posted = postings(texts)
-    terms = posted.select("term").distinct().withColumn("n", F.length("term"))
-    asked = queries.select("qid", F.lower("query").alias("q")).withColumn("n", F.explode(F.sequence(F.greatest(F.length("q") - edits, F.lit(0)), F.length("q") + edits)))
-    near = terms.join(asked, "n").filter(F.levenshtein("term", "q") <= edits).select("qid", "term")
-    return posted.join(near, "term").select("qid", "term", "id")
-
-
-def parse_query(text: str) -> dict[str, list]:
-    """A query string's parts: ``"a phrase"``, ``+must``, ``-not``, ``near~1`` and plain terms; a field's name before a colon and a boost after ^ are read over."""
-    out: dict[str, list] = {"phrases": [], "must": [], "not": [], "fuzzy": [], "terms": []}
-    for sign, field, quoted, word in re.findall(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|(\S+))', text):
-        word = re.sub(r"\^[\d.]+$", "", word)
-        edits = re.search(r"~(\d*)$", word)
-        if quoted:
-            out["phrases"].append(quoted)
-        elif edits:
-            out["fuzzy"].append((word[: edits.start()], int(edits[1] or 1)))
-        elif word:
-            out[{"+": "must", "-": "not"}.get(sign, "terms")].append(word)
+    asked = queries.select("qid", F.lower("query").alias("q"))
+    if isinstance(source, Index):
+        near = near_terms(source.terms.filter("field = 'all'").select("term"), asked, edits)
+        return asked_postings(source, near.withColumn("field", F.lit("all"))).join(near, "term").select("qid", "term", "id")
+    each = source.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    near = near_terms(each.select("term").distinct(), asked, edits)
+    return each.join(small(near), "term").select("qid", "term", "id")
+
+
+@dataclass
+class Clause:
+    """A part of a query string. ``sign`` is + (must), - (must not) or empty (may); ``edits`` is None but for fuzzy words."""
+
+    text: str
+    sign: str = ""
+    field: str = "all"
+    boost: float = 1.0
+    quoted: bool = False
+    edits: int | None = None
+
+
+def parse_query(text: str) -> list[Clause]:
+    """A query string's parts: ``word``, ``"a phrase"``, ``+must``, ``-not``, ``near~1``, each with a field before a colon and a boost after ^. An unknown field is a word like any other."""
+    out = []
+    for sign, field, quoted, word, boost in re.findall(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|([^\s"^]+))(?:\^([\d.]+))?', text):
+        if field and field.lower() not in FIELDS:
+            word, field = f"{field} {word}", ""
+        near = re.search(r"~(\d*)$", word)
+        clause = Clause(quoted or (word[: near.start()] if near else word), sign, FIELDS[field.lower() or "all"], float(boost or 1), bool(quoted), int(near[1] or 1) if near else None)
+        if clause.text:
+            out.append(clause)
     return out
 
 
-def search(texts: DataFrame, text: str, limit: int | None = RESULT_LIMIT) -> DataFrame:
-    """One query string: ranked by BM25 over its terms and phrases' words, held to its phrases, + and - terms, widened by its fuzzy terms."""
-    spark, parts = texts.sparkSession, parse_query(text)
-    one = lambda q: spark.createDataFrame([(0, q)], "qid int, query string")
-    words = [*parts["terms"], *parts["must"], *parts["phrases"]]
-    for word, edits in parts["fuzzy"]:
-        words += [r["term"] for r in fuzzy(texts, one(word), edits).select("term").distinct().limit(100).collect()]
-    scored = bm25(texts, one(" ".join(words)), None)
-    for p in (*parts["phrases"], *parts["must"]):
-        scored = scored.join(phrase(texts, one(p)).select("id"), "id", "left_semi")
-    for p in parts["not"]:
-        scored = scored.join(phrase(texts, one(p)).select("id"), "id", "left_anti")
-    return top(scored.drop("rank"), limit)
+def search(source: DataFrame | Index, text: str, limit: int | None = RESULT_LIMIT) -> DataFrame:
+    """One query string, ranked by the sum of its parts' scores times their boosts, held to its phrases, + and - parts. From texts an index is built, of one field.
+
+    A text that holds none of the parts that score is no hit. A fuzzy word scores by all terms within its edits.
+    """
+    index = source if isinstance(source, Index) else build_index(source)
+    spark, clauses = index.postings.sparkSession, parse_query(text)
+    asked = spark.createDataFrame([(i, c.field, c.boost, c.text) for i, c in enumerate(clauses) if c.sign != "-" and c.edits is None] or [(0, "all", 0.0, "")], "c int, field string, boost double, query string")
+    terms = asked.select("c", "field", "boost", F.explode(tokens(F.col("query"))).alias("term"))
+    for edits in sorted({c.edits for c in clauses if c.edits is not None}):
+        near = spark.createDataFrame([(i, c.field, c.boost, c.text.lower()) for i, c in enumerate(clauses) if c.edits == edits], "qid int, f string, boost double, q string")
+        words = near_terms(index.terms.select("term").distinct(), near.select("qid", "q"), edits).join(F.broadcast(near), "qid")
+        terms = terms.unionByName(words.select(F.col("qid").alias("c"), F.col("f").alias("field"), "boost", "term"))
+    terms = terms.groupBy("c", "field", "term").agg(F.sum("boost").alias("weight"))
+    hits = asked_postings(index, terms).withColumn("tf", F.size("positions"))
+    each = scored(hits, index.stats).join(terms, ["field", "term"]).select("c", "id", (F.col("part") * F.col("weight")).alias("part"))
+    wanted = [i for i, c in enumerate(clauses) if c.sign != "-"]
+    sums = each.filter(F.col("c").isin(wanted)).groupBy("id").agg(F.round(F.sum("part"), 6).alias("score")).select(F.lit(0).alias("qid"), "id", "score")
+    for i, c in enumerate(clauses):
+        own = spark.createDataFrame([(0, c.text)], "qid int, query string")
+        held = phrase(index, own, c.field).select("id") if c.quoted or c.edits is None and c.sign else each.filter(F.col("c") == i).select("id")
+        if c.quoted or c.sign:
+            sums = sums.join(held, "id", "left_anti" if c.sign == "-" else "left_semi")
+    return top(sums, limit)
+
+
+def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The hits (qid, rank, id, score) with all columns of their chunks; hits without a chunk go."""
+    return hits.join(chunks, "id")

@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_either
 
-#: Rows of a side that is broadcast for the comparison of parts.
+#: Rows of a side that is broadcast at a time.
 MOST_BROADCAST = 100_000
 
 
-def exact_or_partial(requests: DataFrame, keys: DataFrame) -> DataFrame:
+def broadcast_parts(frame: DataFrame, most: int = MOST_BROADCAST) -> list[DataFrame]:
+    """A frame whole if it has ``most`` rows at most, else in parts by a hash of its rows, each of about as many rows; for joins that need one side broadcast."""
+    n = frame.count()
+    parts = -(-n // most)
+    if parts < 2:
+        return [frame] if n else []
+    return [frame.filter(F.pmod(F.xxhash64(*frame.columns), F.lit(parts)) == k) for k in range(parts)]
+
+
+def exact_or_partial(requests: DataFrame, keys: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """(qid, key) for (qid, want) and distinct (key): an equal key for a request keeps its partial ones away.
 
     Equal keys by an equi-join. Only requests without one are compared with all keys, which needs
-    one side broadcast: the requests, whose number is checked.
+    one side broadcast: the requests, whose number is checked and which go in parts if they are many.
     """
-    equal = requests.join(keys, F.col("want") == F.col("key")).select("qid", "key")
+    out = requests.join(keys, F.col("want") == F.col("key")).select("qid", "key")
     rest = requests.join(keys, F.col("want") == F.col("key"), "left_anti").select("qid", "want")
-    n = rest.limit(MOST_BROADCAST + 1).count()
-    if not n:
-        return equal
-    if n > MOST_BROADCAST:
-        raise ValueError(f"over {MOST_BROADCAST} requests without an equal key at once; ask in batches")
-    part = keys.join(F.broadcast(rest), contains_either(F.col("key"), F.col("want"))).select("qid", "key")
-    return equal.unionByName(part)
+    for part in broadcast_parts(rest, most):
+        out = out.unionByName(keys.join(F.broadcast(part), contains_either(F.col("key"), F.col("want"))).select("qid", "key"))
+    return out

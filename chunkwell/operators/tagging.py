@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MAX_ENTITIES
+from .match import broadcast_parts
 
-#: Names without any token, which all texts must be searched for.
+#: Names without any token that are broadcast at a time; all texts must be searched for them.
 MOST_BARE = 1000
 TOKEN = r"[\p{L}\p{N}_]+"
 
@@ -32,11 +33,8 @@ def matches(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     doubtful = pairs.filter(~F.col("sure")).join(chunks.select("id", "text"), "id").filter(F.rlike(F.col("text"), pattern(F.col("name"))))
     out = pairs.filter("sure").select("id", "name").unionByName(doubtful.select("id", "name"))
     bare = names.filter("token = ''").select("name")
-    if bare.limit(1).count():
-        if bare.limit(MOST_BARE + 1).count() > MOST_BARE:
-            raise ValueError(f"over {MOST_BARE} names without a letter or digit")
-        rest = chunks.select("id", "text").join(F.broadcast(bare), F.rlike(F.col("text"), pattern(F.col("name"))))
-        out = out.unionByName(rest.select("id", "name"))
+    for part in broadcast_parts(bare, MOST_BARE):
+        out = out.unionByName(chunks.select("id", "text").join(F.broadcast(part), F.rlike(F.col("text"), pattern(F.col("name")))).select("id", "name"))
     return out
 
 

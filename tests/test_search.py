@@ -127,3 +127,74 @@ def test_tagging(spark):
     assert len(rows) == 25 and [len(r["name"]) for r in rows] == sorted((len(r["name"]) for r in rows), reverse=True)
     tagged = tg.with_entities(spark.createDataFrame([chunk(id="1", text="Salt Gate")], CHUNK), names, F.col("text")).first()
     assert tagged["entities"] == ["Salt Gate", "Gate"]
+
+
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
+    rows = [
+        chunk(id="1", text="The Salt Gate stands by the river.", section="Places", entities=["Salt Gate", "Marn"]),
+        chunk(id="2", chunk_type="table", table=[["Height", "forty cubits"], ["Builder", "Orrin Vale"]]),
+        chunk(id="3", text="Marn was seen at the Salt Gate twice."),
+        chunk(id="4"),
+    ]
+    return ft.build_index(ft.field_texts(spark.createDataFrame(rows, CHUNK))).save(str(tmp_path_factory.mktemp("index")))
+
+
+def test_saved_index(spark, index):
+    assert index.size() == 3
+    assert found(spark, index, "Orrin Vale") == ["2"] and found(spark, index, "zzz-qqq") == [] and found(spark, index, "gate", 0) == []
+    assert found(spark, index, '"gate twice"') == ["3"] and found(spark, index, "gate -twice") == ["1"] and found(spark, index, "rivre~2") == ["1"]
+    assert found(spark, index, 'section:places') == ["1"] and found(spark, index, "Entities:marn") == ["1"] and found(spark, index, "+marn +twice") == ["3"]
+    assert found(spark, index, "nofield:cubits") == ["2"] and found(spark, index, '-"salt gate" cubits') == ["2"] and found(spark, index, "-marn") == []
+    assert found(spark, index, "river twice^9")[0] == "3" and found(spark, index, "river^9 twice")[0] == "1" and found(spark, index, "-rivre~2 gate") == ["3"]
+
+
+def test_a_search_reads_the_folders_of_its_terms(spark, index):
+    asked = spark.createDataFrame([(0, "cubits")], "qid int, query string")
+    plan = ft.bm25(index, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan or "PartitionFilters: [(folder" in plan or "folder#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert ft.bm25(index, asked).first()["id"] == "2"
+
+
+def test_texts_and_index_give_the_same(spark, sf):
+    from chunkwell.queries import chunk_texts, t
+
+    texts, asked = chunk_texts(spark, sf), t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    rows = lambda frame: sorted(map(str, frame.collect()))
+    assert rows(ft.bm25(texts, asked).select("qid", "id", "rank", "score")) == rows(ft.bm25(ft.build_index(texts), asked).select("qid", "id", "rank", "score"))
+
+
+def test_all_near_terms_count(spark, monkeypatch):
+    """Over a hundred terms within one edit, by either way of finding them."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    near = {"stone"[:i] + c + "stone"[i + 1 :] for i in range(5) for c in letters} | {"stone"[:i] + c + "stone"[i:] for i in range(6) for c in letters} | {"tone", "sone", "stne", "stoe", "ston"}
+    rows = [(w, w) for w in sorted(near)] + [("far", "stbbbe"), ("two", "stonexx"), ("far2", "xtine")]
+    texts = spark.createDataFrame(rows, "id string, text string")
+    assert len(near) > 150 and {r["id"] for r in ft.search(texts, "stone~1", None).collect()} == near
+    one = spark.createDataFrame([(0, "stone"), (1, "x")], "qid int, query string")
+    by_pairs = {r["id"] for r in ft.fuzzy(texts, one).filter("qid = 0").collect()}
+    monkeypatch.setattr(ft, "MOST_FUZZY", 0)
+    assert by_pairs == near == {r["id"] for r in ft.fuzzy(texts, one).filter("qid = 0").collect()}
+    two = {r["id"] for r in ft.fuzzy(texts, one, 2).filter("qid = 0").collect()}
+    monkeypatch.setattr(ft, "MOST_FUZZY", 1000)
+    assert two == {r["id"] for r in ft.fuzzy(texts, one, 2).filter("qid = 0").collect()} > near
+
+
+def test_many_requests_go_in_parts(spark):
+    from chunkwell.operators.match import exact_or_partial
+
+    keys = spark.createDataFrame([(f"key {i}",) for i in range(30)], "key string")
+    asked = spark.createDataFrame([(i, f"{i}") for i in range(30)] + [(99, "key 3")], "qid int, want string")
+    rows = lambda most: sorted(map(str, exact_or_partial(asked, keys, most).collect()))
+    assert rows(100_000) == rows(4) and len(rows(4)) > 31
+    vectors = spark.createDataFrame([(i, [float(i), 1.0, float(i % 3)]) for i in range(40)], "id int, embedding array<float>")
+    queries = vectors.selectExpr("id as qid", "embedding as query")
+    rows = lambda most, limit: sorted(map(str, vs.search(vectors, queries, limit, most=most).select("qid", "id", "rank", "score").collect()))
+    assert rows(10_000, 3) == rows(7, 3) and len(rows(7, 3)) == 120 and len(rows(7, 0)) == 1600
+    assert vs.search(vectors, queries.filter("qid < 0")).count() == 0
+
+
+def test_chunks_of_hits(spark, texts):
+    hits = ft.bm25(texts, spark.createDataFrame([(0, "river")], "qid int, query string"))
+    chunks = spark.createDataFrame([chunk(id="1", text="whole"), chunk(id="9", text="other")], CHUNK)
+    assert [(r["id"], r["text"], r["rank"]) for r in ft.with_chunks(hits, chunks).collect()] == [("1", "whole", 1)]
