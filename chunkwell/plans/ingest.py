@@ -1,6 +1,6 @@
 """The job that makes the chunks table of an archive.
 
-python -m chunkwell.plans.ingest --archive DIR --out DIR [--sample N] [--skip-ocr]
+python -m chunkwell.plans.ingest --archive DIR --out DIR [--sample N] [--skip-ocr] [--artifact]
 """
 
 from __future__ import annotations
@@ -12,16 +12,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared_folder
 from ..functions.text import file_title, page_title, table_text
 from ..operators import chunks as ch
 from ..operators.tagging import with_entities
 from ..sources import artifact, files as fs, markup
-from ..sources.adapters import docx_parser, parsed_blocks, pdf_parser
+from ..sources.adapters import Recogniser, docx_parser, image_parser, parsed_blocks, pdf_parser, recogniser, scan_parser, with_recognised
 
-METHODS = {"md": "markdown", "txt": "plain-text", "docx": "python-docx", "pdf": "pdfplumber", "scan_pdf": "tesseract-ocr", "image": "tesseract-ocr"}
+#: How the text of each format is got, as chunks name it.
+METHODS = {"md": "markdown", "txt": "plain-text", "docx": "python-docx", "pdf": "pdfplumber", "scan_pdf": ch.RECOGNISED, "image": ch.RECOGNISED}
 SECTIONED = ("md", "txt", "docx")
 
 
+def titles(blocks: DataFrame, listed: DataFrame) -> DataFrame:
+    """(doc_id, doc_title): of Markdown its title line, of a PDF what its first block begins with, of DOCX its first heading, else and for all others the file's name."""
+    first = blocks.groupBy("doc_id").agg(
+        F.max(F.when(F.col("type") == "title", F.col("text"))).alias("title"),
+        F.min_by(F.struct("type", "text"), "pos").alias("first"),
+        F.min_by("text", F.when(F.col("type") == "heading", F.col("pos"))).alias("heading"),
+    )
+    stem = F.regexp_replace(F.element_at(F.split("doc_id", "/"), -1), r"(?<=.)(?i:\.scan\.pdf|\.[^.]*)$", "")
+    of_page = F.when(F.col("first.type") == "text", page_title(F.col("first.text")))
+    named = listed.select("doc_id", "format").join(first, "doc_id", "left")
+    own = F.when(F.col("format").isin("md", "txt"), F.col("title")).when(F.col("format") == "docx", F.col("heading")).when(F.col("format") == "pdf", of_page)
+    rest = F.when(F.col("format") == "md", "Untitled").otherwise(file_title(stem))
+    return named.select("doc_id", F.when(own != "", own).otherwise(rest).alias("doc_title"))
+
+
+def pieces_of(blocks: DataFrame, listed: DataFrame) -> DataFrame:
+    """Pieces of blocks by their documents' formats: with headings, with pages, or whole as plates."""
+    typed = blocks.join(listed.select("doc_id", "format"), "doc_id")
+    sectioned = ch.sectioned_pieces(typed.filter(F.col("format").isin(*SECTIONED)).drop("format"))
+    paged = ch.paged_pieces(typed.filter(~F.col("format").isin(*SECTIONED, "image")))
+    return sectioned.unionByName(paged).unionByName(ch.paged_pieces(typed.filter("format = 'image'"), split=False))
+
+
+def chunked(blocks: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks in the order of the walk, of blocks and (doc_id, category, format, rank)."""
+    method = F.try_element_at(F.create_map(*[F.lit(x) for p in METHODS.items() for x in p]), F.col("format"))
+    documents = listed.select("doc_id", "category", "format", "rank").join(titles(blocks, listed), "doc_id")
+    documents = documents.select("doc_id", "doc_title", "category", "format", "rank", method.alias("method"))
+    return documents, ch.in_corpus_order(ch.build_chunks(pieces_of(blocks, listed), documents))
+
+
 def ingest(listed: DataFrame, vocabulary: DataFrame | None = None, parsers: dict[str, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents and chunks of files (doc_id, category, format, rank, content).
 
@@ -33,52 +66,61 @@ def ingest(listed: DataFrame, vocabulary: DataFrame | None = None, parsers: dict
     blocks = markup.markdown_blocks(of("md")).unionByName(markup.plain_blocks(of("txt"))).select("*", *no_conf)
     for f, parser in (parsers or {}).items():
         blocks = blocks.unionByName(parsed_blocks(listed.filter(F.col("format") == f), parser))
-    first = blocks.groupBy("doc_id").agg(
-        F.max(F.when(F.col("type") == "title", F.col("text"))).alias("title"),
-        F.min_by(F.when(F.col("type") == "text", F.col("text")), "pos").alias("first_text"),
-        F.min_by("text", F.when(F.col("type") == "heading", F.col("pos"))).alias("heading"),
-    )
-    stem = F.regexp_replace(F.element_at(F.split("doc_id", "/"), -1), r"(?i)(\.scan)?\.[^.]*$", "")
-    own = F.when(F.col("format") == "md", F.coalesce("title", F.lit("Untitled"))).when(F.col("format") == "docx", F.col("heading")).when(F.col("format").isin("pdf", "scan_pdf"), page_title(F.col("first_text"))).otherwise(F.col("title"))
-    method = F.try_element_at(F.create_map(*[F.lit(x) for p in METHODS.items() for x in p]), F.col("format"))
-    documents = listed.select("doc_id", "category", "format", "rank").join(first, "doc_id", "left")
-    documents = documents.select("doc_id", F.coalesce(own, file_title(stem)).alias("doc_title"), "category", "format", "rank", method.alias("method"))
-    typed = blocks.join(listed.select("doc_id", "format"), "doc_id")
-    paged = typed.filter(~F.col("format").isin(*SECTIONED, "image"))
-    pieces = ch.sectioned_pieces(typed.filter(F.col("format").isin(*SECTIONED)).drop("format")).unionByName(ch.paged_pieces(paged)).unionByName(ch.paged_pieces(typed.filter("format = 'image'"), split=False))
-    made = ch.in_corpus_order(ch.build_chunks(pieces, documents))
+    #: titles and pieces both read blocks, and a file should be parsed once
+    shared_folder(listed.sparkSession)
+    documents, made = chunked(blocks.checkpoint(), listed)
     if vocabulary is not None:
         made = with_entities(made, vocabulary, F.coalesce("text", table_text(F.col("table"))))
     return documents, made
 
 
-def main(args: list[str] | None = None) -> int:
+def usual_parsers(skip_ocr: bool = False, make_recogniser: Callable[[], Recogniser] = recogniser) -> tuple[dict[str, Callable], bool]:
+    """Parsers of the libraries that are there, and whether recognition was wanted and cannot be had.
+
+    Whether it can be had is found out once, before the run: a job on many executors has no first file.
+    """
+    parsers, made, missing = {}, None, False
+    if not skip_ocr:
+        try:
+            made = make_recogniser()
+            parsers |= {"scan_pdf": scan_parser(made), "image": image_parser(made)}
+        except (ImportError, OSError) as error:
+            missing = True
+            print(f"no recognition of scans and images: {error}", file=sys.stderr)
+    for name, make in (("pdf", pdf_parser), ("docx", docx_parser)):
+        try:
+            parsers[name] = make()
+        except ImportError:
+            print(f"no library for {name}; its files have no chunks", file=sys.stderr)
+    if "pdf" in parsers:
+        parsers["pdf"] = with_recognised(parsers["pdf"], made)
+    return parsers, missing
+
+
+def main(args: list[str] | None = None, make_recogniser: Callable[[], Recogniser] = recogniser) -> int:
     p = argparse.ArgumentParser(description="Make the chunks table of an archive.")
     p.add_argument("--archive", required=True)
     p.add_argument("--out", required=True)
     p.add_argument("--sample", type=int, default=0)
     p.add_argument("--skip-ocr", action="store_true")
+    p.add_argument("--artifact", action="store_true", help="also write all chunks as one JSON object, for small archives")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("ingest").getOrCreate()
     path = spark._jvm.org.apache.hadoop.fs.Path(a.archive)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         print(f"no such archive: {a.archive}", file=sys.stderr)
         return 1
-    listed = fs.sample(fs.walk(spark, a.archive), a.sample)
-    names = markup.vocabulary(listed.filter("format = 'md' and category = 'wiki'").select(F.decode("content", "UTF-8").alias("text")))
-    parsers = {}
-    for name, make in (("pdf", pdf_parser), ("docx", docx_parser)):
-        try:
-            parsers[name] = make()
-        except ImportError:
-            print(f"no library for {name}; its files have no chunks", file=sys.stderr)
-    #: scans and images need a recogniser, which is handed to ``ingest`` as a parser; without one, as with --skip-ocr, they are documents without chunks
-    documents, chunks = ingest(listed, names, parsers)
+    found = fs.walk(spark, a.archive)
+    #: names come from all of the wiki, whatever the sample
+    names = markup.vocabulary(found.filter("format = 'md' and category = 'wiki'").select(F.decode("content", "UTF-8").alias("text")))
+    parsers, missing = usual_parsers(a.skip_ocr, make_recogniser)
+    documents, chunks = ingest(fs.sample(found, a.sample), names, parsers)
     chunks.write.mode("overwrite").parquet(f"{a.out}/chunks")
     written = spark.read.parquet(f"{a.out}/chunks")
-    summary = ch.meta(documents, written, names, a.archive, ocr_available=False, sample_mode=a.sample or None)
+    summary = ch.meta(documents, written, names, a.archive, ocr_available=not missing, sample_mode=a.sample or None)
     summary.write.mode("overwrite").parquet(f"{a.out}/meta")
-    artifact.write_artifact(summary, written, f"{a.out}/artifact.json")
+    if a.artifact:
+        artifact.write_artifact(summary, written, f"{a.out}/artifact.json")
     return 0
 
 

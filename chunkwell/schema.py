@@ -24,6 +24,9 @@ TIERS = {
     "wiki": "reference",
 }
 
+#: Folders of images and the category of each; a further folder of the same images is left out.
+IMAGES = {"codex/images": "codex", "wiki/images": "wiki"}
+
 STRING, TABLE = T.StringType(), T.ArrayType(T.ArrayType(T.StringType()))
 
 CHUNK = T.StructType(

@@ -1,8 +1,9 @@
 """Sources that need a library: PDF, DOCX and OCR. The library comes as a function that is handed in.
 
 A parser takes (bytes, doc_id) and gives blocks as dicts with type, page, text, rows
-and confidence; it runs on the executors, a file at a time. ``pdf_parser`` and ``docx_parser`` make one of the
-usual libraries if they can be imported.
+and confidence; it runs on the executors, a file at a time. ``pdf_parser``, ``docx_parser`` and ``recogniser`` make one of the
+usual libraries if they can be imported. A recogniser reads pages that are pictures: ``scan_parser``, ``image_parser`` and ``with_recognised`` make
+parsers of it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from .. import reachable
 from ..schema import BLOCK, OCR_FLOOR
 
 Parser = Callable[[bytes, str], Iterable[dict]]
-HEADINGS = ("Heading 1", "Heading 2", "Heading 3", "Title", "Subtitle")
+#: Styles of paragraphs that are headings.
+HEADINGS = ("Title", "Heading 1", "Heading 2", "Heading 3", "Heading 4")
+#: Modes of recognition in the order of preference, dots an inch of a page's picture, times a plate is enlarged.
+MODES, DPI, ENLARGED = (6, 12), 300, 2
 
 
 def parsed_blocks(files: DataFrame, parser: Parser) -> DataFrame:
@@ -75,6 +79,105 @@ def docx_parser() -> Parser:
     return parse
 
 
+class Recogniser:
+    """What recognition needs of its libraries; ``pages`` are pictures."""
+
+    def page(self, content: bytes, number: int):
+        """The picture of a page of a PDF, from 1 on."""
+        raise NotImplementedError
+
+    def count(self, content: bytes) -> int:
+        """Pages of a PDF."""
+        raise NotImplementedError
+
+    def plate(self, content: bytes):
+        """The picture of an image file, enlarged."""
+        raise NotImplementedError
+
+    def words(self, picture, mode: int) -> tuple[str, list[float]]:
+        """The text read in a mode, and the confidence of each word, -1 for what is none."""
+        raise NotImplementedError
+
+
+def recogniser() -> Recogniser:
+    """By the usual libraries; an ImportError or OSError if one of them, or the program behind it, is not there."""
+    import io
+    import shutil
+
+    import fitz
+    import pytesseract
+    from PIL import Image
+
+    if not shutil.which("tesseract"):
+        raise OSError("no tesseract program")
+
+    class Usual(Recogniser):
+        def page(self, content, number):
+            with fitz.open(stream=content, filetype="pdf") as pdf:
+                return Image.open(io.BytesIO(pdf[number - 1].get_pixmap(dpi=DPI).tobytes("png"))).convert("L")
+
+        def count(self, content):
+            with fitz.open(stream=content, filetype="pdf") as pdf:
+                return len(pdf)
+
+        def plate(self, content):
+            grey = Image.open(io.BytesIO(content)).convert("L")
+            return grey.resize((grey.width * ENLARGED, grey.height * ENLARGED))
+
+        def words(self, picture, mode):
+            flags = f"--psm {mode}"
+            data = pytesseract.image_to_data(picture, config=flags, output_type=pytesseract.Output.DICT)
+            return pytesseract.image_to_string(picture, config=flags), [float(c) for c in data["conf"]]
+
+    return Usual()
+
+
+def read_picture(made: Recogniser, picture) -> dict | None:
+    """Text and confidence of the mode with the highest mean over words, the first of equal ones; none without text or below the floor."""
+    best = None
+    for mode in MODES:
+        text, found = made.words(picture, mode)
+        of_words = [c for c in found if c != -1]
+        mean = sum(of_words) / len(of_words) if of_words else -1.0
+        if best is None or mean > best["confidence"]:
+            best = {"type": "text", "text": text.strip(), "confidence": mean}
+    return best if best["text"] and best["confidence"] >= OCR_FLOOR else None
+
+
+def scan_parser(made: Recogniser) -> Parser:
+    """Every page of a scanned PDF."""
+
+    def parse(content: bytes, doc_id: str) -> Iterator[dict]:
+        for number in range(1, made.count(content) + 1):
+            if found := read_picture(made, made.page(content, number)):
+                yield {**found, "page": number}
+
+    return parse
+
+
+def image_parser(made: Recogniser) -> Parser:
+    """A plate; without text it has no block."""
+
+    def parse(content: bytes, doc_id: str) -> Iterator[dict]:
+        if found := read_picture(made, made.plate(content)):
+            yield found
+
+    return parse
+
+
+def with_recognised(parser: Parser, made: Recogniser | None) -> Parser:
+    """A PDF's parser whose pages that need it are recognised, in one piece each; without a recogniser they go."""
+
+    def parse(content: bytes, doc_id: str) -> Iterator[dict]:
+        for block in parser(content, doc_id):
+            if block["type"] != "needs_ocr":
+                yield block
+            elif made and (found := read_picture(made, made.page(content, block["page"]))):
+                yield {**found, "type": "recognised", "page": block["page"]}
+
+    return parse
+
+
 def best_ocr(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Of several recognitions of a page (mode, text, conf: confidences of words, -1 for none) the one with the highest mean.
 

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import TIERS
+from ..schema import IMAGES, TIERS
 
 #: Formats by the end of a path, the longer ones first.
 FORMATS = ((".scan.pdf", "scan_pdf"), (".pdf", "pdf"), (".docx", "docx"), (".md", "md"), (".txt", "txt"))
 
 
 def format_of(path: Column) -> Column:
-    """Null where the format is not known; only the scan's double suffix minds the case of letters."""
+    """Null where the format is not known; the case of letters makes no difference."""
     out = F.lit(None).cast("string")
     for suffix, name in reversed(FORMATS):
-        out = F.when((path if name == "scan_pdf" else F.lower(path)).endswith(suffix), name).otherwise(out)
+        out = F.when(F.lower(path).endswith(suffix), name).otherwise(out)
     return out
 
 
@@ -29,23 +29,40 @@ def tier_of(category: Column) -> Column:
     return F.coalesce(F.try_element_at(known, category), F.raise_error(F.concat(F.lit("unknown category: "), F.coalesce(category, F.lit("null")))).cast("string"))
 
 
-def walk(spark: SparkSession, root: str, images: dict[str, str] | None = None) -> DataFrame:
-    """Files directly in each category's folder, without hidden ones, and those of image folders (folder to category), whatever their names. Files of no bytes are not listed."""
-    frames, root = [], root.rstrip("/")
+def classify(files: DataFrame, images: dict[str, str] = IMAGES) -> DataFrame:
+    """(doc_id, category, format, rank, content) of files (path, content), with paths from the archive's root.
+
+    Files directly in each category's folder, without hidden ones and those of unknown formats, and those of image folders (folder to category), whatever their
+    names. ``rank`` is the place of the folder in the walk.
+    """
+    folder, name = F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.element_at(F.split("path", "/"), -1)
+    places = [(c, c, None) for c in TIERS] + [(f, c, "image") for f, c in images.items()]
+    rows = files.select(F.col("path").alias("doc_id"), folder.alias("folder"), name.alias("name"), "content").filter(~F.col("name").startswith("."))
+    known = F.map_from_entries(F.array(*[F.struct(F.lit(f), F.struct(F.lit(c).alias("category"), F.lit(kind).cast("string").alias("format"), F.lit(i).alias("rank"))) for i, (f, c, kind) in enumerate(places)]))
+    placed = rows.withColumn("at", F.try_element_at(known, F.col("folder"))).filter("at is not null")
+    out = placed.select("doc_id", "at.category", F.coalesce("at.format", format_of(F.col("name"))).alias("format"), "at.rank", "content")
+    return out.filter("format is not null")
 
-    def read(folder: str) -> DataFrame:
-        listed = spark.read.format("binaryFile").load(f"{root}/{folder}")
-        doc_id = F.concat(F.lit(f"{folder}/"), F.element_at(F.split("path", "/"), -1))
-        return listed.select(doc_id.alias("doc_id"), "content").filter(~F.element_at(F.split("doc_id", "/"), -1).startswith("."))
 
-    for rank, category in enumerate(TIERS):
-        frames.append(read(category).select("doc_id", F.lit(category).alias("category"), format_of(F.col("doc_id")).alias("format"), F.lit(rank).alias("rank"), "content"))
-    for k, (folder, category) in enumerate((images or {}).items()):
-        frames.append(read(folder).select("doc_id", F.lit(category).alias("category"), F.lit("image").alias("format"), F.lit(len(TIERS) + k).alias("rank"), "content"))
-    out = frames[0]
-    for f in frames[1:]:
+def walk(spark: SparkSession, root: str, images: dict[str, str] = IMAGES) -> DataFrame:
+    """``classify`` of an archive's files. Folders that are not there are passed over; files of no bytes, which Spark's file source leaves out, are listed by the driver."""
+    root, frames, empty = root.rstrip("/"), [], []
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in [*TIERS, *images]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(top, folder)
+        if not system.exists(path):
+            continue
+        #: names only; contents are read on the executors
+        sizes = [(s.getPath().getName(), s.getLen()) for s in system.listStatus(path) if s.isFile()]
+        empty += [(f"{folder}/{name}", bytearray()) for name, n in sizes if not n]
+        if any(n for _, n in sizes):
+            listed = spark.read.format("binaryFile").load(f"{root}/{folder}")
+            frames.append(listed.select(F.concat(F.lit(f"{folder}/"), F.element_at(F.split("path", "/"), -1)).alias("path"), "content"))
+    out = spark.createDataFrame(empty, "path string, content binary")
+    for f in frames:
         out = out.unionByName(f)
-    return out.filter("format is not null")
+    return classify(out, images)
 
 
 def sample(files: DataFrame, n: int | None, by: tuple[str, ...] = ("rank", "format"), order: str = "doc_id") -> DataFrame:

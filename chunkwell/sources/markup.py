@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_links, not_blank, strip
 
 LINE_ENDS = r"\r\n|[\n\r\x0B\f\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
-HEADING = r"(?U)^#{2,6}\s+(.+)$"
-RULE = r"(?U)^\|?[\s:|-]+\|?$"
+#: Hashes of a heading, signs of the line under a table's head.
+LEAST_HASHES, MOST_HASHES = 2, 6
+RULE_SIGNS = ":|-"
+
+
+def heading(line: Column) -> Column:
+    """What follows two to six hashes and white space at the beginning of a line; null for other lines. A seventh hash is part of what follows only after white space."""
+    rest = F.regexp_replace(line, "^#+", "")
+    hashes = F.length(line) - F.length(rest)
+    text = strip(rest)
+    return F.when((hashes >= LEAST_HASHES) & (hashes <= MOST_HASHES) & (text != "") & (F.length(text) < F.length(rest)), text)
+
+
+def rule(line: Column) -> Column:
+    """Lines of nothing but the signs of a rule and white space."""
+    return strip(F.translate(line, RULE_SIGNS, "")) == ""
 
 
 def markdown_blocks(texts: DataFrame) -> DataFrame:
@@ -22,7 +36,7 @@ def markdown_blocks(texts: DataFrame) -> DataFrame:
     lines = lines.select("doc_id", "pos", strip(F.col("raw")).alias("line"))
     doc = Window.partitionBy("doc_id")
     first = F.min(F.when(F.col("line").startswith("# "), F.col("pos"))).over(doc)
-    kind = F.when(F.col("pos") == F.col("first"), "title").when(F.col("line").rlike(HEADING), "heading").when(F.col("line").startswith("|"), "table").when(F.col("line") == "", "blank").otherwise("text")
+    kind = F.when(F.col("pos") == F.col("first"), "title").when(heading(F.col("line")).isNotNull(), "heading").when(F.col("line").startswith("|"), "table").when(F.col("line") == "", "blank").otherwise("text")
     lines = lines.withColumn("first", first).withColumn("type", kind)
     body = lines.filter("type <> 'title'")
     order = doc.orderBy("pos")
@@ -31,8 +45,8 @@ def markdown_blocks(texts: DataFrame) -> DataFrame:
     blocks = runs.groupBy("doc_id", "run", "type").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
     lines_of = F.transform("lines", lambda x: x["line"])
     cells = lambda line: F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), lambda c: clean_links(strip(c)))
-    rows = F.filter(F.transform(F.filter(lines_of, lambda x: ~x.rlike(RULE)), cells), lambda r: F.exists(r, lambda c: c != ""))
-    text = F.when(F.col("type") == "heading", strip(F.regexp_extract(F.get(lines_of, F.lit(0)), HEADING, 1))).when(F.col("type") == "text", clean_links(strip(F.array_join(lines_of, " "))))
+    rows = F.filter(F.transform(F.filter(lines_of, lambda x: ~rule(x)), cells), lambda r: F.exists(r, lambda c: c != ""))
+    text = F.when(F.col("type") == "heading", heading(F.get(lines_of, F.lit(0)))).when(F.col("type") == "text", clean_links(strip(F.array_join(lines_of, " "))))
     out = blocks.select("doc_id", F.col("pos").cast("long"), "type", text.alias("text"), F.when(F.col("type") == "table", rows).alias("rows"))
     out = out.filter((F.col("type") != "table") | (F.size("rows") > 0))
     titles = lines.filter("type = 'title'").select("doc_id", F.lit(-1).cast("long").alias("pos"), "type", strip(F.expr("substring(line, 3)")).alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"))
@@ -44,7 +58,7 @@ def plain_blocks(texts: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     line = F.get(F.split(text, LINE_ENDS), F.lit(0))
     titled = texts.select("doc_id", text.alias("text"), line.alias("line"))
-    title = F.when(F.col("line").startswith("# "), strip(F.expr("substring(line, 3)")))
+    title = F.when(strip(F.col("line")).startswith("# "), strip(F.substring(strip(F.col("line")), F.lit(3), F.length("line"))))
     body = F.when(title.isNotNull(), F.expr("substring(text, length(line) + 2)")).otherwise(F.col("text"))
     titled = titled.select("doc_id", title.alias("title"), body.alias("body"))
     none = F.lit(None).cast("array<array<string>>").alias("rows")

@@ -32,8 +32,8 @@ class Model:
     def complete(self, messages, temperature, schema=None):
         keys = set(schema["properties"])
         if "tool" in keys:
-            return json.dumps({"tool": schema["properties"]["tool"]["enum"][0], "query": "q", "entity": "", "attribute": ""})
-        return json.dumps({"sufficient": True} if "sufficient" in keys else {"answer": "A", "citations": [], "conflicts": []})
+            return json.dumps({"tool": schema["properties"]["tool"]["enum"][0], "query": "q", "entity": "", "attribute": "", "reasoning": "r"})
+        return json.dumps({"sufficient": True, "reasoning": "r"} if "sufficient" in keys else {"answer": "A", "citations": [], "conflicts": []})
 
 
 def test_modelled_policy():

@@ -76,7 +76,7 @@ def test_ingest(spark, archive):
 def test_job_and_artifact(spark, archive, tmp_path):
     out = tmp_path / "out"
     assert ing.main(["--archive", str(tmp_path / "none"), "--out", str(out)]) == 1
-    assert ing.main(["--archive", str(archive), "--out", str(out), "--sample", "1"]) == 0
+    assert ing.main(["--archive", str(archive), "--out", str(out), "--sample", "1", "--artifact"]) == 0
     meta, chunks = artifact.read_artifact(spark, f"{out}/artifact.json")
     assert meta.first()["sample_mode"] == 1 and chunks.count() == spark.read.parquet(f"{out}/chunks").count() > 0
     assert chunks.filter("page is not null").count() == 0
@@ -101,7 +101,7 @@ def test_best_ocr(spark):
 
 
 def test_chunk_ids_and_tiers(spark):
-    pieces = spark.createDataFrame([("d", i, 0, None, None, None, "x" if i % 7 else " ", None) for i in range(1200)], "doc_id string, pos long, piece int, page int, confidence double, section string, text string, table array<array<string>>")
+    pieces = spark.createDataFrame([("d", i, 0, None, None, None, "x" if i % 7 else " ", None, False) for i in range(1200)], "doc_id string, pos long, piece int, page int, confidence double, section string, text string, table array<array<string>>, recognised boolean")
     docs = spark.createDataFrame([("d", "T", "codex", "md", 1, "markdown")], "doc_id string, doc_title string, category string, format string, rank int, method string")
     ids = [r["id"] for r in ch.in_corpus_order(ch.build_chunks(pieces, docs)).orderBy("ord").collect()]
     assert ids == [f"d::{i:03d}" for i in range(len(ids))] and ids[-1] == "d::1027"
@@ -116,3 +116,131 @@ def test_stream(spark, tmp_path):
         stream.run(stream.text_chunks(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("n").collect()
     assert [(r["doc_id"], r["n"], len(r["text"])) for r in rows] == [("a.txt", 0, 1000), ("a.txt", 1, 1000)]
+
+
+class Pages(adapters.Recogniser):
+    def page(self, content, number):
+        return content.decode().split("|")[number - 1]
+
+    def count(self, content):
+        return content.decode().count("|") + 1
+
+    def plate(self, content):
+        return content.decode()
+
+    def words(self, picture, mode):
+        return f"{picture} {mode}", [20.0 if "dim" in picture else 90.0 - (mode == 12), -1.0]
+
+
+def mixed_pdf(content, doc_id):
+    yield {"type": "text", "page": 1, "text": "Front\n\nbody"}
+    yield {"type": "needs_ocr", "page": 2}
+    yield {"type": "table", "page": 3, "rows": [["a", "b"]]}
+
+
+def test_recognition(spark, archive):
+    for folder in ("codex/images", "images", "wiki/images"):
+        (archive / folder).mkdir()
+        (archive / folder / "plate_one.png").write_bytes(b"A plate")
+    (archive / "wiki/images/dim.jpg").write_bytes(b"dim art")
+    (archive / "wiki/images/.x").write_bytes(b"hidden")
+    (archive / "codex/none.txt").write_bytes(b"")
+    (archive / "chronicles/mixed.pdf").write_bytes(b"one|two|three")
+    listed = files.walk(spark, str(archive))
+    made = Pages()
+    parsers = {"pdf": adapters.with_recognised(mixed_pdf, made), "scan_pdf": adapters.scan_parser(made), "image": adapters.image_parser(made)}
+    documents, chunks = (f.cache() for f in ing.ingest(listed, None, parsers))
+    docs = {r["doc_id"]: (r["doc_title"], r["format"], r["category"]) for r in documents.collect()}
+    assert docs["codex/images/plate_one.png"] == ("Plate One", "image", "codex") and docs["wiki/images/dim.jpg"][1:] == ("image", "wiki")
+    assert not any(k.startswith("images/") or "/.x" in k for k in docs)
+    assert docs["ephemera/note.scan.pdf"] == ("Note", "scan_pdf", "ephemera") and docs["codex/none.txt"] == ("None", "txt", "codex") and docs["chronicles/mixed.pdf"][0] == "Front"
+    rows = [(r["id"], r["page"], r["text"], r["extraction_method"], r["extraction_confidence"]) for r in chunks.orderBy("ord").collect() if r["extraction_method"] in ("pdfplumber", "tesseract-ocr")]
+    assert ("chronicles/mixed.pdf::001", 2, "two 6", "tesseract-ocr", 90.0) in rows and ("chronicles/mixed.pdf::002", 3, None, "pdfplumber", None) in rows
+    assert [r for r in rows if r[0].startswith("ephemera/note")] == [("ephemera/note.scan.pdf::000", 1, "pages 6", "tesseract-ocr", 90.0)]
+    assert rows[-2:] == [("codex/images/plate_one.png::000", None, "A plate 6", "tesseract-ocr", 90.0), ("wiki/images/plate_one.png::000", None, "A plate 6", "tesseract-ocr", 90.0)]
+    assert ch.meta(documents, chunks, spark.createDataFrame([("n",)], "name string"), "a/b").first()["document_count"] == documents.count() == len(docs)
+
+
+def test_job_switches(spark, archive, tmp_path, capsys):
+    import shutil
+
+    (archive / "codex/images").mkdir()
+    (archive / "codex/images/p.png").write_bytes(b"P")
+    (archive / "wiki/zzz.md").write_text("# Zed\nAda and Zed.")
+    shutil.rmtree(archive / "chronicles")  # a folder that is not there is passed over
+    asked = []
+
+    def make():
+        asked.append(1)
+        return Pages()
+
+    def run(name, *flags, make=make):
+        assert ing.main(["--archive", str(archive), "--out", str(tmp_path / name), *flags], make) == 0
+        meta = spark.read.parquet(f"{tmp_path}/{name}/meta").first()
+        return meta, spark.read.parquet(f"{tmp_path}/{name}/chunks")
+
+    meta, chunks = run("all")
+    assert chunks.filter("extraction_method = 'tesseract-ocr'").count() == 2 and meta["ocr_available"] and meta["archive_root"] == archive.name and not (tmp_path / "all/artifact.json").exists()
+    #: names come from the whole wiki, also where one file of a format is taken
+    meta, chunks = run("skipped", "--skip-ocr", "--sample", "1")
+    assert chunks.filter("extraction_method = 'tesseract-ocr'").count() == 0 and meta["ocr_available"] and len(asked) == 1
+    assert meta["entity_count"] == 2 and meta["sample_mode"] == 1 and meta["document_count"] == 4
+
+    def none():
+        raise OSError("no program")
+
+    meta, chunks = run("without", make=none)
+    assert not meta["ocr_available"] and chunks.filter("format = 'image'").count() == 0 and "no program" in capsys.readouterr().err
+
+
+def test_plain_titles_and_headings(spark):
+    texts = [("a", "  # Padded \nBody"), ("b", "x\n# not first"), ("c", "")]
+    rows = markup.plain_blocks(spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    assert {(r["doc_id"], r["type"], r["text"]) for r in rows} == {("a", "title", "Padded"), ("a", "text", "Body"), ("b", "text", "x\n# not first")}
+    lines = [("## Two", "Two"), ("###### Six  ", "Six"), ("####### seven", None), ("##none", None), ("# one", None), ("##", None), ("## # x", "# x"), ("##\tTab", "Tab")]
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(x,) for x, _ in lines], "line string").select(markup.heading(F.col("line")).alias("h")).collect()
+    assert [r["h"] for r in got] == [h for _, h in lines]
+    rules = [("|---|:-:|", True), ("---", True), ("| a |", False), ("| - x", False), ("|", True)]
+    got = spark.createDataFrame([(x,) for x, _ in rules], "line string").select(markup.rule(F.col("line")).alias("r")).collect()
+    assert [r["r"] for r in got] == [x for _, x in rules]
+
+
+class Styled:
+    def __init__(self, text, style):
+        self.text, self.style = text, type("S", (), {"name": style})
+
+
+class Grid:
+    def __init__(self, rows):
+        cell = lambda x: type("C", (), {"text": x})
+        self.rows = [type("R", (), {"cells": [cell(c) for c in r]}) for r in rows]
+
+
+def test_docx_and_pdf_libraries(monkeypatch):
+    """The parsers by stand-ins of their libraries."""
+    import sys
+    import types
+
+    items = [Styled(" Top ", "Title"), Styled("Sub", "Subtitle"), Styled("Four", "Heading 4"), Styled("Five", "Heading 5"), Styled(" ", "Heading 1"), Grid([["a ", ""], ["", "b"]]), Grid([["", " "]])]
+    monkeypatch.setitem(sys.modules, "docx", types.SimpleNamespace(Document=lambda f: types.SimpleNamespace(iter_inner_content=lambda: iter(items))))
+    got = [(b["type"], b.get("text") or b.get("rows")) for b in adapters.docx_parser()(b"", "d")]
+    assert got == [("heading", "Top"), ("text", "Sub"), ("heading", "Four"), ("text", "Five"), ("table", [["a", ""], ["", "b"]])]
+
+    class Page:
+        def __init__(self, text, tables, images):
+            self.extract_text, self.extract_tables, self.images = (lambda: text), (lambda: tables), images
+
+    class Pdf:
+        pages = [Page(" one ", [[["x", None]]], []), Page(None, [], ["picture"]), Page("", [], []), Page("", [[["", None]]], ["p"])]
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            return None
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=lambda f: Pdf()))
+    got = [(b["type"], b["page"], b.get("text") or b.get("rows")) for b in adapters.pdf_parser()(b"", "d")]
+    assert got == [("text", 1, "one"), ("table", 1, [["x", ""]]), ("needs_ocr", 2, None)]
