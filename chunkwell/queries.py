@@ -7,9 +7,14 @@ links of pages are the vocabulary; turns of a conversation are blocks, a user's
 
 from __future__ import annotations
 
+import json
+import uuid
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import reachable, shared_folder
 from .functions import text as tx
 from .operators import chunks as ch
 from .operators import fulltext as ft
@@ -18,7 +23,8 @@ from .operators import tables as tb
 from .operators import tagging as tg
 from .operators import vectors as vs
 from .operators.match import exact_or_partial
-from .sources import adapters, files, markup
+from .schema import CHUNK, META
+from .sources import adapters, artifact, files, markup
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -50,10 +56,10 @@ STRIP = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
 UNITS = "list_filter(list_transform({0}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')"
 
 
-def sql_pieces(text: str) -> str:
+def sql_pieces(text: str, source: str = "documents") -> str:
     whole = f"trim({text}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
     return f"""
-with d as (select doc_id, source, lang, {whole} as w from documents),
+with d as (select doc_id, source, lang, {whole} as w from {source}),
 u as (select doc_id, source, lang, w, {UNITS.format("string_split(w, chr(10) || chr(10))")} as a, {UNITS.format("string_split(w, chr(10))")} as b,
   {UNITS.format("string_split(regexp_replace(w, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))")} as c from d),
 p as (select doc_id, source, lang, case when w = '' then []::varchar[] when length(w) <= 1600 then [w] else (
@@ -174,18 +180,27 @@ def run_grouping(spark, d):
     return out.select(F.col("doc_id").alias("conv_id"), F.col("pos").alias("first_turn"), F.col("piece").cast("long"), F.md5("text").alias("digest"))
 
 
-@query("select user_id, arg_max(event_type, value * 1000000 - hash_order) as mode, max(value) as confidence from (select user_id, event_type, max(value) as value, case event_type when 'click' then 1 when 'error' then 2 when 'purchase' then 3 when 'signup' then 4 else 5 end as hash_order from events group by 1, 2) group by user_id")
-def argmax_mode(spark, d):
+def modes(spark: SparkSession, d: str) -> DataFrame:
+    """Event types of a user as modes of recognition, values as confidences of words; errors as words without confidence, which are marked -1."""
     order = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "signup", 4).otherwise(5)
-    best = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
-    return best.groupBy("user_id").agg(F.max_by("event_type", F.struct("value", -order)).alias("mode"), F.max("value").alias("confidence"))
+    conf = F.when(F.col("event_type") == "error", -1.0).otherwise(F.col("value") * 10)
+    words = t(spark, d, "events").select("user_id", "event_type", order.alias("mode"), conf.alias("c"))
+    return words.groupBy("user_id", "mode", "event_type").agg(F.array_sort(F.collect_list("c")).alias("conf"))
+
+
+MODES_SQL = "with m as (select user_id, event_type, case event_type when 'click' then 1 when 'error' then 2 when 'purchase' then 3 when 'signup' then 4 else 5 end as o, coalesce(avg(case when event_type <> 'error' then value * 10 end), -1.0) as c from events group by 1, 2)"
+
+
+@query(MODES_SQL + " select user_id, arg_max(event_type, c * 1000000 - o) as mode, round(max(c), 6) as confidence from m group by user_id having max(c) >= 35")
+def argmax_mode(spark, d):
+    best = adapters.best_ocr(modes(spark, d).withColumn("text", F.col("event_type")), ["user_id"])
+    return best.select("user_id", F.col("text").alias("mode"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("select user_id, round(coalesce(avg(case when event_type <> 'error' then value end), -1.0), 6) as mean_confidence from events group by user_id")
+@query(MODES_SQL + " select user_id, event_type, round(c, 6) as mean_confidence from m where c >= 35")
 def mean_confidence(spark, d):
-    """Errors stand in for words without confidence, which are marked -1."""
-    conf = F.when(F.col("event_type") == "error", -1.0).otherwise(F.col("value"))
-    return t(spark, d, "events").groupBy("user_id").agg(F.round(F.coalesce(F.avg(F.when(conf != -1, conf)), F.lit(-1.0)), 6).alias("mean_confidence"))
+    best = adapters.best_ocr(modes(spark, d).withColumn("text", F.lit("t")), ["user_id", "event_type"])
+    return best.select("user_id", "event_type", F.round("confidence", 6).alias("mean_confidence"))
 
 
 def corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -207,14 +222,24 @@ def meta_by_format(spark, d):
     return ch.counts_by(docs, made, "format")
 
 
-@query(PIECES + """, low as (select p.doc_id from pieces p join labels l using (doc_id) where 30 + 40 * l.quality + 10 * l.toxic < 60)
-select (select count(*) from documents) as document_count, (select count(*) from pieces) as chunk_count, (select count(*) from low) as low_confidence_chunk_count,
-  (select count(distinct p_name) from part) as entity_count""")
+SHOWN = "string_agg(k || '=' || n, ',' order by k)"
+
+
+@query(PIECES + f""", n as (select doc_id, count(*) as n from pieces group by 1), of as (select doc_id, {CATEGORY_SQL} as category, source as format, coalesce(n, 0) as n from documents left join n using (doc_id)),
+low as (select p.doc_id from pieces p join labels l using (doc_id) where 30 + 40 * l.quality + 10 * l.toxic < 60)
+select 'archive' as archive_root, true as stamped, false as ocr_available, 3 as sample_mode, (select count(*) from documents) as document_count, (select count(*) from pieces) as chunk_count,
+  (select count(*) from low) as low_confidence_chunk_count, (select count(distinct p_name) from part) as entity_count,
+  (select {SHOWN} from (select category as k, sum(n)::bigint as n from of group by 1)) as by_category, (select {SHOWN} from (select format as k, sum(n)::bigint as n from of group by 1)) as by_format,
+  (select {SHOWN} from (select case when n = 0 then 'markdown' else 'plain-text' end as k, count(*) as n from pieces group by 1)) as by_extraction_method""")
 def meta_counts(spark, d):
-    made = pieces(spark, d).select("doc_id").join(t(spark, d, "labels"), "doc_id", "left")
-    low = ch.low_confidence(30.0 + 40 * F.col("quality") + 10 * F.col("toxic"))
-    one = t(spark, d, "documents").agg(F.count(F.lit(1)).alias("document_count"))
-    return one.crossJoin(made.agg(F.count(F.lit(1)).alias("chunk_count"), F.count_if(low).alias("low_confidence_chunk_count"))).crossJoin(t(spark, d, "part").agg(F.count_distinct("p_name").alias("entity_count")))
+    docs, made = corpus(spark, d)
+    joined = made.join(t(spark, d, "labels"), "doc_id", "left")
+    chunks = joined.select("doc_id", ch.low_confidence(30.0 + 40 * F.col("quality") + 10 * F.col("toxic")).alias("low_confidence"), F.when(F.col("n") == 0, "markdown").otherwise("plain-text").alias("extraction_method"))
+    one = ch.meta(docs, chunks, t(spark, d, "part").select(F.col("p_name").alias("name")), "/some/archive/", ocr_available=False, sample_mode=3)
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    maps = [shown(c).alias(c) for c in ("by_category", "by_format", "by_extraction_method")]
+    counts = [F.col(c).cast("long").alias(c) for c in ("document_count", "chunk_count", "low_confidence_chunk_count", "entity_count")]
+    return one.select("archive_root", F.rlike("generated_at", F.lit(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00$")).alias("stamped"), "ocr_available", "sample_mode", *counts, *maps)
 
 
 @query("select source, lang, doc_id from documents qualify row_number() over (partition by source, lang order by doc_id) <= 3")
@@ -222,11 +247,6 @@ def stratified_sample(spark, d):
     return files.sample(t(spark, d, "documents").select("source", "lang", "doc_id"), 3, ("source", "lang"))
 
 
-@query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) as heading from pages")
-def html_title(spark, d):
-    return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("heading"))
-
-
 MARKDOWN = "'# ' || regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) || '## ' || page_id || chr(10) || 'see [[ Page ' || page_id || '#x|here ]] now' || chr(10) || '| a | [[b|c]] |' || chr(10) || '|---|---|' || chr(10) || '| ' || page_id || ' |  |'"
 
 
@@ -480,18 +500,6 @@ def match_keys(spark, d):
     return exact_or_partial(asked, t(spark, d, "part").select(F.col("p_name").alias("key")).distinct())
 
 
-@query("select user_id, arg_max(event_type, c * 1000000 - o) as mode, max(c) as confidence from (select user_id, event_type, avg(value) as c, case event_type when 'click' then 1 when 'error' then 2 when 'purchase' then 3 when 'signup' then 4 else 5 end as o from events group by 1, 2) group by user_id having max(c) >= 35")
-def best_ocr(spark, d):
-    """Event types of a user as recognition modes, values as confidences of words."""
-    order = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "signup", 4).otherwise(5)
-    words = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list("value")).alias("conf"))
-    best = adapters.best_ocr(words.select("user_id", order.alias("mode"), F.col("event_type").alias("text"), "conf"), ["user_id"])
-    return best.select("user_id", F.col("text").alias("mode"), F.round("confidence", 6).alias("confidence"))
-
-
-SQL["best_ocr"] = SQL["best_ocr"].replace("max(c) as confidence", "round(max(c), 6) as confidence")
-
-
 def toolset(spark: SparkSession, d: str):
     from .plans.agent import Toolset
 
@@ -550,7 +558,7 @@ def cell_clean(spark, d):
     return t(spark, d, "part").select("p_partkey", F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), "|").alias("cells"), tx.any_cell(rows).alias("filled"))
 
 
-@query("select page_id, case page_id % 7 when 0 then 'scan_pdf' when 1 then 'pdf' when 2 then 'docx' when 3 then 'md' when 4 then 'txt' when 5 then 'pdf' end as format from pages")
+@query("select page_id, case page_id % 7 when 0 then 'scan_pdf' when 1 then 'pdf' when 2 then 'docx' when 3 then 'md' when 4 then 'txt' when 5 then 'scan_pdf' end as format from pages")
 def format_dispatch(spark, d):
     names = F.array(*[F.lit(x) for x in (".scan.pdf", ".PDF", ".docx", ".Md", ".txt", ".SCAN.pdf", ".html")])
     return t(spark, d, "pages").select("page_id", files.format_of(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.get(names, (F.col("page_id") % 7).cast("int")))).alias("format"))
@@ -572,3 +580,373 @@ def evidence_lines(spark, d):
         F.lit("official").alias("reliability_tier"), F.expr("repeat(p_type || ' ', p_size * 3)").alias("text"), F.lit(None).cast("array<array<string>>").alias("table"),
     )
     return lines(chunks, chunks).select(F.substring_index("id", "::", -1).cast("long").alias("p_partkey"), "line")
+
+
+# What an ingest job does, on the tables as an archive.
+
+def listed_documents(spark: SparkSession, d: str, fmt: Column, path: Column | None = None) -> DataFrame:
+    """Documents as files of the archive: (doc_id, category, format, rank, content)."""
+    rows = documents(spark, d)
+    name = path if path is not None else F.concat(category(), F.lit("/d"), F.col("doc_id").cast("string"), F.lit("."), fmt)
+    rank = files.category_rank(category()) - 1
+    return rows.select(name.alias("doc_id"), category().alias("category"), fmt.alias("format"), rank.cast("int").alias("rank"), F.encode("text", "UTF-8").alias("content"))
+
+
+PLACES = "'wiki/p{}.md' 'codex/p{}.SCAN.pdf' 'chronicles/p{}.PDF' 'ephemera/.p{}.txt' 'wiki/deep/p{}.md' 'codex/images/p{}.png' 'images/p{}.png' 'wiki/images/p{}.html' 'ephemera/p{}.docx' 'codex/p{}.unknown'".split()
+
+
+@query(f"""with f as (select case page_id % 10 {" ".join(f"when {i} then replace({x}, '{{}}', page_id::varchar)" for i, x in enumerate(PLACES))} end as doc_id, page_id, case when page_id % 20 = 0 then 0 else strlen(html) end as bytes from pages)
+select doc_id, bytes, case page_id % 10 when 0 then 'wiki' when 1 then 'codex' when 2 then 'chronicles' when 5 then 'codex' when 7 then 'wiki' else 'ephemera' end as category,
+  case page_id % 10 when 0 then 'md' when 1 then 'scan_pdf' when 2 then 'pdf' when 8 then 'docx' else 'image' end as format,
+  case page_id % 10 when 0 then 3 when 1 then 1 when 2 then 0 when 5 then 4 when 7 then 5 else 2 end as rank,
+  case page_id % 10 when 0 then 'reference' when 1 then 'official' when 2 then 'narrative' when 5 then 'official' when 7 then 'reference' else 'in_world_unreliable' end as reliability_tier
+from f where page_id % 10 in (0, 1, 2, 5, 7, 8)""")
+def corpus_walk(spark, d):
+    """Pages as files: in category folders, hidden, nested, in image folders and in one that is no part of the walk; some are empty."""
+    names = F.array(*[F.lit(x.strip("'")) for x in PLACES])
+    pages = t(spark, d, "pages").select(F.replace(F.get(names, (F.col("page_id") % 10).cast("int")), F.lit("{}"), F.col("page_id").cast("string")).alias("path"), F.when(F.col("page_id") % 20 == 0, F.lit("")).otherwise(F.col("html")).cast("binary").alias("content"))
+    return files.classify(pages).select("doc_id", F.octet_length("content").cast("long").alias("bytes"), "category", "format", "rank", files.tier_of(F.col("category")).alias("reliability_tier"))
+
+
+PARAGRAPH_END = r"\n\s*\n"
+
+
+def sql_packed(units: str) -> str:
+    """Units packed to pieces, none for no unit."""
+    return f"""case when len({units}) = 0 then []::varchar[] else (select list_append(q.o, q.b) from (select list_reduce(list_transform({units}, lambda x: {{'o': []::varchar[], 'b': x, 'n': length(x) + 1}}), lambda x, y: case when x.n + y.n > 1600
+    then {{'o': list_append(x.o, x.b), 'b': y.b, 'n': y.n}} else {{'o': x.o, 'b': x.b || chr(10) || y.b, 'n': x.n + y.n}} end) as q)) end"""
+
+
+@query(f"""with u as (select doc_id, {CATEGORY_SQL} as category, {UNITS.format("string_split_regex(text, '" + PARAGRAPH_END + "')")} as a from documents),
+p as (select doc_id, category, {sql_packed("a")} as pieces from u), x as (select doc_id, category, unnest(pieces) as piece, generate_subscripts(pieces, 1) - 1 as n from p)
+select category || '/d' || doc_id || '.txt::' || lpad(n::varchar, greatest(3, length(n::varchar))::integer, '0') as id, case when doc_id % 2 = 0 then 'Title ' || doc_id else 'D' || doc_id end as doc_title,
+  'text' as chunk_type, 'plain-text' as extraction_method, length(piece) as char_count, md5(piece) as digest from x""")
+def plain_text_chunks(spark, d):
+    """Documents as text files, every other one with a title line, through the whole ingest."""
+    from .plans.ingest import ingest
+
+    listed = listed_documents(spark, d, F.lit("txt"))
+    number = F.regexp_extract("doc_id", r"(\d+)\.txt$", 1)
+    head = F.when(number.cast("long") % 2 == 0, F.concat(F.lit(" # Title "), number, F.lit("\n"))).otherwise("")
+    _, chunks = ingest(listed.withColumn("content", F.concat(head.cast("binary"), F.col("content"))))
+    return chunks.select("id", "doc_title", "chunk_type", "extraction_method", F.col("char_count").cast("long"), F.md5("text").alias("digest"))
+
+
+class FakePages(adapters.Recogniser):
+    """Pages of a file are what lies between blank lines; a mode's confidence follows from the text's length."""
+
+    def page(self, content, number):
+        return content.decode().split("\n\n")[number - 1]
+
+    def count(self, content):
+        return content.decode().count("\n\n") + 1
+
+    def plate(self, content):
+        return content.decode()
+
+    def words(self, picture, mode):
+        n = len(picture)
+        return picture, [float(n % 100), -1.0] if mode == 6 else [float(n % 90 + 4), float(n % 90 + 6)]
+
+
+def fake_pdf(content: bytes, doc_id: str):
+    """Every third page is a picture."""
+    for i, text in enumerate(content.decode().split("\n\n"), 1):
+        if i % 3 == 0:
+            yield {"type": "needs_ocr", "page": i}
+        elif text.strip():
+            yield {"type": "text", "page": i, "text": text}
+
+
+#: Pages of documents: one in three a PDF, one a scan, one a plate.
+PAGES_SQL = f"""(select doc_id * 100000 + i as doc_id, doc_id % 3 as lang, '' as source, page from (
+  select doc_id, unnest(string_split(text, chr(10) || chr(10))) as page, unnest(generate_series(1, len(string_split(text, chr(10) || chr(10))))) as i from documents where doc_id % 3 <> 2))"""
+CONFIDENCE_SQL = "greatest(length({0}) % 100, length({0}) % 90 + 5)::double"
+
+
+@query(f"""{sql_pieces("page", PAGES_SQL)},
+r as (select doc_id // 100000 as doc, doc_id % 100000 as page, lang, page as raw from {PAGES_SQL}),
+whole as (select doc, page, 0 as n, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as piece, {CONFIDENCE_SQL.format("raw")} as confidence from r where lang = 0 and page % 3 = 0),
+scans as (select p.doc_id // 100000 as doc, p.doc_id % 100000 as page, n, piece, {CONFIDENCE_SQL.format("raw")} as confidence from pieces p join r on r.doc = p.doc_id // 100000 and r.page = p.doc_id % 100000 where p.lang = 1),
+plain as (select doc_id // 100000 as doc, doc_id % 100000 as page, n, piece, null::double as confidence from pieces where lang = 0 and doc_id % 100000 % 3 <> 0),
+plates as (select doc_id as doc, null::bigint as page, 0 as n, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as piece, {CONFIDENCE_SQL.format("text")} as confidence from documents where doc_id % 3 = 2),
+every as (select * from plain union all select * from whole where confidence >= 35 union all select * from scans where confidence >= 35 union all select * from plates where confidence >= 35),
+numbered as (select *, row_number() over (partition by doc order by page, n) - 1 as k from every where piece <> '')
+select doc as doc_id, k, page, confidence, coalesce(confidence < 60, false) as low_confidence, case when confidence is null then 'pdfplumber' else 'tesseract-ocr' end as extraction_method, md5(piece) as digest from numbered""")
+def recognised_chunks(spark, d):
+    """Documents as PDFs with pictures among their pages, as scans and as plates, through the whole ingest."""
+    from .plans.ingest import ingest
+
+    fmt = F.get(F.array(F.lit("pdf"), F.lit("scan_pdf"), F.lit("image")), (F.col("doc_id") % 3).cast("int"))
+    made = FakePages()
+    parsers = {"pdf": adapters.with_recognised(fake_pdf, made), "scan_pdf": adapters.scan_parser(made), "image": adapters.image_parser(made)}
+    _, chunks = ingest(listed_documents(spark, d, fmt, F.concat(F.lit("f/d"), F.col("doc_id").cast("string"))), None, parsers)
+    return chunks.select(F.substring("doc_id", 4, 20).cast("long").alias("doc_id"), F.split_part("id", F.lit("::"), F.lit(2)).cast("long").alias("k"), F.col("page").cast("long"), F.col("extraction_confidence").alias("confidence"), "low_confidence", "extraction_method", F.md5("text").alias("digest"))
+
+
+@query("""select doc_id, case doc_id % 4 when 0 then case when doc_id % 8 = 0 then 'Untitled' else 'Md ' || doc_id end when 1 then case when length(lang || ' ' || source) <= 120 and doc_id % 8 = 1 then lang || ' ' || source else 'D ' || doc_id || ' X' end
+  when 2 then case when doc_id % 8 = 2 then 'Head ' || doc_id else 'D ' || doc_id || ' X' end else 'D ' || doc_id || ' X' end as doc_title from documents""")
+def document_titles(spark, d):
+    """Titles of documents of four formats, some of which have what a title is made of."""
+    from .plans.ingest import titles
+
+    i = F.col("doc_id")
+    fmt = F.get(F.array(*map(F.lit, ("md", "pdf", "docx", "scan_pdf"))), (i % 4).cast("int"))
+    name = F.concat(F.lit("wiki/d_"), i.cast("string"), F.lit("-x"), F.when(fmt == "scan_pdf", ".Scan.PDF").otherwise(F.concat(F.lit("."), fmt)))
+    rows = t(spark, d, "documents").select(i.alias("i"), name.alias("doc_id"), fmt.alias("format"), "lang", "source")
+    kind = F.expr("case when i % 8 = 4 then 'title' when i % 8 = 1 then 'text' when i % 8 = 2 then 'heading' when i % 8 = 5 then 'table' when i % 4 = 3 then 'text' end")
+    text = F.expr("case i % 8 when 4 then 'Md ' || i when 1 then lang || ' \n ' || source || '\n\nmore' when 2 then 'Head ' || i else 'other' end")
+    blocks = rows.select("doc_id", F.lit(1).cast("long").alias("pos"), kind.alias("type"), text.alias("text")).filter("type is not null")
+    blocks = blocks.unionByName(blocks.select("doc_id", (F.col("pos") + 1).alias("pos"), F.when(F.col("type") == "title", "text").otherwise(F.col("type")).alias("type"), F.lit("later").alias("text")))
+    return titles(blocks, rows).join(rows, "doc_id").select(F.col("i").alias("doc_id"), "doc_title")
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+k as (select doc_id, pos, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as text from l)
+select 'd' || doc_id || '::' || lpad((row_number() over (partition by doc_id order by pos) - 1)::varchar, greatest(3, length((row_number() over (partition by doc_id order by pos) - 1)::varchar))::integer, '0') as id, md5(text) as digest from k where text <> ''""")
+def chunk_numbering(spark, d):
+    """Lines as pieces; blank ones take no number."""
+    lines = documents(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    pieces_ = lines.select("doc_id", "pos", F.lit(0).alias("piece"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("section"), "text", F.lit(None).cast(ch.NO_TABLE).alias("table"), F.lit(False).alias("recognised"))
+    about = lines.select("doc_id").distinct().select("doc_id", F.lit("T").alias("doc_title"), F.lit("codex").alias("category"), F.lit("md").alias("format"), F.lit("markdown").alias("method"), F.lit(1).alias("rank"))
+    return ch.build_chunks(pieces_, about).select("id", F.md5("text").alias("digest"))
+
+
+def part_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Parts and suppliers with all columns that an index takes; suppliers have neither text nor table."""
+    chunks = table_parts(spark, d).withColumn("table", F.when(F.col("doc_title") == "Parts", F.col("table")))
+    return chunks.select("id", "doc_title", "section", "text", "table", F.lit("codex").alias("category"), F.lit("official").alias("reliability_tier"), F.array(F.element_at(F.split("section", " "), -1)).alias("entities"))
+
+
+PART_FIELDS = """with f as (select 'part::' || p_partkey as id, {'title': 'Parts', 'section': p_name, 'text': 'Brand ' || p_brand || chr(10) || 'Type ' || p_type || chr(10) || 'Size ' || p_size || chr(10), 'category': 'codex', 'tier': 'official', 'entities': string_split(p_name, ' ')[-1]} as s from part),
+x as (select id, unnest(['all', 'title', 'section', 'text', 'category', 'tier', 'entities']) as field, unnest([s.title || chr(10) || s.section || chr(10) || s.text || chr(10) || s.category || chr(10) || s.tier || chr(10) || s.entities, s.title, s.section, s.text, s.category, s.tier, s.entities]) as text from f)"""
+
+
+@query(PART_FIELDS + " select id, field, text from x")
+def index_fields(spark, d):
+    return ft.field_texts(part_chunks(spark, d))
+
+
+@query(f"with w as (select doc_id as id, {TOKENS} as w from documents), e as (select id, len(w) as dl, unnest(w) as term, generate_subscripts(w, 1) - 1 as pos from w) select term, id, dl, count(*) as tf, string_agg(pos::varchar, ',' order by pos) as positions from e group by 1, 2, 3")
+def index_postings(spark, d):
+    made = ft.build_index(doc_texts(spark, d)).postings
+    return made.select("term", "id", F.col("dl").cast("long"), F.size("positions").cast("long").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query(PART_FIELDS + ", w as (select field, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from x) select field, count(*) as n, round(avg(len(w)), 6) as avgdl, (select count(distinct u.term) from (select field, unnest(w) as term from w) u where u.field = w.field) as terms from w group by field")
+def index_sizes(spark, d):
+    made = ft.build_index(ft.field_texts(part_chunks(spark, d)))
+    return made.stats.join(made.terms.groupBy("field").agg(F.count(F.lit(1)).alias("terms")), "field").select("field", "n", F.round("avgdl", 6).alias("avgdl"), "terms")
+
+
+def saved_index(spark: SparkSession, d: str) -> ft.Index:
+    return ft.build_index(chunk_texts(spark, d)).save(f"{shared_folder(spark)}/index-{uuid.uuid4()}")
+
+
+@query(SQL["bm25_batch"])
+def bm25_index(spark, d):
+    """The batch from an index that is written and read again."""
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return ft.bm25(saved_index(spark, d), asked).select("qid", "id", "score", F.col("rank").cast("long"))
+
+
+@query(SQL["phrase_search"])
+def phrase_index(spark, d):
+    asked = spark.createDataFrame([(0, "Licensed under the Apache License"), (1, "all rights reserved")], "qid int, query string")
+    return ft.phrase(ft.build_index(doc_texts(spark, d)), asked).select("qid", F.col("id").alias("doc_id"))
+
+
+@query(SQL["fuzzy_search"])
+def fuzzy_index(spark, d):
+    asked = spark.createDataFrame([(0, "worthles")], "qid int, query string")
+    return ft.fuzzy(ft.build_index(doc_texts(spark, d)), asked).select("term", F.col("id").alias("doc_id"))
+
+
+@query(PIECES + f""", c as (select doc_id || '::' || lpad(n::varchar, greatest(3, length(n::varchar))::integer, '0') as id, regexp_extract_all(lower(piece), '[\\p{{L}}\\p{{N}}]+') as w from pieces),
+s as (select count(*) as n, avg(len(w)) as avgdl from c), a(term, weight) as (values ('worthless', 1.0), ('clown', 2.5), ('rights', 1.0), ('reserved', 1.0)),
+h as (select term, id, dl, count(*) as tf from (select id, len(w) as dl, unnest(w) as term from c) where term in (select term from a) group by 1, 2, 3), f as (select term, count(*) as df from h group by 1),
+b as (select h.id, round(sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / s.avgdl)) * a.weight), 6) as score from h join f using (term) join a using (term), s group by 1)
+select b.id, score, row_number() over (order by score desc, b.id) as rank from b join c using (id) where list_contains(w, 'worthless') and not list_contains(w, 'scum') qualify rank <= 20""")
+def query_string(spark, d):
+    return ft.search(chunk_texts(spark, d), '+worthless clown^2.5 -scum rights reserved', 20).select("id", "score", F.col("rank").cast("long"))
+
+
+@query(PART_FIELDS + """, w as (select id, field, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from x), s as (select field, count(*) as n, avg(len(w)) as avgdl from w group by 1),
+a(field, term, weight) as (values ('section', 'red', 1.0), ('entities', 'bolt', 3.0)), h as (select field, term, id, dl, count(*) as tf from (select id, field, len(w) as dl, unnest(w) as term from w) join a using (field, term) group by 1, 2, 3, 4),
+k as (select field, term, count(*) as df from h group by 1, 2),
+b as (select id, round(sum(ln(1 + (s.n - k.df + 0.5) / (k.df + 0.5)) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / s.avgdl)) * a.weight), 6) as score from h join k using (field, term) join a using (field, term) join s using (field) group by 1)
+select id, score, row_number() over (order by score desc, id) as rank from b where id not in (select id from w where field = 'all' and contains(' ' || array_to_string(w, ' ') || ' ', ' size 7 '))""")
+def query_string_fields(spark, d):
+    made = ft.build_index(ft.field_texts(part_chunks(spark, d)))
+    return ft.search(made, 'section:red Entities:bolt^3 -"size 7"', None).select("id", "score", F.col("rank").cast("long"))
+
+
+@query("select x.id, x.score, x.rank, md5(p.piece) as digest from (" + SQL["bm25_topk"] + ") x join (" + PIECES + " select doc_id || '::' || lpad(n::varchar, greatest(3, length(n::varchar))::integer, '0') as id, piece from pieces) p using (id)")
+def keyword_chunks(spark, d):
+    """The best chunks themselves, not their ids only."""
+    return ft.with_chunks(bm25_topk(spark, d), chunk_texts(spark, d)).select("id", "score", "rank", F.md5("text").alias("digest"))
+
+
+@query("select 'part::' || p_partkey as id, unnest([0, 2]) as row_no, unnest(['Brand', 'Size']) as label, unnest([p_brand, p_size::varchar]) as value from part")
+def short_rows(spark, d):
+    """Rows of fewer than two cells are none, further cells make no difference."""
+    cells = F.array(F.array(F.lit("Brand"), F.col("p_brand")), F.array(F.col("p_type")), F.array(F.lit("Size"), F.col("p_size").cast("string"), F.lit("more")))
+    made = t(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.format_string("part::%d", "p_partkey").alias("id"), F.lit("T").alias("doc_title"), F.col("p_name").alias("section"), F.lit("table").alias("chunk_type"), cells.alias("table"))
+    return tb.table_rows(tb.table_chunks(made)).select("id", F.col("row_no").cast("long"), "label", "value")
+
+
+@query("""with c as (select p_partkey as id, 'A ' || upper(p_name) || ', ' || p_name || 's and ' || p_type || '; x' || p_name as text from part), v as (select distinct p_name as name from part)
+select id, name from c, v where regexp_matches(lower(text), '(^|[^a-z0-9_])' || lower(name) || '($|[^a-z0-9_])')""")
+def entity_phrases(spark, d):
+    """Names of several words, whole and whatever their case; with letters right before or after they are not."""
+    name, kind = F.col("p_name"), F.col("p_type")
+    text = F.concat(F.lit("A "), F.upper(name), F.lit(", "), name, F.lit("s and "), kind, F.lit("; x"), name)
+    part = t(spark, d, "part")
+    return tg.matches(part.select(F.col("p_partkey").alias("id"), text.alias("text")), part.select(F.col("p_name").alias("name")))
+
+
+@query(PAIRS + " select key, arg_max(case when ord % 2 = 1 then upper(key) else key end, ord * 1000 + pos) as name from m group by key")
+def graph_last_names(spark, d):
+    """A node's name is as it is written last."""
+    made = order_chunks(spark, d)
+    return gr.nodes(made.withColumn("entities", F.when(F.col("ord") % 2 == 1, F.transform("entities", F.upper)).otherwise(F.col("entities"))))
+
+
+@query(f"with s as (select a.vec_id as id, case when a.vec_id % 7 in (0, 1, 2) then 0.0 else round({COSINE}, 6) end as score from embeddings a, embeddings b where b.vec_id = 3) select 3::bigint as qid, id, score, row_number() over (order by score desc, id) as rank from s")
+def cosine_guards(spark, d):
+    """Zero, short and empty vectors score 0."""
+    k = F.col("id") % 7
+    odd = F.when(k == 0, F.transform("embedding", lambda x: x * 0)).when(k == 1, F.slice("embedding", 1, 3)).when(k == 2, F.array().cast("array<float>")).otherwise(F.col("embedding"))
+    made = vectors(spark, d)
+    return vs.search(made.withColumn("embedding", odd), asked_vectors(spark, d, "id = 3"), 0).select("qid", "id", "score", F.col("rank").cast("long"))
+
+
+# Models, as clients that answer by rule.
+
+def fake_embeddings(url: str, headers: dict, body: dict) -> tuple[int, bytes]:
+    side = 1.0 if body["input_type"] == "document" else 2.0
+    data = [{"embedding": [float(len(x)), side], "index": i} for i, x in enumerate(body["input"])]
+    return 200, json.dumps({"data": data[::-1]}).encode()
+
+
+def embeddings_client():
+    from .plans.clients import HttpEmbeddings
+
+    return HttpEmbeddings("http://none", "key", "model", send=fake_embeddings, most=100)
+
+
+def embedded(spark: SparkSession, d: str) -> DataFrame:
+    chunks = chunk_texts(spark, d).withColumn("table", F.lit(None).cast(ch.NO_TABLE)).unionByName(table_parts(spark, d).select("id", "text", "table"))
+    return vs.build(chunks, embeddings_client())
+
+
+EMBEDDED = PIECES + """, e as (select doc_id || '::' || lpad(n::varchar, greatest(3, length(n::varchar))::integer, '0') as id, length(piece)::double as n from pieces union all
+  select 'part::' || p_partkey, length('Brand ' || p_brand || chr(10) || 'Type ' || p_type || chr(10) || 'Size ' || p_size || chr(10)) from part union all
+  select 'supplier::' || s_suppkey, length('Nation ' || s_nationkey || chr(10) || 'Supplier Nation ' || s_nationkey || chr(10)) from supplier)"""
+
+
+@query(EMBEDDED + " select id, n, 1.0::double as side from e")
+def embedding_build(spark, d):
+    """Vectors of chunks' texts and tables by a client in batches, whose answers come in any order."""
+    return embedded(spark, d).select("id", F.get("embedding", F.lit(0)).cast("double").alias("n"), F.get("embedding", F.lit(1)).cast("double").alias("side"))
+
+
+@query(EMBEDDED + ", q(qid, m) as (values (0, 3.0), (1, 400.0)), s as (select qid, id, round((n * m + 2) / sqrt(n * n + 1) / sqrt(m * m + 4), 6) as score from e, q) select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank from s qualify rank <= 5")
+def semantic_search(spark, d):
+    """Questions as texts: the client embeds them for the side of queries."""
+    asked = spark.createDataFrame([(0, "abc"), (1, "x" * 400)], "qid long, query string")
+    return vs.semantic(embedded(spark, d), asked, embeddings_client()).select(F.col("qid").cast("int"), "id", "score", F.col("rank").cast("long"))
+
+
+@query(EMBEDDED + ", s as (select id, round((n * 3 + 2) / sqrt(n * n + 1) / sqrt(13.0), 6) as score from e) select 5 as qid, 2 as step, 'semantic_search' as tool, id as chunk_id, row_number() over (order by score desc, id) as rank, null as note from s qualify rank <= 5")
+def dispatch_semantic(spark, d):
+    """The fourth tool, by the router; without a client it is not offered."""
+    from .plans import agent
+
+    tools = agent.Toolset(vectors=embedded(spark, d))
+    if tools.available():
+        raise AssertionError("offered without a client")
+    tools.client = embeddings_client()
+    return agent.dispatch(tools, spark.createDataFrame([(5, 2, agent.SEMANTIC, "abc", "", "")], agent.REQUESTS))
+
+
+@query("""select p_partkey, case p_partkey % 4 when 0 then '"' || p_name || ' \\"x\\""' when 1 then '"' || p_type || '", "' || p_brand || '"' when 2 then '"' || p_type || '"' else '"' || p_name || ' \\"x\\""' end as shown from part""")
+def call_arguments(spark, d):
+    """A call's arguments in quotes, by tool."""
+    reachable(spark)
+
+    @F.pandas_udf("string")
+    def shown(key: pd.Series, name: pd.Series, kind: pd.Series, brand: pd.Series) -> pd.Series:
+        from .plans.agent import FOLLOW, KEYWORD, SEMANTIC, TABLE, Call
+
+        tools = (KEYWORD, TABLE, FOLLOW, SEMANTIC)
+        return pd.Series([Call(tools[k % 4], query=f'{n} "x"', entity=e, attribute=a).arguments() for k, n, e, a in zip(key, name, kind, brand)])
+
+    return t(spark, d, "part").select("p_partkey", shown("p_partkey", "p_name", "p_type", "p_brand").alias("shown"))
+
+
+@query("select status, failures, tries, waited::double as waited, done from (values (429, 0, 1, 0.0, true), (429, 2, 3, 3.0, true), (500, 3, 4, 7.0, true), (500, 4, 4, 7.0, false), (400, 1, 1, 0.0, false), (0, 1, 2, 1.0, true)) v(status, failures, tries, waited, done)")
+def retries(spark, d):
+    """Calls that fail some times before they succeed: tries, seconds waited (each time twice as long) and whether an answer came."""
+    from .plans.clients import CallError, call
+
+    rows = []
+    for status, failures in ((429, 0), (429, 2), (500, 3), (500, 4), (400, 1), (0, 1)):
+        tries, waits = [], []
+
+        def send(url, headers, body, status=status, failures=failures, tries=tries):
+            tries.append(1)
+            if len(tries) > failures:
+                return 200, b"{}"
+            if not status:
+                raise CallError("no response")
+            return status, b"no"
+
+        try:
+            call(send, "u", {}, {}, sleep=waits.append)
+            done = True
+        except CallError:
+            done = False
+        rows.append((status, failures, len(tries), float(sum(waits)), done))
+    return spark.createDataFrame(rows, "status int, failures int, tries int, waited double, done boolean")
+
+
+def fake_completions(url: str, headers: dict, body: dict) -> tuple[int, bytes]:
+    """Plans a lookup of what the question names, has enough after two searches, and cites one document."""
+    asked = body["response_format"]["json_schema"]["schema"]["properties"]
+    text = body["messages"][-1]["content"]
+    if "tool" in asked:
+        said = {"tool": asked["tool"]["enum"][text.count("[1]") + text.count("[2]")], "query": "the", "entity": "hot gear", "attribute": "", "reasoning": "r"}
+    elif "sufficient" in asked:
+        said = {"sufficient": "[2]" in text, "reasoning": "r"}
+    else:
+        said = {"answer": text.split("\n")[0], "citations": [{"doc_id": "d", "page": 3, "section": "s"}], "conflicts": ["a and b"]}
+    return 200, json.dumps({"choices": [{"message": {"content": json.dumps(said)}}]}).encode()
+
+
+@query("select r_regionkey as qid, 'Question: What of ' || r_name || '?' as answer, 'keyword_search,table_lookup' as tools, 'd 3 s' as cited, 'a and b' as conflicts, false as hit_cap from region")
+def modelled_answers(spark, d):
+    """A question for each region, by a policy of a language model."""
+    from .plans import agent
+    from .plans.clients import HttpCompletions
+
+    policy = agent.Modelled(HttpCompletions("http://none", "key", "model", send=fake_completions), lambda trace: agent.render(trace, {}))
+    questions = {r["r_regionkey"]: f"What of {r['r_name']}?" for r in t(spark, d, "region").collect()}
+    answers = agent.ask_all(spark, toolset(spark, d), questions, policy)
+    rows = [(q, a.text, ",".join(o.call.tool for o in a.trace), " ".join(str(v) for v in a.citations[0].values()), a.conflicts[0], a.hit_cap) for q, a in answers.items()]
+    return spark.createDataFrame(rows, "qid int, answer string, tools string, cited string, conflicts string, hit_cap boolean")
+
+
+@query("select p_partkey as ord, 'part::' || p_partkey as id, p_name as section, 'table' as chunk_type, 'Brand=' || p_brand || ';Type=' || p_type || ';Size=' || p_size as cells, null::varchar as text, 7 as char_count, (select count(*) from part) as chunk_count, 'Großes Archiv' as archive_root from part")
+def artifact_roundtrip(spark, d):
+    """Chunks and what describes them, written as one JSON object and read again."""
+    parts = table_parts(spark, d).filter("doc_title = 'Parts'")
+    given = {"ord": F.col("ord"), "table": F.col("table"), "char_count": F.lit(7), "low_confidence": F.lit(False), "entities": F.array().cast("array<string>")}
+    chunks = parts.select("ord", *[given.get(f.name, F.col(f.name) if f.name in parts.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CHUNK])
+    n = parts.agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
+    meta = n.select(*[F.col(f.name) if f.name == "chunk_count" else F.lit("Großes Archiv" if f.name == "archive_root" else None).cast(f.dataType).alias(f.name) for f in META])
+    path = f"{shared_folder(spark)}/artifact-{uuid.uuid4()}"
+    artifact.write_artifact(meta, chunks, path)
+    about, read = artifact.read_artifact(spark, path)
+    cells = F.array_join(F.transform("table", lambda r: F.array_join(r, "=")), ";")
+    return read.crossJoin(F.broadcast(about.select(F.col("chunk_count").cast("long"), "archive_root"))).select("ord", "id", "section", "chunk_type", cells.alias("cells"), "text", "char_count", "chunk_count", "archive_root")
