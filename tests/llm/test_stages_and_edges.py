@@ -105,6 +105,41 @@ def test_scores_without_a_class(spark, odd):
     assert [r["held_out"] for r in rows if r["doc_id"] is None] == [False]
 
 
+def test_mixing_rows(spark, odd):
+    rows = mixing.op4_mixing(spark, odd).collect()
+    got = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    sizes = {1: 15, 2: 0, 3: 0, 4: 0, 5: 11, 6: 11, 7: 80000, 8: 80000, 9: 1}
+    assert {i: r["size"] for i, r in got.items()} == sizes and sorted(r["doc_id"] == 6 for r in rows).count(True) == 2
+    assert {i: r["source_size"] for i, r in got.items()} == {1: 27, 2: 27, 3: 22, 4: 11, 5: 11, 6: 22, 7: 160001, 8: 160001, 9: 160001}
+    assert all(0 <= r["taken"] <= 2 * r["size"] and r["target"] <= 2 * r["source_size"] for r in rows)
+    #: the shares of a (3 of 9), b (1), c (2) and null (3) go to the one large source, up to twice its size
+    assert [got[i]["target"] for i in (1, 5, 3)] == [54.0, 22.0, 44.0] and abs(got[7]["target"] - (1.5 * 160061 - 120)) < 1e-6
+
+
+def test_fingerprint_rows(spark, odd):
+    rows = fingerprint.op7_fingerprints(spark, odd).collect()
+    got = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got[9]["edited_sha256"] == sha("onea"[:2] + LONG[:1]) and got[2]["edited_sha256"] == sha("") and got[2]["near_edited"] == 1.0
+    assert got[8]["edited_sha256"] == sha(LONG[: len(LONG) // 2] + LONG[: len(LONG) // 2]) and got[8]["near_next"] == 1.0
+    assert len({r["fingerprint"] for r in rows if r["doc_id"] == 6}) == 1 and [r["n_chars"] for r in rows if r["doc_id"] is None] == [len(ROWS[7][1])]
+    last = next(r for r in rows if r["doc_id"] is None)  # after it comes the first, 9
+    assert last["edited_sha256"] == sha(ROWS[7][1][: len(ROWS[7][1]) - len(ROWS[7][1]) // 2] + "one")
+
+
+def test_chat_rows(spark, odd):
+    rows = chat.op2_chat(spark, odd).collect()
+    alone = [r for r in rows if r["conv_id"] is None]
+    assert len(alone) == 1 and alone[0]["rendered"].endswith("x\n<|end|>\n") and alone[0]["n_turns"] == 1
+    assert sorted(len(r["line_roles"].split(",")) for r in rows if r["conv_id"] == 2 and r["turn"] == 0) == [3, 3]
+    assert sum(r["rendered"].count("<|end|>") for r in rows if r["conv_id"] == 1) == sum(r["n_turns"] for r in rows if r["conv_id"] == 1)
+
+
+def test_licence_rows(spark, odd):
+    rows = licenses.op5_licenses(spark, odd).collect()
+    assert all((r["own_licence"], r["own_score"], r["licence"], r["inherited_from"]) == (None, 0.0, None, None) for r in rows)
+
+
 def test_licence_file_gives_to_its_directory(spark):
     files = spark.createDataFrame([(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.py", "x"), (3, "a/b/d.py", "# SPDX-License-Identifier: GPL-3.0-or-later\ncode"), (4, "z/e.py", "mit mit"), (5, None, None), (6, "a/b/COPYING.txt", "Licensed under CC BY 4.0."), (7, "a/x/y.py", "")], "id long, path string, text string")
     got = {r["id"]: (r["own_licence"], r["licence"], r["inherited_from"]) for r in licenses.scan(files).collect()}
