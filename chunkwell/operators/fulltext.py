@@ -44,7 +44,7 @@ def index_text(chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """``postings`` (folder, field, term, id, dl, positions), ``stats`` (field, n, avgdl) and ``terms`` (field, term, df)."""
+    """``postings`` (folder, field, term, id, dl, tf, positions), ``stats`` (field, n, avgdl) and ``terms`` (field, term, df)."""
 
     postings: DataFrame
     stats: DataFrame
@@ -56,7 +56,9 @@ class Index:
 
     def save(self, path: str) -> Index:
         spark = self.postings.sparkSession
-        rows = self.postings.repartition("folder", F.xxhash64("term") % 4).sortWithinPartitions("folder", "field", "term")
+        #: files of a folder, by terms, as many as the session has partitions for
+        files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // FOLDERS)
+        rows = self.postings.repartition("folder", F.pmod(F.hash("term"), F.lit(files))).sortWithinPartitions("folder", "field", "term")
         rows.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
         #: from the postings as written
@@ -82,7 +84,7 @@ def build_index(texts: DataFrame) -> Index:
     words = fielded.select("id", "field", tokens(F.col("text")).alias("w"))
     each = words.select("id", "field", F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term"))
     postings = each.groupBy("field", "id", "dl", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    postings = postings.select(folder_of(F.col("term")).alias("folder"), "field", "term", "id", "dl", "positions")
+    postings = postings.select(folder_of(F.col("term")).alias("folder"), "field", "term", "id", "dl", F.size("positions").alias("tf"), "positions")
     stats = words.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
     return Index(postings, stats, counted(postings))
 
@@ -110,9 +112,8 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def scored(hits: DataFrame, stats: DataFrame) -> DataFrame:
-    """(field, term, id, part) of (field, term, id, tf, dl): a text's share of a score for each asked term. ``hits`` holds all texts of these terms."""
-    with_df = hits.join(hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), ["field", "term"])
-    both = with_df.join(F.broadcast(stats), "field")  # a row for each field
+    """(field, term, id, part) of (field, term, id, tf, dl, df): a text's share of a score for each asked term."""
+    both = hits.join(F.broadcast(stats), "field")  # a row for each field
     part = idf(F.col("df"), F.col("n")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return both.select("field", "term", "id", part.alias("part"))
 
@@ -123,10 +124,12 @@ def small(terms: DataFrame) -> DataFrame:
 
 
 def asked_postings(index: Index, asked: DataFrame) -> DataFrame:
-    """The postings of asked (field, term), from the folders of these terms only."""
+    """The postings of asked (field, term) with their ``df``, from the folders of these terms only."""
     terms = asked.select("field", "term").distinct()
     folders = [r[0] for r in terms.select(folder_of(F.col("term"))).distinct().collect()]  # FOLDERS at most
-    return index.postings.filter(F.col("folder").isin(folders)).drop("folder").join(small(terms), ["field", "term"])
+    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    known = index.terms.join(F.broadcast(terms) if few else terms, ["field", "term"])
+    return index.postings.filter(F.col("folder").isin(folders)).drop("folder").join(F.broadcast(known) if few else known, ["field", "term"])
 
 
 def bm25(source: DataFrame | Index, queries: DataFrame, limit: int | None = RESULT_LIMIT) -> DataFrame:
@@ -137,8 +140,7 @@ def bm25(source: DataFrame | Index, queries: DataFrame, limit: int | None = RESU
     """
     asked = query_terms(queries).withColumn("field", F.lit("all"))
     if isinstance(source, Index):
-        hits = asked_postings(source, asked).withColumn("tf", F.size("positions"))
-        stats = source.stats
+        hits, stats, asked = asked_postings(source, asked), source.stats, small(asked)
     else:
         terms = small(asked.select("term").distinct().withColumn("asked", F.lit(True)))
         each = source.select("id", F.explode_outer(tokens(F.col("text"))).alias("term")).join(terms, "term", "left")
@@ -146,7 +148,9 @@ def bm25(source: DataFrame | Index, queries: DataFrame, limit: int | None = RESU
         lengths = counts.groupBy("id").agg(F.sum("tf").alias("dl"))
         stats = lengths.agg(F.lit("all").alias("field"), F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
         hits = counts.filter("asked_term is not null").withColumnRenamed("asked_term", "term").join(lengths, "id").withColumn("field", F.lit("all"))
-    parts = scored(hits, stats).join(asked, ["field", "term"])
+        hits = hits.join(counted(hits), ["field", "term"])
+    #: texts are brought together before each term meets the queries that ask for it, so that this larger table is not shuffled
+    parts = scored(hits, stats).repartition("id").join(asked, ["field", "term"])
     sums = parts.groupBy("qid", "id").agg(F.round(F.sum(F.col("part") * F.col("weight")), 6).alias("score"))
     return top(sums, limit)
 
@@ -207,7 +211,7 @@ def fuzzy(source: DataFrame | Index, queries: DataFrame, edits: int = 1) -> Data
     asked = queries.select("qid", F.lower("query").alias("q"))
     if isinstance(source, Index):
         near = near_terms(source.terms.filter("field = 'all'").select("term"), asked, edits)
-        return asked_postings(source, near.withColumn("field", F.lit("all"))).join(near, "term").select("qid", "term", "id")
+        return asked_postings(source, near.withColumn("field", F.lit("all"))).join(small(near), "term").select("qid", "term", "id")
     each = source.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     near = near_terms(each.select("term").distinct(), asked, edits)
     return each.join(small(near), "term").select("qid", "term", "id")
@@ -252,8 +256,7 @@ def search(source: DataFrame | Index, text: str, limit: int | None = RESULT_LIMI
         words = near_terms(index.terms.select("term").distinct(), near.select("qid", "q"), edits).join(F.broadcast(near), "qid")
         terms = terms.unionByName(words.select(F.col("qid").alias("c"), F.col("f").alias("field"), "boost", "term"))
     terms = terms.groupBy("c", "field", "term").agg(F.sum("boost").alias("weight"))
-    hits = asked_postings(index, terms).withColumn("tf", F.size("positions"))
-    each = scored(hits, index.stats).join(terms, ["field", "term"]).select("c", "id", (F.col("part") * F.col("weight")).alias("part"))
+    each = scored(asked_postings(index, terms), index.stats).join(terms, ["field", "term"]).select("c", "id", (F.col("part") * F.col("weight")).alias("part"))
     wanted = [i for i, c in enumerate(clauses) if c.sign != "-"]
     sums = each.filter(F.col("c").isin(wanted)).groupBy("id").agg(F.round(F.sum("part"), 6).alias("score")).select(F.lit(0).alias("qid"), "id", "score")
     for i, c in enumerate(clauses):

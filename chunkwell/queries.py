@@ -730,7 +730,7 @@ def index_fields(spark, d):
 @query(f"with w as (select doc_id as id, {TOKENS} as w from documents), e as (select id, len(w) as dl, unnest(w) as term, generate_subscripts(w, 1) - 1 as pos from w) select term, id, dl, count(*) as tf, string_agg(pos::varchar, ',' order by pos) as positions from e group by 1, 2, 3")
 def index_postings(spark, d):
     made = ft.build_index(doc_texts(spark, d)).postings
-    return made.select("term", "id", F.col("dl").cast("long"), F.size("positions").cast("long").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    return made.select("term", "id", F.col("dl").cast("long"), F.col("tf").cast("long"), F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 @query(PART_FIELDS + ", w as (select field, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from x) select field, count(*) as n, round(avg(len(w)), 6) as avgdl, (select count(distinct u.term) from (select field, unnest(w) as term from w) u where u.field = w.field) as terms from w group by field")
