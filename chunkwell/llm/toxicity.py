@@ -3,7 +3,8 @@
 Every labelled row of the training folds is counted. Counts are a table of pairs of words by class, keyed by
 64-bit hashes, which grows with the corpus and stays distributed; words' counts and
 contexts are sums over it. Only what a score needs goes to the workers: the words whose
-difference counts.
+difference counts, up to a number of them. Where there are more, workers get the most frequent words only, and the other words of the texts
+meet theirs by a join, so that nothing that grows with the corpus is collected or broadcast; scores are the same either way.
 
 A class's probability of a word is its count in the class less a discount, and what the discounts leave
 over goes to backoff counts that both classes share: in how many contexts (after how many other words) a word is seen. So a
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, portions, release, small_batches, table
+from .common import cut, fresh, named, portions, release, small_batches, table
 
 FOLDS, HELD_OUT, FITTED = 5, 0, 1
 #: Of Kneser and Ney's smoothing.
@@ -46,6 +47,8 @@ LENGTH = 30
 CELLS, SPAN = 4001, 2.0
 #: Labels up to this number are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 500_000
+#: Words whose differences are sent to the workers at most (16 bytes each); those of others are joined by a shuffle.
+BROADCAST_WORDS = 1 << 22
 
 _P = 0x9E3779B97F4A7C15
 _Q = 0xD6E8FEB86659FD93
@@ -120,25 +123,75 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """What scoring needs: hashes of words, in order, with their differences beyond the zone, and that of all other words."""
+    """What scoring needs: hashes of words, in order, with their differences beyond the zone, and that of all other words.
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, rest: float):
-        self.keys, self.values, self.rest = keys, values, rest
+    ``tail``, if not None, has columns ``word`` and ``more``: by how much the difference of a word that the workers do not know is beyond that of all others.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, rest: float, tail: DataFrame | None = None):
+        self.keys, self.values, self.rest, self.tail = keys, values, rest, tail
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "tail": None}  # a frame stays on the driver
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Differences of words, and which of the words are known."""
+        if not len(self.keys):
+            return np.full(len(h), self.rest), np.zeros(len(h), bool)
+        place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        known = self.keys[place] == h
+        return np.where(known, self.values[place], self.rest), known
 
     def difference(self, texts: list[str]) -> np.ndarray:
         """Toxic less ordinary log-likelihood, word by word beyond the zone, over the length."""
         total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for parts, rows in groups(texts):
             h, at = word_hashes(parts)
-            d = np.full(len(h), self.rest)
-            if len(self.keys):
-                place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                d = np.where(self.keys[place] == h, self.values[place], d)
-            total += np.bincount(rows[at], d, minlength=len(texts))
+            total += np.bincount(rows[at], self.look(h)[0], minlength=len(texts))
             n += np.bincount(rows[at], minlength=len(texts))
         return total / (n + LENGTH)
 
 
+def differences(documents: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """Documents with a column of their texts' differences, and its name, where words of the model are in a table of their own."""
+    row, out, total, length = fresh(documents, "_row", "_difference", "_total", "_length")
+    keyed = cut(documents.withColumn(row, F.monotonically_increasing_id()))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each text the sum over the words known, and a row for each word that is not."""
+        names = ["id", "word", "times", "total", "length"]
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), [t or "" for t in batch.column(1).to_pylist()]
+            sums, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for parts, rows in groups(texts):
+                h, at = word_hashes(parts)
+                d, known = shared.value.look(h)
+                of = rows[at]
+                sums += np.bincount(of, d, minlength=len(texts))
+                n += np.bincount(of, minlength=len(texts))
+                a, b = of[~known], h[~known]
+                if not len(a):
+                    continue
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                columns = [pa.array(ids[a[first]]), pa.array(b[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(a)]))]
+                nothing = [pa.array(np.zeros(len(first))), pa.array(np.zeros(len(first), np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, *nothing], names)
+            none = pa.nulls(len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), none, none, pa.array(sums), pa.array(n)], names)
+        release()
+
+    parts = cut(keyed.select(row, "text").mapInArrow(split, "id long, word long, times long, total double, length long"))
+    known = parts.filter("word is null").select("id", "total", "length")
+    more = parts.filter("word is not null").join(model.tail, "word")
+    more = more.select("id", (F.col("times") * F.col("more")).alias("total"), "length")
+    sums = known.unionByName(more).groupBy(F.col("id").alias(row)).agg(F.sum("total").alias(total), F.sum("length").alias(length))
+    scored = keyed.join(sums, row)
+    return scored.select(*named(documents), (F.col(total) / (F.col(length) + LENGTH)).alias(out)), out
+
+
 def beyond(d):
     """A difference less the zone."""
     return F.signum(d) * F.greatest(F.abs(d) - ZONE, F.lit(0.0))
@@ -157,10 +210,24 @@ def learn(counted: DataFrame) -> Model | None:
     p0, p1 = ((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * t * shared) / n for c, t, n in (("n0", t0, n0), ("n1", t1, n1)))
     rest = float(np.log(t1 / n1 / (t0 / n0)))
     rest = float(np.sign(rest) * max(abs(rest) - ZONE, 0))
-    marked = words.select("word", beyond(F.log(p1 / p0)).alias("d")).filter(F.col("d") != rest).toArrow()
-    keys = marked.column(0).to_numpy().view(np.uint64)
+    differing = words.select("word", (F.col("n0") + F.col("n1")).alias("n"), beyond(F.log(p1 / p0)).alias("d"))
+    head = marked = differing.filter(F.col("d") != rest)
+    tail = None
+    if head.count() > BROADCAST_WORDS:
+        #: words by the binary digits of their counts, at most 64 rows; the most frequent ones that are few enough
+        digits, least = F.length(F.bin("n")), 1 << 62
+        room = BROADCAST_WORDS
+        for r in sorted(differing.groupBy(digits.alias("digits")).agg(F.count(F.lit(1)).alias("held")).collect(), reverse=True):
+            room -= r["held"]
+            if room < 0:
+                break
+            least = 1 << (r["digits"] - 1)
+        head = differing.filter(F.col("n") >= least)
+        tail = cut(marked.filter(F.col("n") < least).select("word", (F.col("d") - rest).alias("more")))
+    found = head.select("word", "d").toArrow()
+    keys = found.column(0).to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return Model(keys[order], marked.column(1).to_numpy()[order], rest)
+    return Model(keys[order], found.column(1).to_numpy()[order], rest, tail)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -202,16 +269,23 @@ class Scorer:
             return np.zeros(len(texts))
         return 1 / (1 + np.exp(-np.clip(self.slope * self.model.difference(texts) + self.intercept, -35, 35)))
 
+    def column(self, documents: DataFrame) -> tuple[DataFrame, str] | None:
+        """Documents with a column of scores, and its name, where the model's words are more than workers get."""
+        if self.model is None or self.model.tail is None:
+            return None
+        seen, name = differences(documents, self.model)
+        x = F.greatest(F.lit(-35.0), F.least(F.lit(35.0), self.slope * F.col(name) + self.intercept))
+        return seen.withColumn(name, 1 / (1 + F.exp(-x))), name
+
 
-def fit(documents: DataFrame, labels: DataFrame):
-    """A broadcast ``Scorer``."""
+def fit(documents: DataFrame, labels: DataFrame) -> Scorer:
     spark = documents.sparkSession
     small_batches(spark)
     train = labelled(documents, labels)
     counted = train.filter(F.col("fold") != FITTED).select("text", "toxic").mapInArrow(count, COUNTS)
     model = learn(counted)
     if model is None:
-        return spark.sparkContext.broadcast(Scorer(None, 0.0, 0.0))
+        return Scorer(None, 0.0, 0.0)
     shared = spark.sparkContext.broadcast(model)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +298,13 @@ def fit(documents: DataFrame, labels: DataFrame):
         y, cell = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(cell, pa.int32()), pa.array(total[y, cell], pa.int64())], ["toxic", "cell", "n"])
 
-    fitted = train.filter(F.col("fold") == FITTED).select("text", "toxic").mapInArrow(cells, "toxic int, cell int, n long")
+    seen = train.filter(F.col("fold") == FITTED).select("text", "toxic")
+    if model.tail is None:
+        fitted = seen.mapInArrow(cells, "toxic int, cell int, n long")
+    else:
+        seen, name = differences(seen, model)
+        cell = F.rint((F.col(name) + SPAN) / (2 * SPAN) * (CELLS - 1))
+        fitted = seen.select("toxic", F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), cell.cast("int"))).alias("cell"), F.lit(1).alias("n"))
     got = fitted.groupBy("toxic", "cell").agg(F.sum("n").alias("n")).collect()  # at most 2 * CELLS rows
     if len({r["toxic"] for r in got}) < 2:
         #: the log-odds of all training labels; without evidence no text is toxic
@@ -233,18 +313,25 @@ def fit(documents: DataFrame, labels: DataFrame):
     else:
         x = np.array([r["cell"] for r in got]) / (CELLS - 1) * 2 * SPAN - SPAN
         slope, intercept = fit_logistic(x, np.array([r["toxic"] for r in got], float), np.array([r["n"] for r in got], float))
-    return spark.sparkContext.broadcast(Scorer(model, slope, intercept))
+    return Scorer(model, slope, intercept)
+
 
+def score_documents(documents: DataFrame, scorer: Scorer) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(scorer)
 
-def score_documents(documents: DataFrame, scorer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = scorer.value.score([t or "" for t in batch.column(1).to_pylist()])
+            s = shared.value.score([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
         release()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    scored = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    texts = documents.select("doc_id", "text")
+    joined = scorer.column(texts)
+    if joined is None:
+        scored = texts.mapInArrow(run, f"doc_id {kind}, score double")
+    else:
+        scored = joined[0].select("doc_id", F.col(joined[1]).alias("score"))
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -257,11 +344,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half; all columns as they were."""
     scorer = fit(documents, table(spark, sf_dir, "labels"))
+    joined = scorer.column(documents)
+    if joined is not None:
+        return joined[0].filter(F.col(joined[1]) < 0.5).select(*named(documents))
     at = documents.columns.index("text")
+    shared = spark.sparkContext.broadcast(scorer)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = scorer.value.score([t or "" for t in batch.column(at).to_pylist()])
+            s = shared.value.score([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(s < 0.5))
         release()
 

@@ -84,6 +84,40 @@ def test_portions_of_a_text_count_as_one(monkeypatch):
     assert total() == want
 
 
+@pytest.mark.parametrize("bound", [3, 15])
+def test_words_beyond_the_broadcast_are_joined(spark, monkeypatch, tmp_path, bound):
+    """Scores and decisions are the same whether workers hold all words that differ or few of them."""
+    rng = random.Random(3)
+    plain, foul = [f"w{i}" for i in range(400)], [f"vile{i}" for i in range(30)]
+    rows, marks = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        words = [rng.choice(plain) for _ in range(rng.randint(0, 60))] + [foul[min(int(rng.paretovariate(0.6)), 29)] for _ in range(4 * toxic)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), i, "x"))
+        marks.append((i, 0, int(toxic)))
+    rows += [(None, None, 0, None), (None, "vile1 vile2 vile1", 0, None), (7, rows[7][1], 7, "x"), (601, "", None, None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, _row long, _difference string")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = common.table(spark, str(tmp_path), "labels")
+
+    def found():
+        scorer = toxicity.fit(documents, labels)
+        scores = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["predicted"], r["score"]) for r in toxicity.score_documents(documents, scorer).collect()))
+        kept = toxicity.toxicity_stage(spark, documents, str(tmp_path))
+        assert kept.columns == documents.columns
+        return scorer, scores, sorted(map(repr, kept.collect()))
+
+    all_known, want, kept = found()
+    assert all_known.model.tail is None and 0 < len(kept) < len(rows)
+    monkeypatch.setattr(toxicity, "BROADCAST_WORDS", bound)
+    scorer, got, also = found()
+    assert len(scorer.model.keys) <= bound and scorer.model.tail.count() and also == kept
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-9 for g, w in zip(got, want))
+    none = documents.limit(0)
+    assert toxicity.score_documents(none, scorer).count() == 0
+
+
 def test_viterbi_is_the_best_of_all_paths(spark, monkeypatch):
     rng = random.Random(6)
     lines = ["User: hi?", "ok", "", "Assistant: " + "long " * 50, "- item", "system: x", "why?", "Bob: hello"]
