@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, collocations, embedding_dedup, fingerprint, licenses, line_dedup, mixing, simhash_dedup, toxicity, url_filters
+from . import bpe, chat, collocations, embedding_dedup, fingerprint, licenses, line_dedup, mixing, quality, simhash_dedup, toxicity, url_filters
 
-MODULES = (url_filters, chat, toxicity, mixing, licenses, embedding_dedup, fingerprint, bpe, simhash_dedup, line_dedup, collocations)
+MODULES = (url_filters, chat, toxicity, mixing, licenses, embedding_dedup, fingerprint, bpe, simhash_dedup, line_dedup, collocations, quality)
 
 
 def queries() -> dict:
