@@ -38,11 +38,33 @@ def citations(paired: DataFrame, most: int = MAX_CITATIONS) -> DataFrame:
     return paired.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("src", "dst", "rank", "ord", "id")
 
 
-def edges(chunks: DataFrame) -> DataFrame:
-    """(src, dst, weight, citations)."""
+def edges(chunks: DataFrame, most: int = MAX_CITATIONS) -> DataFrame:
+    """(src, dst, weight, citations). Edges of a part of the chunks are partial sums, which ``merge_edges`` puts together."""
     paired = pairs(chunks)
-    cited = citations(paired).groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("citations"))
-    return weights(paired).join(cited, ["src", "dst"])
+    return weights(paired).join(cited_lists(citations(paired, most)), ["src", "dst"])
+
+
+def cited_lists(cited: DataFrame) -> DataFrame:
+    return cited.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("citations"))
+
+
+def merge_edges(parts: DataFrame, most: int = MAX_CITATIONS) -> DataFrame:
+    """``edges`` of all chunks from those of parts of them: weights are added, of the citations the first stay. No part's chunks are read again, and the
+    order of parts makes no difference."""
+    sums = parts.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    each = parts.select("src", "dst", F.explode("citations").alias("c")).select("src", "dst", "c.ord", "c.id")
+    return sums.join(cited_lists(citations(each, most)), ["src", "dst"])
+
+
+def node_parts(chunks: DataFrame) -> DataFrame:
+    """(key, name, last, mentions): ``nodes`` of a part of the chunks, with where the name was written and how often a key is named."""
+    place = F.struct("ord", "pos")
+    return mentions(chunks).groupBy("key").agg(F.max_by("name", place).alias("name"), F.max(place).alias("last"), F.count(F.lit(1)).alias("mentions"))
+
+
+def merge_nodes(parts: DataFrame) -> DataFrame:
+    """``node_parts`` of all chunks from those of parts of them."""
+    return parts.groupBy("key").agg(F.max_by("name", "last").alias("name"), F.max("last").alias("last"), F.sum("mentions").alias("mentions"))
 
 
 def follow(node_table: DataFrame, edge_table: DataFrame, requests: DataFrame, limit: int = RESULT_LIMIT) -> DataFrame:

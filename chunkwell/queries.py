@@ -420,6 +420,25 @@ def graph_citations(spark, d):
     return gr.citations(gr.pairs(order_chunks(spark, d))).select("src", "dst", "ord", F.col("rank").cast("long"))
 
 
+@query(PAIRS + ", r as (select *, row_number() over (partition by src, dst order by ord) as rank from e) select src, dst, count(*) as weight, string_agg('order::' || ord, ' ' order by ord) filter (where rank <= 10) as cited from r group by 1, 2")
+def graph_merged(spark, d):
+    """Edges of three parts of the orders, put together; none is read again for it."""
+    chunks, union = order_chunks(spark, d), None
+    for part in range(3):
+        made = gr.edges(chunks.filter(F.pmod("ord", F.lit(3)) == part))
+        union = made if union is None else union.unionByName(made)
+    return gr.merge_edges(union).select("src", "dst", "weight", F.array_join(F.transform("citations", lambda c: c["id"]), " ").alias("cited"))
+
+
+@query(PAIRS + " select key, count(*) as mentions, key as name from m group by key")
+def graph_nodes_merged(spark, d):
+    chunks, union = order_chunks(spark, d), None
+    for part in range(3):
+        made = gr.node_parts(chunks.filter(F.pmod("ord", F.lit(3)) == part))
+        union = made if union is None else union.unionByName(made)
+    return gr.merge_nodes(union).select("key", "mentions", "name")
+
+
 def followed(spark: SparkSession, d: str, names: list[str], limit: int) -> DataFrame:
     made = order_chunks(spark, d)
     asked = spark.createDataFrame(list(enumerate(names)), "qid int, entity string")
