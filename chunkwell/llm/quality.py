@@ -37,8 +37,8 @@ VOTERS, BASIS, DIRECTIONS, NEAREST, POWER, GOOD = 16_384, 2_048, 64, 8, 16, 0.3
 #: Cells of hashed words and of hashed shapes, and the words' weight.
 WORDS, SHAPES, WORD_WEIGHT = 1 << 13, 1 << 10, 0.5
 TERMS = WORDS + SHAPES
-#: Words known at once by a task, texts compared at once.
-KNOWN, BLOCK = 1 << 19, 256
+#: Words known at once by a task, texts compared at once, parts of the voters of which the nearest are found first.
+KNOWN, BLOCK, PARTS = 1 << 19, 256, 256
 #: Cosines are compared in steps of this, so that the order of sums does not decide.
 STEPS = np.float32(65536)
 SPACE = b" \t\n\x0b\x0c\r"
@@ -54,11 +54,13 @@ class Cells(dict):
 
     def __init__(self, size: int, offset: int):
         super().__init__()
-        self.size, self.offset, self.cells = size, offset, []
+        self.size, self.offset, self.of = size, offset, np.zeros(1 << 12, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
-        self.cells.append(self.offset + xxhash.xxh3_64_intdigest(word) % self.size)
+        if n == len(self.of):
+            self.of = np.concatenate([self.of, np.zeros(n, np.int64)])
+        self.of[n] = self.offset + xxhash.xxh3_64_intdigest(word) % self.size
         return n
 
 
@@ -69,10 +71,11 @@ class Reader:
         self.words, self.shapes = Cells(WORDS, 0), Cells(SHAPES, WORDS)
         self.repeat = WORDS + xxhash.xxh3_64_intdigest(REPEAT) % SHAPES
 
-    def counts(self, text: bytes | None) -> np.ndarray:
-        out, last = np.zeros(TERMS, np.int64), -1
+    def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms in order, and how often each is there."""
         if len(self.words) + len(self.shapes) > KNOWN:
             self.__init__()
+        parts, last = [], -1
         for block in blocks((text or b"").translate(SPACED)):
             found = block.translate(LOWER).split()
             if not found:
@@ -81,20 +84,15 @@ class Reader:
             signs = np.frombuffer(block.translate(SIGNS), np.uint8)
             shapes = signs[np.r_[True, signs[1:] != signs[:-1]]].tobytes().split()
             kinds = np.fromiter(map(self.shapes.__getitem__, shapes), np.int64, len(shapes))
-            out += self.cells(own, self.words) + self.cells(kinds, self.shapes)
-            out[self.repeat] += int((own[1:] == own[:-1]).sum()) + int(own[0] == last)
+            again = int((own[1:] == own[:-1]).sum()) + int(own[0] == last)
             last = own[-1]
-        return out
-
-    @staticmethod
-    def cells(numbers: np.ndarray, known: Cells) -> np.ndarray:
-        return np.bincount([known.cells[i] for i in numbers.tolist()], minlength=TERMS)
-
-
-def sparse(reader: Reader, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    n = reader.counts(text)
-    terms = np.flatnonzero(n)
-    return terms, n[terms]
+            parts.append(np.unique(np.concatenate([self.words.of[own], self.shapes.of[kinds], np.full(again, self.repeat)]), return_counts=True))
+        if len(parts) == 1:
+            return parts[0]
+        out = np.zeros(TERMS, np.int64)
+        for terms, n in parts:
+            out[terms] += n
+        return np.flatnonzero(out), out[out > 0]
 
 
 class Space:
@@ -126,15 +124,18 @@ class Voters:
     def vote(self, places: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(places), self.rest)
-        near = np.rint(places @ self.places.T * STEPS)
-        k = max(near.shape[1] - self.nearest, 0)
-        least = np.maximum(np.partition(near, k, axis=1)[:, k], 1)
+        near, n, k = places @ self.places.T, len(self.labels), self.nearest
+        #: as many voters as vote are at least as near as the k-th of the parts' nearest ones
+        most = np.maximum.reduceat(near, np.arange(0, n, max(n // PARTS, 1)), axis=1)
+        least = np.partition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k] if most.shape[1] > k else near.min(1)
         out = np.empty(len(places))
         for i, row in enumerate(near):
-            at = np.flatnonzero(row >= least[i])
-            w = (row[at] / float(STEPS)) ** POWER
+            at = np.flatnonzero(row >= least[i] - 2 / STEPS)
+            near_of = np.rint(row[at] * STEPS)
+            keep = near_of >= max(np.partition(near_of, max(len(at) - k, 0))[max(len(at) - k, 0)], 1)
+            w = (near_of[keep] / float(STEPS)) ** POWER
             total = w.sum()
-            out[i] = (w @ self.labels[at]) / total if total > 0 else self.rest
+            out[i] = (w @ self.labels[at[keep]]) / total if total > 0 else self.rest
         return np.clip(out, 0, 1)
 
 
@@ -149,7 +150,7 @@ def weights(documents: DataFrame) -> np.ndarray:
         reader, total = Reader(), np.zeros(TERMS + 1, np.int64)
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
-                total[:TERMS] += reader.counts(text.as_py()) > 0
+                total[reader.counts(text.as_py())[0]] += 1
                 total[TERMS] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["term", "n"])
@@ -170,7 +171,7 @@ def sample(documents: DataFrame, labels: DataFrame, voters: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in batches:
-            found = [sparse(reader, t.as_py()) for t in batch.column(2).cast(pa.binary())]
+            found = [reader.counts(t.as_py()) for t in batch.column(2).cast(pa.binary())]
             terms, counts = [t.astype(np.uint16).tobytes() for t, _ in found], [c.astype(np.int64).tobytes() for _, c in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["place", "label", "terms", "counts"])
 
@@ -207,7 +208,7 @@ def fit(documents: DataFrame, labels: DataFrame, voters: int = VOTERS, basis: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.place(*p).tobytes() for p in pairs], pa.binary())], ["label", "at"])
 
     got = rows.select("label", "terms", "counts").mapInArrow(run, "label double, at binary").orderBy("at", "label").collect()  # ``voters`` rows at most
-    places = np.array([np.frombuffer(r["at"], np.float32) for r in got], np.float32).reshape(len(got), -1)
+    places = np.array([np.frombuffer(r["at"], np.float32) for r in got], np.float32).reshape(len(got), space.axes.shape[1])
     return Voters(space, places, np.array([r["label"] for r in got]), nearest)
 
 
@@ -220,7 +221,7 @@ def score_documents(documents: DataFrame, voters: Voters) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), BLOCK):
                 part = batch.slice(at, BLOCK)
-                places = np.array([model.space.place(*sparse(reader, t.as_py())) for t in part.column(1).cast(pa.binary())], np.float32)
+                places = np.array([model.space.place(*reader.counts(t.as_py())) for t in part.column(1).cast(pa.binary())], np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.vote(places), pa.float64())], ["doc_id", "score"])
         release()
 
