@@ -2,9 +2,10 @@
 
 Each source's words are packed into blocks of a fixed length. Output shards have a
 fixed number of slots; which source fills a slot is drawn at random, so that a
-shard's counts are multinomial. What the draws leave a source over or under its quota is settled in
-the last shard. The i-th slot of a source goes through a pseudorandom
-permutation of the source's block numbers, and blocks are joined to slots by number.
+shard's counts are multinomial, up to what is left of a source's quota. What the draws leave a source under its quota is settled in
+a last shard. The i-th slot of a source goes through a pseudorandom
+permutation of the source's block numbers, and blocks are joined to slots by number, so that the draw decides in which shard a block is put out. Another seed of the
+draw gives other shards, and the same words in all.
 
 No source may take more than ``MOST`` times its words: its target stops there and
 the excess goes to the others by weight. As a permutation gives every block once before
@@ -92,7 +93,7 @@ def quotas(sources: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFram
 
 
 def draw(quota: DataFrame, per_shard: int = SLOTS, seed: int = SEED, cells: int = CELLS) -> DataFrame:
-    """Rows (rank, shard, offset, count): a source's slots in a shard are its offset-th and following.
+    """Rows (rank, shard, blocks, offset, count): a source's slots in a shard are its offset-th and following.
 
     A slot draws one of as many tickets as there are slots, and the source that
     holds the ticket is found by equal cells of tickets, then by range.
@@ -111,7 +112,7 @@ def draw(quota: DataFrame, per_shard: int = SLOTS, seed: int = SEED, cells: int
     drawn = tickets.join(held, "cell").filter("ticket >= first and ticket < first + slots")
     drawn = drawn.groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("count"))
     #: the last shard settles: each source's row there takes what is missing; a surplus is cut off
-    last = q.select("rank", F.lit((1 << 62)).cast(LONG).alias("shard"), F.col("slots").alias("count"))
+    last = q.select("rank", F.lit(-(-n // per_shard)).cast(LONG).alias("shard"), F.col("slots").alias("count"))
     both = drawn.unionByName(last).join(q.select("rank", "slots", "blocks"), "rank")
     #: running sums by groups of shards, and within each
     both = both.withColumn("group", div(F.col("shard"), F.lit(SHARDS).cast(LONG)))
@@ -124,12 +125,12 @@ def draw(quota: DataFrame, per_shard: int = SLOTS, seed: int = SEED, cells: int
 
 
 def slot_blocks(drawn: DataFrame, seed: int = SEED) -> DataFrame:
-    """Rows (rank, block, copies): how often each block of each source is taken."""
+    """Rows (rank, block, copies, first_shard, last_shard): how often each block of each source is taken, and where."""
     #: dealt out by number, as a row makes up to a shard's slots
     dealt = drawn.repartition(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    each = dealt.select("rank", "blocks", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("count") - 1)).alias("i"))
-    each = each.select("rank", permuted(F.pmod(F.col("i"), F.col("blocks")), F.col("blocks"), F.col("rank"), seed).alias("block"))
-    return each.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("copies"))
+    each = dealt.select("rank", "blocks", "shard", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("count") - 1)).alias("i"))
+    each = each.select("rank", "shard", permuted(F.pmod(F.col("i"), F.col("blocks")), F.col("blocks"), F.col("rank"), seed).alias("block"))
+    return each.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("copies"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
 
 
 def packed(sizes: DataFrame) -> DataFrame:
@@ -155,29 +156,34 @@ def pieces(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.withColumn("at", begin - F.col("start")).withColumn("words", F.coalesce(end - begin, F.lit(0).cast(LONG)))
 
 
-def mix(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``pieces`` of all documents with ``rank``, ``source_size``, ``target`` and ``copies``, how often the piece is taken.
+def mix(sizes: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
+    """``pieces`` of all documents with ``rank``, ``source_size``, ``target``, ``copies``, how often the piece is taken, and the first and last shard that it is put in.
 
-    ``sizes`` has source, size and the order columns k1 and k2; it is read more
+    ``slots`` are those of a shard, ``seed`` is the draw's. ``sizes`` has source, size and the order columns k1 and k2; it is read more
     than once, so it should be a written table.
     """
     sources = cut(source_targets(sizes))
-    copies = slot_blocks(draw(quotas(sources, block)))
+    copies = slot_blocks(draw(quotas(sources, block), slots, seed))
     named = sources.select(F.col("source").alias("_source"), "source_size", "rank", "target")
     documents = packed(sizes).join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     return pieces(documents, block).join(copies, ["rank", "block"], "left").withColumn("copies", F.coalesce("copies", F.lit(0).cast(LONG)))
 
 
+def mixed_documents(documents: DataFrame, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the first and last shard of every document, these null where nothing is taken."""
+    sizes = cut(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2")))
+    taken = [F.sum(F.col("words") * F.col("copies")).alias("taken"), F.min("first_shard").alias("first_shard"), F.max("last_shard").alias("last_shard")]
+    out = mix(sizes, slots=slots, seed=seed).groupBy("rank", "salt", "row", "doc_id", "size", "source_size", "target").agg(*taken)
+    return out.select("doc_id", F.col("size").cast(LONG), F.col("source_size").cast(LONG), "target", F.col("taken").cast(LONG), "first_shard", "last_shard")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    sizes = cut(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.col("doc_id").alias("k1"), F.lit(0).alias("k2")))
-    mixed = mix(sizes)
-    out = mixed.groupBy("rank", "salt", "row", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.col("copies")).alias("taken"))
-    return out.select("doc_id", F.col("size").cast(LONG), F.col("source_size").cast(LONG), "target", F.col("taken").cast(LONG))
+    return mixed_documents(table(spark, sf_dir, "documents"))
 
 
 def mix_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as mixed: each row holds what is taken of a document once, and a further row what is taken twice.
+    """The documents as mixed: each row holds what is taken of a document once, and a further row what is taken twice. Rows lie together by the shard in which
+    the first words of their document are put out, and in a shard by a hash.
 
     Texts are cut between words, and keep the white space that follows each word.
     Documents of which nothing is taken go; ``n_chars`` is made anew.
@@ -190,16 +196,17 @@ def mix_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFra
     #: rows that are alike in all of these are told apart by number
     sizes = cut(keyed.select(part("source").alias("source"), word_count(part("text")).alias("size"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2")))
     mixed = mix(sizes).filter("copies > 0")
-    spans = mixed.groupBy("k1", "k2", "rank", "salt", "row").agg(F.array_sort(F.collect_list(F.struct("at", "words", "copies"))).alias("spans"))
-    spans = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("row", "spans"))).alias("rows"))
+    spans = mixed.groupBy("k1", "k2", "rank", "salt", "row").agg(F.array_sort(F.collect_list(F.struct("at", "words", "copies"))).alias("spans"), F.min("first_shard").alias("shard"))
+    spans = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("row", "spans", "shard"))).alias("rows"))
     number = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))
     joined = keyed.withColumn("_n", number).join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
-    joined = joined.select("_row", F.get(F.col("rows"), F.col("_n") - 1)["spans"].alias("_spans")).filter("_spans is not null")
+    own = F.get(F.col("rows"), F.col("_n") - 1)
+    joined = joined.select("_row", own["spans"].alias("_spans"), own["shard"].alias("_shard"), "_k1").filter("_spans is not null")
     joined = joined.withColumn("_words", F.regexp_extract_all(part("text"), F.lit(r"(?:^[\x20\x09-\x0D]+)?" + WORD + r"[\x20\x09-\x0D]*"), F.lit(0)))
     joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_spans", lambda s: s["copies"])).cast("int"))))
     chosen = F.filter("_spans", lambda s: s["copies"] >= F.col("_copy"))
     cut_text = F.array_join(F.transform(chosen, lambda s: F.array_join(F.slice(F.col("_words"), (s["at"] + 1).cast("int"), s["words"].cast("int")), "")), "")
-    out = joined.select("_row", cut_text.alias("_text"))
+    out = joined.select("_row", cut_text.alias("_text"), "_shard", "_k1", "_copy").repartition("_shard").sortWithinPartitions("_shard", "_k1", "_copy")
     made = {"text": F.col("_text")}
     if "n_chars" in documents.columns:
         made["n_chars"] = F.length("_text").cast(documents.schema["n_chars"].dataType)

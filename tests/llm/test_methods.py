@@ -152,23 +152,22 @@ def test_unmarked_lines_have_their_role_more_often_than_by_chance(spark, sf):
 
 
 def test_words_taken_by_blocks(spark, sf):
-    """Packing, draws, permutations and the join in plain Python."""
-    rows = common.table(spark, sf, "documents").collect()
-    got = {r["doc_id"]: r for r in mixing.op4_mixing(spark, sf).collect()}
+    """Packing, draws, permutations and the join in plain Python; the draw decides in which shards a document's words are put out."""
+    per_shard, documents = 40, common.table(spark, sf, "documents")
+    rows = documents.collect()
+    found = {seed: {r["doc_id"]: r for r in mixing.mixed_documents(documents, per_shard, seed).collect()} for seed in (mixing.SEED, 5)}
     names = sorted({r["source"] for r in rows})
     size = {r["doc_id"]: len(WORD.findall(r["text"])) for r in rows}
+    tie = {r["doc_id"]: xxhash.xxh64_intdigest(r["text"], 42) for r in rows}
+    signed = lambda x: x - (x >> 63 << 64)
     first, quota = 0, {}
     for rank, source in enumerate(names, 1):
         mine = [r["doc_id"] for r in rows if r["source"] == source]
-        total, target = sum(size[i] for i in mine), got[mine[0]]["target"]
+        total, target = sum(size[i] for i in mine), found[5][mine[0]]["target"]
         blocks = math.ceil(total / mixing.BLOCK)
         slots = min(blocks * mixing.MOST, int(math.floor(target * blocks / total + 0.5)))
         quota[rank] = (mine, blocks, slots, first)
         first += slots
-    drawn = Counter()
-    for slot in range(first):
-        ticket = spark_hash(mixing.SEED, slot, kinds="iq") % first
-        drawn[next(k for k, (_, _, n, f) in quota.items() if f <= ticket < f + n)] += 1
 
     def permuted(x, n, rank):
         for turn in range(1, mixing.ROUNDS + 1):
@@ -178,14 +177,27 @@ def test_words_taken_by_blocks(spark, sf):
                 x = other
         return x
 
-    for rank, (mine, blocks, slots, _) in quota.items():
-        copies = Counter(permuted(i % blocks, blocks, rank) for i in range(slots))
-        start = 0
-        for i in sorted(mine, key=lambda i: (spark_hash(i, 0, kinds="qi") % mixing.SALTS, i)):
-            words = Counter(w // mixing.BLOCK for w in range(start, start + size[i]))
-            assert got[i]["taken"] == sum(n * copies[b] for b, n in words.items())
-            start += size[i]
-    assert sum(drawn.values()) == first
+    for seed, got in found.items():
+        drawn = {rank: [] for rank in quota}
+        for slot in range(first):
+            ticket = spark_hash(seed, slot, kinds="iq") % first
+            drawn[next(k for k, (_, _, n, f) in quota.items() if f <= ticket < f + n)].append(slot // per_shard)
+        last = -(-first // per_shard)
+        for rank, (mine, blocks, slots, _) in quota.items():
+            shards = (drawn[rank] + [last] * slots)[:slots]
+            at = {}
+            for i, shard in enumerate(shards):
+                at.setdefault(permuted(i % blocks, blocks, rank), []).append(shard)
+            start = 0
+            for i in sorted(mine, key=lambda i: (spark_hash(i, signed(tie[i]), kinds="qq") % mixing.SALTS, i, signed(tie[i]))):
+                words = Counter(w // mixing.BLOCK for w in range(start, start + size[i]))
+                mine_at = [s for b in words for s in at.get(b, ())]
+                assert got[i]["taken"] == sum(n * len(at.get(b, ())) for b, n in words.items())
+                assert (got[i]["first_shard"], got[i]["last_shard"]) == (min(mine_at, default=None), max(mine_at, default=None))
+                start += size[i]
+    one, other = found.values()
+    assert all(one[i]["taken"] == other[i]["taken"] for i in one)
+    assert sum(one[i]["first_shard"] != other[i]["first_shard"] for i in one) > len(one) // 2
 
 
 def test_tf_idf_of_all_terms(spark):
