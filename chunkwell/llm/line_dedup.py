@@ -137,7 +137,10 @@ def suspected(found: list[bytes], twice: np.ndarray) -> np.ndarray:
 
 
 def drops(documents: DataFrame, shortest: int = SHORTEST, least: int = DOCUMENTS) -> DataFrame:
-    """Rows (doc_id, gone): digests of the keys whose lines a document loses."""
+    """Rows (doc_id, h, gone): digests of the keys whose lines a row loses, by its id and the hash ``h`` of its text.
+
+    A row gets keys of its own lines only, so that rows that share an id, or have none, don't hand each other all that any of them loses.
+    """
     twice = seen_again(documents, shortest)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -145,28 +148,30 @@ def drops(documents: DataFrame, shortest: int = SHORTEST, least: int = DOCUMENTS
         ids: list[int] = []
         found: list[bytes] = []
         for batch in batches:
-            for row, text in enumerate(batch.column(1)):
+            for row, text in enumerate(batch.column(2)):
                 for block in blocks(text.as_py()):
                     own = [*{k for k in keys(block, shortest)[1] if k is not None}]
                     hit = np.flatnonzero(suspected(own, twice.value)) if own else ()
                     ids += [row] * len(hit)
                     found += [digest(own[i]) for i in hit]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(found, pa.binary())], ["doc_id", "key"])
+            at = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.binary())], ["doc_id", "h", "key"])
             ids, found = [], []
         release()
 
-    shuffled = documents.select("doc_id", "text").mapInArrow(suspects, f"doc_id {kind}, key binary")
-    pairs = shuffled.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
+    shuffled = documents.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(suspects, f"doc_id {kind}, h long, key binary")
+    held = shuffled.groupBy("key", "doc_id", "h").agg(F.lit(1).alias("one"))
+    pairs = held.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
     repeats = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= least)
-    gone = pairs.select("key", "doc_id").join(repeats, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return gone.groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
+    gone = held.select("key", "doc_id", "h").join(repeats, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return gone.groupBy("doc_id", "h").agg(F.collect_list("key").alias("gone"))
 
 
 def without_repeats(documents: DataFrame, shortest: int = SHORTEST, least: int = DOCUMENTS) -> DataFrame:
     """The documents and, as last column, the digests of lines they lose, null for none."""
-    key, gone = fresh(documents, "_id", "_gone")
-    lost = drops(documents.select("doc_id", "text"), shortest, least).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
-    joined = documents.join(lost, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    key, h, gone = fresh(documents, "_id", "_h", "_gone")
+    lost = drops(documents.select("doc_id", "text"), shortest, least).select(F.col("doc_id").alias(key), F.col("h").alias(h), F.col("gone").alias(gone))
+    joined = documents.join(lost, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(h)), "left")
     return joined.select(*named(documents), gone)
 
 

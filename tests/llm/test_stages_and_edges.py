@@ -4,8 +4,9 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from chunkwell.llm import bpe, chat, common, embedding_dedup, fingerprint, licenses, line_dedup, mixing, registry, simhash_dedup, toxicity, url_filters
+from chunkwell.llm import bpe, chat, collocations, common, embedding_dedup, fingerprint, licenses, line_dedup, mixing, quality, registry, simhash_dedup, toxicity, url_filters
 
 LONG = "alpha beta gamma delta " * 20000
 ROWS = [
@@ -52,7 +53,7 @@ def empty(spark, tmp_path):
 @pytest.mark.parametrize("name", list(registry.queries()))
 def test_odd_rows(spark, odd, name):
     got = registry.queries()[name](spark, odd).collect()
-    assert len(got) == {"op1_url_filters": 7, "op2_chat": 7, "op6_embedding_dedup": 11}.get(name, len(ROWS))
+    assert len(got) == {"op1_url_filters": 7, "op2_chat": 7, "op6_embedding_dedup": 11, "op11_collocations": 4}.get(name, len(ROWS))
 
 
 @pytest.mark.parametrize("name", list(registry.queries()))
@@ -105,6 +106,40 @@ def test_scores_without_a_class(spark, odd):
     assert [r["held_out"] for r in rows if r["doc_id"] is None] == [False]
 
 
+def test_collocation_rows(spark, odd):
+    rows = sorted(collocations.op11_collocations(spark, odd).collect(), key=lambda r: r["rank"])
+    #: the long text goes on over many blocks
+    assert [(r["lang"], r["rank"]) for r in rows] == [("en", i) for i in (1, 2, 3, 4)]
+    assert {r["phrase"]: r["a"] for r in rows} == {"alpha beta gamma": 40000, "beta gamma delta": 40000, "gamma delta alpha": 39998, "delta alpha beta": 39998}
+    words = sum(len(t.split()) for _, t, lang, *_ in ROWS if t and lang == "en")
+    assert all(r["n"] == words for r in rows)
+
+
+def test_quality_rows(spark, odd):
+    rows = quality.op12_quality(spark, odd).collect()
+    got = {r["doc_id"]: r["score"] for r in rows}
+    #: 5 is held out by its id or not; those without words have the voters' mean
+    mean = quality.fit(spark.read.parquet(f"{odd}/documents.parquet"), spark.read.parquet(f"{odd}/labels.parquet")).rest
+    assert got[2] == got[3] == got[4] == mean and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    assert [r["held_out"] for r in rows if r["doc_id"] is None] == [False] and len({r["score"] for r in rows if r["doc_id"] == 6}) == 1
+
+
+def test_many_rows_without_an_id(spark, tmp_path):
+    """Each of many rows loses one line of its own: so many digests in all, not a list of all of them for each."""
+    n = 20_000
+    rows = spark.range(n).selectExpr("cast(null as bigint) as doc_id", "concat('a line that is long enough ', id, '\\n', id) as text")
+    others = spark.range(2 * n).selectExpr("id as doc_id", "concat('a line that is long enough ', id div 2) as text")
+    documents = rows.unionByName(others).repartition(8)
+    lost = line_dedup.drops(documents)
+    assert sorted(map(tuple, lost.groupBy(lost.doc_id.isNull()).agg(F.count("*"), F.max(F.size("gone"))).collect())) == [(False, n, 1), (True, n, 1)]
+    save(spark, tmp_path, documents=documents)
+    got = line_dedup.op10_line_dedup(spark, str(tmp_path))
+    assert got.filter("doc_id is null and n_lines = 2 and n_dropped = 1").count() == n
+    assert got.filter("doc_id % 2 = 1 and n_dropped = 0").count() == n and got.filter("doc_id % 2 = 0 and n_dropped = 1").count() == n
+    staged = line_dedup.line_dedup_stage(spark, documents, "")
+    assert staged.filter("doc_id is null and not text like 'a line%'").count() == n
+
+
 def test_mixing_rows(spark, odd):
     rows = mixing.op4_mixing(spark, odd).collect()
     got = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
