@@ -16,6 +16,7 @@ from .. import shared_folder
 from ..functions.text import file_title, page_title, table_text
 from ..operators import chunks as ch
 from ..operators.tagging import with_entities
+from ..schema import BLOCK
 from ..sources import artifact, files as fs, markup
 from ..sources.adapters import Recogniser, docx_parser, image_parser, parsed_blocks, pdf_parser, recogniser, scan_parser, with_recognised
 
@@ -60,15 +61,17 @@ def ingest(listed: DataFrame, vocabulary: DataFrame | None = None, parsers: dict
 
     ``parsers`` has a function for each format that needs a library; formats without one have documents but no chunks.
     """
-    texts = listed.select("doc_id", "format", F.decode("content", "UTF-8").alias("text"))
-    of = lambda f: texts.filter(F.col("format") == f)
-    no_conf = [F.lit(None).cast("int").alias("page"), F.lit(None).cast("double").alias("confidence")]
-    blocks = markup.markdown_blocks(of("md")).unionByName(markup.plain_blocks(of("txt"))).select("*", *no_conf)
-    for f, parser in (parsers or {}).items():
-        blocks = blocks.unionByName(parsed_blocks(listed.filter(F.col("format") == f), parser))
-    #: titles and pieces both read blocks, and a file should be parsed once
+    is_text = F.col("format").isin("md", "txt")
+    #: a file's bytes are read in this one pass; all that follows reads what was made of them
+    files = listed.select("doc_id", "category", "format", "rank", F.when(is_text, markup.universal(F.decode("content", "UTF-8"))).alias("text"), F.when(~is_text, F.col("content")).alias("content"))
     shared_folder(listed.sparkSession)
-    documents, made = chunked(blocks.checkpoint(), listed)
+    parsed = parsed_blocks(files, parsers or {}).checkpoint()
+    texts = lambda f: parsed.filter((F.col("type") == "raw") & (F.col("format") == f)).select("doc_id", "text")
+    no_conf = [F.lit(None).cast("int").alias("page"), F.lit(None).cast("double").alias("confidence")]
+    blocks = markup.markdown_blocks(texts("md")).unionByName(markup.plain_blocks(texts("txt"))).select("*", *no_conf)
+    blocks = blocks.unionByName(parsed.filter(~F.col("type").isin("file", "raw")).select(*[f.name for f in BLOCK]))
+    #: titles and pieces both read blocks
+    documents, made = chunked(blocks.checkpoint(), parsed.filter("type = 'file'").select("doc_id", "category", "format", "rank"))
     if vocabulary is not None:
         made = with_entities(made, vocabulary, F.coalesce("text", table_text(F.col("table"))))
     return documents, made
@@ -112,7 +115,8 @@ def main(args: list[str] | None = None, make_recogniser: Callable[[], Recogniser
         return 1
     found = fs.walk(spark, a.archive)
     #: names come from all of the wiki, whatever the sample
-    names = markup.vocabulary(found.filter("format = 'md' and category = 'wiki'").select(F.decode("content", "UTF-8").alias("text")))
+    wiki = fs.walk(spark, a.archive, only=("wiki",)).filter("format = 'md'")
+    names = markup.vocabulary(wiki.select(markup.universal(F.decode("content", "UTF-8")).alias("text")))
     parsers, missing = usual_parsers(a.skip_ocr, make_recogniser)
     documents, chunks = ingest(fs.sample(found, a.sample), names, parsers)
     chunks.write.mode("overwrite").parquet(f"{a.out}/chunks")

@@ -29,6 +29,7 @@ IMAGES = {"codex/images": "codex", "wiki/images": "wiki"}
 
 STRING, TABLE = T.StringType(), T.ArrayType(T.ArrayType(T.StringType()))
 
+#: Fixed names: the fields of chunks and of the description of a corpus are what archives are exchanged by.
 CHUNK = T.StructType(
     [
         T.StructField("id", STRING),
@@ -79,3 +80,6 @@ BLOCK = T.StructType(
         T.StructField("confidence", T.DoubleType()),
     ]
 )
+
+#: Blocks with what is known of their file, and rows of type ``file`` and ``raw``.
+PARSED = T.StructType([BLOCK["doc_id"], T.StructField("category", STRING), T.StructField("format", STRING), T.StructField("rank", T.IntegerType()), *BLOCK.fields[1:]])

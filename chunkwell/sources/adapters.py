@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import reachable
-from ..schema import BLOCK, OCR_FLOOR
+from ..schema import OCR_FLOOR, PARSED
 
 Parser = Callable[[bytes, str], Iterable[dict]]
 #: Styles of paragraphs that are headings.
@@ -24,19 +24,24 @@ HEADINGS = ("Title", "Heading 1", "Heading 2", "Heading 3", "Heading 4")
 MODES, DPI, ENLARGED = (6, 12), 300, 2
 
 
-def parsed_blocks(files: DataFrame, parser: Parser) -> DataFrame:
-    """Blocks of files (doc_id, content)."""
+def parsed_blocks(files: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
+    """``PARSED`` of files (doc_id, category, format, rank, text, content) in one pass: a row of type ``file`` for each, one of type ``raw`` with the
+    text of those that have one, and the blocks of those whose format has a parser."""
     reachable(files.sparkSession)
-    names = [f.name for f in BLOCK]
+    of_file, names = ["doc_id", "category", "format", "rank"], [f.name for f in PARSED]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for doc_id, content in zip(frame["doc_id"], frame["content"]):
-                rows = [{**dict.fromkeys(names), **b, "doc_id": doc_id, "pos": i} for i, b in enumerate(parser(content, doc_id))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=names).astype({"page": "Int32", "confidence": "Float64"})
-
-    return files.select("doc_id", "content").mapInPandas(run, BLOCK)
+            for file in frame.to_dict("records"):
+                own = {**dict.fromkeys(names), **{k: file[k] for k in of_file}}
+                rows = [{**own, "pos": -1, "type": "file"}]
+                if file["text"] is not None:
+                    rows.append({**own, "pos": -1, "type": "raw", "text": file["text"]})
+                elif parser := parsers.get(file["format"]):
+                    rows += [{**own, **b, "pos": i} for i, b in enumerate(parser(file["content"], file["doc_id"]))]
+                yield pd.DataFrame(rows, columns=names).astype({"page": "Int32", "confidence": "Float64"})
+
+    return files.select(*of_file, "text", "content").mapInPandas(run, PARSED)
 
 
 def pdf_parser() -> Parser:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import IMAGES, TIERS
+from .folders import Folders, file_system
 
 #: Formats by the end of a path, the longer ones first.
 FORMATS = ((".scan.pdf", "scan_pdf"), (".pdf", "pdf"), (".docx", "docx"), (".md", "md"), (".txt", "txt"))
@@ -44,30 +45,33 @@ def classify(files: DataFrame, images: dict[str, str] = IMAGES) -> DataFrame:
     return out.filter("format is not null")
 
 
-def walk(spark: SparkSession, root: str, images: dict[str, str] = IMAGES) -> DataFrame:
-    """``classify`` of an archive's files. Folders that are not there are passed over; files of no bytes, which Spark's file source leaves out, are listed by the driver."""
-    root, frames, empty = root.rstrip("/"), [], []
-    top = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in [*TIERS, *images]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(top, folder)
-        if not system.exists(path):
-            continue
-        #: names only; contents are read on the executors
-        sizes = [(s.getPath().getName(), s.getLen()) for s in system.listStatus(path) if s.isFile()]
-        empty += [(f"{folder}/{name}", bytearray()) for name, n in sizes if not n]
-        if any(n for _, n in sizes):
-            listed = spark.read.format("binaryFile").load(f"{root}/{folder}")
-            frames.append(listed.select(F.concat(F.lit(f"{folder}/"), F.element_at(F.split("path", "/"), -1)).alias("path"), "content"))
-    out = spark.createDataFrame(empty, "path string, content binary")
-    for f in frames:
-        out = out.unionByName(f)
-    return classify(out, images)
-
-
-def sample(files: DataFrame, n: int | None, by: tuple[str, ...] = ("rank", "format"), order: str = "doc_id") -> DataFrame:
-    """The first ``n`` of each group; all for no ``n`` or 0."""
+def walk(spark: SparkSession, root: str, images: dict[str, str] = IMAGES, only: tuple[str, ...] | None = None) -> DataFrame:
+    """``classify`` of an archive's files, of the folders ``only`` or of all; one scan, which lists and reads on the executors. Folders that are not there are passed over.
+
+    Where Arrow has no file system for the archive's store, Spark's file source reads it, which knows no empty files and no names that begin with ``_``.
+    """
+    root, folders = root.rstrip("/"), [f for f in (*TIERS, *images) if only is None or f in only]
+    try:
+        file_system(root)
+    except ValueError:
+        at = "{" + ",".join(folders) + "}"
+        found = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(f"{root}/{at}/*")
+        folder = F.regexp_extract("path", "/(" + "|".join(sorted(folders, key=len, reverse=True)) + ")/[^/]*$", 1)
+        return classify(found.select(F.concat_ws("/", folder, F.element_at(F.split("path", "/"), -1)).alias("path"), "content"), images)
+    spark.dataSource.register(Folders)
+    found = spark.read.format(Folders.name()).option("root", root).option("folders", "\n".join(folders)).option("shares", spark.sparkContext.defaultParallelism)
+    return classify(found.load().select("path", "content"), images)
+
+
+def suffix(path: Column) -> Column:
+    """By what samples are grouped: a format of several endings, else a name's last ending, in lower case."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    return F.when(name.endswith(".scan.pdf"), ".scan.pdf").otherwise(F.regexp_extract(name, r".(\.[^.]*)$", 1))
+
+
+def sample(files: DataFrame, n: int | None, by: tuple[str | Column, ...] | None = None, order: str = "doc_id") -> DataFrame:
+    """The first ``n`` of each group, which without ``by`` is a folder's files of one ending; all for no ``n`` or 0."""
     if not n:
         return files
-    window = Window.partitionBy(*by).orderBy(order)
+    window = Window.partitionBy(*(by or ("rank", suffix(F.col("doc_id"))))).orderBy(order)
     return files.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= n).drop("_n")

@@ -13,6 +13,11 @@ LEAST_HASHES, MOST_HASHES = 2, 6
 RULE_SIGNS = ":|-"
 
 
+def universal(text: Column) -> Column:
+    """With line feeds as the only line ends, as a text file is read."""
+    return F.regexp_replace(text, r"\r\n?", "\n")
+
+
 def heading(line: Column) -> Column:
     """What follows two to six hashes and white space at the beginning of a line; null for other lines. A seventh hash is part of what follows only after white space."""
     rest = F.regexp_replace(line, "^#+", "")

@@ -244,3 +244,60 @@ def test_docx_and_pdf_libraries(monkeypatch):
     monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=lambda f: Pdf()))
     got = [(b["type"], b["page"], b.get("text") or b.get("rows")) for b in adapters.pdf_parser()(b"", "d")]
     assert got == [("text", 1, "one"), ("table", 1, [["x", ""]]), ("needs_ocr", 2, None)]
+
+
+def test_all_names_are_walked(spark, tmp_path):
+    """Names that begin with an underscore, files of no bytes and many names; in one scan, and nothing of it on the driver."""
+    (tmp_path / "wiki").mkdir()
+    for name, text in (("_index.md", "# Index\nx"), ("_none.txt", ""), (".hidden.md", "# h"), ("a b%20.md", "# A")):
+        (tmp_path / "wiki" / name).write_text(text)
+    (tmp_path / "ephemera").mkdir()
+    for i in range(10_000):
+        (tmp_path / f"ephemera/{i}.txt").write_bytes(str(i).encode() if i % 2 else b"")
+    found = files.walk(spark, str(tmp_path))
+    rows = {r["doc_id"]: bytes(r["content"]) for r in found.collect()}
+    assert len(rows) == 10_003 and rows["wiki/_index.md"] == b"# Index\nx" and rows["wiki/_none.txt"] == b"" and rows["wiki/a b%20.md"] == b"# A" and rows["ephemera/77.txt"] == b"77"
+    assert files.walk(spark, f"file://{tmp_path}", only=("wiki",)).count() == 3 and files.walk(spark, f"{tmp_path}/none").count() == 0
+    assert found._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+    _, chunks = ing.ingest(files.walk(spark, str(tmp_path), only=("wiki",)))
+    assert {r["doc_title"] for r in chunks.collect()} == {"Index"}
+
+
+def test_line_ends(spark, tmp_path):
+    (tmp_path / "ephemera").mkdir()
+    (tmp_path / "ephemera/m.txt").write_bytes(b"a\r\nb\r\n\r\nc\r\rd")
+    (tmp_path / "ephemera/n.md").write_bytes(b"# T\r## S\r\nx\ry")
+    _, chunks = ing.ingest(files.walk(spark, str(tmp_path)))
+    assert [(r["doc_title"], r["section"], r["text"]) for r in chunks.orderBy("ord").collect()] == [("M", None, "a\nb\nc\nd"), ("T", "S", "x y")]
+
+
+def test_sample_is_by_ending(spark):
+    names = ["codex/a.txt", "codex/b.TXT", "codex/c.scan.pdf", "codex/d.pdf", "codex/e.SCAN.PDF", "wiki/f.txt", "codex/images/a.png", "codex/images/b.jpg", "codex/images/c.png"]
+    listed = files.classify(spark.createDataFrame([(n, b"") for n in names], "path string, content binary"))
+    kept = {r["doc_id"] for r in files.sample(listed, 1).collect()}
+    assert kept == {"codex/a.txt", "codex/c.scan.pdf", "codex/d.pdf", "wiki/f.txt", "codex/images/a.png", "codex/images/b.jpg"}
+    assert files.sample(listed, 0).count() == len(names)
+
+
+def test_a_file_is_read_once(spark, archive, monkeypatch):
+    """All formats come from one scan of the archive: each file's parser is called once, and the listing reads what the pass has written."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(content, doc_id):
+        calls.add(1)
+        yield from fake_pdf(content, doc_id)
+
+    documents, chunks = ing.ingest(files.walk(spark, str(archive)), None, {"pdf": counted, "scan_pdf": counted})
+    assert documents.count() == 6 and chunks.filter("page is not null").count() == 3 and calls.value == 2
+    for frame in (documents, chunks):
+        assert "BatchScan" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_store_that_only_spark_reads(spark, archive, monkeypatch):
+    want = {r["doc_id"] for r in files.walk(spark, str(archive)).collect()}
+
+    def none(root):
+        raise ValueError(root)
+
+    monkeypatch.setattr(files, "file_system", none)
+    assert {r["doc_id"] for r in files.walk(spark, str(archive)).collect()} == want
