@@ -7,7 +7,6 @@ the folders of its terms only.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,8 +16,8 @@ from ..functions.text import search_text, tokens
 from ..schema import RESULT_LIMIT
 
 K1, B = 1.2, 0.75
-#: Terms of a batch of queries up to this number are broadcast; fuzzy queries up to that number are compared with all terms.
-MOST_TERMS, MOST_FUZZY = 100_000, 1000
+#: Rows of what a batch of queries asks for that are broadcast; terms that are named to the scan of postings, beyond which it gets their folders only; edits of a fuzzy word.
+MOST_TERMS, MOST_NAMED, MOST_EDITS = 100_000, 1000, 2
 #: Folders of an index's postings.
 FOLDERS = 64
 #: Fields of a chunk that an index holds, under all names a query may give them; ``all`` is all of them together.
@@ -111,11 +110,11 @@ def idf(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def scored(hits: DataFrame, stats: DataFrame) -> DataFrame:
-    """(field, term, id, part) of (field, term, id, tf, dl, df): a text's share of a score for each asked term."""
+def scored(hits: DataFrame, stats: DataFrame, *more: str) -> DataFrame:
+    """(field, term, id, part) of (field, term, id, tf, dl, df), and further columns: a text's share of a score for each asked term."""
     both = hits.join(F.broadcast(stats), "field")  # a row for each field
     part = idf(F.col("df"), F.col("n")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return both.select("field", "term", "id", part.alias("part"))
+    return both.select("field", "term", "id", part.alias("part"), *more)
 
 
 def small(terms: DataFrame) -> DataFrame:
@@ -124,12 +123,19 @@ def small(terms: DataFrame) -> DataFrame:
 
 
 def asked_postings(index: Index, asked: DataFrame) -> DataFrame:
-    """The postings of asked (field, term) with their ``df``, from the folders of these terms only."""
+    """The postings of asked (field, term) with their ``df``, from the folders of these terms only. Named terms reach the scan, which passes over the parts of files, as
+    these are sorted by term, that hold none of them."""
     terms = asked.select("field", "term").distinct()
-    folders = [r[0] for r in terms.select(folder_of(F.col("term"))).distinct().collect()]  # FOLDERS at most
-    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    named = [(r["folder"], r["term"]) for r in terms.select(folder_of(F.col("term")).alias("folder"), "term").distinct().limit(MOST_NAMED + 1).collect()]
+    if len(named) <= MOST_NAMED:
+        rows = index.postings.filter(F.col("folder").isin(sorted({f for f, _ in named})) & F.col("term").isin([term for _, term in named]))
+        few = True
+    else:
+        folders = [r[0] for r in terms.select(folder_of(F.col("term"))).distinct().collect()]  # FOLDERS at most
+        rows = index.postings.filter(F.col("folder").isin(folders))
+        few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
     known = index.terms.join(F.broadcast(terms) if few else terms, ["field", "term"])
-    return index.postings.filter(F.col("folder").isin(folders)).drop("folder").join(F.broadcast(known) if few else known, ["field", "term"])
+    return rows.drop("folder").join(F.broadcast(known) if few else known, ["field", "term"])
 
 
 def bm25(source: DataFrame | Index, queries: DataFrame, limit: int | None = RESULT_LIMIT) -> DataFrame:
@@ -184,26 +190,36 @@ def phrase(source: DataFrame | Index, queries: DataFrame, field: str = "all") ->
     return each.join(asked, "term").filter(F.contains("all", "q")).select("qid", "id")
 
 
-def deletions(word: Column, edits: int) -> Column:
-    """A word and all that is left of it after up to so many letters are taken out."""
-    out = F.array(word)
-    for _ in range(edits):
-        without = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array(x))
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, without))))
-    return out
+def segments(length: Column, edits: int) -> Column:
+    """(i, at, size) of a word of some length cut into ``edits + 1`` parts that are as long as can be."""
+    n = edits + 1
+    shorter, longer = F.floor(length / n).cast("int"), (length % n).cast("int")
+    return F.array(*[F.struct(F.lit(i).alias("i"), (i * shorter + F.least(F.lit(i), longer)).alias("at"), (shorter + (longer > i).cast("int")).alias("size")) for i in range(n)])
 
 
-def near_terms(terms: DataFrame, asked: DataFrame, edits: int = 1) -> DataFrame:
-    """(qid, term): the distinct ``terms`` (term) within some edits of (qid, q).
+def compared_terms(terms: DataFrame, asked: DataFrame, edits: int) -> DataFrame:
+    """(qid, q, term): of all terms those that can be within some edits of a word (qid, q).
 
-    Few queries are broadcast and compared with all terms, in a pass that stops counting at ``edits``. Many meet terms by what both are
-    with letters taken out: two words within ``edits`` of each other have such a remainder in common.
+    Of a term's parts, one more than there are edits, one at least is left as it is by them, with no more edits before it than there are parts before, nor more after it than parts
+    after (Li, Deng, Wang and Feng, 2011): terms meet words by equal lengths, parts and places, moved by as many letters at most.
     """
-    if asked.limit(MOST_FUZZY + 1).count() <= MOST_FUZZY:
-        return terms.join(F.broadcast(asked), F.levenshtein("term", "q", edits) >= 0).select("qid", "term")
-    left = terms.select("term", F.explode(deletions(F.col("term"), edits)).alias("rest"))
-    right = asked.select("qid", "q", F.explode(deletions(F.col("q"), edits)).alias("rest"))
-    return left.join(right, "rest").select("qid", "term", "q").distinct().filter(F.levenshtein("term", "q") <= edits).select("qid", "term")
+    length = F.length("term")
+    left = terms.select("term", length.alias("n"), F.explode(segments(length, edits)).alias("s")).select("term", "n", "s.i", F.expr("substring(term, s.at + 1, s.size)").alias("part"))
+    lengths = F.sequence(F.greatest(F.length("q") - edits, F.lit(0)), F.length("q") + edits)
+    right = asked.select("qid", "q", F.explode(lengths).alias("n"))
+    right = right.select("qid", "q", "n", F.explode(segments(F.col("n"), edits)).alias("s")).select("qid", "q", "n", "s.*")
+    longer, after = F.length("q") - F.col("n"), edits - F.col("i")
+    right = right.withColumn("low", F.greatest(-F.col("i"), longer - after)).withColumn("high", F.least(F.col("i"), longer + after)).filter("low <= high")
+    right = right.withColumn("from", F.explode(F.sequence(F.col("at") + F.col("low"), F.col("at") + F.col("high")))).filter("from >= 0 and from + size <= length(q)")
+    right = right.select("qid", "q", "n", "i", F.expr("substring(q, from + 1, size)").alias("part")).distinct()
+    return left.join(small(right), ["n", "i", "part"]).select("qid", "q", "term").distinct()
+
+
+def near_terms(terms: DataFrame, asked: DataFrame, edits: int = 1) -> DataFrame:
+    """(qid, term): the distinct ``terms`` (term) within some edits, two at most, of (qid, q)."""
+    if not 0 <= edits <= MOST_EDITS:
+        raise ValueError(f"{edits} edits, and {MOST_EDITS} at most are searched for")
+    return compared_terms(terms, asked, edits).filter(F.levenshtein("term", "q", edits) >= 0).select("qid", "term")
 
 
 def fuzzy(source: DataFrame | Index, queries: DataFrame, edits: int = 1) -> DataFrame:
@@ -217,54 +233,67 @@ def fuzzy(source: DataFrame | Index, queries: DataFrame, edits: int = 1) -> Data
     return each.join(small(near), "term").select("qid", "term", "id")
 
 
-@dataclass
-class Clause:
-    """A part of a query string. ``sign`` is + (must), - (must not) or empty (may); ``edits`` is None but for fuzzy words."""
-
-    text: str
-    sign: str = ""
-    field: str = "all"
-    boost: float = 1.0
-    quoted: bool = False
-    edits: int | None = None
-
-
-def parse_query(text: str) -> list[Clause]:
-    """A query string's parts: ``word``, ``"a phrase"``, ``+must``, ``-not``, ``near~1``, each with a field before a colon and a boost after ^. An unknown field is a word like any other."""
-    out = []
-    for sign, field, quoted, word, boost in re.findall(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|([^\s"^]+))(?:\^([\d.]+))?', text):
-        if field and field.lower() not in FIELDS:
-            word, field = f"{field} {word}", ""
-        near = re.search(r"~(\d*)$", word)
-        clause = Clause(quoted or (word[: near.start()] if near else word), sign, FIELDS[field.lower() or "all"], float(boost or 1), bool(quoted), int(near[1] or 1) if near else None)
-        if clause.text:
-            out.append(clause)
-    return out
+#: A part of a query string: sign, field, quoted words or a word, boost.
+CLAUSE = r'(?U)([+-]?)(?:(\w+):)?(?:"([^"]*)"|([^\s"^]+))(?:\^([\d.]+))?'
 
 
-def search(source: DataFrame | Index, text: str, limit: int | None = RESULT_LIMIT) -> DataFrame:
-    """One query string, ranked by the sum of its parts' scores times their boosts, held to its phrases, + and - parts. From texts an index is built, of one field.
+def clauses(queries: DataFrame) -> DataFrame:
+    """(qid, c, sign, field, text, quoted, boost, edits) of (qid, query): a query string's parts.
 
-    A text that holds none of the parts that score is no hit. A fuzzy word scores by all terms within its edits.
+    ``word``, ``"a phrase"``, ``+must``, ``-not``, ``near~1``, each with a field before a colon and a boost after ^. An unknown field is a word like any other. ``edits`` is null but for fuzzy words; more than
+    two of them are an error.
+    """
+    group = lambda i: F.regexp_extract_all(F.coalesce("query", F.lit("")), F.lit(CLAUSE), F.lit(i))
+    each = queries.select("qid", F.posexplode(F.arrays_zip(*[group(i).alias(k) for i, k in enumerate(("sign", "field", "phrase", "word", "boost"), 1)])).alias("c", "p")).select("qid", "c", "p.*")
+    known = F.create_map(*[F.lit(x) for pair in FIELDS.items() for x in pair])
+    field = F.when(F.col("field") == "", "all").otherwise(F.try_element_at(known, F.lower("field")))
+    word = F.when(field.isNull(), F.concat_ws(" ", "field", "word")).otherwise(F.col("word"))
+    digits = F.regexp_extract("word", r"~(\d*)$", 1)
+    edits = F.when((F.col("phrase") == "") & F.rlike("word", F.lit(r"~\d*$")), F.when(digits == "", 1).otherwise(digits.cast("int")))
+    checked = F.when(edits > MOST_EDITS, F.raise_error(F.concat(F.lit("too many edits: "), F.col("word")))).otherwise(edits)
+    boost = F.when(F.col("boost") == "", 1.0).otherwise(F.try_to_number("boost", F.lit("999999999.999999999")).cast("double"))
+    text = F.when(F.col("phrase") != "", F.col("phrase")).otherwise(F.regexp_replace(word, r"~\d*$", ""))
+    out = each.select("qid", "c", "sign", F.coalesce(field, F.lit("all")).alias("field"), text.alias("text"), (F.col("phrase") != "").alias("quoted"), F.coalesce(boost, F.lit(1.0)).alias("boost"), checked.cast("int").alias("edits"))
+    return out.filter("text <> ''")
+
+
+def search_all(source: DataFrame | Index, queries: DataFrame, limit: int | None = RESULT_LIMIT) -> DataFrame:
+    """(qid, rank, id, score) of many query strings (qid, query) at once, each ranked by the sum of its parts' scores times their boosts and held to its phrases, + and - parts.
+
+    All parts of all strings are terms of one join with the postings; whether a text holds a part, and whether it holds what its string asks for, are two sums over the text's rows, which lie
+    together. A text that holds none of the parts that score is no hit. A fuzzy word scores by all terms within its edits. From texts an index is built, of one field.
     """
     index = source if isinstance(source, Index) else build_index(source)
-    spark, clauses = index.postings.sparkSession, parse_query(text)
-    asked = spark.createDataFrame([(i, c.field, c.boost, c.text) for i, c in enumerate(clauses) if c.sign != "-" and c.edits is None] or [(0, "all", 0.0, "")], "c int, field string, boost double, query string")
-    terms = asked.select("c", "field", "boost", F.explode(tokens(F.col("query"))).alias("term"))
-    for edits in sorted({c.edits for c in clauses if c.edits is not None}):
-        near = spark.createDataFrame([(i, c.field, c.boost, c.text.lower()) for i, c in enumerate(clauses) if c.edits == edits], "qid int, f string, boost double, q string")
-        words = near_terms(index.terms.select("term").distinct(), near.select("qid", "q"), edits).join(F.broadcast(near), "qid")
-        terms = terms.unionByName(words.select(F.col("qid").alias("c"), F.col("f").alias("field"), "boost", "term"))
-    terms = terms.groupBy("c", "field", "term").agg(F.sum("boost").alias("weight"))
-    each = scored(asked_postings(index, terms), index.stats).join(terms, ["field", "term"]).select("c", "id", (F.col("part") * F.col("weight")).alias("part"))
-    wanted = [i for i, c in enumerate(clauses) if c.sign != "-"]
-    sums = each.filter(F.col("c").isin(wanted)).groupBy("id").agg(F.round(F.sum("part"), 6).alias("score")).select(F.lit(0).alias("qid"), "id", "score")
-    for i, c in enumerate(clauses):
-        own = spark.createDataFrame([(0, c.text)], "qid int, query string")
-        held = phrase(index, own, c.field).select("id") if c.quoted or c.edits is None and c.sign else each.filter(F.col("c") == i).select("id")
-        if c.quoted or c.sign:
-            sums = sums.join(held, "id", "left_anti" if c.sign == "-" else "left_semi")
-    return top(sums, limit)
+    parts = clauses(queries)
+    held = F.col("quoted") | (F.col("sign") != "")
+    plain = parts.filter("edits is null").select("qid", "c", "sign", "field", "boost", held.alias("held"), tokens(F.col("text")).alias("w"))
+    terms = plain.select("qid", "c", "sign", "field", "boost", "held", F.when(F.col("held"), F.size("w")).otherwise(1).alias("n"), F.posexplode("w").alias("k", "term"))
+    words = parts.filter("edits is not null").withColumn("key", F.struct("qid", "c"))
+    for edits in range(MOST_EDITS + 1):
+        own = words.filter(F.col("edits") == edits)
+        if own.limit(1).count():
+            near = near_terms(index.terms.select("term").distinct(), own.select(F.col("key").alias("qid"), F.lower("text").alias("q")), edits).withColumnRenamed("qid", "key")
+            of = near.join(own, "key").select("qid", "c", "sign", "field", "boost", (F.col("sign") != "").alias("held"), F.lit(1).alias("n"), F.lit(0).alias("k"), "term")
+            terms = terms.unionByName(of)
+    asked = small(terms)
+    hits = scored(asked_postings(index, terms), index.stats, "positions").repartition("id").join(asked, ["field", "term"])
+    #: where a part would begin by each of its words
+    begins = F.when(F.col("n") > 1, F.transform("positions", lambda p: p - F.col("k")))
+    each = hits.groupBy("qid", "id", "c", "sign", "held", "n").agg(F.sum(F.when(F.col("sign") != "-", F.col("part") * F.col("boost"))).alias("score"), F.collect_list(begins).alias("l"))
+    in_place = F.size(F.aggregate(F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))), F.get("l", F.lit(0)), F.array_intersect)) > 0
+    each = each.withColumn("there", F.when(F.col("n") > 1, (F.size("l") == F.col("n")) & in_place).otherwise(True))
+    found = each.groupBy("qid", "id").agg(
+        F.round(F.sum("score"), 6).alias("score"), F.count_if(F.col("held") & (F.col("sign") != "-") & F.col("there")).alias("musts"), F.count_if((F.col("sign") == "-") & F.col("there")).alias("nots"),
+    )
+    wanted = parts.groupBy("qid").agg(F.count_if(held & (F.col("sign") != "-")).alias("wanted"))
+    kept = found.join(wanted, "qid").filter("score is not null and nots = 0 and musts = wanted").select("qid", "id", "score")
+    return top(kept, limit)
+
+
+def search(source: DataFrame | Index, text: str, limit: int | None = RESULT_LIMIT) -> DataFrame:
+    """``search_all`` of one query string, with qid 0."""
+    spark = (source.postings if isinstance(source, Index) else source).sparkSession
+    return search_all(source, spark.createDataFrame([(0, text)], "qid int, query string"), limit)
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:

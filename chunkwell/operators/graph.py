@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_key
 from ..schema import MAX_CITATIONS, RESULT_LIMIT
-from .match import exact_or_partial
+from .match import KeyIndex, exact_or_partial
 
 
 def mentions(chunks: DataFrame) -> DataFrame:
@@ -67,13 +67,13 @@ def merge_nodes(parts: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(F.max_by("name", "last").alias("name"), F.max("last").alias("last"), F.sum("mentions").alias("mentions"))
 
 
-def follow(node_table: DataFrame, edge_table: DataFrame, requests: DataFrame, limit: int = RESULT_LIMIT) -> DataFrame:
+def follow(node_table: DataFrame, edge_table: DataFrame, requests: DataFrame, limit: int = RESULT_LIMIT, keys: KeyIndex | None = None) -> DataFrame:
     """(qid, rank, entity, weight, example_chunk_ids) for (qid, entity): neighbours one step away, the heaviest first, then by name.
 
-    Neighbours of all matched entities are merged. A limit of 0 or less is all.
+    Neighbours of all matched entities are merged. A limit of 0 or less is all. ``keys`` is an index of the nodes' keys, if there is one.
     """
     wanted = requests.select("qid", normal_key(F.col("entity")).alias("want"))
-    found = exact_or_partial(wanted, node_table.select("key"))
+    found = exact_or_partial(wanted, keys or node_table.select("key"))
     near = found.join(edge_table, F.col("key") == F.col("src"))
     sums = near.groupBy("qid", "dst").agg(F.sum("weight").alias("weight"))
     cited = near.select("qid", "dst", F.explode("citations").alias("c")).select("qid", "dst", "c.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_either, normal_key, strip
-from .match import exact_or_partial
+from .match import KeyIndex, exact_or_partial
 
 
 def subject(rows: Column, section: Column, title: Column) -> Column:
@@ -32,15 +32,15 @@ def table_rows(tables: DataFrame) -> DataFrame:
     return each.select("subject_key", "subject", "ord", "id", "row_no", label.alias("label"), normal_key(label).alias("label_key"), F.get("r", F.lit(1)).alias("value"))
 
 
-def lookup(tables: DataFrame, requests: DataFrame) -> DataFrame:
+def lookup(tables: DataFrame, requests: DataFrame, keys: KeyIndex | None = None) -> DataFrame:
     """(qid, subject, label, value, id, ord, row_no) for (qid, entity, attribute).
 
-    An attribute of "" is all of them. A label equal to the attribute in any row of a request keeps
+    ``keys`` is an index of the tables' subject keys, if there is one. An attribute of "" is all of them. A label equal to the attribute in any row of a request keeps
     away rows whose label only is part of it or the other way round. Subjects of tables without rows count when entities are matched.
     """
     wanted = requests.select("qid", normal_key(F.col("entity")).alias("want"), F.col("attribute") == "", normal_key(F.col("attribute")).alias("attr"))
     wanted = wanted.toDF("qid", "want", "all", "attr")
-    found = exact_or_partial(wanted.select("qid", "want"), tables.select(F.col("subject_key").alias("key")).distinct())
+    found = exact_or_partial(wanted.select("qid", "want"), keys or tables.select(F.col("subject_key").alias("key")).distinct())
     rows = found.join(table_rows(tables), F.col("key") == F.col("subject_key")).join(wanted.select("qid", "all", "attr"), "qid")
     rows = rows.withColumn("exact", F.col("label_key") == F.col("attr")).filter(F.col("all") | F.col("exact") | contains_either(F.col("label_key"), F.col("attr")))
     rows = rows.withColumn("any_exact", F.max("exact").over(Window.partitionBy("qid"))).filter(F.col("all") | ~F.col("any_exact") | F.col("exact"))

@@ -523,7 +523,7 @@ def toolset(spark: SparkSession, d: str):
     from .plans.agent import Toolset
 
     made = order_chunks(spark, d)
-    return Toolset(texts=chunk_texts(spark, d), tables=tb.table_chunks(table_parts(spark, d)), nodes=gr.nodes(made), edges=gr.edges(made))
+    return Toolset(texts=saved_index(spark, d), tables=tb.table_chunks(table_parts(spark, d)), nodes=gr.nodes(made), edges=gr.edges(made))
 
 
 def sql_found(table: str, follow: str, columns: str) -> str:
@@ -611,7 +611,7 @@ def listed_documents(spark: SparkSession, d: str, fmt: Column, path: Column | No
     return rows.select(name.alias("doc_id"), category().alias("category"), fmt.alias("format"), rank.cast("int").alias("rank"), F.encode("text", "UTF-8").alias("content"))
 
 
-PLACES = "'wiki/p{}.md' 'codex/p{}.SCAN.pdf' 'chronicles/p{}.PDF' 'ephemera/.p{}.txt' 'wiki/deep/p{}.md' 'codex/images/p{}.png' 'images/p{}.png' 'wiki/images/p{}.html' 'ephemera/p{}.docx' 'codex/p{}.unknown'".split()
+PLACES = "'wiki/_p{}.md' 'codex/p{}.SCAN.pdf' 'chronicles/p{}.PDF' 'ephemera/.p{}.txt' 'wiki/deep/p{}.md' 'codex/images/p{}.png' 'images/p{}.png' 'wiki/images/p{}.html' 'ephemera/p{}.docx' 'codex/p{}.unknown'".split()
 
 
 @query(f"""with f as (select case page_id % 10 {" ".join(f"when {i} then replace({x}, '{{}}', page_id::varchar)" for i, x in enumerate(PLACES))} end as doc_id, page_id, case when page_id % 20 = 0 then 0 else strlen(html) end as bytes from pages)
@@ -641,13 +641,15 @@ p as (select doc_id, category, {sql_packed("a")} as pieces from u), x as (select
 select category || '/d' || doc_id || '.txt::' || lpad(n::varchar, greatest(3, length(n::varchar))::integer, '0') as id, case when doc_id % 2 = 0 then 'Title ' || doc_id else 'D' || doc_id end as doc_title,
   'text' as chunk_type, 'plain-text' as extraction_method, length(piece) as char_count, md5(piece) as digest from x""")
 def plain_text_chunks(spark, d):
-    """Documents as text files, every other one with a title line, through the whole ingest."""
+    """Documents as text files, every other one with a title line and by thirds with each kind of line ends, through the whole ingest."""
     from .plans.ingest import ingest
 
     listed = listed_documents(spark, d, F.lit("txt"))
     number = F.regexp_extract("doc_id", r"(\d+)\.txt$", 1)
     head = F.when(number.cast("long") % 2 == 0, F.concat(F.lit(" # Title "), number, F.lit("\n"))).otherwise("")
-    _, chunks = ingest(listed.withColumn("content", F.concat(head.cast("binary"), F.col("content"))))
+    end = F.get(F.array(F.lit("\n"), F.lit("\r\n"), F.lit("\r")), (number.cast("long") % 3).cast("int"))
+    text = F.replace(F.concat(head, F.decode("content", "UTF-8")), F.lit("\n"), end)
+    _, chunks = ingest(listed.withColumn("content", F.encode(text, "UTF-8")))
     return chunks.select("id", "doc_title", "chunk_type", "extraction_method", F.col("char_count").cast("long"), F.md5("text").alias("digest"))
 
 
@@ -790,6 +792,20 @@ def query_string(spark, d):
     return ft.search(chunk_texts(spark, d), '+worthless clown^2.5 -scum rights reserved', 20).select("id", "score", F.col("rank").cast("long"))
 
 
+@query(PIECES + f""", c as (select doc_id || '::' || lpad(n::varchar, greatest(3, length(n::varchar))::integer, '0') as id, regexp_extract_all(lower(piece), '[\\p{{L}}\\p{{N}}]+') as w from pieces),
+b as (select item_id as qid, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as q from benchmark), s as (select count(*) as n, avg(len(w)) as avgdl from c),
+a as (select qid, term, sum(weight) as weight from (select qid, unnest([q[1], q[3], q[1], q[2]]) as term, unnest([1.0, 2.0, 1.5, 1.5]) as weight from b) group by 1, 2),
+h as (select term, id, dl, count(*) as tf from (select id, len(w) as dl, unnest(w) as term from c) where term in (select term from a) group by 1, 2, 3), f as (select term, count(*) as df from h group by 1),
+x as (select a.qid, h.id, round(sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * h.dl / s.avgdl)) * a.weight), 6) as score from h join f using (term) join a using (term), s group by 1, 2)
+select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank from x join c using (id) join b using (qid)
+where list_contains(w, q[1]) and contains(' ' || array_to_string(w, ' ') || ' ', ' ' || q[1] || ' ' || q[2] || ' ') and not list_contains(w, 'scum') qualify rank <= 5""")
+def query_string_batch(spark, d):
+    """A query string of each benchmark item, with a term that must be there, one that must not, a boost and a phrase, all in one search."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.format_string('+%s All:%s^2 -scum "%s %s"^1.5', *[F.get(w, F.lit(i)) for i in (0, 2, 0, 1)]).alias("query"))
+    return ft.search_all(saved_index(spark, d), asked).select("qid", "id", "score", F.col("rank").cast("long"))
+
+
 @query(PART_FIELDS + """, w as (select id, field, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from x), s as (select field, count(*) as n, avg(len(w)) as avgdl from w group by 1),
 a(field, term, weight) as (values ('section', 'red', 1.0), ('entities', 'bolt', 3.0)), h as (select field, term, id, dl, count(*) as tf from (select id, field, len(w) as dl, unnest(w) as term from w) join a using (field, term) group by 1, 2, 3, 4),
 k as (select field, term, count(*) as df from h group by 1, 2),

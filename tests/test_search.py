@@ -1,10 +1,13 @@
 """The four searches on small fixtures of their own."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from chunkwell.operators import fulltext as ft
 from chunkwell.operators import graph as gr
+from chunkwell.operators import match
 from chunkwell.operators import tables as tb
 from chunkwell.operators import tagging as tg
 from chunkwell.operators import vectors as vs
@@ -164,29 +167,85 @@ def test_texts_and_index_give_the_same(spark, sf):
     assert rows(ft.bm25(texts, asked).select("qid", "id", "rank", "score")) == rows(ft.bm25(ft.build_index(texts), asked).select("qid", "id", "rank", "score"))
 
 
-def test_all_near_terms_count(spark, monkeypatch):
-    """Over a hundred terms within one edit, by either way of finding them."""
+def test_all_near_terms_count(spark):
+    """Over a hundred terms within one edit."""
     letters = "abcdefghijklmnopqrstuvwxyz"
     near = {"stone"[:i] + c + "stone"[i + 1 :] for i in range(5) for c in letters} | {"stone"[:i] + c + "stone"[i:] for i in range(6) for c in letters} | {"tone", "sone", "stne", "stoe", "ston"}
     rows = [(w, w) for w in sorted(near)] + [("far", "stbbbe"), ("two", "stonexx"), ("far2", "xtine")]
     texts = spark.createDataFrame(rows, "id string, text string")
     assert len(near) > 150 and {r["id"] for r in ft.search(texts, "stone~1", None).collect()} == near
     one = spark.createDataFrame([(0, "stone"), (1, "x")], "qid int, query string")
-    by_pairs = {r["id"] for r in ft.fuzzy(texts, one).filter("qid = 0").collect()}
-    monkeypatch.setattr(ft, "MOST_FUZZY", 0)
-    assert by_pairs == near == {r["id"] for r in ft.fuzzy(texts, one).filter("qid = 0").collect()}
-    two = {r["id"] for r in ft.fuzzy(texts, one, 2).filter("qid = 0").collect()}
-    monkeypatch.setattr(ft, "MOST_FUZZY", 1000)
-    assert two == {r["id"] for r in ft.fuzzy(texts, one, 2).filter("qid = 0").collect()} > near
-
+    assert near == {r["id"] for r in ft.fuzzy(texts, one).filter("qid = 0").collect()}
+    for query in ("stone~3", "a b~17"):
+        with pytest.raises(Exception, match="too many edits"):
+            ft.search(texts, query).collect()
+    with pytest.raises(ValueError, match="3 edits"):
+        ft.fuzzy(texts, one, 3)
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_near_terms_by_brute_force(spark, edits):
+    rng = random.Random(edits)
+    words = {"".join(rng.choice("abcé") for _ in range(rng.randint(0, 8))) for _ in range(500)} | {"a", "", "ab"}
+    asked = [(i, q) for i, q in enumerate(sorted(words)[::25] + ["zzzz", "", "abcdefghijkl"])]
+    terms, queries = spark.createDataFrame([(w,) for w in words], "term string"), spark.createDataFrame(asked, "qid int, q string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = sorted((i, w) for i, q in asked for w in words if distance(q, w) <= edits)
+    assert sorted(map(tuple, ft.near_terms(terms, queries, edits).collect())) == want
+
+
+def test_few_terms_are_compared(spark, sf):
+    """Of the words of all documents; the plan has no loop over pairs."""
+    from chunkwell.queries import doc_texts
+
+    terms = ft.doc_freq(ft.postings(doc_texts(spark, sf))).select("term").cache()
+    asked = spark.createDataFrame([(0, "worthles"), (1, "licens"), (2, "reserved")], "qid int, q string")
+    for edits, most in ((1, 0.01), (2, 0.05)):
+        compared = ft.compared_terms(terms, asked, edits)
+        assert 0 < compared.count() < most * 3 * terms.count()
+        assert "NestedLoop" not in compared._jdf.queryExecution().toString() and "Cartesian" not in compared._jdf.queryExecution().toString()
+
+
+def test_partial_keys_by_brute_force(spark):
+    """Requests that hold keys and are held by them, short and empty ones too; no loop over pairs."""
+    rng = random.Random(5)
+    keys = {"".join(rng.choice("ab cé") for _ in range(rng.randint(0, 9))) for _ in range(300)} | {"", "a", "key 3"}
+    asked = [(i, "".join(rng.choice("ab cé") for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(90, ""), (91, "key 3"), (92, "zzz"), (93, "zz key 3"), (94, "ey"), (95, None)]
+    keyed, requests = spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame(asked, "qid int, want string")
+    want = sorted((i, k) for i, w in asked if w is not None for k in ([w] if w in keys else [k for k in keys if k in w or w in k]))
+    found = match.exact_or_partial(requests, match.build_keys(keyed))
+    assert sorted(map(tuple, found.collect())) == want == sorted(map(tuple, match.exact_or_partial(requests, keyed).collect()))
+    plan = match.partial(requests, match.build_keys(keyed))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_many_strings_at_once(spark, index):
+    """Each string of a batch as if it were alone."""
+    strings = ["Orrin Vale", '"gate twice"', "gate -twice", "rivre~2", "section:places", "+marn +twice", "nofield:cubits", '-"salt gate" cubits', "-marn", "river twice^9", "-rivre~2 gate", "", "+?", None, '"the the"', "gate gate^0.5", 'x:"salt gate"', '+entities:marn "salt gate"']
+    both = ft.search_all(index, spark.createDataFrame(list(enumerate(strings)), "qid int, query string"), None).collect()
+    for i, s in enumerate(strings):
+        alone = [] if s is None else [(r["rank"], r["id"], r["score"]) for r in ft.search(index, s, None).collect()]
+        assert sorted(alone) == sorted((r["rank"], r["id"], r["score"]) for r in both if r["qid"] == i)
+    first = {i: [r["id"] for r in sorted(both, key=lambda r: r["rank"]) if r["qid"] == i] for i in range(len(strings))}
+    assert first[0] == ["2"] and first[1] == ["3"] and first[2] == ["1"] and first[8] == [] == first[12] == first[14] and first[17] == ["1"]
+
+
+def test_terms_reach_the_scan(spark, index):
+    asked = spark.createDataFrame([(0, "cubits river")], "qid int, query string")
+    plan = ft.bm25(index, asked)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "positions" in line and "PushedFilters" in line or "folder#" in line and "PushedFilters" in line)
+    assert "In(term, [cubits,river])" in scan or "In(term, [river,cubits])" in scan
 
-def test_many_requests_go_in_parts(spark):
-    from chunkwell.operators.match import exact_or_partial
 
-    keys = spark.createDataFrame([(f"key {i}",) for i in range(30)], "key string")
-    asked = spark.createDataFrame([(i, f"{i}") for i in range(30)] + [(99, "key 3")], "qid int, want string")
-    rows = lambda most: sorted(map(str, exact_or_partial(asked, keys, most).collect()))
-    assert rows(100_000) == rows(4) and len(rows(4)) > 31
+def test_many_vectors_go_in_parts(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0, float(i % 3)]) for i in range(40)], "id int, embedding array<float>")
     queries = vectors.selectExpr("id as qid", "embedding as query")
     rows = lambda most, limit: sorted(map(str, vs.search(vectors, queries, limit, most=most).select("qid", "id", "rank", "score").collect()))
