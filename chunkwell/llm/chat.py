@@ -2,7 +2,7 @@
 
 States are the roles. A line is seen through its speaker marker (``User:``, ``### Response``, ``[system]``
 and the like, or another name, or none), its length, whether it ends as a question, and whether it is a list or code
-line. Transitions, emissions and starts are counted over the labelled conversations that are learnt
+line. A fragment's first line has transitions of its own, as speakers change there, and seldom within. Transitions, emissions and starts are counted over the labelled conversations that are learnt
 from. Viterbi finds the likeliest roles of all lines of a conversation together.
 
 A line's features are one byte, so that only bytes move until the roles at segments' ends are known; then texts
@@ -48,6 +48,8 @@ MARKER = re.compile(r"\s*(?:#+\s*(\w+)\s*(?::|$)|\[(\w+)\]\s*:?|<\|?(\w+)\|?>\s*
 ITEM = re.compile(r"\s*(?:[-*+]\s|\d+[.)]\s|    |\t|```)")
 #: Sizes of the features: marker, length, question, item.
 SIZES = (len(ROLES) + 2, 5, 2, 2)
+#: Codes of a line's features; as many more are those of first lines.
+CODES = math.prod(SIZES)
 PSEUDO = 0.5
 
 
@@ -74,7 +76,8 @@ def code(line: str) -> int:
 
 
 def codes(lines: list[str]) -> bytes:
-    return bytes(map(code, lines))
+    """A byte for each line of a fragment, of which the first is marked."""
+    return bytes([code(lines[0]) + CODES, *map(code, lines[1:])])
 
 
 class Hmm:
@@ -87,31 +90,36 @@ class Hmm:
             return np.log(t / t.sum(1, keepdims=True))
 
         self.start = table_of("start", len(ROLES), 1)[0]
-        self.step = table_of("step", len(ROLES))
+        #: within a fragment, and to its first line
+        self.steps = [table_of("step", len(ROLES)), table_of("begin", len(ROLES))]
         self.emit = [table_of(f"f{k}", size) for k, size in enumerate(SIZES)]
 
         #: of each code of features
-        cells = np.array(np.unravel_index(np.arange(math.prod(SIZES)), SIZES))
+        cells = np.array(np.unravel_index(np.arange(2 * CODES) % CODES, SIZES))
         self.emission = sum(e[:, cells[k]].T for k, e in enumerate(self.emit))
 
     def emitted(self, found: bytes) -> np.ndarray:
         return self.emission[np.frombuffer(found, np.uint8)]
 
+    def step(self, code: int) -> np.ndarray:
+        """The transitions to a line."""
+        return self.steps[code >= CODES]
+
     def span(self, found: bytes) -> np.ndarray:
         """Best log-probability from each role before to each role at the end; row 3 is that from the start of a conversation."""
         e = self.emitted(found)
-        m = np.vstack([self.step, self.start]) + e[0]
-        for row in e[1:]:
-            m = (m[:, :, None] + self.step).max(1) + row
+        m = np.vstack([self.step(found[0]), self.start]) + e[0]
+        for code, row in zip(found[1:], e[1:]):
+            m = (m[:, :, None] + self.step(code)).max(1) + row
         return m
 
     def decode(self, found: bytes, before: int = -1, end: int | None = None) -> list[int]:
         """Roles of lines by their codes, with the role before (-1 at a start) and, if given, that of the last line fixed."""
         e = self.emitted(found)
-        d = (self.start if before < 0 else self.step[before]) + e[0]
+        d = (self.start if before < 0 else self.step(found[0])[before]) + e[0]
         back = []
-        for row in e[1:]:
-            all_ = d[:, None] + self.step
+        for code, row in zip(found[1:], e[1:]):
+            all_ = d[:, None] + self.step(code)
             back.append(all_.argmax(0))
             d = all_.max(0) + row
         out = [int(d.argmax()) if end is None else end]
@@ -190,10 +198,10 @@ def train(labelled: DataFrame) -> Hmm:
                 role = ROLES.index(name) if name in ROLES else None
                 for x in found if role is not None else b"":
                     if before is not None:
-                        total["step", before, role] += 1
+                        total["begin" if x >= CODES else "step", before, role] += 1
                     elif seg == 0:
                         total["start", 0, role] += 1
-                    total["code", role, x] += 1
+                    total["code", role, x % CODES] += 1
                     before = role
         out: Counter = Counter()
         for (name, i, j), n in total.items():

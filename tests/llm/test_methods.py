@@ -128,27 +128,31 @@ def test_viterbi_is_the_best_of_all_paths(spark, monkeypatch):
     monkeypatch.setattr(chat, "SEGMENT", 2)
     got = {(r["conv_id"], r["seq"]): r["roles"] for r in chat.parse(talks.drop("role"), model).collect()}
 
-    def weigh(path, seen):
+    def weigh(path, seen, begins):
         out = model.start[path[0]]
-        for a, b in zip(path, path[1:]):
-            out += model.step[a, b]
+        for a, b, begin in zip(path, path[1:], begins[1:]):
+            out += model.steps[begin][a, b]
         return out + sum(model.emit[k][r, int(f)] for r, x in zip(path, seen) for k, f in enumerate(chat.features(x)))
 
     for group in [[r for r in rows if r[0] == c] for c in range(6)] + [[r] for r in rows if r[0] is None]:
         seen = [x for r in sorted(group, key=lambda r: r[1] or 0) for x in r[2].split("\n")]
-        best = max(weigh(p, seen) for p in itertools.product(range(3), repeat=len(seen)))
+        begins = [i == 0 for r in sorted(group, key=lambda r: r[1] or 0) for i, _ in enumerate(r[2].split("\n"))]
+        best = max(weigh(p, seen, begins) for p in itertools.product(range(3), repeat=len(seen)))
         mine = [chat.ROLES.index(x) for r in sorted(group, key=lambda r: r[1] or 0) for x in got[r[0], r[1]]]
-        assert abs(weigh(mine, seen) - best) < 1e-9
+        assert abs(weigh(mine, seen, begins) - best) < 1e-9
 
 
-def test_unmarked_lines_have_their_role_more_often_than_by_chance(spark, sf):
-    talks = chat.as_transcripts(common.table(spark, sf.replace("sf0.001", "sf0.01"), "conversations"))
+def test_unmarked_turns_have_their_role(spark, sf):
+    """Held out conversations; saying the most frequent role always is right for three in five of the turns without a marker."""
+    talks = chat.as_transcripts(common.table(spark, sf.replace("sf0.001", "sf0.1"), "conversations"))
     held = talks.filter(chat.fold(talks.conv_id) == chat.HELD_OUT)
     got = {(r["conv_id"], r["seq"]): r["role"] for r in chat.parse(held.drop("role"), chat.train(talks.filter(chat.fold(talks.conv_id) != chat.HELD_OUT))).collect()}
-    marked, bare = [], []
+    marked, bare, roles = [], [], Counter()
     for r in held.collect():
-        (bare if chat.marker(r["fragment"].split("\n")[0])[0] == chat.NONE else marked).append(got[r["conv_id"], r["seq"]] == r["role"])
-    assert all(marked) and sum(bare) >= 0.4 * len(bare)
+        unmarked = chat.marker(r["fragment"].split("\n")[0])[0] == chat.NONE
+        (bare if unmarked else marked).append(got[r["conv_id"], r["seq"]] == r["role"])
+        roles[r["role"]] += unmarked
+    assert all(marked) and len(bare) > 100 and max(roles.values()) < 0.65 * len(bare) and sum(bare) >= 0.9 * len(bare)
 
 
 def test_words_taken_by_blocks(spark, sf):
