@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import shared_folder
 from ..functions.text import search_text, tokens
 from ..schema import RESULT_LIMIT
 
@@ -20,6 +21,8 @@ K1, B = 1.2, 0.75
 MOST_TERMS, MOST_NAMED, MOST_EDITS = 100_000, 1000, 2
 #: Folders of an index's postings.
 FOLDERS = 64
+#: Texts of a block of an index, and blocks of a query that are scored to know what score others must reach.
+BLOCK_TEXTS, SEEDS = 4, 8
 #: Fields of a chunk that an index holds, under all names a query may give them; ``all`` is all of them together.
 FIELDS = {
     "all": "all", "_all": "all", "title": "title", "doctitle": "title", "section": "section", "text": "text", "category": "category",
@@ -43,30 +46,46 @@ def index_text(chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """``postings`` (folder, field, term, id, dl, tf, positions), ``stats`` (field, n, avgdl) and ``terms`` (field, term, df)."""
+    """``postings`` (folder, field, term, id, dl, tf, positions), ``stats`` (field, n, avgdl) and ``terms`` (field, term, df).
+
+    A saved index has ``blocks`` (folder, field, term, block, most, texts) too, of which its postings are read: a term's texts by blocks of texts, with the highest share of a score, but
+    for the term's weight, that one of them gets from the term. One that is not saved has the ``words`` (field, id, dl, pos, term) that it is made of.
+    """
 
     postings: DataFrame
     stats: DataFrame
     terms: DataFrame
+    blocks: DataFrame | None = None
+    words: DataFrame | None = None
 
     def size(self) -> int:
         """Texts that are indexed."""
         return int(self.stats.filter("field = 'all'").agg(F.sum("n")).first()[0] or 0)
 
     def save(self, path: str) -> Index:
-        spark = self.postings.sparkSession
+        """One shuffle of the words, by folder and file; counts, blocks and order are made within."""
+        spark = self.words.sparkSession
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        stats = spark.read.parquet(f"{path}/stats")
+        blocks = max(1, -(-(stats.agg(F.max("n")).first()[0] or 0) // BLOCK_TEXTS))
         #: files of a folder, by terms, as many as the session has partitions for
         files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // FOLDERS)
-        rows = self.postings.repartition("folder", F.pmod(F.hash("term"), F.lit(files))).sortWithinPartitions("folder", "field", "term")
-        rows.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        #: from the postings as written
-        counted(spark.read.parquet(f"{path}/postings")).repartition(4).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
+        placed = self.words.withColumn("folder", folder_of(F.col("term"))).withColumn("file", F.pmod(F.hash("term"), F.lit(files))).repartition("folder", "file")
+        place = ["folder", "file", "field", "term"]
+        each = placed.groupBy(*place, "id", "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions")).withColumn("tf", F.size("positions")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+        most = F.max(share(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("most")
+        rows = each.join(F.broadcast(stats), "field").groupBy(*place, "block").agg(most, F.collect_list(F.struct("id", "dl", "tf", "positions")).alias("texts"))
+        rows.sortWithinPartitions(*place, "block").drop("file").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
+        #: from the blocks as written
+        df = spark.read.parquet(f"{path}/blocks").groupBy("field", "term").agg(F.sum(F.size("texts")).alias("df"))
+        df.repartition(4).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
         return load_index(spark, path)
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "stats", "terms")))
+    blocks = spark.read.parquet(f"{path}/blocks")
+    postings = blocks.select("folder", "field", "term", F.explode("texts").alias("t")).select("folder", "field", "term", "t.*")
+    return Index(postings, spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/terms"), blocks)
 
 
 def folder_of(term: Column) -> Column:
@@ -85,7 +104,7 @@ def build_index(texts: DataFrame) -> Index:
     postings = each.groupBy("field", "id", "dl", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     postings = postings.select(folder_of(F.col("term")).alias("folder"), "field", "term", "id", "dl", F.size("positions").alias("tf"), "positions")
     stats = words.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    return Index(postings, stats, counted(postings))
+    return Index(postings, stats, counted(postings), words=each)
 
 
 def doc_lengths(texts: DataFrame) -> DataFrame:
@@ -110,10 +129,15 @@ def idf(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def share(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a text gets from a term, but for the term's weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 def scored(hits: DataFrame, stats: DataFrame, *more: str) -> DataFrame:
     """(field, term, id, part) of (field, term, id, tf, dl, df), and further columns: a text's share of a score for each asked term."""
     both = hits.join(F.broadcast(stats), "field")  # a row for each field
-    part = idf(F.col("df"), F.col("n")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    part = idf(F.col("df"), F.col("n")) * share(F.col("tf"), F.col("dl"), F.col("avgdl"))
     return both.select("field", "term", "id", part.alias("part"), *more)
 
 
@@ -122,20 +146,22 @@ def small(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms) if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS else terms
 
 
+def named_rows(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Postings or blocks from the folders of asked (field, term) only. Up to ``MOST_NAMED`` terms are named to the scan, which passes over the parts of files, as these are sorted by
+    term, that hold none of them."""
+    terms = asked.select(folder_of(F.col("term")).alias("folder"), "term").distinct()
+    named = [(r["folder"], r["term"]) for r in terms.limit(MOST_NAMED + 1).collect()]
+    if len(named) > MOST_NAMED:
+        return rows.filter(F.col("folder").isin([r[0] for r in terms.select("folder").distinct().collect()]))  # FOLDERS at most
+    return rows.filter(F.col("folder").isin(sorted({f for f, _ in named})) & F.col("term").isin(sorted(term for _, term in named)))
+
+
 def asked_postings(index: Index, asked: DataFrame) -> DataFrame:
-    """The postings of asked (field, term) with their ``df``, from the folders of these terms only. Named terms reach the scan, which passes over the parts of files, as
-    these are sorted by term, that hold none of them."""
-    terms = asked.select("field", "term").distinct()
-    named = [(r["folder"], r["term"]) for r in terms.select(folder_of(F.col("term")).alias("folder"), "term").distinct().limit(MOST_NAMED + 1).collect()]
-    if len(named) <= MOST_NAMED:
-        rows = index.postings.filter(F.col("folder").isin(sorted({f for f, _ in named})) & F.col("term").isin([term for _, term in named]))
-        few = True
-    else:
-        folders = [r[0] for r in terms.select(folder_of(F.col("term"))).distinct().collect()]  # FOLDERS at most
-        rows = index.postings.filter(F.col("folder").isin(folders))
-        few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    known = index.terms.join(F.broadcast(terms) if few else terms, ["field", "term"])
-    return rows.drop("folder").join(F.broadcast(known) if few else known, ["field", "term"])
+    """The postings of asked (field, term) with their ``df``."""
+    terms = small(asked.select("field", "term").distinct())
+    known = index.terms.join(terms, ["field", "term"])
+    few = asked.select("field", "term").distinct().limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    return named_rows(index.postings, asked).drop("folder").join(F.broadcast(known) if few else known, ["field", "term"])
 
 
 def bm25(source: DataFrame | Index, queries: DataFrame, limit: int | None = RESULT_LIMIT) -> DataFrame:
@@ -161,6 +187,35 @@ def bm25(source: DataFrame | Index, queries: DataFrame, limit: int | None = RESU
     return top(sums, limit)
 
 
+def best_blocks(index: Index, queries: DataFrame, limit: int = RESULT_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """As ``bm25`` from a saved index, but texts are scored only where they can be among the first: with what each query's blocks were, (qid, block, bound, read).
+
+    A block's bound is the sum of the highest shares that a query's terms have in it. Of each query the ``SEEDS`` blocks with the highest bounds are scored first; the score of the last of ``limit``
+    texts in them is one that the rest must reach, and only blocks whose bound does are scored too (after Ding and Suel, 2011). The bounds come from a pass over the heads of blocks, without their texts.
+    It pays for few words and a large index; many words have high bounds nearly everywhere, and ``bm25``, which reads all their postings once, has fewer jobs.
+    """
+    asked = query_terms(queries).withColumn("field", F.lit("all"))
+    known = small(asked.join(index.terms, ["field", "term"]).join(F.broadcast(index.stats), "field").withColumn("w", idf(F.col("df"), F.col("n")) * F.col("weight")).select("qid", "field", "term", "w", "avgdl"))
+    blocks = named_rows(index.blocks, asked)
+    bounds = blocks.select("field", "term", "block", "most").join(known, ["field", "term"]).groupBy("qid", "block").agg(F.sum(F.col("most") * F.col("w")).alias("bound"))
+    shared_folder(bounds.sparkSession)
+    bounds = bounds.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("bound").desc(), "block"))).checkpoint()
+
+    def of(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.select("qid", "block").join(known, "qid")
+        rows = blocks.join(wanted, ["field", "term", "block"]).select("qid", "w", "avgdl", F.explode("texts").alias("t"))
+        part = F.col("w") * share(F.col("t.tf"), F.col("t.dl"), F.col("avgdl"))
+        return rows.groupBy("qid", F.col("t.id").alias("id")).agg(F.round(F.sum(part), 6).alias("score"))
+
+    first = of(bounds.filter(F.col("place") <= SEEDS)).checkpoint()
+    reach = top(first, limit).filter(F.col("rank") == limit).select("qid", F.col("score").alias("reach"))
+    #: a bound is a sum too, and scores are rounded
+    read = (F.col("place") <= SEEDS) | F.col("reach").isNull() | (F.col("bound") + 1e-6 >= F.col("reach"))
+    told = bounds.join(reach, "qid", "left").select("qid", "block", "bound", "place", read.alias("read"))
+    rest = of(told.filter(F.col("read") & (F.col("place") > SEEDS)))
+    return top(first.unionByName(rest), limit), told.drop("place")
+
+
 def top(scores: DataFrame, limit: int | None, key: str = "id") -> DataFrame:
     """The best of each query with their rank; all for None, none for 0."""
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), key)))

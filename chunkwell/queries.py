@@ -771,6 +771,15 @@ def bm25_index(spark, d):
     return ft.bm25(saved_index(spark, d), asked).select("qid", "id", "score", F.col("rank").cast("long"))
 
 
+@query(sql_bm25("select item_id as qid, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[3:5], ' ') as query from benchmark", 5))
+def bm25_blocks(spark, d):
+    """Three words of each benchmark item; of the index's blocks only those are scored that can hold one of the first five."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(words, 3, 3), " ").alias("query"))
+    hits, _ = ft.best_blocks(saved_index(spark, d), asked)
+    return hits.select("qid", "id", "score", F.col("rank").cast("long"))
+
+
 @query(SQL["phrase_search"])
 def phrase_index(spark, d):
     asked = spark.createDataFrame([(0, "Licensed under the Apache License"), (1, "all rights reserved")], "qid int, query string")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +247,22 @@ def test_terms_reach_the_scan(spark, index):
     assert "In(term, [cubits,river])" in scan or "In(term, [river,cubits])" in scan
 
 
+def test_best_blocks_are_enough(spark, sf, tmp_path):
+    """The same hits and scores as of all postings, from under a fifth of the blocks that hold a word of the query; heads are read without texts."""
+    from chunkwell.queries import chunk_texts
+
+    made = ft.build_index(chunk_texts(spark, sf.replace("sf0.001", "sf0.01"))).save(str(tmp_path / "index"))
+    strings = ["stupid clown worthless license", "licensed under the apache license", "worthless scum", "all rights reserved", "no such-words", "", "the the of"]
+    asked = spark.createDataFrame(list(enumerate(strings)), "qid int, query string")
+    rows = lambda frame: sorted(map(str, frame.select("qid", "rank", "id", "score").collect()))
+    hits, told = ft.best_blocks(made, asked)
+    assert rows(hits) == rows(ft.bm25(made, asked)) and len(rows(hits)) > 20
+    blocks = told.cache()
+    assert blocks.filter("read").count() < 0.2 * blocks.count()
+    most = ft.best_blocks(made, asked, 100_000)[0]
+    assert rows(most) == rows(ft.bm25(made, asked, 100_000))
+
+
 def test_many_vectors_go_in_parts(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0, float(i % 3)]) for i in range(40)], "id int, embedding array<float>")
     queries = vectors.selectExpr("id as qid", "embedding as query")
@@ -253,6 +271,43 @@ def test_many_vectors_go_in_parts(spark):
     assert vs.search(vectors, queries.filter("qid < 0")).count() == 0
 
 
+def test_ties_of_a_batch_are_cut_by_id():
+    rng = np.random.default_rng(4)
+    for ids in (pa.array(rng.permutation(50)), pa.array([f"id{i}" for i in rng.permutation(50)])):
+        scores = np.round(rng.random((50, 30)), 1)
+        scores[:, 0] = 0.0
+        kept = vs.first_rows(scores, ids, 4)
+        for j in range(30):
+            best = sorted(range(50), key=lambda i: (-scores[i, j], ids[i].as_py()))[:4]
+            assert sorted(np.flatnonzero(kept[:, j]).tolist()) == sorted(best)
+
+
+def test_vectors_are_kept(spark, tmp_path):
+    """Each text is sent once, whatever run and whatever chunks it is of; a run that breaks leaves what it has."""
+    sent = spark.sparkContext.accumulator(0)
+
+    class Client:
+        def __init__(self, fails=""):
+            self.fails = fails
+
+        def batch_embed(self, texts, side):
+            if self.fails and any(self.fails in t for t in texts):
+                raise OSError("gone")
+            sent.add(len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+    rows = [chunk(id=str(i), text=f"text {i % 20}" + "x" * (i % 20)) for i in range(40)] + [chunk(id="t", chunk_type="table", table=[["a", "b"]]), chunk(id="none", text="")]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    run = lambda client=Client(), model="m/1": {r["id"]: r["embedding"] for r in vs.build_kept(chunks, client, str(tmp_path / "kept"), model, 3, 4).collect()}  # noqa: E731, B008
+    with pytest.raises(Exception, match="gone"):
+        run(Client("text 7x"))
+    before = sent.value
+    got = run()
+    assert len(got) == 41 and got["3"] == got["23"] == [9.0, 1.0] and 0 < before < 21 and sent.value < before + 21
+    n = sent.value
+    assert run() == got and sent.value == n and run(model="m/2") == got and sent.value == n + 21
+
+
 def test_chunks_of_hits(spark, texts):
     hits = ft.bm25(texts, spark.createDataFrame([(0, "river")], "qid int, query string"))
     chunks = spark.createDataFrame([chunk(id="1", text="whole"), chunk(id="9", text="other")], CHUNK)
