@@ -7,14 +7,13 @@ links of pages are the vocabulary; turns of a conversation are blocks, a user's
 
 from __future__ import annotations
 
-import json
 import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import reachable, shared_folder
+from . import fakes, reachable, shared_folder
 from .functions import text as tx
 from .operators import chunks as ch
 from .operators import fulltext as ft
@@ -653,32 +652,6 @@ def plain_text_chunks(spark, d):
     return chunks.select("id", "doc_title", "chunk_type", "extraction_method", F.col("char_count").cast("long"), F.md5("text").alias("digest"))
 
 
-class FakePages(adapters.Recogniser):
-    """Pages of a file are what lies between blank lines; a mode's confidence follows from the text's length."""
-
-    def page(self, content, number):
-        return content.decode().split("\n\n")[number - 1]
-
-    def count(self, content):
-        return content.decode().count("\n\n") + 1
-
-    def plate(self, content):
-        return content.decode()
-
-    def words(self, picture, mode):
-        n = len(picture)
-        return picture, [float(n % 100), -1.0] if mode == 6 else [float(n % 90 + 4), float(n % 90 + 6)]
-
-
-def fake_pdf(content: bytes, doc_id: str):
-    """Every third page is a picture."""
-    for i, text in enumerate(content.decode().split("\n\n"), 1):
-        if i % 3 == 0:
-            yield {"type": "needs_ocr", "page": i}
-        elif text.strip():
-            yield {"type": "text", "page": i, "text": text}
-
-
 #: Pages of documents: one in three a PDF, one a scan, one a plate.
 PAGES_SQL = f"""(select doc_id * 100000 + i as doc_id, doc_id % 3 as lang, '' as source, page from (
   select doc_id, unnest(string_split(text, chr(10) || chr(10))) as page, unnest(generate_series(1, len(string_split(text, chr(10) || chr(10))))) as i from documents where doc_id % 3 <> 2))"""
@@ -699,8 +672,8 @@ def recognised_chunks(spark, d):
     from .plans.ingest import ingest
 
     fmt = F.get(F.array(F.lit("pdf"), F.lit("scan_pdf"), F.lit("image")), (F.col("doc_id") % 3).cast("int"))
-    made = FakePages()
-    parsers = {"pdf": adapters.with_recognised(fake_pdf, made), "scan_pdf": adapters.scan_parser(made), "image": adapters.image_parser(made)}
+    made = fakes.Pages()
+    parsers = {"pdf": adapters.with_recognised(fakes.pdf, made), "scan_pdf": adapters.scan_parser(made), "image": adapters.image_parser(made)}
     _, chunks = ingest(listed_documents(spark, d, fmt, F.concat(F.lit("f/d"), F.col("doc_id").cast("string"))), None, parsers)
     return chunks.select(F.substring("doc_id", 4, 20).cast("long").alias("doc_id"), F.split_part("id", F.lit("::"), F.lit(2)).cast("long").alias("k"), F.col("page").cast("long"), F.col("extraction_confidence").alias("confidence"), "low_confidence", "extraction_method", F.md5("text").alias("digest"))
 
@@ -867,16 +840,10 @@ def cosine_guards(spark, d):
 
 # Models, as clients that answer by rule.
 
-def fake_embeddings(url: str, headers: dict, body: dict) -> tuple[int, bytes]:
-    side = 1.0 if body["input_type"] == "document" else 2.0
-    data = [{"embedding": [float(len(x)), side], "index": i} for i, x in enumerate(body["input"])]
-    return 200, json.dumps({"data": data[::-1]}).encode()
-
-
 def embeddings_client():
     from .plans.clients import HttpEmbeddings
 
-    return HttpEmbeddings("http://none", "key", "model", send=fake_embeddings, most=100)
+    return HttpEmbeddings("http://none", "key", "model", send=fakes.embeddings, most=100)
 
 
 def embedded(spark: SparkSession, d: str) -> DataFrame:
@@ -889,6 +856,16 @@ EMBEDDED = PIECES + """, e as (select doc_id || '::' || lpad(n::varchar, greates
   select 'supplier::' || s_suppkey, length('Nation ' || s_nationkey || chr(10) || 'Supplier Nation ' || s_nationkey || chr(10)) from supplier)"""
 
 
+@query(EMBEDDED + " select id, n, 1.0::double as side from e")
+def embedding_kept(spark, d):
+    """The vectors of a second run, which sends no text, as the table of the first has them all."""
+    chunks = chunk_texts(spark, d).withColumn("table", F.lit(None).cast(ch.NO_TABLE)).unionByName(table_parts(spark, d).select("id", "text", "table"))
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4()}"
+    vs.build_kept(chunks, embeddings_client(), path, "model")
+    kept = vs.build_kept(chunks, None, path, "model")
+    return kept.select("id", F.get("embedding", F.lit(0)).cast("double").alias("n"), F.get("embedding", F.lit(1)).cast("double").alias("side"))
+
+
 @query(EMBEDDED + " select id, n, 1.0::double as side from e")
 def embedding_build(spark, d):
     """Vectors of chunks' texts and tables by a client in batches, whose answers come in any order."""
@@ -929,52 +906,13 @@ def call_arguments(spark, d):
     return t(spark, d, "part").select("p_partkey", shown("p_partkey", "p_name", "p_type", "p_brand").alias("shown"))
 
 
-@query("select status, failures, tries, waited::double as waited, done from (values (429, 0, 1, 0.0, true), (429, 2, 3, 3.0, true), (500, 3, 4, 7.0, true), (500, 4, 4, 7.0, false), (400, 1, 1, 0.0, false), (0, 1, 2, 1.0, true)) v(status, failures, tries, waited, done)")
-def retries(spark, d):
-    """Calls that fail some times before they succeed: tries, seconds waited (each time twice as long) and whether an answer came."""
-    from .plans.clients import CallError, call
-
-    rows = []
-    for status, failures in ((429, 0), (429, 2), (500, 3), (500, 4), (400, 1), (0, 1)):
-        tries, waits = [], []
-
-        def send(url, headers, body, status=status, failures=failures, tries=tries):
-            tries.append(1)
-            if len(tries) > failures:
-                return 200, b"{}"
-            if not status:
-                raise CallError("no response")
-            return status, b"no"
-
-        try:
-            call(send, "u", {}, {}, sleep=waits.append)
-            done = True
-        except CallError:
-            done = False
-        rows.append((status, failures, len(tries), float(sum(waits)), done))
-    return spark.createDataFrame(rows, "status int, failures int, tries int, waited double, done boolean")
-
-
-def fake_completions(url: str, headers: dict, body: dict) -> tuple[int, bytes]:
-    """Plans a lookup of what the question names, has enough after two searches, and cites one document."""
-    asked = body["response_format"]["json_schema"]["schema"]["properties"]
-    text = body["messages"][-1]["content"]
-    if "tool" in asked:
-        said = {"tool": asked["tool"]["enum"][text.count("[1]") + text.count("[2]")], "query": "the", "entity": "hot gear", "attribute": "", "reasoning": "r"}
-    elif "sufficient" in asked:
-        said = {"sufficient": "[2]" in text, "reasoning": "r"}
-    else:
-        said = {"answer": text.split("\n")[0], "citations": [{"doc_id": "d", "page": 3, "section": "s"}], "conflicts": ["a and b"]}
-    return 200, json.dumps({"choices": [{"message": {"content": json.dumps(said)}}]}).encode()
-
-
 @query("select r_regionkey as qid, 'Question: What of ' || r_name || '?' as answer, 'keyword_search,table_lookup' as tools, 'd 3 s' as cited, 'a and b' as conflicts, false as hit_cap from region")
 def modelled_answers(spark, d):
     """A question for each region, by a policy of a language model."""
     from .plans import agent
     from .plans.clients import HttpCompletions
 
-    policy = agent.Modelled(HttpCompletions("http://none", "key", "model", send=fake_completions), lambda trace: agent.render(trace, {}))
+    policy = agent.Modelled(HttpCompletions("http://none", "key", "model", send=fakes.completions), lambda trace: agent.render(trace, {}))
     questions = {r["r_regionkey"]: f"What of {r['r_name']}?" for r in t(spark, d, "region").collect()}
     answers = agent.ask_all(spark, toolset(spark, d), questions, policy)
     rows = [(q, a.text, ",".join(o.call.tool for o in a.trace), " ".join(str(v) for v in a.citations[0].values()), a.conflicts[0], a.hit_cap) for q, a in answers.items()]

@@ -82,3 +82,30 @@ def test_completions():
     assert client.complete([], 0.0, {"type": "object"}) == "hi" and sent[0]["response_format"]["json_schema"]["strict"]
     with pytest.raises(ValueError):
         client.complete([], 0.0)
+
+
+@pytest.mark.parametrize("status, failures, tries, waited, done", [(429, 0, 1, 0, True), (429, 2, 3, 3, True), (500, 3, 4, 7, True), (500, 4, 4, 7, False), (400, 1, 1, 0, False), (0, 1, 2, 1, True)])
+def test_waits_double(status, failures, tries, waited, done):
+    made, waits = [], []
+
+    def send(url, headers, body):
+        made.append(1)
+        if len(made) > failures:
+            return 200, b"{}"
+        if not status:
+            raise clients.CallError("no response")
+        return status, b"no"
+
+    try:
+        clients.call(send, "u", {}, {}, sleep=waits.append)
+        assert done
+    except clients.CallError:
+        assert not done
+    assert (len(made), sum(waits)) == (tries, waited)
+
+
+def test_keyword_tool_takes_query_strings(spark):
+    texts = spark.createDataFrame([("1", "a red hen"), ("2", "one red fox"), ("3", "a hen")], "id string, text string")
+    asked = spark.createDataFrame([(0, 0, agent.KEYWORD, "red -hen", "", ""), (1, 0, agent.KEYWORD, '"red hen" fox~1', "", ""), (2, 0, agent.KEYWORD, "+hen red^3", "", "")], agent.REQUESTS)
+    got = agent.dispatch(agent.Toolset(texts=texts), asked).orderBy("qid", "rank").collect()
+    assert [(r["qid"], r["rank"], r["chunk_id"]) for r in got] == [(0, 1, "2"), (1, 1, "1"), (2, 1, "1"), (2, 2, "3")]
