@@ -38,8 +38,8 @@ ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 FOLDED = bytes.maketrans(UPPER.encode() + ENDS + BLANKS, UPPER.lower().encode() + b"\n" * len(ENDS) + b"  ")
 #: A byte that no word has stands for the end of a piece.
 END = b"."
-#: Words that a task gathers before it counts them, bytes of a text read at once.
-GATHERED, BLOCK = 1 << 20, 1 << 18
+#: Bytes that a task gathers before it counts their words, bytes of a text read at once.
+GATHERED, BLOCK = 3 << 20, 1 << 18
 #: Positions for each frequent gram, least and most of them (as powers of two), positions of a gram and of a chunk.
 POSITIONS, LEAST_BITS, MOST_BITS, HASHES, CHUNK_BITS = 8, 19, 29, 2, 19
 COUNTS = "lang string, phrase string, n long"
@@ -61,32 +61,27 @@ def blocks(text: bytes, most: int = BLOCK) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-class Words(dict):
-    """Numbers of words in order of their first use; the end of a piece is 0."""
-
-    def __init__(self):
-        super().__init__({END: 0})
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Gathered:
-    """Words of many texts as one array of numbers, with the number of the language at each."""
+    """Folded portions of many texts, with the number of the language of each."""
 
     def __init__(self):
-        self.words, self.langs, self.parts, self.of, self.n = Words(), {}, [], [], 0
+        self.blocks, self.of, self.langs, self.size = [], [], {}, 0
 
-    def add(self, lang: str, tokens: list[bytes]) -> None:
-        if tokens:
-            self.parts.append(np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens)))
-            self.of.append((self.langs.setdefault(lang, len(self.langs)), len(tokens)))
-            self.n += len(tokens)
+    def add(self, lang: str, block: bytes) -> None:
+        self.blocks.append(block)
+        self.of.append(self.langs.setdefault(lang, len(self.langs)))
+        self.size += len(block)
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        which, lengths = zip(*self.of)
-        return np.concatenate(self.parts), np.repeat(np.array(which, np.int64), lengths)
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Words of all portions in order, as numbers from 1 (0 is the end of a piece), the number of the language at each, and the words by their numbers."""
+        lists = pc.split_pattern(pa.array(self.blocks, pa.binary()), " ")
+        coded = lists.flatten().dictionary_encode()
+        known, number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        lang = np.repeat(np.array(self.of, np.int64), np.diff(lists.offsets.to_numpy()))
+        kept = number != pc.index(known, pa.scalar(b"", pa.binary())).as_py()  # between two blanks
+        end = pc.index(known, pa.scalar(END, pa.binary())).as_py()
+        w = np.where(number == end, 0, number + 1)[kept]
+        return w, lang[kept], pa.concat_arrays([pa.array([END], pa.binary()), known])
 
 
 def gather(batches: Iterator[pa.RecordBatch], size: int, most: int = GATHERED) -> Iterator[Gathered]:
@@ -96,17 +91,17 @@ def gather(batches: Iterator[pa.RecordBatch], size: int, most: int = GATHERED) -
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
             lang, last = UNKNOWN if lang is None else lang, []
             for block in blocks((text.as_py() or b"").translate(FOLDED)):
-                tokens = block.replace(b"\n", b" . ").split()
-                held.add(lang, tokens)
-                if held.n >= most:
-                    last = (last + tokens)[len(last + tokens) - size + 1 :] if size > 1 else []
+                block = block.replace(b"\n", b" . ")
+                held.add(lang, block)
+                if size > 1:
+                    last = (last + block.rsplit(None, size - 1)[1 - size :])[1 - size :]
+                if held.size >= most:
                     yield held
                     held = Gathered()
-                    held.add(lang, last)
-                elif size > 1:
-                    last = (last + tokens[-size:])[-(size - 1) :]
-            held.add(lang, [END])
-    if held.n:
+                    if last:
+                        held.add(lang, b" ".join(last))
+            held.add(lang, END)
+    if held.size:
         yield held
 
 
@@ -150,16 +145,18 @@ def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 def grams(held: Gathered, size: int, frequent: np.ndarray | None) -> pa.RecordBatch:
     """Grams of ``size`` words whose two grams of one word less are frequent, with their counts; for words, a language's total under the empty phrase too."""
-    w, g = held.arrays()
-    langs, words = list(held.langs), list(held.words)
+    w, g, words = held.arrays()
+    langs = list(held.langs)
     whole = w > 0
     if size == 1:
         at = np.flatnonzero(whole)
-        (lang, *parts), n = distinct([g[at], w[at]])
+        cell = np.bincount(g[at] * len(words) + w[at])
+        found = np.flatnonzero(cell)
+        lang, parts, n = found // len(words), [found % len(words)], cell[found]
         total = np.bincount(g[at], minlength=len(langs))
     else:
         bits, m = (len(frequent) * 8 - 1).bit_length(), max(len(w) - size + 2, 0)
-        of_word, h, fits = hashed(words), hashed(langs)[g[:m]], np.ones(m, bool)
+        of_word, h, fits = hashed(words.to_numpy(zero_copy_only=False)), hashed(langs)[g[:m]], np.ones(m, bool)
         for j in range(size - 1):
             h = mixed(h, of_word[w[j : j + m]])
             fits &= whole[j : j + m]
@@ -169,7 +166,8 @@ def grams(held: Gathered, size: int, frequent: np.ndarray | None) -> pa.RecordBa
         (lang, *parts), n = distinct([g[at], *(w[at + j] for j in range(size))])
         total = np.zeros(0, np.int64)
     if parts and len(n):
-        taken = [pa.array(words, pa.binary()).cast(pa.string()).take(pa.array(p)) for p in parts]
+        strings = words.cast(pa.string())
+        taken = [strings.take(pa.array(p)) for p in parts]
         phrase = taken[0] if size == 1 else pc.binary_join_element_wise(*taken, " ")
     else:
         lang, phrase = lang[:0], pa.array([], pa.string())
@@ -187,6 +185,8 @@ def level(documents: DataFrame, size: int, least: int, frequent=None) -> DataFra
             made = grams(held, size, None if frequent is None else frequent.value)
             for at in range(0, len(made), 1 << 16):
                 yield made.slice(at, 1 << 16)
+            made = held = None
+            pa.default_memory_pool().release_unused()
         release()
 
     found = documents.select(F.col("lang").cast("string"), "text").mapInArrow(run, COUNTS)

@@ -78,7 +78,7 @@ def test_texts_go_on_from_block_to_block(size):
     collocations.blocks.__defaults__ = (40,)
     try:
         total = Counter()
-        for held in collocations.gather(iter([batch]), size, 90):
+        for held in collocations.gather(iter([batch]), size, 300):
             full = np.full(1 << (collocations.LEAST_BITS - 3), 255, np.uint8)
             for lang, phrase, n in zip(*(c.to_pylist() for c in collocations.grams(held, size, full).columns)):
                 total[lang, phrase] += n
