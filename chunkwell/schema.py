@@ -83,3 +83,5 @@ BLOCK = T.StructType(
 
 #: Blocks with what is known of their file, and rows of type ``file`` and ``raw``.
 PARSED = T.StructType([BLOCK["doc_id"], T.StructField("category", STRING), T.StructField("format", STRING), T.StructField("rank", T.IntegerType()), *BLOCK.fields[1:]])
+#: The same with pictures of pages that are not read yet.
+SPLIT = T.StructType([*PARSED.fields, T.StructField("picture", T.BinaryType())])

@@ -1,11 +1,15 @@
 """Files to chunks, the artifact, and the stream."""
 
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkwell.operators import chunks as ch
 from chunkwell.plans import ingest as ing
+from chunkwell.schema import CHUNK, META
 from chunkwell.sources import adapters, artifact, files, markup
 from chunkwell.streaming import files as stream
 
@@ -86,6 +90,7 @@ def test_artifact_fills_and_fails(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"meta": {"chunk_count": 2, "more": 1}, "chunks": [{"id": "x", "text": "t", "odd": 1}, {"id": "y", "table": [["a", "b"]], "page": 3}]}))
     meta, chunks = artifact.read_artifact(spark, str(tmp_path / "a.json"))
     rows = chunks.orderBy("ord").collect()
+    assert [r["ord"] for r in rows] == [0, 1]
     assert meta.first()["chunk_count"] == 2 and rows[0]["low_confidence"] is False and rows[0]["page"] is None and rows[1]["page"] == 3 and rows[1]["doc_id"] == ""
     with pytest.raises(Exception):
         artifact.read_artifact(spark, str(tmp_path / "none.json"))[1].collect()
@@ -301,3 +306,98 @@ def test_a_store_that_only_spark_reads(spark, archive, monkeypatch):
 
     monkeypatch.setattr(files, "file_system", none)
     assert {r["doc_id"] for r in files.walk(spark, str(archive)).collect()} == want
+
+
+class Memory(artifact.Bytes):
+    def __init__(self, data):
+        self.data = data
+
+    def read(self, start, end):
+        return self.data[start : max(start, end)]
+
+
+def some_json(rng, depth=0):
+    kind = rng.randint(0, 7 if depth < 3 else 3)
+    if kind < 4:
+        return rng.choice(["a{", '}]"', "\\", '\\\\"', '"chunks": [{', "x" * rng.randint(0, 30), "é\n", None, 3, '[{"meta":{'])
+    if kind < 6:
+        return {rng.choice(["a", "chunks", "meta", 'b"', "\\"]): some_json(rng, depth + 1) for _ in range(rng.randint(0, 3))}
+    return [some_json(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+
+
+def pieces(data, size):
+    """Meta and chunks by ranges of a size, as the tasks do it."""
+    ranges, file = [artifact.Range("p", i, min(len(data), i + size), len(data)) for i in range(0, len(data), size)], Memory(data)
+    begun, about = artifact.begins(ranges, [artifact.read_effect(json.dumps(artifact.effects(file, r))) for r in ranges])
+    out = []
+    for b in begun:
+        found = [json.loads(c) for c in artifact.cut(file, b)]
+        assert not found or b.number == len(out)
+        out += found
+    return json.loads(artifact.whole(file, *about)) if about else None, out
+
+
+def test_artifact_is_split_anywhere():
+    """Objects with brackets, quotes, backslashes and the same keys within, cut at every place, against the whole parsed at once."""
+    rng = random.Random(3)
+    for _ in range(25):
+        given = {}
+        for key in rng.sample(["x", "meta", "chunks", "y"], 4):
+            if key == "meta":
+                given[key] = {"a": some_json(rng), "chunks": [{}]}
+            elif key == "chunks":
+                given[key] = [{"id": i, "v": some_json(rng), "w": some_json(rng)} for i in range(rng.randint(0, 6))]
+            else:
+                given[key] = some_json(rng)
+        data = json.dumps(given, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5).encode()
+        for size in (1, 3, 8, 17, 64, len(data)):
+            assert pieces(data, size) == (given["meta"], given["chunks"]), (size, data)
+    assert pieces(b'{"x": 1}', 3) == (None, []) and pieces(b'{"chunks": []}', 3) == (None, [])
+    for broken in (b'{"chunks": [{}', b'{"chunks": [{"a": "}]}', b'{"chunks": []}}', b'[{"chunks": []}]', b'{"chunks": [{} {}]}', b'{"chunks": [{}, 3]}', b'{"chunks": [{},]}', b'{"chunks": [{},,{}]}', b'{"chunks": [,{}]}', b'{"chunks": ["a", {}]}', b'{"chunks": [1, 2]}', b'{"chunks": [[{}]]}', b""):
+        for size in (1, 4, 100):
+            with pytest.raises(ValueError, match="broken"):
+                pieces(broken, size)
+
+
+def test_artifact_of_many_parts(spark, tmp_path):
+    """No row and no task has all chunks: several files, which make one object together, and are read in many ranges."""
+    rows = [tuple({**dict.fromkeys(CHUNK.names), "id": f"c{i}", "text": 'a "b" \\ {[' + "\n" * (i % 3), "low_confidence": i % 2 == 0, "char_count": i, "table": [["x", None]] if i % 5 else None}.values()) for i in range(500)]
+    chunks = spark.createDataFrame([(i * 3, *r) for i, r in enumerate(rows)], T.StructType([T.StructField("ord", T.LongType()), *CHUNK])).repartition(7)
+    meta = spark.createDataFrame([tuple({**dict.fromkeys(META.names), "chunk_count": 500, "archive_root": "ü", "by_format": {"md": 2}}.values())], META)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one part
+    try:
+        artifact.write_artifact(meta, chunks, f"{tmp_path}/a.json")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files_ = sorted((tmp_path / "a.json").glob("part-*"))
+    one = json.loads(b"".join(f.read_bytes() for f in files_))
+    assert len(files_) > 1 and [c["id"] for c in one["chunks"]] == [f"c{i}" for i in range(500)] and one["meta"]["by_format"] == {"md": 2}
+    (tmp_path / "one.json").write_text(json.dumps(one, indent=1, ensure_ascii=False))
+    for path in ("a.json", "one.json"):
+        about, read = artifact.read_artifact(spark, f"{tmp_path}/{path}", 9000)
+        assert read.rdd.getNumPartitions() > 10 and about.first()["archive_root"] == "ü"
+        assert [tuple(r)[1:] for r in read.orderBy("ord").collect()] == [tuple("" if r[k] is None and f in artifact.DEFAULTS else r[k] for k, f in enumerate(CHUNK.names)) for r in rows]
+        assert [r["ord"] for r in read.select("ord").orderBy("ord").collect()] == list(range(500))
+    artifact.write_artifact(meta, chunks.limit(0), f"{tmp_path}/none.json")
+    about, read = artifact.read_artifact(spark, f"{tmp_path}/none.json")
+    assert read.count() == 0 and about.first()["chunk_count"] == 500
+
+
+def test_pages_of_one_file_go_to_all_tasks(spark):
+    """A file of 400 pages is recognised by as many tasks as there are, with order and ids as when one task reads it."""
+    content = "|".join(f"page {i}" if i % 7 else "dim" for i in range(1, 401)).encode()
+    listed = files.classify(spark.createDataFrame([("codex/long.scan.pdf", content), ("codex/short.scan.pdf", b"only"), ("codex/images/p.png", b"plate"), ("codex/none.pdf", b"")], "path string, content binary"))
+    made = Pages()
+    parsers = {"scan_pdf": adapters.scan_parser(made), "image": adapters.image_parser(made)}
+    own = listed.select("doc_id", "category", "format", "rank", F.lit(None).cast("string").alias("text"), "content")
+    blocks = adapters.parsed_blocks(own, parsers).filter("type = 'text'")
+    tasks = {r["t"]: r["n"] for r in blocks.groupBy(F.spark_partition_id().alias("t")).agg(F.count("*").alias("n")).collect()}
+    assert len(tasks) >= spark.sparkContext.defaultParallelism and max(tasks.values()) < 120
+    whole = list(parsers["scan_pdf"](content, "d"))
+    rows = blocks.filter("doc_id = 'codex/long.scan.pdf'").orderBy("pos").collect()
+    assert [(r["page"], r["text"], r["confidence"]) for r in rows] == [(b["page"], b["text"], b["confidence"]) for b in whole] and len(rows) == 343
+    _, chunks = ing.ingest(listed, None, parsers)
+    ids = [(r["id"], r["page"]) for r in chunks.orderBy("ord").collect() if r["doc_id"] == "codex/long.scan.pdf"]
+    assert ids == [(f"codex/long.scan.pdf::{i:03d}", b["page"]) for i, b in enumerate(whole)]
+    nothing = adapters.parsed_blocks(own.filter("format = 'pdf'"), parsers).collect()
+    assert [r["type"] for r in nothing] == ["file"]

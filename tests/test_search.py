@@ -1,6 +1,7 @@
 """The four searches on small fixtures of their own."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,40 @@ def test_tagging(spark):
     assert tagged["entities"] == ["Salt Gate", "Gate"]
 
 
+def phrase(name):
+    """The rule of a whole phrase as a pattern."""
+    return re.compile(r"(?<!\w)" + re.escape(name) + r"(?!\w)", re.IGNORECASE)
+
+
+def test_tagging_equals_the_pattern(spark, monkeypatch):
+    """Random texts and names of few letters, with marks, other cases, nested and repeated names; whole and in parts; short and long texts."""
+    rng = random.Random(5)
+    alphabet = "aAbBéÉßſsKk_1٣ .-+\\\n𝒳İıΣςσ"
+    word = lambda low, high: "".join(rng.choice(alphabet) for _ in range(rng.randint(low, high)))
+    names = sorted({word(1, 4) for _ in range(150)} | {"ab", "AB", "a", "a b", "\\E", "b\\E."})
+    texts = [(i, word(0, 60) if i % 10 else None) for i in range(400)] + [(400, "ab " * 5000 + "a b"), (401, "")]
+    frame = spark.createDataFrame(texts, "id int, text string")
+    vocabulary = spark.createDataFrame([(n,) for n in [*names, "", None, "ab"]], "name string")
+    odd = "İ"  # a letter whose lower case is two
+    plain = lambda n, t: odd not in n + (t or "")
+    text_of = dict(texts)
+    want = {(i, n) for n in names for i, t in texts if t and plain(n, t) and phrase(n).search(t)}
+    found = tg.matches(frame, vocabulary)
+    rows = [(r["id"], r["name"]) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and {r for r in rows if plain(r[1], text_of[r[0]])} == want and len(want) > 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "RLike" not in plan and "Join" not in plan
+    whole = {(r["id"], r["rank"], r["name"]) for r in tg.tag(frame, vocabulary, 3).collect()}
+    monkeypatch.setattr(tg, "MOST_LETTERS", 100)
+    monkeypatch.setattr(tg, "WALKED", 50)
+    assert len(tg.finders(vocabulary)) > 2
+    assert {(r["id"], r["name"]) for r in tg.matches(frame, vocabulary).collect()} == set(rows)
+    assert {(r["id"], r["rank"], r["name"]) for r in tg.tag(frame, vocabulary, 3).collect()} == whole
+    nothing = vocabulary.limit(0)
+    assert tg.matches(frame, nothing).count() == tg.tag(frame, nothing).count() == 0
+    assert tg.with_entities(spark.createDataFrame([chunk(id="1", text="x")], CHUNK), nothing, F.col("text")).first()["entities"] == []
+
+
 @pytest.fixture(scope="module")
 def index(spark, tmp_path_factory):
     rows = [
