@@ -29,7 +29,7 @@ MODES, DPI, ENLARGED = (6, 12), 300, 2
 #: Blocks that are pictures yet, and the type each has when it is read.
 PICTURES = {"picture": "text", "picture among pages": "recognised"}
 #: Pictures that a task reads, and bytes of them that it hands on at a time.
-PICTURES_A_TASK, HANDED_ON = 64, 16 << 20
+PICTURES_A_TASK, HANDED_ON = 128, 16 << 20
 
 
 def parsed_blocks(files: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
