@@ -1,9 +1,14 @@
 """Every dealt operator and every stage on awkward tables: nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import re
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
+import xxhash
 from pyspark.sql import functions as F
 
 from chunkwell.llm import bpe, chat, collocations, common, embedding_dedup, fingerprint, licenses, line_dedup, mixing, quality, registry, simhash_dedup, toxicity, url_filters
@@ -175,6 +180,60 @@ def test_licence_rows(spark, odd):
     assert all((r["own_licence"], r["own_score"], r["licence"], r["inherited_from"]) == (None, 0.0, None, None) for r in rows)
 
 
+def test_licences_among_odd_rows(spark, odd, tmp_path):
+    """Licence files of repeated ids, a licence at the end of a very long text and in a row without an id, and null texts below a licence file."""
+    more = [(10, "Released under the MIT License.", "en", "a"), (20, "Licensed under the Apache License, Version 2.0.", "en", "b"), (20, "SPDX-License-Identifier: GPL-3.0-or-later", "en", "b"), (31, LONG + "\nSPDX-License-Identifier: MIT", "en", "c"), (None, "All rights reserved.", "en", "a"), (32, "ALL\tRIGHTS\u00a0\nReserved", None, None)]
+    extra = spark.createDataFrame(more, "doc_id long, text string, lang string, source string")
+    folder = save(spark, tmp_path / "more", documents=spark.read.parquet(f"{odd}/documents.parquet").unionByName(extra, allowMissingColumns=True))
+    rows = licenses.op5_licenses(spark, folder).collect()
+    got = {(r["doc_id"], r["own_licence"], r["licence"], r["inherited_from"]) for r in rows}
+    a, b = "a/k0/c0", "b/k0/c0"
+    assert len(rows) == len(ROWS) + len(more)
+    assert got == {
+        (1, None, "MIT", a), (2, None, "MIT", a), (3, None, None, None), (4, None, "Apache-2.0", b), (5, None, "Apache-2.0", b), (6, None, None, None), (7, None, None, None), (8, None, None, None), (9, None, None, None), (None, None, None, None),
+        (10, "MIT", "MIT", None), (20, "Apache-2.0", "Apache-2.0", None), (20, "GPL-3.0", "GPL-3.0", None), (31, "MIT", "MIT", None), (None, "proprietary", "proprietary", None), (32, "proprietary", "proprietary", None),
+    }
+
+
+def test_simhash_of_odd_rows(spark, odd):
+    """Fingerprints of null, empty and very long texts, and classes of rows that repeat an id or have none, against plain Python."""
+
+    def fingerprint_of(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", low)
+        shingles = Counter(" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, 1))) if words else Counter()
+        ones = np.zeros(64, np.int64)
+        for text, n in shingles.items():
+            h = xxhash.xxh64_intdigest(text.encode(), 42)
+            ones += n * np.array([h >> k & 1 for k in range(64)])
+        return sum(1 << k for k in range(64) if 2 * int(ones[k]) > sum(shingles.values()))
+
+    prints = [(i, fingerprint_of(t)) for i, t, *_ in ROWS]
+    rows = simhash_dedup.op9_simhash_dedup(spark, odd).collect()
+    assert Counter((r["doc_id"], r["fingerprint"]) for r in rows) == Counter((i, f"{p:016x}") for i, p in prints)
+    reach = {p: {p} for _, p in prints}
+    for _ in prints:
+        reach = {p: {q for x in near for q in reach if (x ^ q).bit_count() <= 2} for p, near in reach.items()}
+    for r in rows:
+        ids = [i for i, p in prints if p in reach[int(r["fingerprint"], 16)] and i is not None]
+        assert r["component_id"] == min(ids, default=None)
+    assert {r["component_id"] for r in rows if r["doc_id"] in (2, 3, 4)} == {2} and {r["component_id"] for r in rows if r["doc_id"] in (7, 8)} == {7}
+
+
+def test_bpe_of_odd_rows(spark, odd):
+    """Digests of null, empty, blank and very long texts, as the library gives them."""
+    library = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    library.no_truncation()
+    library.no_padding()
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = Counter()
+    for i, text, *_ in ROWS:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want[(i, len(ids), digest(" ".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False)))] += 1
+    got = bpe.op8_bpe(spark, odd).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert Counter(map(tuple, got)) == want and sum(n for (i, size, *_), n in want.items() if size == 0) >= 2
+
+
 def test_licence_file_gives_to_its_directory(spark):
     files = spark.createDataFrame([(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.py", "x"), (3, "a/b/d.py", "# SPDX-License-Identifier: GPL-3.0-or-later\ncode"), (4, "z/e.py", "mit mit"), (5, None, None), (6, "a/b/COPYING.txt", "Licensed under CC BY 4.0."), (7, "a/x/y.py", "")], "id long, path string, text string")
     got = {r["id"]: (r["own_licence"], r["licence"], r["inherited_from"]) for r in licenses.scan(files).collect()}
