@@ -10,10 +10,9 @@ bits, y is no further than that from x's home, so home and replica meet there: n
 fingerprints are compared on their own, and of the links that are found a
 spanning forest is kept, never all pairs of a group.
 
-The pipeline's stage does not use fingerprints: of texts that share four fifths of their five-word
-shingles nearly none are within 2 of 64 bits, and half are beyond 9. Its candidates share one of 24
-bands of four minima (MinHash), and are linked if the Jaccard similarity of their
-sets of shingles, as counted, is 0.8 or more.
+The pipeline's stage takes the groups that these fingerprints and anchors link as its candidates, and an exact check follows: texts are linked if the Jaccard similarity of their
+sets of five-word shingles, as counted, is 0.8 or more. As of such texts nearly none are within 2 of 64 bits, and half are beyond 9, it has further
+candidates beside them, which share one of 24 bands of four minima (MinHash).
 
 Anchors number 2^24, so that a cell holds few fingerprints of different texts; a cell's
 comparison runs in blocks of bounded size.
@@ -284,10 +283,19 @@ def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]
     return forest.links
 
 
+def fingerprint_cells(rows: DataFrame) -> DataFrame:
+    """(band, key) of rows of key and text: keys whose fingerprints are linked, as ``simhash_components`` links them, share a cell."""
+    prints = cut(fingerprints(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "fp").distinct())
+    heads = components(links(prints.select("fp").distinct())).select(F.col("u").alias("fp"), F.col("v").alias("head"))
+    joined = prints.join(heads, "fp", "left").select(F.coalesce("head", "fp").alias("head"), "key")
+    #: apart from the bands' hashes
+    return joined.select(F.xxhash64("head", F.lit("fingerprint")).alias("band"), "key")
+
+
 def jaccard_links(rows: DataFrame, words: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of keys whose texts' shingles are similar, enough of them to connect all such, for rows of key and text.
 
-    Texts that share a band meet in a cell, where their sets of shingles are compared as they are. Cells of equal members are one; a large cell is
+    Texts that share a band, or whose fingerprints are linked, meet in a cell, where their sets of shingles are compared as they are. Cells of equal members are one; a large cell is
     dealt as pairs of parts.
     """
 
@@ -328,7 +336,7 @@ def jaccard_links(rows: DataFrame, words: int = STAGE_SHINGLE, similarity: float
         release()
 
     signed = rows.mapInArrow(sign, "key long, signs binary").groupBy("key").agg(F.first("signs").alias("signs"))
-    spread_out = cut(signed.mapInArrow(spread, "band long, key long"))
+    spread_out = cut(fingerprint_cells(rows).unionByName(signed.mapInArrow(spread, "band long, key long")))
     mixed = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
     cells = spread_out.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *mixed).filter("n > 1")
     cells = cells.groupBy("n", "x0", "x1").agg(F.min("band").alias("band")).select("band", "n")

@@ -286,6 +286,20 @@ def test_simhash_stage_drops_near_copies(spark, tmp_path):
     assert near >= 10 and kept == [i for i, _, alone in rows if i % 2 == 0 or alone]
 
 
+def test_simhash_stage_takes_what_fingerprints_link(spark):
+    """What repeats in a text outweighs the rest in its fingerprint: such texts share a cell, which they do not by bands of their sets of shingles."""
+    base = " ".join(["alpha beta gamma delta epsilon"] * 400)
+    texts = [base, base + " " + " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(200))]
+    a, b = (simhash_dedup.fingerprint(t) for t in texts[:2])
+    hashes = [simhash_dedup.bands(simhash_dedup.shingles(t, simhash_dedup.STAGE_SHINGLE)) for t in texts[:2]]
+    assert (a ^ b).bit_count() <= simhash_dedup.THRESHOLD and not (hashes[0] == hashes[1]).any()
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    cells = {r["key"]: r["band"] for r in simhash_dedup.fingerprint_cells(rows).collect()}
+    assert cells[0] == cells[1] != cells[2]
+    plan = simhash_dedup.jaccard_links(rows)
+    assert plan.collect() == []  # none is similar by its set
+
+
 def test_set_links_connect_all_similar_sets():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 60, 100, dtype=np.uint64)
