@@ -347,3 +347,67 @@ def test_chunks_of_hits(spark, texts):
     hits = ft.bm25(texts, spark.createDataFrame([(0, "river")], "qid int, query string"))
     chunks = spark.createDataFrame([chunk(id="1", text="whole"), chunk(id="9", text="other")], CHUNK)
     assert [(r["id"], r["text"], r["rank"]) for r in ft.with_chunks(hits, chunks).collect()] == [("1", "whole", 1)]
+
+
+def test_postings_and_edges_shuffle_no_words(spark):
+    """A text's words are counted within its row; a text is scored for all queries at once, and what a batch of texts gives is bounded by its first hits."""
+    texts = spark.range(3000).selectExpr("cast(id as string) id", "concat('b a b x', id % 7, ' c') text")
+    made = ft.build_index(texts)
+    plan = lambda f: f._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(made.postings)
+    rows = {(r["term"], r["tf"], r["dl"], tuple(r["positions"])) for r in made.postings.filter("id = '8'").collect()}
+    assert rows == {("a", 1, 5, (1,)), ("b", 2, 5, (0, 2)), ("x1", 1, 5, (3,)), ("c", 1, 5, (4,))}
+    asked = spark.createDataFrame([(1, "a x3"), (2, "b"), (3, "nothing")], "qid long, query string")
+    terms = ft.query_terms(asked).selectExpr("qid", "0 c", "'' sign", "false held", "1 n", "0 k", "'all' field", "term", "weight boost")
+    best = ft.best_texts(ft.scored_texts(texts, terms), terms, None, 5)
+    assert best.count() <= 2 * 5 * texts.rdd.getNumPartitions()
+    got = [(r["qid"], r["id"]) for r in ft.bm25(texts, asked, 2).orderBy("qid", "rank").collect()]
+    assert got == [(1, "10"), (1, "1004"), (2, "0"), (2, "1")]
+
+
+def test_edges_are_put_together_within_tasks(spark):
+    from chunkwell.operators import graph as gr
+
+    chunks = spark.range(0, 5000, 1, 2).selectExpr("cast(id as decimal(38,0)) ord", "concat('c', id) id", "array('A', 'b', 'a', concat('n', id % 2), null) entities")
+    parts = gr.edge_parts(chunks, 3)
+    assert parts.count() <= 12 * 2 and gr.node_parts(chunks).count() <= 5 * 2
+    edges = {(r["src"], r["dst"]): (r["weight"], [c["id"] for c in r["citations"]]) for r in gr.edges(chunks, 3).collect()}
+    assert edges["a", "b"] == edges["b", "a"] == (10000, ["c0", "c0", "c1"]) and edges["n1", "b"] == (2500, ["c1", "c3", "c5"]) and len(edges) == 10
+    names = {r["key"]: (r["name"], r["mentions"]) for r in gr.merge_nodes(gr.node_parts(chunks)).collect()}
+    assert names["a"] == ("a", 10000) and names["n1"] == ("n1", 2500) and names[None] == (None, 5000)
+
+
+def test_lines_of_evidence_are_dealt_out_and_short(spark):
+    from chunkwell.plans.agent import evidence_lines
+
+    chunks = spark.range(50).selectExpr("string(id) id", "'d' doc_id", "1 page", "'s' section", "'official' reliability_tier", "repeat('x', 5000) text", "cast(null as array<array<string>>) table")
+    made = evidence_lines(chunks, chunks)
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and all(len(r["line"]) < 600 for r in made.collect())
+
+
+def test_rounds_of_texts_are_written_once(spark, tmp_path):
+    """Texts that have no vector yet are worked out once, however many rounds there are."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    class Client:
+        def batch_embed(self, texts, side):
+            return [[float(len(t))] for t in texts]
+
+    chunks = spark.range(40).selectExpr("string(id) id", "concat('t', id) text", "cast(null as array<array<string>>) table").mapInPandas(count, "id string, text string, table array<array<string>>")
+    kept = vs.build_kept(chunks, Client(), str(tmp_path / "kept"), "m", texts_a_round=5)
+    assert seen.value == 40 and kept.count() == 40
+
+
+def test_pictures_tasks_are_bounded(spark):
+    from chunkwell import fakes
+    from chunkwell.sources import adapters
+
+    cores = spark.sparkContext.defaultParallelism
+    pictures = spark.createDataFrame([], adapters.SPLIT)
+    made = adapters.read_pictures(pictures, 10**9, {"scan_pdf": adapters.scan_parser(fakes.Pages())})
+    assert f", {adapters.TASKS_A_CORE * cores}" in made._jdf.queryExecution().analyzed().toString().replace("RepartitionByExpression [doc_id", "")
