@@ -29,7 +29,7 @@ MODES, DPI, ENLARGED = (6, 12), 300, 2
 #: Blocks that are pictures yet, and the type each has when it is read.
 PICTURES = {"picture": "text", "picture among pages": "recognised"}
 #: Pictures that a task reads, and bytes of them that it hands on at a time.
-PICTURES_A_TASK, HANDED_ON = 128, 16 << 20
+PICTURES_A_TASK, HANDED_ON, TASKS_A_CORE = 128, 16 << 20, 64
 
 
 def parsed_blocks(files: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
@@ -85,7 +85,8 @@ def read_pictures(pictures: DataFrame, n: int, parsers: dict[str, Parser]) -> Da
                     rows.append({**{k: row[k] for k in names}, **found, "type": PICTURES[row["type"]], "page": page, "rows": None})
             yield pd.DataFrame(rows, columns=names).astype({"page": "Int32", "confidence": "Float64"})
 
-    tasks = max(pictures.sparkSession.sparkContext.defaultParallelism, -(-n // PICTURES_A_TASK))
+    cores = pictures.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, min(-(-n // PICTURES_A_TASK), TASKS_A_CORE * cores))
     return pictures.repartition(tasks, "doc_id", "pos").mapInPandas(read, PARSED)
 
 
