@@ -7,10 +7,11 @@ that no name goes on with. So a text is read once whatever the number of names,
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,11 @@ from .. import reachable
 from ..schema import MAX_ENTITIES
 
 #: Letters of the names that are sent to the workers at a time (about 20 bytes each there); more names are as many passes over the texts. Letters of texts that are walked at once.
-MOST_LETTERS, WALKED = 4_000_000, 1 << 20
+MOST_LETTERS, WALKED = 4_000_000, 1 << 18
 #: A node and a letter in one number; what stands between two texts, which is no letter.
 BITS, BETWEEN = 21, 0x110000
+#: Texts that are taken out of a batch at a time.
+TEXTS = 500
 
 
 @lru_cache(1)
@@ -118,12 +121,24 @@ def finders(vocabulary: DataFrame) -> list:
     return [finder(spark, names if parts == 1 else names.filter(F.pmod(F.xxhash64("name"), F.lit(parts)) == k)) for k in range(parts)]
 
 
+def release() -> None:
+    """Give memory that a worker no longer needs back to the system, as workers live on after a batch."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another system's C library
+        pass
+
+
 def finder(spark, names: DataFrame):
     trie = spark.sparkContext.broadcast(Trie([r["name"] for r in names.collect()]))
 
-    @F.pandas_udf("array<string>")
-    def names_in(texts: pd.Series) -> pd.Series:
-        return pd.Series(trie.value.found(texts.where(texts.notna(), None).tolist()), dtype=object)
+    @F.arrow_udf("array<string>")
+    def names_in(texts: pa.Array) -> pa.Array:
+        #: some texts at a time, as Python has them four times as large
+        found = [pa.array(trie.value.found(texts.slice(i, TEXTS).to_pylist()), pa.list_(pa.string())) for i in range(0, len(texts), TEXTS)]
+        release()
+        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.string()))
 
     return names_in
 
