@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared_folder
 from ..functions.text import contains_either, normal_key, strip
 from .match import KeyIndex, exact_or_partial
 
@@ -25,11 +26,11 @@ def table_chunks(chunks: DataFrame) -> DataFrame:
     return with_subject.withColumn("subject_key", normal_key(F.col("subject")))
 
 
-def table_rows(tables: DataFrame) -> DataFrame:
-    """(subject_key, subject, ord, id, row_no, label, label_key, value); rows of fewer than two cells are none."""
-    each = tables.select("subject_key", "subject", "ord", "id", F.posexplode("table").alias("row_no", "r")).filter(F.size("r") >= 2)
+def table_rows(tables: DataFrame, *more: str) -> DataFrame:
+    """(subject_key, subject, ord, id, row_no, label, label_key, value), and further columns; rows of fewer than two cells are none."""
+    each = tables.select(*more, "subject_key", "subject", "ord", "id", F.posexplode("table").alias("row_no", "r")).filter(F.size("r") >= 2)
     label = F.get("r", F.lit(0))
-    return each.select("subject_key", "subject", "ord", "id", "row_no", label.alias("label"), normal_key(label).alias("label_key"), F.get("r", F.lit(1)).alias("value"))
+    return each.select(*more, "subject_key", "subject", "ord", "id", "row_no", label.alias("label"), normal_key(label).alias("label_key"), F.get("r", F.lit(1)).alias("value"))
 
 
 def lookup(tables: DataFrame, requests: DataFrame, keys: KeyIndex | None = None) -> DataFrame:
@@ -40,8 +41,12 @@ def lookup(tables: DataFrame, requests: DataFrame, keys: KeyIndex | None = None)
     """
     wanted = requests.select("qid", normal_key(F.col("entity")).alias("want"), F.col("attribute") == "", normal_key(F.col("attribute")).alias("attr"))
     wanted = wanted.toDF("qid", "want", "all", "attr")
-    found = exact_or_partial(wanted.select("qid", "want"), keys or tables.select(F.col("subject_key").alias("key")).distinct())
-    rows = found.join(table_rows(tables), F.col("key") == F.col("subject_key")).join(wanted.select("qid", "all", "attr"), "qid")
+    if keys is None:
+        shared_folder(requests.sparkSession)
+        distinct = tables.select(F.col("subject_key").alias("key")).distinct().checkpoint()  # read several times, and made of all tables
+    found = exact_or_partial(wanted.select("qid", "want"), keys or distinct)
+    #: only the rows of tables that are found
+    rows = table_rows(found.join(tables, F.col("key") == F.col("subject_key")), "qid").join(wanted.select("qid", "all", "attr"), "qid")
     rows = rows.withColumn("exact", F.col("label_key") == F.col("attr")).filter(F.col("all") | F.col("exact") | contains_either(F.col("label_key"), F.col("attr")))
     rows = rows.withColumn("any_exact", F.max("exact").over(Window.partitionBy("qid"))).filter(F.col("all") | ~F.col("any_exact") | F.col("exact"))
     return rows.select("qid", "subject", "label", "value", "id", "ord", "row_no")

@@ -132,3 +132,17 @@ def test_traces_have_all_that_a_step_finds(spark):
     assert asked == [1] and all(a.trace[0].chunk_ids == [f"t{i}" for i in range(n)] and len(a.trace[0].notes) == n == len(a.citations) for a in done.values())
     agent.Modelled(Model(), lambda trace: seen.append(len(trace[0].notes)) or "").sufficient("q", done[1].trace)
     assert seen == [agent.MOST_EVIDENCE]
+
+
+def test_a_question_builds_no_index(spark, sf):
+    """The tools of a question search texts, and write what these hold of the asked words only."""
+    import glob
+
+    from chunkwell.queries import modelled_answers
+
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    made = lambda kind: set(glob.glob(f"{folder.removeprefix('file:')}/**/{kind}-*", recursive=True))
+    before = made("index"), made("asked")
+    rows = modelled_answers(spark, sf).collect()
+    assert made("index") == before[0] and len(made("asked") - before[1]) == 1
+    assert len(rows) == 5 and {r["tools"] for r in rows} == {"keyword_search,table_lookup"}

@@ -411,3 +411,28 @@ def test_pictures_tasks_are_bounded(spark):
     pictures = spark.createDataFrame([], adapters.SPLIT)
     made = adapters.read_pictures(pictures, 10**9, {"scan_pdf": adapters.scan_parser(fakes.Pages())})
     assert f", {adapters.TASKS_A_CORE * cores}" in made._jdf.queryExecution().analyzed().toString().replace("RepartitionByExpression [doc_id", "")
+
+
+def test_strings_over_texts_take_one_pass(spark):
+    """All kinds of strings over texts, with and without fields, as over an index of them; texts are read once, and once more for each number of edits of fuzzy words."""
+    rng = random.Random(3)
+    words = ["gate", "river", "marn", "salt", "the", "é"]
+    rows = [(f"{i:03d}", field, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) or None) for i in range(200) for field in ("all", "section")]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    strings = ["salt gate", '"gate river"^2', "+marn +river -the", "section:gate the", '-"salt gate" É', "", "nothing", 'section:"the gate" +section:salt', "the", None]
+    asked = lambda s: spark.createDataFrame(list(enumerate(s)), "qid int, query string")
+    hits = lambda source, s: sorted(map(str, ft.search_all(source, asked(s), 7).select("qid", "rank", "id", "score").collect()))
+    both = spark.createDataFrame(rows, "id string, field string, text string")
+    for texts in (both, both.filter("field = 'all'").drop("field")):
+        watched = texts.mapInPandas(seen, texts.schema)
+        index, n, before = ft.build_index(texts), texts.count(), read.value
+        assert hits(watched, strings) == hits(index, strings) != [] and read.value - before == n
+        near = ["rivre~2", "-gat~ marn", "+solt~1 gate"]
+        assert hits(watched, near) == hits(index, near) != [] and read.value - before == 4 * n
+        assert hits(watched, ["", "+?"]) == []
