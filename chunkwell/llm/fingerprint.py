@@ -18,12 +18,12 @@ A single document is its own next one. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from .common import cut, table
 
 HEAVIEST = 15
@@ -125,19 +125,22 @@ def cuts(rows: DataFrame, most: int = BUCKETS, least: int = BUCKET_ROWS) -> list
 
 
 def rank_among(value: Column, bounds: list[tuple[int, int]]) -> Column:
-    """How many of the sorted bounds are not above the value, by a coarse and a fine step."""
+    """How many of the sorted bounds are not above the value, by halving."""
     if not bounds:
         return F.lit(0)
-    step = math.isqrt(len(bounds)) + 1
+    #: arrays of places, each folded into a constant: an array of structs would be made again for each row
+    i, h = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<long>") for x in zip(*bounds))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
 
-    def literal(xs: list[tuple[int, int]]) -> Column:
-        """An array of places, folded into a constant."""
-        i, h = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<long>") for x in zip(*xs))
-        return F.arrays_zip(i, h).cast("array<struct<i:long,h:long>>")
+    def halve(v: Column) -> Column:
+        def step(at: Column, more: Column) -> Column:
+            last = at + more - 1
+            here = F.get(i, last)  # null beyond the last bound
+            return F.when((here < v["i"]) | ((here == v["i"]) & (F.get(h, last) <= v["h"])), at + more).otherwise(at)
 
-    below = lambda xs: F.size(F.filter(xs, lambda b: b <= value))
-    coarse = F.greatest(below(literal(bounds[::step])) - 1, F.lit(0)) * step
-    return coarse + below(F.slice(literal(bounds), coarse + 1, F.lit(step)))
+        return F.aggregate(steps, F.lit(0), step)
+
+    return bound(value, halve)  # a value holds a hash of a text
 
 
 def with_next(documents: DataFrame) -> DataFrame:

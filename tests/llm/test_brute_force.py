@@ -1,5 +1,6 @@
 """Operators against plain Python on small tables."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -221,6 +222,19 @@ def test_many_ranges_are_one_order(spark, monkeypatch):
         assert found[i] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
 
 
+def test_rank_among_many_bounds(spark):
+    """As bisect has it, with all bounds as constants: what is made of them for each row would grow as rows times bounds."""
+    rng = random.Random(3)
+    place = lambda: (rng.randrange(-40, 40), rng.randrange(-3, 3))
+    frame = spark.createDataFrame([(place(),) for _ in range(300)], "p struct<i:long,h:long>")
+    for n in (0, 1, 2, 3, 4, 7, 8, 200, 5000):
+        bounds = sorted({place() if n < 5000 else (rng.getrandbits(60), 0) for _ in range(n)})
+        ranked = frame.select("p", fingerprint.rank_among(F.col("p"), bounds).alias("rank"))
+        assert all(r["rank"] == bisect.bisect_right(bounds, tuple(r["p"])) for r in ranked.collect())
+        plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+        assert not n or not any(x in plan for x in ("arrays_zip", "slice(", "split("))
+
+
 def test_block_tables_find_all(spark):
     rng = random.Random(2)
     fps = [rng.getrandbits(64) for _ in range(30)]
