@@ -298,6 +298,34 @@ def test_best_blocks_are_enough(spark, sf, tmp_path):
     assert rows(most) == rows(ft.bm25(made, asked, 100_000))
 
 
+def test_an_index_is_saved_of_one_pass_over_texts(spark, tmp_path, monkeypatch):
+    """Texts are made once; each is in one block of a field, of a few texts, and a block's figures are those of its texts. All as of the postings themselves, in many files."""
+    monkeypatch.setattr(ft, "FILE_WORDS", 1, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return None if i == 50 else "" if i % 9 == 8 else " ".join(f"Wo{(i * k) % 13} the" for k in range(i % 5 + 1))
+
+    texts = spark.range(60, numPartitions=3).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, "title").otherwise("all").alias("field"), F.udf(text, "string")("id").alias("text"))
+    try:
+        index = ft.build_index(texts).save(str(tmp_path / "index"))
+        assert made.value == 60
+        rows = lambda frame, *names: sorted(map(str, frame.select(*names).collect()))
+        fresh = ft.build_index(texts)
+        names = ["folder", "field", "term", "id", "dl", "tf", "positions"]
+        assert rows(index.postings, *names) == rows(fresh.postings, *names) and index.postings.count() > 200
+        assert rows(index.stats, "field", "n", "avgdl") == rows(fresh.stats, "field", "n", "avgdl") and rows(index.terms, "field", "term", "df") == rows(fresh.terms, "field", "term", "df")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    blocks, mean = index.blocks.collect(), {r["field"]: r["avgdl"] for r in index.stats.collect()}
+    assert all(1 <= b["n"] == len(b["texts"]) <= ft.BLOCK_TEXTS and abs(b["most"] - max(ft.share(x["tf"], x["dl"], mean[b["field"]]) for x in b["texts"])) < 1e-12 for b in blocks)
+    assert len({(b["field"], x["id"], b["block"]) for b in blocks for x in b["texts"]}) == len({(b["field"], x["id"]) for b in blocks for x in b["texts"]})
+    assert len({(b["field"], b["block"], b["term"]) for b in blocks}) == len(blocks) and max(b["n"] for b in blocks) > 1
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["blocks", "stats", "terms"]
+
+
 def test_many_vectors_go_in_parts(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0, float(i % 3)]) for i in range(40)], "id int, embedding array<float>")
     queries = vectors.selectExpr("id as qid", "embedding as query")

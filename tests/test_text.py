@@ -42,6 +42,14 @@ def test_pack_keeps_units_in_order(spark, units):
     assert "\n".join(got).split("\n") == [u.strip() for u in units if u.strip()] or not got
 
 
+def test_strip_takes_what_a_pattern_calls_white(spark):
+    """Each code point but surrogates at both ends, doubled and beside a line end, as ``\\s`` with ``(?U)`` has it."""
+    points = spark.range(0x110000).filter("id < 55296 or id > 57343").select(F.decode(F.encode(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"), "UTF-8"), "UTF-8").alias("c"))
+    texts = points.select(F.explode(F.array(F.concat("c", F.lit("a"), "c", F.lit("b"), "c", "c"), F.concat("c", F.lit("\n"), "c"), F.concat(F.lit("a"), "c", F.lit("\r\n")))).alias("t"))
+    assert texts.filter(~tx.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert texts.filter(tx.strip(F.col("t")) == "").count() > 20 and one(spark, tx.strip(F.col("t")), t=None) is None
+
+
 def test_split_long(spark):
     split = lambda t, n=20: one(spark, tx.split_long(F.col("t"), n), t=t)
     assert split("  short ") == ["short"] and split(" \n ") == []
